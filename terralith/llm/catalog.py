@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from terralith.llm import mixing
+from terralith.llm import mixing, token_counts, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_mix_sources": mixing.op6_mix_sources,
 }
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
 }

@@ -68,4 +68,4 @@ if __name__ == "__main__":
             else:
                 print(name, queries[name](session, sf).toPandas().shape, "no SQL", f"{time.time() - t:.1f}", flush=True)
         except Exception as e:
-            print(name, "FAILED", str(e).strip()[:1500], flush=True)
+            print(name, "FAILED", str(e).strip()[-1500:], flush=True)
