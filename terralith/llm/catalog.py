@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from terralith.llm import mixing, token_counts, warc
+from terralith.llm import fingerprints, mixing, token_counts, warc
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_warc": warc.op2_warc,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_mix_sources": mixing.op6_mix_sources,
