@@ -102,7 +102,7 @@ def write_archives(records: DataFrame, folder: str, level: int = 1) -> DataFrame
                         if out is not None:
                             out.close()
                         name, at = f"archives/{uuid.uuid4().hex}.warc.gz", 0
-                        out = store.open_output_stream(f"{root}/{name}")
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)
                     page, refers = _whole(page), _whole(refers)
                     squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
                     coded = squeeze.compress(_record(page, url, payload, size, digest, kind, refers)) + squeeze.flush()
