@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,22 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frame(**columns) -> pd.DataFrame:
+    """A pandas frame whose lists become plain object columns, which any Arrow type can be built from."""
+    n = max((len(c) for c in columns.values() if isinstance(c, (list, np.ndarray, pd.Series))), default=0)
+    out = {}
+    for name, c in columns.items():
+        if isinstance(c, np.ndarray):
+            out[name] = c
+        else:
+            values = list(c) if isinstance(c, (list, pd.Series)) else [c] * n
+            held = np.empty(n, object)
+            for i, v in enumerate(values):
+                held[i] = v
+            out[name] = held
+    return pd.DataFrame(out, index=range(n))
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

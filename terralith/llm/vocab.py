@@ -35,3 +35,19 @@ def word_tokenizer(path: str):
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
+
+
+@functools.lru_cache(maxsize=2)
+def word_model(path: str):
+    """The same vocabulary and merges for single words that are normalised already: no splitting, no special tokens."""
+    import json
+
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    parts.update(normalizer=None, pre_tokenizer=None, added_tokens=[], truncation=None, padding=None)
+    model = Tokenizer.from_str(json.dumps(parts))
+    model.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    return model
