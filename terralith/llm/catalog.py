@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from terralith.llm import bpe, fingerprints, mixing, token_counts, warc
+from terralith.llm import bpe, fingerprints, language, mixing, token_counts, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op7_language": language.op7_language,
     "op10_bpe": bpe.op10_bpe,
     "op2_warc": warc.op2_warc,
     "op5_token_counts": token_counts.op5_token_counts,
