@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from terralith.llm import bpe, fingerprints, language, mixing, token_counts, warc
+from terralith.llm import bpe, fingerprints, language, mixing, quality, token_counts, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op3_quality": quality.op3_quality,
     "op7_language": language.op7_language,
     "op10_bpe": bpe.op10_bpe,
     "op2_warc": warc.op2_warc,
