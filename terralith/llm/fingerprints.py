@@ -82,45 +82,46 @@ def render(sketch: Column) -> Column:
 
 
 def next_ids(ids: DataFrame, parts: int | None = None) -> DataFrame:
-    """ids (doc_id, distinct) with next_id: the next greater one, after the greatest the least; a null id has the
-    least as its next.
+    """ids (_id, distinct, never null; other columns stay) with next_id: the next greater one, after the greatest
+    the least.
 
     Ids are dealt out by range; each range finds its successors, and a table of one row a range gives the successor
     of each range's last id.
     """
-    spark = ids.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ids.filter("doc_id IS NOT NULL").repartitionByRange(parts, "doc_id").withColumn("_part", F.spark_partition_id())
-    ranged = materialize(ranged)
-    firsts = ranged.groupBy("_part").agg(F.min("doc_id").alias("_first"))
-    over = Window.orderBy("_part")
-    firsts = firsts.withColumn("_after", F.coalesce(F.lead("_first").over(over), F.min("_first").over(Window.partitionBy()))).withColumnRenamed("_part", "_p").drop("_first")
-    own = ranged.withColumn("_next", F.lead("doc_id").over(Window.partitionBy("_part").orderBy("doc_id")))
-    linked = own.join(firsts, F.col("_part") == F.col("_p")).select(*ids.columns, F.coalesce("_next", "_after").alias("next_id"))
-    least = ids.agg(F.min("doc_id").alias("next_id"))
-    orphans = ids.filter("doc_id IS NULL").join(least, F.lit(True))
-    return linked.unionByName(orphans.select(*ids.columns, "next_id"))
+    parts = parts or int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(ids.repartitionByRange(parts, "_id").withColumn("_part", F.spark_partition_id()))
+    firsts = ranged.groupBy("_part").agg(F.min("_id").alias("_first"))
+    after = F.coalesce(F.lead("_first").over(Window.orderBy("_part")), F.min("_first").over(Window.partitionBy()))
+    firsts = firsts.select(F.col("_part").alias("_p"), after.alias("_after"))
+    own = ranged.withColumn("_next", F.lead("_id").over(Window.partitionBy("_part").orderBy("_id")))
+    return own.join(firsts, F.col("_part") == F.col("_p")).select(*ids.columns, F.coalesce("_next", "_after").alias("next_id"))
+
+
+#: Stands for a null doc_id, so that both joins below find the documents dealt out by the same, never null, key.
+_NULL_ID = -(1 << 63)
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text; other columns ignored): doc_id, n_chars, text, sketch, edited and next_sketch.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
-    document, the one with the next greater doc_id; after the greatest id comes the least.  Null text is empty.  Of
-    rows that share an id, the one with the least such beginning stands for it; each of them keeps its own row.  A
-    null id is followed by the least id (by nothing if all are null).  Only beginnings as long as needed are sent.
+    document, the one with the next greater doc_id; after the greatest id comes the least.  Null text is empty; a
+    null id is the least.  Of rows that share an id, the one with the least such beginning stands for it; each of
+    them keeps its own row.  A document without others is its own next.  An empty table gives no rows.  Documents
+    are shuffled once, by id; apart from them, only beginnings as long as needed are sent, with their sketches.
     """
-    full = docs.select("doc_id", text_or_empty().alias("text"))
-    needs = full.groupBy("doc_id").agg(F.floor(F.max(F.char_length("text")) / 4).cast("int").alias("_need"))
-    links = materialize(next_ids(materialize(needs)))
+    full = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), text_or_empty().alias("text"))
+    needs = full.groupBy("_id").agg(F.floor(F.max(F.char_length("text")) / 4).cast("int").alias("_need"))
+    links = materialize(next_ids(needs)).withColumnRenamed("_id", "_for")
     sketched = with_sketch(full, "text", "sketch")
-    heads = sketched.join(links.withColumnRenamed("doc_id", "_for"), F.col("doc_id") == F.col("next_id"))
+    heads = sketched.join(links, F.col("_id") == F.col("next_id"))
     heads = heads.select("_for", F.struct(F.expr("substring(text, 1, _need)").alias("head"), F.col("sketch").alias("sketch")).alias("_next"))
     heads = heads.groupBy("_for").agg(F.min("_next").alias("_next"))
-    joined = sketched.join(heads, F.col("doc_id").eqNullSafe(F.col("_for")), "left")
+    joined = sketched.join(heads, F.col("_id") == F.col("_for"), "left")
     joined = joined.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("_cut", F.floor(F.col("n_chars") / 4).cast("int"))
     edited = F.concat(F.expr("substring(text, 1, int(n_chars) - _cut)"), F.expr("coalesce(substring(_next.head, 1, _cut), '')"))
-    return joined.select("doc_id", "n_chars", "text", "sketch", edited.alias("edited"), F.col("_next.sketch").alias("next_sketch"))
+    own_id = F.when(F.col("_id") != _NULL_ID, F.col("_id"))
+    return joined.select(own_id.alias("doc_id"), "n_chars", "text", "sketch", edited.alias("edited"), F.col("_next.sketch").alias("next_sketch"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
