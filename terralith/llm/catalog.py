@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from terralith.llm import bpe, fingerprints, language, mixing, quality, token_counts, warc
+from terralith.llm import bpe, fingerprints, language, mixing, quality, token_counts, topk, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op3_quality": quality.op3_quality,
     "op7_language": language.op7_language,
+    "op9_topk": topk.op9_topk,
     "op10_bpe": bpe.op10_bpe,
     "op2_warc": warc.op2_warc,
     "op5_token_counts": token_counts.op5_token_counts,
@@ -16,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op2_warc": warc.OP2_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
+    "op9_topk": topk.OP9_SQL,
 }
