@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from terralith.llm import bpe, fingerprints, language, mixing, quality, token_counts, topk, warc
+from terralith.llm import bpe, fingerprints, language, licenses, mixing, quality, token_counts, topk, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op3_quality": quality.op3_quality,
     "op7_language": language.op7_language,
+    "op8_licenses": licenses.op8_licenses,
     "op9_topk": topk.op9_topk,
     "op10_bpe": bpe.op10_bpe,
     "op2_warc": warc.op2_warc,
