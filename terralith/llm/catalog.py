@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from terralith.llm import bpe, fingerprints, language, licenses, mixing, quality, token_counts, topk, warc
+from terralith.llm import bpe, fingerprints, language, licenses, mixing, neardup, quality, token_counts, topk, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op3_quality": quality.op3_quality,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
     "op7_language": language.op7_language,
     "op8_licenses": licenses.op8_licenses,
     "op9_topk": topk.op9_topk,

@@ -158,10 +158,8 @@ def shingle_hashes(texts: list[str], width: int = 5) -> list[np.ndarray]:
         if n >= width:
             out.append(full[a : b - width + 1])
         elif n:
-            whole = np.uint64(n)
-            for k in range(n):
-                whole = whole + words[a + k] * _STEP[k]
-            out.append(mix64(np.array([whole], np.uint64)))
+            steps = np.array(_STEP[:n], np.uint64)
+            out.append(mix64((words[a:b] * steps).sum(keepdims=True) + np.uint64(n)))
         else:
             out.append(full[:0])
     return out

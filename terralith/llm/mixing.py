@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralith.llm.common import materialize, table, text_or_empty
+from terralith.llm.common import materialize, table, text_key, text_or_empty
 
 #: Weights dealt to the sources in code-point order, again and again.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -47,9 +47,9 @@ def source_targets(sources: DataFrame, total_share: float = 1.5, max_epochs: flo
     return ranked.withColumn("target", F.coalesce(F.least(F.col("_w") * F.col("_set"), F.col("_cap")), F.col("_cap"))).drop("_w", "_cap", "_level", "_free", "_set")
 
 
-def mix(docs: DataFrame, seed: str = "mix-1", least_range: int = 512, total_share: float = 1.5, max_epochs: float = 2.0, weights=WEIGHTS, quality: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix-1", least_range: int = 512, total_share: float = 1.5, max_epochs: float = 2.0, weights=WEIGHTS, quality: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, epochs,
-    selected, taken.
+    selected, taken, and the columns `keep`.
 
     taken = size * (epochs + selected): words that the mix takes of this row.  A row with size 0 is never selected.
     Null text has size 0; null source is a source of its own; null doc_id is allowed; repeated rows are rows of
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, seed: str = "mix-1", least_range: int = 512, total_shar
     """
     draw = F.sha2(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_or_empty()), 256)
     u = (F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    light = docs.select("doc_id", "source", word_count().alias("size"), (-F.log(u)).alias("_key"))
+    light = docs.select("doc_id", "source", word_count().alias("size"), (-F.log(u)).alias("_key"), *keep)
     if quality is not None:
         known = quality.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("weight").cast("double").alias("_w"))
         weight = F.when((F.col("_w") > 0) & (F.col("_w") < float("inf")), F.col("_w")).otherwise(1.0)
@@ -90,7 +90,19 @@ def mix(docs: DataFrame, seed: str = "mix-1", least_range: int = 512, total_shar
     inside = placed.filter(at_cut).withColumn("_before", F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     inside = inside.withColumn("selected", F.col("_before") + F.col("size") / 2 <= F.col("_left")).drop("_before")
     both = outside.unionByName(inside).withColumn("selected", (F.col("selected") & (F.col("size") > 0)).cast("long"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "epochs", "selected", (F.col("size") * (F.col("epochs") + F.col("selected"))).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", "epochs", "selected", (F.col("size") * (F.col("epochs") + F.col("selected"))).alias("taken"), *keep)
+
+
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """docs with each row repeated as often as the mix takes it (rows that it doesn't take go).  Rows that agree in
+    id, text and source are one row here, repeated as often as all of them are taken."""
+    keyed = docs.withColumn("_text_key", text_key())
+    taken = mix(keyed, keep=("_text_key",), **how).groupBy("doc_id", "_text_key", "source").agg(F.sum(F.col("epochs") + F.col("selected")).alias("_times")).filter("_times > 0")
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key"), F.col("source").alias("_source"), "_times")
+    single = keyed.dropDuplicates(["doc_id", "_text_key", "source"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))
+    copies = single.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return copies.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
