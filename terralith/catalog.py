@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from terralith.plans import aggregates, decision, imports, resolution
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (decision, aggregates, resolution, imports):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

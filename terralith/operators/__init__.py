@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Operators on DataFrames: hierarchy, resolution, classification, quality, imports, matching, decisions."""

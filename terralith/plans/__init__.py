@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Registered queries: the operators applied to the driver's tables, each with the SQL that it must agree with."""

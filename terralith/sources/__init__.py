@@ -1 +1,30 @@
-"""See README.md for what this subpackage holds."""
+"""Readers and writers.  `read(spark, path)` picks a reader by the path's extension."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from terralith.sources import geojson, kml, shapefile, tabular, xlsx
+
+
+class FormatNotSupported(ValueError):
+    """No reader for this extension."""
+
+
+READERS = {
+    "kml": kml.read_placemarks,
+    "kmz": kml.read_placemarks,
+    "geojson": geojson.read_features,
+    "json": geojson.read_records,
+    "csv": tabular.read_csv,
+    "xlsx": xlsx.read_cells,
+    "dbf": shapefile.read_attributes,
+    "shp": shapefile.read_attributes,
+}
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    extension = path.rsplit(".", 1)[-1].lower()
+    if extension not in READERS:
+        raise FormatNotSupported(extension)
+    return READERS[extension](spark, path)

@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Streaming extensions: de-duplication and windowed counts of events, imports as files land."""
