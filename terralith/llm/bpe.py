@@ -1,12 +1,12 @@
 """BPE encoding and decoding through a table of distinct words.
 
 1. Tasks split whole texts into words; the distinct words and their counts become one table, and each distinct word
-   is encoded once.  A join of its ids with the id-to-piece table, in order, gives the word's decoded form.
+   is encoded once.
 2. Tasks turn texts into blocks: word codes in order of position.  The HOT most frequent words (a fixed number, so the
    table that every task loads is bounded) have codes of their own; every other word of a block gets a code within
    the block, and a row (block, code, word).
-3. Those rows meet the word table by word; their ids and pieces return to the block, which writes ids and decoded text
-   by position.
+3. Those rows meet the word table by word; their ids return to the block.  The ids of the block's distinct words meet
+   the id-to-piece table, and the block's ids and decoded texts are put together by position.
 
 Rows shuffled are distinct words of a block, never single positions.
 """
@@ -14,8 +14,9 @@ Rows shuffled are distinct words of a block, never single positions.
 from __future__ import annotations
 
 import functools
-import hashlib
 import itertools
+import pickle
+import re
 import unicodedata
 import uuid
 from collections import Counter
@@ -23,17 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import frame, materialize, table, text_or_empty
+from terralith.llm.common import frame, materialize, scratch_dir, table, text_or_empty
 from terralith.llm.vocab import default_path, word_model, word_tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: This many of the most frequent words are known to every task.
-HOT = 1 << 17
+HOT = 1 << 18
 #: A block holds texts of about this many characters, or one longer text.
 BLOCK_CHARS = 1 << 22
+#: A task counts up to about this many distinct chunks between white space before it sends their words.
+COUNTED = 1 << 20
 #: Longer words stay out of the hot table, so that its size is bounded in bytes too.
 HOT_CHARS = 64
 
@@ -52,8 +56,6 @@ def _patterns():
 @functools.lru_cache(maxsize=2)
 def _special(path: str):
     """Pattern of the special tokens' strings, and their ids."""
-    import re
-
     found = {str(t.content): i for i, t in word_tokenizer(path).get_added_tokens_decoder().items()}
     return (re.compile("(" + "|".join(map(re.escape, sorted(found, key=len, reverse=True))) + ")") if found else None), found
 
@@ -78,6 +80,24 @@ def split_words(text: str, path: str) -> list[str]:
     return out
 
 
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
+
+
+def split_chunks(text: str, path: str) -> list[str]:
+    """The text's chunks between white space, in order; no word spans two.  Texts with special tokens, or with control
+    characters that only Python takes for white space, come as single words."""
+    pattern, _ = _special(path)
+    if ("<" in text and pattern is not None and pattern.search(text)) or _ODD_SPACE.search(text):
+        return split_words(text, path)
+    return _lowered(text).split()
+
+
+def words_of(chunk: str, path: str) -> list[str]:
+    if chunk[0] == "\0" and chunk[1:] in _special(path)[1]:
+        return [chunk]
+    return _patterns().findall(chunk)
+
+
 def _texts_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, size = [], 0
     for batch in batches:
@@ -100,15 +120,28 @@ def distinct_words(texts: DataFrame, path: str) -> DataFrame:
     """(word, n): every distinct word of column `_text` with its number of occurrences."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunks: Counter = Counter()
+
+        def counted() -> pd.DataFrame:
+            n: dict[str, int] = {}
+            for chunk, k in chunks.items():
+                for w in words_of(chunk, path):
+                    n[w] = n.get(w, 0) + k
+            return frame(word=list(n.keys()), n=list(n.values()))
+
         for block in _texts_in_blocks(batches):
-            n = Counter(itertools.chain.from_iterable(split_words(t, path) for t in block["_text"]))
-            yield frame(word=list(n.keys()), n=list(n.values()))
+            chunks.update(itertools.chain.from_iterable(split_chunks(t, path) for t in block["_text"]))
+            if len(chunks) >= COUNTED:
+                yield counted()
+                chunks.clear()
+        if chunks:
+            yield counted()
 
     return texts.select("_text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """words (word, n) with ids, array<int>: each distinct word encoded once."""
+    """words (word, n) with ids, binary (little-endian unsigned 32-bit): each distinct word encoded once."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, special = word_model(path), _special(path)[1]
@@ -118,37 +151,63 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
             for i, w in enumerate(words):
                 if w.startswith("\0") and w[1:] in special:
                     ids[i] = [special[w[1:]]]
-            yield frame(word=words, n=batch["n"], ids=ids)
+            yield frame(word=words, n=batch["n"], ids=[np.asarray(x, "<u4").tobytes() for x in ids])
 
-    return words.mapInPandas(encode, "word string, n long, ids array<int>")
+    return words.mapInPandas(encode, "word string, n long, ids binary")
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece): the vocabulary, special tokens too."""
+@functools.lru_cache(maxsize=2)
+def piece_table(path: str) -> np.ndarray:
+    """The piece of each id, special tokens too."""
     vocabulary = word_tokenizer(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pd.DataFrame({"id": list(vocabulary.values()), "piece": list(vocabulary.keys())}), "id int, piece string")
+    pieces = np.full(max(vocabulary.values()) + 1, "", object)
+    pieces[list(vocabulary.values())] = list(vocabulary.keys())
+    return pieces
 
 
-def decode_ids(coded: DataFrame, pieces: DataFrame, key: str = "word", ids: str = "ids") -> DataFrame:
-    """(key, decoded): the pieces of each row's ids in order, a space between; ids without a piece are left out.
-    The vocabulary, fixed in size, is the broadcast side."""
-    flat = coded.select(key, F.posexplode(ids).alias("_pos", "id"))
-    joined = flat.join(F.broadcast(pieces), "id")
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "piece")))
-    return joined.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), " ").alias("decoded"))
+def decode(ids: list[bytes], path: str) -> list[str]:
+    """The pieces of each row's ids in order, a space between: all ids of the rows meet the id-to-piece table at
+    once."""
+    lengths = [len(x) // 4 for x in ids]
+    pieces = piece_table(path)[np.frombuffer(b"".join(ids), "<u4")].tolist()
+    ends = itertools.accumulate(lengths)
+    return [" ".join(pieces[e - n : e]) for e, n in zip(ends, lengths)]
 
 
 def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(word, n, ids, decoded) of all distinct words of docs.text."""
+    """(word, n, ids) of all distinct words of docs.text."""
     path = path or default_path(VOCABULARY)
-    coded = materialize(encode_words(distinct_words(docs.select(text_or_empty().alias("_text")), path), path))
-    decoded = decode_ids(coded, piece_table(docs.sparkSession, path)).withColumnRenamed("word", "_word")
-    return materialize(coded.join(decoded, F.col("word") == F.col("_word"), "left").select("word", "n", "ids", F.coalesce("decoded", F.lit("")).alias("decoded")))
+    return materialize(encode_words(distinct_words(docs.select(text_or_empty().alias("_text")), path), path))
+
+
+def _hot_table(words: DataFrame, hot: int, path: str) -> tuple[dict[str, int], list[bytes], list[str]]:
+    """The most frequent short words, `hot` at most: those from the least count on for which they are no more.
+    Counts are told apart to a sixteenth of a power of two, so that few rows say where that count lies."""
+    level = F.floor(F.log2(F.col("n")) * 16)
+    short = words.filter(F.char_length("word") <= HOT_CHARS).withColumn("_level", level)
+    total, least = 0, None
+    for at, n in sorted(short.groupBy("_level").count().collect(), reverse=True):
+        total += n
+        if total > hot:
+            break
+        least = at
+    if least is None:
+        return {}, [], []
+    rows = short.filter(F.col("_level") >= least).select("word", "n", "ids").toPandas().sort_values(["n", "word"], ascending=[False, True])
+    ids = [bytes(x) for x in rows["ids"]]
+    return {w: i for i, w in enumerate(rows["word"])}, ids, decode(ids, path)
+
+
+def _squeeze(codes: list[int], ends: list[int], rows: pd.DataFrame) -> bytes:
+    # the bytes of equal weight of all codes stand together
+    planes = np.asarray(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.compress(pickle.dumps((planes, ends, rows), 5), 3)
 
 
-def _hot_table(words: DataFrame, hot: int) -> tuple[dict[str, int], list[bytes], list[str]]:
-    rows = words.filter(F.char_length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(hot).select("word", "ids", "decoded").toPandas()
-    return {w: i for i, w in enumerate(rows["word"])}, [np.asarray(x, "<u4").tobytes() for x in rows["ids"]], rows["decoded"].tolist()
+def _unsqueeze(data: bytes) -> tuple[list[int], list[int], pd.DataFrame]:
+    planes, ends, rows = pickle.loads(zstandard.decompress(data))
+    codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return codes.tolist(), ends, rows
 
 
 def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: DataFrame | None = None, path: str | None = None, hot: int = HOT) -> DataFrame:
@@ -160,44 +219,59 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words
     """
     path = path or default_path(VOCABULARY)
     words = word_table(docs, path) if words is None else words
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(_hot_table(words, hot))
+    known = docs.sparkSession.sparkContext.broadcast(_hot_table(words, hot, path))
     kept = docs.select(*keep, text_or_empty().alias("_text"))
+    folder = scratch_dir(docs.sparkSession)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pickle
-        import zlib
+        from pyarrow import fs
+        from pyspark import TaskContext
 
-        hot_codes = known.value[0]
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        hot_codes, name, out, at, number = known.value[0], uuid.uuid4().hex, None, 0, TaskContext.get().partitionId() << 32
+        first = len(hot_codes)
         for block in _texts_in_blocks(batches):
-            name, own, codes, ends = uuid.uuid4().hex, {}, [], []
-            first = len(hot_codes)
+            own: dict[str, int] = {}
+            seen: dict[str, list[int]] = {}
+            codes: list[int] = []
+            ends: list[int] = []
             for text in block["_text"]:
-                for w in split_words(text, path):
-                    c = hot_codes.get(w)
-                    codes.append(own.setdefault(w, first + len(own)) if c is None else c)
+                for chunk in split_chunks(text, path):
+                    known_codes = seen.get(chunk)
+                    if known_codes is None:
+                        known_codes = seen[chunk] = [c if (c := hot_codes.get(w)) is not None else own.setdefault(w, first + len(own)) for w in words_of(chunk, path)]
+                    codes += known_codes
                 ends.append(len(codes))
-            packed = zlib.compress(pickle.dumps((np.asarray(codes, np.uint32), ends, block.drop(columns="_text").astype(object).reset_index(drop=True)), 5), 1)
-            yield frame(block=[name], code=[-1], word=[None], payload=[packed])
+            data = _squeeze(codes, ends, block.drop(columns="_text").astype(object).reset_index(drop=True))
+            out = out or store.open_output_stream(f"{root}/{name}", compression=None)
+            out.write(data)
+            yield frame(block=[number], code=[-1], word=[name], start=[at], length=[len(data)])
+            at += len(data)
             if own:
-                yield frame(block=name, code=list(own.values()), word=list(own.keys()), payload=None)
+                yield frame(block=number, code=list(own.values()), word=list(own.keys()), start=0, length=0)
+            number += 1
+        if out is not None:
+            out.close()
 
-    packed = materialize(kept.mapInPandas(pack, "block string, code int, word string, payload binary"))
+    # blocks lie in files of the shared folder, one a task; only their places and their rarer words are rows
+    packed = materialize(kept.mapInPandas(pack, "block long, code int, word string, start long, length long"))
     asked = packed.filter("code >= 0").select("block", "code", "word")
-    rare = asked.join(words.select(F.col("word").alias("_word"), "ids", "decoded"), F.col("word") == F.col("_word")).select("block", "code", "ids", "decoded")
-    blocks = packed.filter("code < 0").select(F.col("block").alias("_name"), "payload")
+    rare = asked.join(words.select(F.col("word").alias("_word"), "ids"), F.col("word") == F.col("_word")).select("block", "code", "ids")
+    blocks = packed.filter("code < 0").select(F.col("block").alias("_name"), F.col("word").alias("file"), "start", "length")
 
     def unpack(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-        import zlib
+        from pyarrow import fs
 
+        store, root = fs.FileSystem.from_uri(folder)
         _, hot_ids, hot_decoded = known.value
         first = len(hot_ids)
-        found = dict(zip(answers["code"].tolist(), zip(answers["ids"], answers["decoded"])))
-        ids = hot_ids + [np.asarray(found[first + k][0], "<u4").tobytes() for k in range(len(found))]
-        text = hot_decoded + [found[first + k][1] for k in range(len(found))]
-        codes, ends, rows = pickle.loads(zlib.decompress(block["payload"].iloc[0]))
-        codes = codes.tolist()
+        own = dict(zip(answers["code"].tolist(), answers["ids"]))
+        own_ids = [own[first + k] for k in range(len(own))]
+        ids, text = hot_ids + own_ids, hot_decoded + decode(own_ids, path)
+        place = block.iloc[0]
+        with store.open_input_file(f"{root}/{place['file']}") as f:
+            codes, ends, rows = _unsqueeze(f.read_at(int(place["length"]), int(place["start"])))
         data, decoded, begin = [], [], 0
         for end in ends:
             mine = codes[begin:end]
