@@ -172,3 +172,15 @@ def locality_indexes(localities_: DataFrame) -> DataFrame:
     rows = localities_.select(*(F.coalesce(c, F.lit("")).alias(c) for c in levels), "nom")
     depth = reduce(lambda a, b: a + b, ((1 - F.grouping(c)).cast("int") for c in levels))
     return rows.rollup(*levels).agg(F.array_sort(F.collect_list("nom")).alias("members"), F.count("*").alias("n"), depth.alias("depth")).filter("depth > 0")
+
+
+def coverage_audit(territories_: DataFrame, collectivities_: DataFrame, groupings_: DataFrame) -> DataFrame:
+    """One row a province: territories and collectivities, how many of them have a grouping, percent and band."""
+    with_t = groupings_.select(F.col("territoire").alias("_t"), F.col("province").alias("_tp")).dropna().distinct()
+    with_c = groupings_.select(F.col("collectivite").alias("_c"), F.col("territoire").alias("_ct")).dropna().distinct()
+    t_rows = territories_.join(with_t, (F.col("nom") == F.col("_t")) & (F.col("province") == F.col("_tp")), "left").groupBy("province").agg(F.count("*").alias("territoires"), F.count("_t").alias("territoires_couverts"))
+    c_rows = collectivities_.join(with_c, (F.col("nom") == F.col("_c")) & (F.col("territoire") == F.col("_ct")), "left").groupBy(F.col("province").alias("_p")).agg(F.count("*").alias("collectivites"), F.count("_c").alias("couvertes"))
+    joined = t_rows.join(c_rows, F.col("province") == F.col("_p"), "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = joined.select(F.coalesce("province", "_p").alias("province"), *(zero(F.col(c)).alias(c) for c in ("territoires", "territoires_couverts", "collectivites", "couvertes")))
+    return out.withColumn("pourcentage", q.percent(F.col("couvertes"), F.col("collectivites"))).withColumn("bande", q.coverage_band(F.col("couvertes"), F.col("collectivites")))

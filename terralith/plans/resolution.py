@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.functions.text import alnum_key, staging_key
+from terralith.functions.text import alnum_key, staging_key, xml_escape
 from terralith.operators import classify as c
 from terralith.operators import geometry as g
 from terralith.operators.hierarchy import resolve_staging_parents
@@ -13,16 +13,17 @@ from terralith.operators.match import candidate_pairs, merge_proposals
 from terralith.operators.resolve import Rule, ordered_fallback_join
 from terralith.operators.windows import keep_last
 from terralith.plans.tables import read
+from terralith.sources import kml
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str | None):
+def query(sql: str | None, name: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return register
@@ -32,7 +33,7 @@ def query(sql: str | None):
 s AS (SELECT s_suppkey AS ord, CAST(s_suppkey AS VARCHAR) AS k, 'Brand#' || CAST(s_suppkey % 4 + 1 AS VARCHAR) AS b, s_name AS parent_name FROM supplier),
 a AS (SELECT k, arg_max(parent_name, ord) AS parent_name FROM s GROUP BY k), b AS (SELECT b, arg_min(parent_name, ord) AS parent_name FROM s GROUP BY b)
 SELECT p_partkey, coalesce(a.parent_name, b.parent_name) AS parent_name, CASE WHEN a.k IS NOT NULL THEN 'code' WHEN b.b IS NOT NULL THEN 'marque' ELSE 'non rattaché' END AS resolution,
-  CASE WHEN a.k IS NOT NULL THEN 'fournisseur' WHEN b.b IS NOT NULL THEN 'famille' END AS parent_level FROM p LEFT JOIN a ON p.k = a.k LEFT JOIN b ON p.b = b.b""")
+  CASE WHEN a.k IS NOT NULL THEN 'fournisseur' WHEN b.b IS NOT NULL THEN 'famille' END AS parent_level FROM p LEFT JOIN a ON p.k = a.k LEFT JOIN b ON p.b = b.b""", "ordered_fallback_join")
 def ordered_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Parts find a supplier by code, else by the family of their brand."""
     suppliers = read(spark, d, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("string").alias("k"), F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 4 + 1).cast("string")).alias("b"), F.col("s_name").alias("parent_name"))
@@ -178,3 +179,17 @@ def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "customer")
     lon, lat = (F.col("c_custkey") % 360 - 180).cast("double"), (F.col("c_nationkey") * 3 - 40).cast("double")
     return rows.select("c_custkey", g.point_feature(lon, lat, nom=F.col("c_name"), activite=F.col("c_mktsegment")).alias("feature"))
+
+
+@query("""SELECT r_name AS folder, n_name AS name, CAST(n_nationkey AS VARCHAR) AS code, 'Point' AS geometry_type, '[' || CAST(n_nationkey AS VARCHAR) || '.0, 1.5]' AS coordinates,
+  CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS BIGINT) AS ord FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def kmz_placemarks(spark: SparkSession, d: str) -> DataFrame:
+    """One KML document a region, written from its nations and read back as placemarks."""
+    nations = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    mark = F.format_string('<Placemark><name>%s</name><ExtendedData><Data name="CODE"><value>%d</value></Data></ExtendedData><Point><coordinates>%d,1.5</coordinates></Point></Placemark>', xml_escape("n_name"), "n_nationkey", "n_nationkey")
+    marks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_name", mark.alias("mark")))), lambda x: x["mark"]), "")
+    documents = nations.groupBy("r_name").agg(marks.alias("_marks"))
+    head = '<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Folder><name>%s</name>%s</Folder></Document></kml>'
+    files = documents.select(F.concat("r_name", F.lit(".kml")).alias("path"), F.encode(F.format_string(head, xml_escape("r_name"), "_marks"), "UTF-8").alias("content"))
+    rows = files.mapInPandas(kml.placemarks, kml.SCHEMA)
+    return rows.select(kml.innermost_folder(F.col("path")).alias("folder"), "name", kml.extended_map(F.col("ext"))["CODE"].alias("code"), "geometry_type", "coordinates", "ord")

@@ -120,3 +120,63 @@ def test_published_scores(spark):
 
     one = spark.createDataFrame([(26710, 924, 924, 0, 0, 43, 665)], "entities long, orphan long, unattachable long, geometry long, coordinates long, type long, duplicates long")
     assert one.select(penalty_score(F.col("entities"), list(GLOBAL_WEIGHTS["localite"].items()))).first()[0] == 98.18
+
+
+def test_coverage_audit(spark):
+    t_ = spark.createDataFrame([("T1", "P1"), ("T2", "P1"), ("T3", "P2")], "nom string, province string")
+    c_ = spark.createDataFrame([("C1", "T1", "P1"), ("C2", "T2", "P1"), ("C3", "T3", "P2")], "nom string, territoire string, province string")
+    g_ = spark.createDataFrame([("C1", "T1", "P1"), ("C1", "T1", "P1"), (None, None, None)], "collectivite string, territoire string, province string")
+    got = {x["province"]: (x["territoires"], x["territoires_couverts"], x["collectivites"], x["couvertes"], x["pourcentage"], x["bande"]) for x in r.coverage_audit(t_, c_, g_).collect()}
+    assert got == {"P1": (2, 1, 2, 1, 50.0, "faible"), "P2": (1, 0, 1, 0, 0.0, "absente")}
+
+
+STAGING = "ord long, id string, raw_name string, raw_code string, type_hint string, parent_code string, zone_code string, province_name string, territory_name string, geometry_type string, geometry string"
+
+
+def test_staging(spark):
+    from terralith.operators import staging as s
+
+    rows = [
+        (1, "zone-nd", "Zone ND", None, None, None, "ND", None, None, None, None),
+        (2, "prov-kin", "Kinshasa", "P01", "PROVINCE", None, None, "KINSHASA", None, "Polygon", '{"coordinates": [1]}'),
+        (3, "ville-kin", "Ville de Kinshasa", "V01", "VILLE", None, None, "KINSHASA", None, None, "{}"),
+        (4, "com-gom", "Commune urbaine de Gombe", "C01", "COMMUNE URBAINE", "v01", None, "KINSHASA", None, None, None),
+        (5, "grp-1", "Groupement Lemba", "G100", "GROUPEMENT", None, None, None, None, None, None),
+        (6, "grp-2", "Groupement-Lemba", "G100", "GROUPEMENT", None, None, None, None, None, None),
+    ]
+    p = s.prepare(spark.createDataFrame(rows, STAGING)).cache()
+    got = {x["id"]: (x["entity_type"], x["parent_id"]) for x in p.collect()}
+    assert got["prov-kin"][0] == "province" and got["ville-kin"] == ("ville", "prov-kin") and got["com-gom"] == ("commune_urbaine", "ville-kin") and got["zone-nd"][0] == "zone"
+    pairs = s.matches(p).collect()
+    assert [(x["left_id"], x["right_id"], x["confidence"]) for x in pairs] == [("grp-1", "grp-2", 0.95)]
+    found = {(x["id"], x["issue"]) for x in s.issues(p).collect()}
+    assert {("zone-nd", "MISSING_CODE"), ("grp-1", "DUPLICATE_CODE"), ("grp-2", "DUPLICATE_NAME"), ("grp-1", "ORPHAN_ENTITY"), ("ville-kin", "INVALID_GEOMETRY")} <= found and not any(i == "com-gom" for i, _ in found)
+    assert {x["level"]: x["actual"] for x in s.count_gaps(p, {"province": 1, "ville": 2}).collect()} == {"ville": 1}
+    one = s.statistics(p).first()
+    assert one["entities"] == 6 and 0 < one["completeness_rate"] < 1 and one["errors"] == len(found)
+    levels = spark.createDataFrame([("adm1",), (" Village",), ("x",), (None,)], "l string").select(s.level_of(F.col("l")), s.level_order(F.col("l"))).collect()
+    assert [tuple(x) for x in levels] == [("province", 1), ("village", 5), ("unknown", 99), ("unknown", 99)]
+
+
+def test_explorer(spark):
+    from terralith.operators import explorer
+
+    rows = [(1, "Sites Télécom", "Point", {"province": "A", "site_name": "x", "kpi_score": "3"}), (2, "Sites Télécom", "Point", {"province": "", "site_name": "y", "kpi_score": "4"}), (3, "Vide", None, {})]
+    f = spark.createDataFrame(rows, "ord long, folder string, geometry_type string, properties map<string,string>")
+    got = {x["folder"]: x for x in explorer.folders(f).collect()}
+    sites = got["Sites Télécom"]
+    assert sites["object_count"] == 2 and sites["category"] == "Télécommunications" and "KPI" in sites["tags"] and sites["module"] == "Cartographie" and sites["quality"] == 85.0
+    assert got["Vide"]["quality"] == 40.0
+    d = {x["field"]: (x["value_count"], x["null_count"], x["example"], x["kind"]) for x in explorer.dictionary(f).collect()}
+    assert d == {"province": (1, 1, "A", "str"), "site_name": (2, 0, "x", "str"), "kpi_score": (2, 0, "3", "int")}
+
+
+def test_knowledge(spark):
+    from terralith.operators import knowledge
+
+    values = spark.createDataFrame([("Uvira", "Territoire", "population", "300 000 habitants"), ("Uvira", "Territoire", "defis", "Enclavement"), ("Goma", "Ville", "photos", " ")], "entity string, entity_type string, section string, value string")
+    full = knowledge.profiles(values)
+    assert full.count() == 2 * len(knowledge.SECTIONS) and full.filter("completeness = 100").count() == 2
+    got = knowledge.search(values, "enclav").collect()
+    assert [(x["entity"], x["matched_fields"], x["excerpt"], x["completeness"]) for x in got] == [("Uvira", ["Défis"], "300 000 habitants", 8)]
+    assert knowledge.search(values, "goma").first()["matched_fields"] == ["Présentation"] and knowledge.search(values, " ").count() == 0
