@@ -28,8 +28,9 @@ def prepare(staging: DataFrame) -> DataFrame:
 def issues(prepared: DataFrame) -> DataFrame:
     """(id, issue): EMPTY_NAME, MISSING_CODE, DUPLICATE_CODE, DUPLICATE_NAME (within a type), INVALID_GEOMETRY,
     MISSING_PARENT, ORPHAN_ENTITY, INVALID_HIERARCHY."""
-    same_code = F.count("*").over(Window.partitionBy("code"))
-    same_name = F.count("*").over(Window.partitionBy("entity_type", "name_key"))
+    # rows without code or name are groups of their own, so that they don't meet in one task
+    same_code = F.count("*").over(Window.partitionBy(F.coalesce("code", F.concat(F.lit("\0"), "id"))))
+    same_name = F.count("*").over(Window.partitionBy("entity_type", F.when(F.col("name_key") == "", F.concat(F.lit("\0"), "id")).otherwise(F.col("name_key"))))
     rows = prepared.withColumn("_codes", same_code).withColumn("_names", same_name)
     parents = prepared.select(F.col("id").alias("_pid"), F.col("entity_type").alias("_ptype")).dropDuplicates(["_pid"])
     rows = rows.join(parents, F.col("parent_id") == F.col("_pid"), "left")

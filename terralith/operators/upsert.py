@@ -15,7 +15,9 @@ def planned_actions(staged: DataFrame, existing: DataFrame, key: str, compared:
     unknown, in this order.  Nothing is written.
     """
     rows = staged.withColumn("_key", blank_to_null(F.col(key).cast("string")))
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_key").orderBy(order)))
+    # rows without a key are rejected anyway: each is a group of its own, so that they don't meet in one task
+    group = F.coalesce("_key", F.concat(F.lit("\0"), F.col(order).cast("string")))
+    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
     reason = F.when(F.col("_key").isNull(), F.lit(f"{key} manquant"))
     for c in required:
         reason = reason.when(blank_to_null(F.col(c).cast("string")).isNull(), F.lit(f"{c} manquant"))

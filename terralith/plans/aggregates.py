@@ -153,9 +153,11 @@ def mismatch_top_pairs(spark: SparkSession, d: str) -> DataFrame:
     suppliers = read(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("_s"))
     lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     joined = lines.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).filter(F.col("_c") != F.col("_s"))
+    counts = joined.groupBy("_c", "_s").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_ord"))
+    # messages are parsed once a pair, after counting
     message = F.format_string("NATION source='%s' parent='%s'", "_c", "_s")
-    pairs = joined.select("l_orderkey", F.regexp_extract(message, "source='([^']*)'", 1).alias("source"), F.regexp_extract(message, "parent='([^']*)'", 1).alias("parent"))
-    return pairs.groupBy("source", "parent").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_ord")).orderBy(F.desc("n"), "first_ord", "source", "parent").limit(25)
+    pairs = counts.select(F.regexp_extract(message, "source='([^']*)'", 1).alias("source"), F.regexp_extract(message, "parent='([^']*)'", 1).alias("parent"), "n", "first_ord")
+    return pairs.orderBy(F.desc("n"), "first_ord", "source", "parent").limit(25)
 
 
 @query("""WITH e AS (SELECT n_name AS name FROM nation UNION SELECT 'ATLANTIS'), f AS (SELECT DISTINCT n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
