@@ -166,3 +166,21 @@ def label_rendering(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     label = t.path_label(F.concat(F.lit("Zone "), "r_name"), F.col("n_name"), F.lit(""), F.col("c_name"))
     return rows.select("c_custkey", label.alias("label"), F.concat(F.lit("<n>"), t.xml_escape("c_name"), F.lit("</n>")).alias("xml"), t.slug("c_name").alias("slug"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
+def event_window_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming window counts over the events as a batch."""
+    from terralith.streaming.events import window_counts
+
+    return window_counts(read(spark, d, "events")).withColumn("total", F.round("total", 2))
+
+
+@query("""SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_acctbal, CASE WHEN s >= 85 THEN 'excellent' WHEN s >= 70 THEN 'bon' WHEN s >= 50 THEN 'moyen' ELSE 'faible' END AS badge, CASE WHEN contains(c_mktsegment, 'BUILD') THEN 'validé' ELSE 'inconnu' END AS state
+FROM (SELECT *, least(100, greatest(0, c_acctbal / 100)) AS s FROM customer)""")
+def badges_and_states(spark: SparkSession, d: str) -> DataFrame:
+    from terralith.operators.decision import score_badge
+
+    score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("c_acctbal") / 100))
+    word = F.when(F.col("c_mktsegment").contains("BUILD"), "VALIDÉ").otherwise("x")
+    return read(spark, d, "customer").select("c_custkey", "c_acctbal", score_badge(score).alias("badge"), t.status_label(word).alias("state"))
