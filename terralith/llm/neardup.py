@@ -6,9 +6,10 @@
 2. Each text's weighted set (term count times idf) gives SAMPLES consistent weighted samples; each ROWS of them are a
    band.  Equal texts are one text from here on.
 3. Texts that share a band are candidates.  In each bucket, first every text meets the bucket's centre, the text with
-   the most company in all of its buckets.  Then buckets that still hold several classes are gone through in blocks:
-   every text meets the most similar sample vector of another class, and last all that remain between classes.  No
-   pair within a class is ever made, so a group of copies costs about its size.
+   the most company in all of its buckets.  Then buckets that still hold several classes are gone through in blocks,
+   where every text meets those of other classes, the most similar samples first, until they are one class.  No pair
+   within a class is made, and pairs between classes never leave their block, so a group of copies costs about its
+   size in rows.
 4. A candidate pair is linked if the weighted Jaccard similarity of the whole texts, or the same with equal weights,
    is at least 0.8.  Classes are the connected components of links.
 """
@@ -31,10 +32,10 @@ SAMPLES, ROWS = 42, 3
 RARE = 512
 #: Pairs of which fewer samples agree are not verified (at similarity 0.8, 33.6 of 42 agree on average, deviation 2.6).
 AGREE = 22
-#: Members of a bucket are compared in blocks of about this many.
-BLOCK = 1024
+#: Members of a bucket are compared in blocks of about this many, one of them with so many others at once.
+BLOCK, AT_ONCE = 512, 64
 #: A task looks for frequent shingles in blocks of about this many shingles.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 _LAST = (1 << 63) - 1
 
 
@@ -48,7 +49,7 @@ def _distinct(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
     for batch in batches:
         texts = batch["_text"].tolist()
-        for part in chunks_of(texts):
+        for part in chunks_of(texts, 1 << 19):
             yield [np.unique(s) for s in shingle_hashes(texts[part])]
 
 
@@ -166,7 +167,7 @@ def signed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFram
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["_text"].tolist()
-            for part in chunks_of(texts):
+            for part in chunks_of(texts, 1 << 19):
                 sets = _distinct(texts[part])
                 full = [i for i, (h, _) in enumerate(sets) if len(h)]
                 bands: list = [[] for _ in sets]
@@ -203,33 +204,90 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def cross_pairs(members: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of different classes within buckets, from members (bucket, tid, class, samples), of whose samples
-    at least AGREE agree: for each text the most similar one of another class, or all.  Buckets of one class are left
-    out; large ones are compared block by block."""
+def _similar(h: np.ndarray, w: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The greater of weighted and plain Jaccard similarity of a set (sorted hashes, weights) with each other set."""
+    sizes = np.array([len(g) for g, _ in others])
+    starts = np.cumsum(sizes) - sizes
+    g, v = np.concatenate([x for x, _ in others]), np.concatenate([x for _, x in others]).astype(np.float64)
+    at = np.minimum(np.searchsorted(h, g), len(h) - 1)
+    common = h[at] == g
+    least = np.add.reduceat(np.where(common, np.minimum(w[at].astype(np.float64), v), 0.0), starts)
+    both = np.add.reduceat(common.astype(np.int64), starts)
+    total = w.astype(np.float64).sum() + np.add.reduceat(v, starts)
+    return np.maximum(least / (total - least), both / (len(h) + sizes - both))
+
+
+class _Classes:
+    """Union-find over the class numbers of one cell."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.above[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _cell_links(band: int, same: bool, members: list, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links between classes among a cell's members (left, tid, class, samples, text): for each left one the right ones
+    of other classes, the most similar samples first, until the classes are one.  A pair is looked at in the first
+    band that it shares only; in a cell of one block, once."""
+    sets = [(h, weights(h, n, frequent)) for h, n in _distinct([m["_text"] for m in members])]
+    samples = np.frombuffer(b"".join(bytes(m["samples"]) for m in members), np.uint16).reshape(len(members), SAMPLES)
+    left = [i for i, m in enumerate(members) if m["left"]]
+    right = np.array([i for i, m in enumerate(members) if same or not m["left"]], np.int64)
+    classes, links = _Classes(), []
+    for i in left:
+        equal = samples[right] == samples[i]
+        bands = equal.reshape(len(right), -1, ROWS).all(axis=2)
+        agree = equal.sum(axis=1)
+        ok = (agree >= AGREE) & bands.any(axis=1) & (bands.argmax(axis=1) == band)
+        if same:
+            ok &= right > i
+        asked = right[ok][np.argsort(-agree[ok], kind="stable")].tolist()
+        while asked:
+            mine = classes.find(members[i]["class"])
+            asked = [j for j in asked if classes.find(members[j]["class"]) != mine]
+            part, asked = asked[:AT_ONCE], asked[AT_ONCE:]
+            if part:
+                for j, s in zip(part, _similar(*sets[i], [sets[j] for j in part])):
+                    if s >= threshold and classes.join(members[i]["class"], members[j]["class"]):
+                        links.append((members[i]["tid"], members[j]["tid"]))
+    return links
+
+
+def cross_links(members: DataFrame, texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """Links (a, b) that join different classes, from members (bucket, band, tid, class, samples) and texts (tid,
+    _text).
+
+    Buckets of one class are left out.  A bucket is dealt into blocks of about BLOCK members, and every two of its
+    blocks are a cell, so no task holds more than two blocks.  All pairs of different classes of which AGREE samples
+    agree are held against each other within their cell; what leaves it are the links that join classes, fewer than
+    the cell has members.
+    """
     mixed = members.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("class").alias("_low"), F.max("class").alias("_high")).filter("_low != _high")
     mixed = materialize(mixed.select(F.col("bucket").alias("_bucket"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))
     rows = members.join(mixed, F.col("bucket") == F.col("_bucket")).withColumn("_own", F.pmod(F.xxhash64("tid"), F.col("_blocks")).cast("int"))
+    rows = rows.join(texts.select(F.col("tid").alias("_t"), "_text"), F.col("tid") == F.col("_t"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("bucket", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "tid", "class", "samples")
-
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        left = cell[cell["_own"] == cell["_i"].iloc[0]]
-        right = cell[cell["_own"] == cell["_j"].iloc[0]]
-        x, y = (np.frombuffer(b"".join(p["samples"]), np.uint16).reshape(len(p), SAMPLES) for p in (left, right))
-        lt, rt, lc, rc = left["tid"].to_numpy(), right["tid"].to_numpy(), left["class"].to_numpy(), right["class"].to_numpy()
-        a, b = [], []
-        for i in range(len(left)):
-            agree = (y == x[i]).sum(axis=1)
-            ok = np.flatnonzero((agree >= AGREE) & (rc != lc[i]))
-            if best_only and len(ok):
-                ok = ok[[int(np.lexsort((rt[ok], -agree[ok]))[0])]]
-            a.append(np.full(len(ok), lt[i]))
-            b.append(rt[ok])
-        a, b = (np.concatenate(z).astype(np.int64) if z else np.zeros(0, np.int64) for z in (a, b))
-        return frame(a=np.minimum(a, b), b=np.maximum(a, b))
-
-    return rows.groupBy("bucket", "_i", "_j").applyInPandas(compare, "a long, b long").distinct()
+    rows = rows.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
+    member = F.struct((F.col("_own") == F.col("_i")).alias("left"), "tid", "class", "samples", "_text")
+    cells = rows.groupBy("bucket", "band", "_i", "_j").agg(F.collect_list(member).alias("members"))
+    shared = members.sparkSession.sparkContext.broadcast(frequent)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for band, i, j, found in zip(batch["band"], batch["_i"], batch["_j"], batch["members"]):
+                links = _cell_links(int(band), i == j, sorted(found, key=lambda m: m["tid"]), shared.value, threshold)
+                yield frame(a=[x for x, _ in links], b=[y for _, y in links])
+
+    return cells.select("band", "_i", "_j", "members").mapInPandas(compare, "a long, b long")
 
 
 # --- verification -----------------------------------------------------------------------------------
@@ -276,34 +334,27 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = materialize(signed(full, frequent))
     first = rows.groupBy("text_key").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("least_id"), F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.count("*").alias("n"))
     texts = materialize(first.withColumn("tid", F.monotonically_increasing_id()))
-    members = materialize(texts.select("tid", F.explode("bands").alias("bucket")))
+    members = materialize(texts.select("tid", F.posexplode("bands").alias("band", "bucket")))
 
     sizes = members.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("bucket").alias("_bucket"))
-    members = materialize(members.join(sizes, F.col("bucket") == F.col("_bucket")).select("bucket", "tid"))
+    members = materialize(members.join(sizes, F.col("bucket") == F.col("_bucket")).select("bucket", "band", "tid"))
     needed = texts.join(members.select(F.col("tid").alias("_tid")).distinct(), F.col("tid") == F.col("_tid"))
     needed = materialize(needed.select("tid", F.col("text_key").alias("_key"), "least_id"))
-    # a text is fetched from the row with its least id only
+    # a text is fetched from the row with its least id, from one of them if it is repeated
     own = full.select("_text", "text_key", F.coalesce("doc_id", F.lit(_LAST)).alias("_id"))
     fetched = own.join(needed, (F.col("text_key") == F.col("_key")) & (F.col("_id") == F.col("least_id"))).select("tid", "_text")
-    fetched = materialize(fetched)
-
-    labels = None
-    for pairs_of in (lambda m: star_pairs(m.select("bucket", "tid")), lambda m: cross_pairs(m, True), lambda m: cross_pairs(m, False)):
-        held = members
-        if labels is not None:
-            known = texts.select(F.col("tid").alias("_tid"), "samples")
-            held = members.withColumn("class", F.col("tid"))
-            held = relabel(held, labels, "class").join(known, F.col("tid") == F.col("_tid")).select("bucket", "tid", "class", "samples")
-            held = materialize(held)
-        links = materialize(verified(materialize(pairs_of(held)), fetched, frequent, threshold).select("a", "b").distinct())
-        if labels is None:
-            labels = components(links)
-        elif not links.isEmpty():
-            between = relabel(relabel(links, labels, "a"), labels, "b")
-            joined = components(between)
-            # classes that were single texts so far enter the table too
-            single = joined.select("node", "label").join(labels.select(F.col("node").alias("_old")), F.col("node") == F.col("_old"), "left_anti")
-            labels = materialize(relabel(labels, joined, "label").unionByName(single))
+    fetched = materialize(fetched.dropDuplicates(["tid"]))
+
+    pairs = materialize(star_pairs(members.select("bucket", "tid")))
+    labels = components(materialize(verified(pairs, fetched, frequent, threshold).select("a", "b")))
+    known = texts.select(F.col("tid").alias("_tid"), "samples")
+    held = relabel(members.withColumn("class", F.col("tid")), labels, "class").join(known, F.col("tid") == F.col("_tid"))
+    links = materialize(cross_links(materialize(held.drop("_tid")), fetched, frequent, threshold))
+    if not links.isEmpty():
+        joined = components(relabel(relabel(links, labels, "a"), labels, "b"))
+        # classes that were single texts so far enter the table too
+        single = joined.join(labels.select(F.col("node").alias("_old")), F.col("node") == F.col("_old"), "left_anti")
+        labels = materialize(relabel(labels, joined, "label").unionByName(single))
 
     rooted = relabel(texts.select("text_key", "least_id", "n", F.col("tid").alias("root")), labels, "root")
     rooted = materialize(rooted)
