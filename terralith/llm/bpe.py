@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import frame, materialize, scratch_dir, table, text_or_empty
+from terralith.llm.common import frame, least_levels, level_of, materialize, scratch_dir, table, text_or_empty
 from terralith.llm.vocab import default_path, word_model, word_tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
@@ -180,22 +180,24 @@ def word_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     return materialize(encode_words(distinct_words(docs.select(text_or_empty().alias("_text")), path), path))
 
 
-def _hot_table(words: DataFrame, hot: int, path: str) -> tuple[dict[str, int], list[bytes], list[str]]:
-    """The most frequent short words, `hot` at most: those from the least count on for which they are no more.
-    Counts are told apart to a sixteenth of a power of two, so that few rows say where that count lies."""
-    level = F.floor(F.log2(F.col("n")) * 16)
-    short = words.filter(F.char_length("word") <= HOT_CHARS).withColumn("_level", level)
-    total, least = 0, None
-    for at, n in sorted(short.groupBy("_level").count().collect(), reverse=True):
-        total += n
-        if total > hot:
-            break
-        least = at
-    if least is None:
-        return {}, [], []
-    rows = short.filter(F.col("_level") >= least).select("word", "n", "ids").toPandas().sort_values(["n", "word"], ascending=[False, True])
-    ids = [bytes(x) for x in rows["ids"]]
-    return {w: i for i, w in enumerate(rows["word"])}, ids, decode(ids, path)
+def write_hot_words(words: DataFrame, hot: int, folder: str) -> None:
+    """Write the most frequent short words, `hot` at most, below `folder`: those from the least count on for which
+    they are no more."""
+    short = words.filter(F.char_length("word") <= HOT_CHARS)
+    least = least_levels(short, "n", hot).get(None, 0)
+    short.filter(level_of("n") >= least).select("word", "n", "ids").write.parquet(folder)
+
+
+@functools.lru_cache(maxsize=1)
+def _hot_table(folder: str, path: str) -> tuple[dict[str, int], list[bytes], list[str]]:
+    """Code of each hot word, ids and decoded form of each code.  Read by each worker, once: the driver never has it."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    rows = pq.read_table(root, filesystem=store).sort_by([("n", "descending"), ("word", "ascending")])
+    ids = rows.column("ids").to_pylist()
+    return {w: i for i, w in enumerate(rows.column("word").to_pylist())}, ids, decode(ids, path)
 
 
 def _squeeze(codes: list[int], ends: list[int], rows: pd.DataFrame) -> bytes:
@@ -219,9 +221,9 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words
     """
     path = path or default_path(VOCABULARY)
     words = word_table(docs, path) if words is None else words
-    known = docs.sparkSession.sparkContext.broadcast(_hot_table(words, hot, path))
     kept = docs.select(*keep, text_or_empty().alias("_text"))
-    folder = scratch_dir(docs.sparkSession)
+    folder, hot_folder = scratch_dir(docs.sparkSession), scratch_dir(docs.sparkSession)
+    write_hot_words(words, hot, hot_folder)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -229,7 +231,7 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        hot_codes, name, out, at, number = known.value[0], uuid.uuid4().hex, None, 0, TaskContext.get().partitionId() << 32
+        hot_codes, name, out, at, number = _hot_table(hot_folder, path)[0], uuid.uuid4().hex, None, 0, TaskContext.get().partitionId() << 32
         first = len(hot_codes)
         for block in _texts_in_blocks(batches):
             own: dict[str, int] = {}
@@ -264,7 +266,7 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        _, hot_ids, hot_decoded = known.value
+        _, hot_ids, hot_decoded = _hot_table(hot_folder, path)
         first = len(hot_ids)
         own = dict(zip(answers["code"].tolist(), answers["ids"]))
         own_ids = [own[first + k] for k in range(len(own))]

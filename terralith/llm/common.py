@@ -63,6 +63,27 @@ def id_bucket(col: str, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string")), F.lit(modulus)), F.lit(-1))
 
 
+def least_levels(df: DataFrame, count: str, limit: int, by: str | None = None) -> dict:
+    """For each value of `by` (or None) the least `level` (see level_of) of the column `count` from which on there are
+    no more than `limit` rows.  A few hundred levels a value come to the driver, never the rows."""
+    keys = [] if by is None else [by]
+    levels = df.groupBy(*keys, level_of(count).alias("_level")).agg(F.count("*").alias("_n")).collect()
+    out, totals, full = {}, {}, set()
+    for row in sorted(levels, key=lambda r: -r["_level"]):
+        key = row[by] if by else None
+        totals[key] = totals.get(key, 0) + row["_n"]
+        if totals[key] > limit:
+            full.add(key)
+        if key not in full:
+            out[key] = row["_level"]
+    return {k: out.get(k, 1 << 30) for k in totals}
+
+
+def level_of(count: str) -> Column:
+    """The count to a sixteenth of a power of two."""
+    return F.floor(F.log2(F.col(count)) * 16)
+
+
 # --- text as arrays -------------------------------------------------------------------------------
 
 _MULT = 0x9E3779B97F4A7C15 | 1
