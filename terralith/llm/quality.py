@@ -22,7 +22,7 @@ from terralith.llm.common import chunks_of, frame, id_bucket, joined_bytes, mate
 #: Features are hashed into this many places; counts are summed in slabs of SLAB places.
 PLACES, SLAB = 1 << 18, 1 << 12
 #: The hinge-loss model is fitted on about this many labelled documents, chosen by a hash of the id.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Share of the sample that fits the logistic curve instead.
 CALIBRATION = 0.25
 THRESHOLD = 0.3
@@ -93,7 +93,7 @@ def _count_and_sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     counts, docs = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64)
     for batch in batches:
         texts, labels, sampled = batch["text"].tolist(), batch["label"].tolist(), batch["sampled"].tolist()
-        for part in chunks_of(texts):
+        for part in chunks_of(texts, 1 << 18):
             kept = []
             for label, chosen, places in zip(labels[part], sampled[part], feature_places(texts[part])):
                 counts[label][places] += 1
@@ -132,7 +132,7 @@ class Classifier:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts))
-        for part in chunks_of(texts):
+        for part in chunks_of(texts, 1 << 18):
             out[part] = self.margins(feature_places(texts[part]))
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * out + self.shift, -500, 500)))
 
@@ -189,7 +189,7 @@ def fit(counts: np.ndarray, docs: np.ndarray, sample: list[tuple[int, int, np.nd
     rows, y = [], []
     for label, _, places in sample:
         values = ratio[places]
-        rows.append((places, values / np.sqrt(max(float(values @ values), 1e-9))))
+        rows.append((places, (values / np.sqrt(max(float(values @ values), 1e-9))).astype(np.float32)))
         y.append(1.0 if label else -1.0)
     y = np.array(y)
     part = np.arange(len(y)) % max(2, round(1 / CALIBRATION)) == 0
