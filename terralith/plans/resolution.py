@@ -68,13 +68,11 @@ def nomenclature_enrich(spark: SparkSession, d: str) -> DataFrame:
     return ordered_fallback_join(asked, rules, ["province"]).select("c_custkey", "province", "resolution")
 
 
-@query("""WITH h AS (SELECT doc_id, lower(substr(text, 1, 4000)) AS t FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN contains(t, 'ville') THEN 'Ville' ELSE 'Inconnu' END AS class FROM h WHERE false UNION ALL
-SELECT p_partkey, CASE WHEN contains(t, 'province') THEN 'Province' WHEN contains(t, 'station') OR contains(t, 'site') THEN 'Site' WHEN contains(t, 'ville') THEN 'Ville' ELSE 'Inconnu' END
+@query("""SELECT p_partkey, CASE WHEN contains(t, 'province') THEN 'Province' WHEN contains(t, 'station') OR contains(t, 'site') THEN 'Site' WHEN contains(t, 'ville') THEN 'Ville' ELSE 'Inconnu' END AS class
 FROM (SELECT p_partkey, lower(concat_ws(' ', p_name, p_type, CASE p_size % 5 WHEN 0 THEN 'PROVINCE' WHEN 1 THEN 'station site' WHEN 2 THEN 'Ville' END)) AS t FROM part)""")
 def classify_rules(spark: SparkSession, d: str) -> DataFrame:
     """Parts, a word of each of several classes added by size, through the ordered feature rules."""
-    return _features(spark, d).select(F.col("p_partkey").alias("doc_id"), c.first_rule(F.col("t"), c.FEATURE_RULES, "Inconnu").alias("class"))
+    return _features(spark, d).select("p_partkey", c.first_rule(F.col("t"), c.FEATURE_RULES, "Inconnu").alias("class"))
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
