@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,22 +64,24 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return empty
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, docs_held, size = [], 0, 0
+        held: list[np.ndarray] = []
+        sizes: list[int] = []
 
-        def emit() -> pd.DataFrame:
-            h, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= docs_held / (2 * RARE)
+        def emit(upto: int) -> pd.DataFrame:
+            h, count = np.unique(np.concatenate(held[:upto]), return_counts=True)
+            often = count >= upto / (2 * RARE)
+            del held[:upto], sizes[:upto]
             return frame(h=h[often].view(np.int64), n=count[often])
 
         for found in _sets(batches):
             held += found
-            docs_held += len(found)
-            size += sum(map(len, found))
-            if size >= COUNTED:
-                yield emit()
-                held, docs_held, size = [], 0, 0
-        if size:
-            yield emit()
+            sizes += map(len, found)
+            # a block is closed only when as much again is there: the last block of a task is no small rest, in which
+            # every shingle would be frequent
+            if sum(sizes) >= 2 * COUNTED:
+                yield emit(max(1, int(np.searchsorted(np.cumsum(sizes), COUNTED))))
+        if held:
+            yield emit(len(held))
 
     # a shingle in N / RARE rows is counted in all blocks but those where it is below N_block / (2 RARE)
     lower = docs.mapInPandas(candidates, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -281,13 +284,15 @@ def cross_links(members: DataFrame, texts: DataFrame, frequent: tuple[np.ndarray
     cells = rows.groupBy("bucket", "band", "_i", "_j").agg(F.collect_list(member).alias("members"))
     shared = members.sparkSession.sparkContext.broadcast(frequent)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for band, i, j, found in zip(batch["band"], batch["_i"], batch["_j"], batch["members"]):
-                links = _cell_links(int(band), i == j, sorted(found, key=lambda m: m["tid"]), shared.value, threshold)
-                yield frame(a=[x for x, _ in links], b=[y for _, y in links])
+            for k in range(batch.num_rows):  # one cell at a time becomes Python objects
+                band, same, members = (batch.column(c)[k].as_py() for c in ("band", "same", "members"))
+                links = _cell_links(band, same, sorted(members, key=lambda m: m["tid"]), shared.value, threshold)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
 
-    return cells.select("band", "_i", "_j", "members").mapInPandas(compare, "a long, b long")
+    return cells.select("band", (F.col("_i") == F.col("_j")).alias("same"), "members").mapInArrow(compare, "a long, b long")
 
 
 # --- verification -----------------------------------------------------------------------------------
