@@ -19,6 +19,7 @@ import pickle
 import re
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.llm.common import frame, least_levels, level_of, materialize, scratch_dir, table, text_or_empty
-from terralith.llm.vocab import default_path, word_model, word_tokenizer
+from terralith.llm.vocab import default_path, pieces_and_specials, word_model
 
 VOCABULARY = "word_bpe_49k.json"
 #: This many of the most frequent words are known to every task.
@@ -38,6 +39,8 @@ HOT = 1 << 18
 BLOCK_CHARS = 1 << 22
 #: A task counts up to about this many distinct chunks between white space before it sends their words.
 COUNTED = 1 << 20
+#: Codes of so many chunks are remembered within a block.
+SEEN = 1 << 16
 #: Longer words stay out of the hot table, so that its size is bounded in bytes too.
 HOT_CHARS = 64
 
@@ -56,7 +59,7 @@ def _patterns():
 @functools.lru_cache(maxsize=2)
 def _special(path: str):
     """Pattern of the special tokens' strings, and their ids."""
-    found = {str(t.content): i for i, t in word_tokenizer(path).get_added_tokens_decoder().items()}
+    found = pieces_and_specials(path)[1]
     return (re.compile("(" + "|".join(map(re.escape, sorted(found, key=len, reverse=True))) + ")") if found else None), found
 
 
@@ -110,8 +113,8 @@ def _texts_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size += int(ends[stop - 1] - base)
             start = stop
             if size >= BLOCK_CHARS:
-                yield pd.concat(held)
-                held, size = [], 0
+                block, held, size = pd.concat(held), [], 0
+                yield block
     if held:
         yield pd.concat(held)
 
@@ -147,7 +150,9 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         model, special = word_model(path), _special(path)[1]
         for batch in batches:
             words = batch["word"].tolist()
-            ids = [e.ids for e in model.encode_batch(words, add_special_tokens=False)]
+            ids = []
+            for k in range(0, len(words), 1000):
+                ids += [e.ids for e in model.encode_batch(words[k : k + 1000], add_special_tokens=False)]
             for i, w in enumerate(words):
                 if w.startswith("\0") and w[1:] in special:
                     ids[i] = [special[w[1:]]]
@@ -159,9 +164,8 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 @functools.lru_cache(maxsize=2)
 def piece_table(path: str) -> np.ndarray:
     """The piece of each id, special tokens too."""
-    vocabulary = word_tokenizer(path).get_vocab(with_added_tokens=True)
-    pieces = np.full(max(vocabulary.values()) + 1, "", object)
-    pieces[list(vocabulary.values())] = list(vocabulary.keys())
+    pieces = np.empty(len(found := pieces_and_specials(path)[0]), object)
+    pieces[:] = found
     return pieces
 
 
@@ -189,18 +193,21 @@ def write_hot_words(words: DataFrame, hot: int, folder: str) -> None:
 
 
 @functools.lru_cache(maxsize=1)
-def _hot_table(folder: str, path: str) -> tuple[dict[str, int], list[bytes], list[str]]:
-    """Code of each hot word, ids and decoded form of each code.  Read by each worker, once: the driver never has it."""
+def _hot_table(folder: str, path: str, forms: bool) -> dict[str, int] | tuple[list[bytes], list[str]]:
+    """The code of each hot word or, if `forms`, the ids and the decoded form of each code.  Read by each worker, which
+    keeps the one that its stage needs; the driver never has it."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
-    rows = pq.read_table(root, filesystem=store).sort_by([("n", "descending"), ("word", "ascending")])
+    rows = pq.read_table(root, columns=["word", "n", *["ids"] * forms], filesystem=store).sort_by([("n", "descending"), ("word", "ascending")])
+    if not forms:
+        return {w: i for i, w in enumerate(rows.column("word").to_pylist())}
     ids = rows.column("ids").to_pylist()
-    return {w: i for i, w in enumerate(rows.column("word").to_pylist())}, ids, decode(ids, path)
+    return ids, decode(ids, path)
 
 
-def _squeeze(codes: list[int], ends: list[int], rows: pd.DataFrame) -> bytes:
+def _squeeze(codes: array, ends: list[int], rows: pd.DataFrame) -> bytes:
     # the bytes of equal weight of all codes stand together
     planes = np.asarray(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     return zstandard.compress(pickle.dumps((planes, ends, rows), 5), 3)
@@ -231,19 +238,21 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        hot_codes, name, out, at, number = _hot_table(hot_folder, path)[0], uuid.uuid4().hex, None, 0, TaskContext.get().partitionId() << 32
+        hot_codes, name, out, at, number = _hot_table(hot_folder, path, False), uuid.uuid4().hex, None, 0, TaskContext.get().partitionId() << 32
         first = len(hot_codes)
         for block in _texts_in_blocks(batches):
             own: dict[str, int] = {}
             seen: dict[str, list[int]] = {}
-            codes: list[int] = []
+            codes = array("I")
             ends: list[int] = []
             for text in block["_text"]:
                 for chunk in split_chunks(text, path):
                     known_codes = seen.get(chunk)
                     if known_codes is None:
                         known_codes = seen[chunk] = [c if (c := hot_codes.get(w)) is not None else own.setdefault(w, first + len(own)) for w in words_of(chunk, path)]
-                    codes += known_codes
+                    codes.extend(known_codes)
+                if len(seen) > SEEN:
+                    seen.clear()
                 ends.append(len(codes))
             data = _squeeze(codes, ends, block.drop(columns="_text").astype(object).reset_index(drop=True))
             out = out or store.open_output_stream(f"{root}/{name}", compression=None)
@@ -266,7 +275,7 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        _, hot_ids, hot_decoded = _hot_table(hot_folder, path)
+        hot_ids, hot_decoded = _hot_table(hot_folder, path, True)
         first = len(hot_ids)
         own = dict(zip(answers["code"].tolist(), answers["ids"]))
         own_ids = [own[first + k] for k in range(len(own))]

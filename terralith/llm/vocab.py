@@ -37,9 +37,9 @@ def word_tokenizer(path: str):
     return tokenizer
 
 
-@functools.lru_cache(maxsize=2)
 def word_model(path: str):
-    """The same vocabulary and merges for single words that are normalised already: no splitting, no special tokens."""
+    """The same vocabulary and merges for single words that are normalised already: no splitting, no special tokens.
+    Not kept by the worker: only one stage needs it."""
     import json
 
     from tokenizers import Tokenizer
@@ -48,6 +48,23 @@ def word_model(path: str):
     with open(path, encoding="utf-8") as f:
         parts = json.load(f)
     parts.update(normalizer=None, pre_tokenizer=None, added_tokens=[], truncation=None, padding=None)
-    model = Tokenizer.from_str(json.dumps(parts))
+    text = json.dumps(parts)
+    del parts
+    model = Tokenizer.from_str(text)
     model.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
     return model
+
+
+@functools.lru_cache(maxsize=2)
+def pieces_and_specials(path: str) -> tuple[list[str], dict[str, int]]:
+    """The piece of each id of a JSON file, and the ids of its special tokens' strings; the tokenizer isn't loaded."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    specials = {a["content"]: a["id"] for a in parts["added_tokens"]}
+    known = parts["model"]["vocab"] | specials
+    pieces = [""] * (max(known.values()) + 1)
+    for piece, i in known.items():
+        pieces[i] = piece
+    return pieces, specials
