@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.llm.common import chunks_of, frame, materialize, mix64, shingle_hashes, table, text_key, text_or_empty
@@ -31,11 +31,15 @@ THRESHOLD = 0.8
 SAMPLES, ROWS = 42, 3
 #: Shingles in fewer than one of RARE documents share the largest idf.
 RARE = 512
+#: A shingle is looked into if it is in SHARE / RARE of the rows of some block.
+SHARE = 0.75
 #: Pairs of which fewer samples agree are not verified (at similarity 0.8, 33.6 of 42 agree on average, deviation 2.6).
 AGREE = 22
 #: Members of a bucket are compared in blocks of about this many, one of them with so many others at once.
 BLOCK, AT_ONCE = 512, 64
-#: A task looks for frequent shingles in blocks of about this many shingles.
+#: A task looks for frequent shingles in blocks of about this many shingles; what it finds is sent by hash range, in
+#: SLABS ranges or one for each SLAB_ROWS rows.
+SLABS, SLAB_ROWS = 64, 1 << 16
 COUNTED = 1 << 21
 _LAST = (1 << 63) - 1
 
@@ -69,9 +73,12 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         def emit(upto: int) -> pd.DataFrame:
             h, count = np.unique(np.concatenate(held[:upto]), return_counts=True)
-            often = count >= upto / (2 * RARE)
+            often = count >= upto * SHARE / RARE
             del held[:upto], sizes[:upto]
-            return frame(h=h[often].view(np.int64), n=count[often])
+            h, count = h[often], count[often]
+            ends = np.searchsorted(h, edges).tolist()
+            parts = [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], [*ends, len(h)])) if b > a]
+            return frame(slab=[k for k, _, _ in parts], h=[h[a:b].tobytes() for _, a, b in parts], n=[count[a:b].astype(np.int64).tobytes() for _, a, b in parts])
 
         for found in _sets(batches):
             held += found
@@ -83,12 +90,21 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield emit(len(held))
 
-    # a shingle in N / RARE rows is counted in all blocks but those where it is below N_block / (2 RARE)
-    lower = docs.mapInPandas(candidates, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    asked = np.sort(lower.filter(F.col("n") >= max(1.0, n / (2 * RARE))).select("h").toPandas()["h"].to_numpy().view(np.uint64)) if n > 2 * RARE else None
-    if asked is None:  # every shingle was a candidate in every block: counts are exact already
-        rows = lower.filter(F.col("n") >= max(2.0, n / RARE)).toPandas()
+    def summed(slab: pd.DataFrame) -> pd.DataFrame:
+        h, at = np.unique(np.frombuffer(b"".join(slab["h"]), np.uint64), return_inverse=True)
+        total = np.bincount(at, np.frombuffer(b"".join(slab["n"]), np.int64)).astype(np.int64)
+        return frame(h=h[total >= least].view(np.int64), n=total[total >= least])
+
+    # a shingle in N / RARE rows is counted in all blocks but those where it is in fewer than SHARE / RARE of the rows:
+    # what is counted of it is at least the rest.  In few rows every shingle is a candidate, and all counts are exact
+    slabs, counted_once = max(SLABS, n // SLAB_ROWS), n * SHARE <= RARE
+    edges = np.array([(k << 64) // slabs for k in range(1, slabs)], np.uint64)
+    least = max(2.0, n / RARE) if counted_once else n * (1 - SHARE) / RARE
+    lower = docs.mapInPandas(candidates, "slab long, h binary, n binary").groupBy("slab").applyInPandas(summed, "h long, n long").toPandas()
+    if counted_once:
+        rows = lower
     else:
+        asked = np.sort(lower["h"].to_numpy().view(np.uint64))
         shared = spark.sparkContext.broadcast(asked)
 
         def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,6 +257,8 @@ def _cell_links(band: int, same: bool, members: list, frequent: tuple[np.ndarray
     """Links between classes among a cell's members (left, tid, class, samples, text): for each left one the right ones
     of other classes, the most similar samples first, until the classes are one.  A pair is looked at in the first
     band that it shares only; in a cell of one block, once."""
+    if not same and len({m["left"] for m in members}) < 2:  # one of the two blocks is empty
+        return []
     sets = [(h, weights(h, n, frequent)) for h, n in _distinct([m["_text"] for m in members])]
     samples = np.frombuffer(b"".join(bytes(m["samples"]) for m in members), np.uint16).reshape(len(members), SAMPLES)
     left = [i for i, m in enumerate(members) if m["left"]]
@@ -248,7 +266,7 @@ def _cell_links(band: int, same: bool, members: list, frequent: tuple[np.ndarray
     classes, links = _Classes(), []
     for i in left:
         equal = samples[right] == samples[i]
-        bands = equal.reshape(len(right), -1, ROWS).all(axis=2)
+        bands = equal.reshape(len(right), SAMPLES // ROWS, ROWS).all(axis=2)
         agree = equal.sum(axis=1)
         ok = (agree >= AGREE) & bands.any(axis=1) & (bands.argmax(axis=1) == band)
         if same:
@@ -269,19 +287,31 @@ def cross_links(members: DataFrame, texts: DataFrame, frequent: tuple[np.ndarray
     """Links (a, b) that join different classes, from members (bucket, band, tid, class, samples) and texts (tid,
     _text).
 
-    Buckets of one class are left out.  A bucket is dealt into blocks of about BLOCK members, and every two of its
-    blocks are a cell, so no task holds more than two blocks.  All pairs of different classes of which AGREE samples
-    agree are held against each other within their cell; what leaves it are the links that join classes, fewer than
-    the cell has members.
+    Buckets of one class are left out.  A bucket's largest class and the rest are dealt into blocks of about BLOCK
+    members each.  A cell is two blocks of the rest, or one of the rest and one of the largest class, so no task holds
+    more than two blocks, and members of the largest class are sent as often as the rest has blocks.  All pairs of
+    different classes of which AGREE samples agree are held against each other within their cell; what leaves it are
+    the links that join classes, fewer than the cell has members.
     """
-    mixed = members.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("class").alias("_low"), F.max("class").alias("_high")).filter("_low != _high")
-    mixed = materialize(mixed.select(F.col("bucket").alias("_bucket"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))
-    rows = members.join(mixed, F.col("bucket") == F.col("_bucket")).withColumn("_own", F.pmod(F.xxhash64("tid"), F.col("_blocks")).cast("int"))
+    sizes = members.groupBy("bucket", "class").agg(F.count("*").alias("_n"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("_classes"), F.max_by("class", F.struct("_n", "class")).alias("_largest"), F.max("_n").alias("_most"), F.sum("_n").alias("_all")).filter("_classes > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = materialize(mixed.select(F.col("bucket").alias("_bucket"), "_largest", blocks(F.col("_most")).alias("_b"), blocks(F.col("_all") - F.col("_most")).alias("_r")))
+    rows = members.join(mixed, F.col("bucket") == F.col("_bucket")).withColumn("_in", F.col("class") == F.col("_largest"))
     rows = rows.join(texts.select(F.col("tid").alias("_t"), "_text"), F.col("tid") == F.col("_t"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-    member = F.struct((F.col("_own") == F.col("_i")).alias("left"), "tid", "class", "samples", "_text")
-    cells = rows.groupBy("bucket", "band", "_i", "_j").agg(F.collect_list(member).alias("members"))
+    own = F.pmod(F.xxhash64("tid"), F.when(F.col("_in"), F.col("_b")).otherwise(F.col("_r"))).cast("int")
+    rows = rows.withColumn("_own", own)
+
+    def cell(rest: Column, i: Column, j: Column, left: Column) -> Column:
+        return F.struct(rest.alias("rest"), i.alias("i"), j.alias("j"), left.alias("left"))
+
+    mine, yes, no = F.col("_own"), F.lit(True), F.lit(False)
+    among = F.transform(F.sequence(F.lit(0), F.col("_r") - 1), lambda k: cell(yes, F.least(mine, k), F.greatest(mine, k), mine <= k))
+    against = F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda k: cell(no, mine, k, yes))
+    asked = F.transform(F.sequence(F.lit(0), F.col("_r") - 1), lambda k: cell(no, k, mine, no))
+    rows = rows.withColumn("_cell", F.explode(F.when(F.col("_in"), asked).otherwise(F.concat(among, against))))
+    member = F.struct(F.col("_cell.left").alias("left"), "tid", "class", "samples", "_text")
+    cells = rows.groupBy("bucket", "band", "_cell.rest", "_cell.i", "_cell.j").agg(F.collect_list(member).alias("members"))
     shared = members.sparkSession.sparkContext.broadcast(frequent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +322,7 @@ def cross_links(members: DataFrame, texts: DataFrame, frequent: tuple[np.ndarray
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
 
-    return cells.select("band", (F.col("_i") == F.col("_j")).alias("same"), "members").mapInArrow(compare, "a long, b long")
+    return cells.select("band", (F.col("rest") & (F.col("i") == F.col("j"))).alias("same"), "members").mapInArrow(compare, "a long, b long")
 
 
 # --- verification -----------------------------------------------------------------------------------

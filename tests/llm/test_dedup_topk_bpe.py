@@ -112,6 +112,27 @@ def test_large_group_of_near_copies_stays_linear(spark):
     assert neardup.star_pairs(members).count() <= 400 * 14
 
 
+@pytest.mark.parametrize("block", [2, 5, 512])
+def test_cells_find_every_link(spark, monkeypatch, block):
+    """All members in one bucket, one class of seven already known: the links join what all pairs would join."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "AT_ONCE", 3)
+    rows = near_copies(6, seed=8)
+    docs = spark.createDataFrame(rows, "doc_id long, _text string").withColumn("text_key", F.lit("k"))
+    frequent = neardup.frequent_shingles(docs.select("_text"))
+    signed = neardup.signed(docs, frequent).select(F.col("doc_id").alias("tid"), "samples")
+    # the same band everywhere: the check for the first shared band must not hide any pair here
+    members = signed.crossJoin(spark.range(14).select(F.col("id").cast("int").alias("band"))).withColumn("bucket", F.col("band").cast("long"))
+    members = members.withColumn("class", F.when(F.col("tid") < 7, F.lit(0)).otherwise(F.col("tid")))
+    links = [(r["a"], r["b"]) for r in neardup.cross_links(members, docs.select(F.col("doc_id").alias("tid"), "_text"), frequent, 0.8).collect()]
+    edges = links + [(0, i) for i in range(7)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = brute_classes(rows, frequent)
+    merged = {want[i] for i in range(7)}
+    want = {i: 0 if c in merged else c for i, c in want.items()}
+    assert {i: got.get(i, i) for i, _ in rows} == want
+
+
 def test_dedup_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "two words"), (3, "two words"), (None, "two words"), (None, "only null ids"), (None, "only null ids"), (7, "y " * 50000), (8, "y " * 50001)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit("clash")).withColumn("_text", F.lit("x"))
