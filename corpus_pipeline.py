@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.llm import bpe, language, mixing, neardup, quality
 from terralith.llm.common import materialize, table
 
+#: Texts go to Python in Arrow batches of this size: the default holds several times as much in every worker and JVM.
+ARROW_BATCH = "8m"
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+        return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the language models, learned from these documents' lang, reject."""
     model = language.train(docs.filter(~language.held_out()))
     return language.identify(docs, model).filter(~F.col("rejected")).select(*docs.columns)
 
 
+@_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier, learned from the labelled ones, rejects."""
     labels = table(spark, sf_dir, "labels")
@@ -22,16 +40,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).filter(F.col("predicted") == 1).select(*docs.columns)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return neardup.deduplicated(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed_rows(docs, quality=mixing.label_weights(table(spark, sf_dir, "labels")))
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.digests(bpe.encode_documents(docs))
