@@ -61,6 +61,35 @@ def test_model_is_kneser_ney():
         assert math.isclose(float(model.log_p(packed)[0]), math.log(p(g)), rel_tol=1e-4), g
 
 
+def test_small_models_use_all_grams(spark, monkeypatch):
+    """Listed grams have the probability of the textbook over all texts, and each context's probabilities add up to 1."""
+    texts = [f"the of and to in that number {chr(97 + i % 26)}{chr(97 + i // 26)} of the rat" for i in range(60)] + ["the cat sat on the mat and the hat"]
+    found = np.concatenate([language.grams(language.letters(t)) for t in texts])
+    keys, n = np.unique(found, return_counts=True)
+    counts = spark.createDataFrame([("en", int(g), int(c)) for g, c in zip(keys.view(np.int64), n)], "lang string, gram long, n long")
+    full, p = language.models_of(counts)["en"], brute_kneser_ney(texts)
+    assert np.allclose(full.log_p(keys), language.Model(keys, n).log_p(keys), atol=1e-5)
+    monkeypatch.setattr(language, "MAX_GRAMS", 30)
+    model = language.models_of(counts)["en"]
+    assert 0 < len(model.levels[4][0]) <= 30 < len(keys)
+    listed = keys[language._find(model.levels[4][0], keys)[1]]
+    text = lambda g: "".join(chr(int(g) >> 16 * (3 - i) & 0xFFFF) for i in range(4))
+    for g, got in zip(listed, model.log_p(listed)):
+        assert math.isclose(float(got), math.log(p(text(g))), rel_tol=1e-4), text(g)
+    singles = np.unique(keys & np.uint64(0xFFFF))
+    for context in np.unique(keys >> np.uint64(16)):
+        every = np.append((context << np.uint64(16)) | singles, (context << np.uint64(16)) | np.uint64(0x4E00))
+        assert math.isclose(float(np.exp(model.log_p(every).astype(np.float64)).sum()), 1.0, rel_tol=1e-4)
+
+
+def test_every_language_has_a_model(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_GRAMS", 20)
+    rows = [(f"l{i:02d}", f"{chr(0x4E00 + 40 * i + j)}{chr(0x4E01 + 40 * i + j)} " * 3) for i in range(70) for j in range(6)]
+    model = language.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(model.names) == 70
+    assert [model.predict([t])[0][0] for _, t in rows[5::60]] == [lang for lang, _ in rows[5::60]]
+
+
 def test_language_odd_rows(spark):
     train = spark.createDataFrame([("en", "the of and to in that " * 5), ("en", "there is the one and another"), ("fr", "le la les des et une " * 5), ("fr", "voici les uns et les autres"), (None, "zzz")], "lang string, text string")
     docs = spark.createDataFrame(ODD, ODD_SCHEMA).withColumn("score", F.lit("clash"))
