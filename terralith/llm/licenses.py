@@ -1,8 +1,9 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A rule is a pattern over a text's words with a label, a priority, a confidence and the keywords without which it cannot
-match.  The few hundred rules are built from families of licences, their versions and the ways in which a licence is
-named or granted (named, granted, referred to by tag or address).  Texts without any keyword are never held against a
+match: a whole word, or that word with a version glued to it (GPL2, LGPLv2.1).  The few hundred rules are built from
+families of licences, their versions and the ways in which a licence is named or granted (named, granted, referred to
+by tag or address).  Texts without any keyword are never held against a
 rule; the others meet the rules whose keywords they contain, in order of priority.  A detection that lies within one of
 higher priority, or of equal priority and more words, is suppressed.
 """
@@ -37,7 +38,7 @@ FAMILIES = (
     ("lgpl", ("lesser general public license", "library general public license", "gnu lgpl", "lgpl"), ("2", "2 1", "3", "2 0", "3 0")),
     ("agpl", ("affero general public license", "gnu agpl", "agpl"), ("1", "3", "1 0", "3 0")),
     ("bsd", ("bsd", "berkeley software distribution"), ("2 clause", "3 clause", "4 clause", "0 clause")),
-    ("mpl", ("mozilla public license", "mpl"), ("1 0", "1 1", "2 0")),
+    ("mpl", ("mozilla public license", "mpl"), ("1 0", "1 1", "2", "2 0")),
     ("epl", ("eclipse public license", "epl"), ("1 0", "2 0")),
     ("cddl", ("common development and distribution license", "cddl"), ("1 0", "1 1")),
     ("cpl", ("common public license", "cpl"), ("1 0",)),
@@ -98,6 +99,8 @@ class Rule:
     keyword: str
     priority: int
     confidence: float
+    #: What a word may begin with instead of being the keyword.
+    glued: tuple[str, ...] = ()
 
 
 def _keyword(words: str) -> str:
@@ -118,8 +121,9 @@ def rules() -> tuple[Rule, ...]:
                 out.append(Rule(label, f"{grant} {name}{suffix}(?: as published by)?", key, 40, 0.9))
             for version in versions:
                 particular = f"{label}-{version.replace(' ', '.') if version[-1].isdigit() else version.replace(' ', '-')}"
-                spaced = f"(?: version| v)? ?{version}(?! \\d)" if version[-1].isdigit() else f" {version}"
-                out.append(Rule(particular, f"{name}{suffix}{spaced}", key, 30, 0.85))
+                spaced = f"(?: version| ?v)? ?{version}(?! \\d)" if version[-1].isdigit() else f" {version}"
+                glued = (f"{key}{version.split()[0]}", f"{key}v") if version[-1].isdigit() and name.split()[-1] == key else ()
+                out.append(Rule(particular, f"{name}{suffix}{spaced}", key, 30, 0.85, glued))
                 if not version[-1].isdigit():
                     out.append(Rule(particular, f"{version} {name}{suffix}", key, 30, 0.85))
             if len(name.split()) > 1 or suffix:
@@ -137,8 +141,10 @@ def _compiled():
     for i, r in enumerate(rules()):
         by.setdefault(r.keyword, []).append((i, re.compile(f" {r.pattern}(?= )"), r))
     automaton = ahocorasick.Automaton()
-    for keyword in by:
+    for keyword, its in by.items():
         automaton.add_word(f" {keyword} ", keyword)
+        for word in {w for _, _, r in its for w in r.glued}:
+            automaton.add_word(f" {word}", keyword)
     automaton.make_automaton()
     return by, automaton
 

@@ -174,6 +174,30 @@ def test_licence_labels(text, labels):
     assert licenses.scan_texts([text or ""])["labels"][0] == labels
 
 
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("licensed under GPL2", "gpl-2"), ("LGPL2.1", "lgpl-2.1"), ("MPL2.0 or Apache2.0", "apache-2.0,mpl-2.0"), ("GPLv2, LGPLv3, MPLv2.0", "gpl-2,lgpl-3,mpl-2.0"),
+        ("GPLv 3", "gpl-3"), ("GPL v2.0", "gpl-2.0"), ("SIL Open Font LicenseV1.1", "ofl-1.1"), ("gpl20 gplvx gplv2x", ""), ("MPLv2", "mpl-2"), ("mpl2 1", ""),
+    ],
+)
+def test_licence_versions_without_a_space(text, labels):
+    assert licenses.scan_texts([text])["labels"][0] == labels
+
+
+def test_licence_prefilter_hides_nothing():
+    """Each rule's own words, with and without the optional ones and spaces, against all rules without a prefilter."""
+    every = [(i, re.compile(f" {r.pattern}(?= )"), r) for i, r in enumerate(licenses.rules())]
+    lines = {" ".join(name.split()) + between + version for _, names, versions in licenses.FAMILIES for name in names for version in versions for between in ("", "v", " ", " v", " v ", "v ", " version ", " version", " license", " licence v", " software license")}
+    lines |= {re.sub(r"\(\?!.*?\)", "", re.sub(r"\(\?:([^()|]*)[^()]*\)(\{1,8\}|\?)?", r"\1", r.pattern)).replace("\\w+", "x").replace("?", "") for r in licenses.rules()}
+    for line in sorted(lines):
+        padded = f" {line} "
+        hits = [(m.start(), m.end(), i, r) for i, p, r in every for m in p.finditer(padded)]
+        starts = licenses._starts(line.split())
+        want = [(starts.index(a), starts.index(b), r) for a, b, r in licenses._uncovered(hits)]
+        assert licenses.detect(line.split()) == want, line
+
+
 def test_licence_suppression_and_size():
     rules = licenses.rules()
     assert len(rules) > 300 and [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
