@@ -3,8 +3,9 @@
 1. Document frequencies of five-word shingles.  Only shingles in at least one of RARE documents have an idf of their
    own; a first pass finds candidates (a shingle that frequent is as frequent in some block), a second counts them
    exactly.  idf = 1 + ln(N / df) / ln(RARE), at most 2.
-2. Each text's weighted set (term count times idf) gives SAMPLES consistent weighted samples; each ROWS of them are a
-   band.  Equal texts are one text from here on.
+2. Each text's weighted set (term count times idf) gives SAMPLES consistent weighted samples, and its plain set as many
+   of equal weights (term counts and idf may keep the first kind apart where plain similarity is high); each ROWS
+   samples of a kind are a band.  Equal texts are one text from here on.
 3. Texts that share a band are candidates.  In each bucket, first every text meets the bucket's centre, the text with
    the most company in all of its buckets.  Then buckets that still hold several classes are gone through in blocks,
    where every text meets those of other classes, the most similar samples first, until they are one class.  No pair
@@ -33,7 +34,8 @@ SAMPLES, ROWS = 42, 3
 RARE = 512
 #: A shingle is looked into if it is in SHARE / RARE of the rows of some block.
 SHARE = 0.75
-#: Pairs of which fewer samples agree are not verified (at similarity 0.8, 33.6 of 42 agree on average, deviation 2.6).
+#: Pairs of which fewer samples of both kinds agree are not verified (at weighted or plain similarity 0.8, 33.6 of 42 of
+#: that kind agree on average, deviation 2.6).
 AGREE = 22
 #: Members of a bucket are compared in blocks of about this many, one of them with so many others at once.
 BLOCK, AT_ONCE = 512, 64
@@ -147,7 +149,7 @@ def _gamma_quantiles(n: int) -> np.ndarray:
 
 _R = _gamma_quantiles(1 << 12).astype(np.float32)
 _LOG_C = np.log(_gamma_quantiles(1 << 16)).astype(np.float32)
-_KEYS = [mix64(np.array([k + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] | np.uint64(1) for k in range(SAMPLES)]
+_KEYS, _PLAIN_KEYS = ([mix64(np.array([k + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] | np.uint64(1) for k in range(a, a + SAMPLES)] for a in (0, SAMPLES))
 
 
 def weighted_samples(h: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -177,11 +179,23 @@ def weighted_samples(h: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> n
     return out
 
 
+def plain_samples(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The same with equal weights, where the sampling comes down to the shingle of the least hash."""
+    out = np.empty((len(starts), SAMPLES), np.uint64)
+    for j, key in enumerate(_PLAIN_KEYS):
+        z = h * key
+        z ^= z >> np.uint64(31)
+        z *= np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(29)
+        out[:, j] = mix64(np.minimum.reduceat(z, starts))
+    return out
+
+
 def signed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """docs (doc_id, text_key, _text) as (doc_id, text_key, bands array<long>, samples binary): 16 bits of each
-    sample.  A text without words has neither."""
+    sample, the weighted ones first.  A text without words has neither."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    n = SAMPLES // ROWS
+    n = 2 * SAMPLES // ROWS
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -195,7 +209,8 @@ def signed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFram
                     h = np.concatenate([sets[i][0] for i in full])
                     w = weights(h, np.concatenate([sets[i][1] for i in full]), shared.value)
                     sizes = np.array([len(sets[i][0]) for i in full])
-                    found = weighted_samples(h, w, np.cumsum(sizes) - sizes)
+                    starts = np.cumsum(sizes) - sizes
+                    found = np.concatenate([weighted_samples(h, w, starts), plain_samples(h, starts)], axis=1)
                     keys = np.zeros((len(full), n), np.uint64)
                     for k in range(ROWS):
                         keys = mix64(keys + found[:, k::ROWS] + np.uint64(k))
@@ -260,14 +275,14 @@ def _cell_links(band: int, same: bool, members: list, frequent: tuple[np.ndarray
     if not same and len({m["left"] for m in members}) < 2:  # one of the two blocks is empty
         return []
     sets = [(h, weights(h, n, frequent)) for h, n in _distinct([m["_text"] for m in members])]
-    samples = np.frombuffer(b"".join(bytes(m["samples"]) for m in members), np.uint16).reshape(len(members), SAMPLES)
+    samples = np.frombuffer(b"".join(bytes(m["samples"]) for m in members), np.uint16).reshape(len(members), 2 * SAMPLES)
     left = [i for i, m in enumerate(members) if m["left"]]
     right = np.array([i for i, m in enumerate(members) if same or not m["left"]], np.int64)
     classes, links = _Classes(), []
     for i in left:
         equal = samples[right] == samples[i]
-        bands = equal.reshape(len(right), SAMPLES // ROWS, ROWS).all(axis=2)
-        agree = equal.sum(axis=1)
+        bands = equal.reshape(len(right), 2 * SAMPLES // ROWS, ROWS).all(axis=2)
+        agree = equal.reshape(len(right), 2, SAMPLES).sum(axis=2).max(axis=1)
         ok = (agree >= AGREE) & bands.any(axis=1) & (bands.argmax(axis=1) == band)
         if same:
             ok &= right > i
@@ -290,7 +305,7 @@ def cross_links(members: DataFrame, texts: DataFrame, frequent: tuple[np.ndarray
     Buckets of one class are left out.  A bucket's largest class and the rest are dealt into blocks of about BLOCK
     members each.  A cell is two blocks of the rest, or one of the rest and one of the largest class, so no task holds
     more than two blocks, and members of the largest class are sent as often as the rest has blocks.  All pairs of
-    different classes of which AGREE samples agree are held against each other within their cell; what leaves it are
+    different classes of which AGREE samples of a kind agree are held against each other within their cell; what leaves it are
     the links that join classes, fewer than the cell has members.
     """
     sizes = members.groupBy("bucket", "class").agg(F.count("*").alias("_n"))

@@ -112,6 +112,26 @@ def test_large_group_of_near_copies_stays_linear(spark):
     assert neardup.star_pairs(members).count() <= 400 * 14
 
 
+def test_plain_links_of_repeated_passages(spark):
+    """A row repeated 400 times against 100: term counts pull the weighted similarity to 0.4, the plain one is 0.9."""
+    rng, rows = random.Random(4), []
+    for i in range(40):
+        words, row = [f"w{rng.randrange(10**6)}" for _ in range(300)], " ".join(f"r{i}c{k}" for k in range(5)) + " "
+        other = words[:150] + [f"n{i}"] + words[150:]
+        other[40] = f"m{i}"
+        rows += [(2 * i, row * 400 + " ".join(words)), (2 * i + 1, row * 100 + " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weighted, plain = neardup.similarities(rows[0][1], rows[1][1], neardup.frequent_shingles(docs.select(F.col("text").alias("_text"))))
+    assert weighted < 0.4 and plain > 0.9
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()} == {i: i - i % 2 for i, _ in rows}
+    members = docs.select(F.col("doc_id").alias("doc_id"), F.lit("k").alias("text_key"), F.col("text").alias("_text"))
+    frequent = neardup.frequent_shingles(members.select("_text"))
+    signed = {r["doc_id"]: bytes(r["samples"]) for r in neardup.signed(members, frequent).collect()}
+    for i in range(0, 80, 2):  # the cells' prefilter lets each pair through
+        cell = [{"left": True, "tid": j, "class": j, "samples": signed[j], "_text": rows[j][1]} for j in (i, i + 1)]
+        assert any(neardup._cell_links(band, True, cell, frequent, 0.8) for band in range(2 * neardup.SAMPLES // neardup.ROWS))
+
+
 @pytest.mark.parametrize("block", [2, 5, 512])
 def test_cells_find_every_link(spark, monkeypatch, block):
     """All members in one bucket, one class of seven already known: the links join what all pairs would join."""
