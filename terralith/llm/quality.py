@@ -21,7 +21,8 @@ from terralith.llm.common import chunks_of, frame, id_bucket, joined_bytes, mate
 
 #: Features are hashed into this many places; counts are summed in slabs of SLAB places.
 PLACES, SLAB = 1 << 18, 1 << 12
-#: The hinge-loss model is fitted on about this many labelled documents, chosen by a hash of the id.
+#: The hinge-loss model is fitted on about this many distinct labelled texts, up to half of them of each class, chosen by
+#: a hash of the text.
 SAMPLE = 2000
 #: Share of the sample that fits the logistic curve instead.
 CALIBRATION = 0.25
@@ -90,7 +91,7 @@ def feature_places(texts: list[str]) -> list[np.ndarray]:
 
 def _count_and_sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From (text, label, sampled): slabs of counts per class, and the places of sampled documents."""
-    counts, docs = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64)
+    counts, docs, seen = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64), set()
     for batch in batches:
         texts, labels, sampled = batch["text"].tolist(), batch["label"].tolist(), batch["sampled"].tolist()
         for part in chunks_of(texts, 1 << 18):
@@ -98,7 +99,8 @@ def _count_and_sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             for label, chosen, places in zip(labels[part], sampled[part], feature_places(texts[part])):
                 counts[label][places] += 1
                 docs[label] += 1
-                if chosen >= 0:
+                if chosen >= 0 and (label, chosen) not in seen:
+                    seen.add((label, chosen))
                     kept.append((label, chosen, places.tobytes()))
             if kept:
                 yield frame(slab=-1, label=[k[0] for k in kept], n=[k[1] for k in kept], data=[k[2] for k in kept])
@@ -163,16 +165,18 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return w, b
 
 
-def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the curve from margin to probability of class 1: Newton steps on smoothed targets."""
+def logistic(margins: np.ndarray, y: np.ndarray, shares: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the curve from margin to probability of class 1: Newton steps on smoothed targets, rows being
+    weighted so that the classes (0, 1) have the given shares."""
     good, bad = (y > 0).sum(), (y < 0).sum()
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
     x = np.stack([margins, np.ones(len(y))], 1)
-    theta = np.array([1.0, float(np.log((good + 1) / (bad + 1)))])
+    weight = len(y) * np.where(y > 0, shares[1] / max(good, 1), shares[0] / max(bad, 1))
+    theta = np.array([1.0, float(np.log(shares[1] / shares[0]))])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (target - p) - 1e-3 * (theta - [1.0, 0.0]))
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (weight * (target - p)) - 1e-3 * (theta - [1.0, 0.0]))
         theta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -201,7 +205,7 @@ def fit(counts: np.ndarray, docs: np.ndarray, sample: list[tuple[int, int, np.nd
     model = Classifier(np.stack([w * ratio, ratio * ratio]).astype(np.float32), float(b), 1.0, 0.0)
     use = part if part.any() and len(set(y[part])) == 2 else np.ones(len(y), bool)
     margins = model.margins([s[2] for s, p in zip(sample, use) if p])
-    model.slope, model.shift = logistic(margins, y[use])
+    model.slope, model.shift = logistic(margins, y[use], docs / docs.sum())
     return model
 
 
@@ -209,9 +213,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
     """From labelled (doc_id, text, quality); rows with null quality are ignored, quality >= 1 is class 1.  Labels of
     repeated rows each count.  Without rows every score is 0.5."""
     rows = labelled.filter(F.col("quality").isNotNull())
-    n = rows.agg(F.count("*")).first()[0]
-    order = F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id").cast("string")), F.lit(1 << 30))
-    chosen = order < int((1 << 30) * min(1.0, sample / max(n, 1)))
+    label = (F.col("quality") >= 1).cast("int")
+    hashed = F.col("text_hash") if "text_hash" in labelled.columns else F.xxhash64(text_or_empty())
+    order = F.shiftrightunsigned(hashed, 2)
+    # copies count once, or a large group of them would fill the sample
+    distinct = {r[0]: r[1] for r in rows.select(label.alias("label"), order.alias("order")).distinct().groupBy("label").count().collect()}
+    upto = [int((1 << 62) * min(1.0, sample / 2 / max(distinct.get(k, 0), 1))) for k in (0, 1)]
+    chosen = order < F.when(label == 1, F.lit(upto[1])).otherwise(F.lit(upto[0]))
     rows = rows.select(text_or_empty().alias("text"), (F.col("quality") >= 1).cast("int").alias("label"), F.when(chosen, order).otherwise(-1).alias("sampled"))
     parts = materialize(rows.mapInPandas(_count_and_sample, _PART))
     counts, docs = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64)
@@ -220,7 +228,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
         counts[label, slab * SLAB : (slab + 1) * SLAB] = np.frombuffer(data, np.int64)
     for label, total in parts.filter("slab = -2").groupBy("label").agg(F.sum("n")).collect():
         docs[label] = total
-    picked = [(r[0], r[1], np.frombuffer(r[2], np.int32)) for r in parts.filter("slab = -1").select("label", "n", "data").collect()]
+    picked = [(r[0], r[1], np.frombuffer(r[2], np.int32)) for r in parts.filter("slab = -1").select("label", "n", "data").dropDuplicates(["label", "n"]).collect()]
     return fit(counts, docs, picked)
 
 
@@ -244,10 +252,10 @@ def held_out() -> F.Column:
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, quality) of the documents that have a label; of several labels of an id the greatest holds.
+    """(doc_id, text, text_hash, quality) of the documents that have a label; of several labels of an id the greatest holds.
     Labels grow with the documents, so both sides are dealt out by id at any size."""
     best = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return docs.select("doc_id", "text").join(best.hint("merge"), "doc_id")
+    return docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("text_hash")).join(best.hint("merge"), "doc_id")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

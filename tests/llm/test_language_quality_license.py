@@ -147,6 +147,18 @@ def test_quality_odd_rows(spark):
     assert [r["quality"] for r in both] == [1, 1]
 
 
+def test_quality_sample_holds_rare_classes_and_copies_once(spark, monkeypatch):
+    rows = [(i, "a copy of the same clean text", 1) for i in range(1000)] + [(1000 + i, f"clean words here and there number {i}", 1) for i in range(1000)]
+    rows += [(3000 + i, "### $$$ %%% " * (i + 1), 0) for i in range(4)]
+    held, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda counts, docs, sample: held.append(sample) or fit(counts, docs, sample))
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string, quality int"), sample=100)
+    labels = [s[0] for s in held[0]]
+    assert labels.count(0) == 4 and 20 <= labels.count(1) <= 90 and len({(s[0], s[1]) for s in held[0]}) == len(labels)
+    good, bad = model.scores(["clean words here and there number 77", "### $$$ %%% ### $$$ %%% "])
+    assert good > 0.5 and bad < good
+
+
 def brute_base(text):
     words = re.findall(licenses.WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     hits = [(i, label) for i in range(len(words)) for phrase, label in licenses.BASE.items() if words[i : i + len(phrase.split())] == phrase.split()]
