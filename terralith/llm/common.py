@@ -2,27 +2,65 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where scratch tables go when the session names no shared folder (single-machine tests only).
+#: Where scratch tables of a session with a local master go if it names no folder.
 LOCAL_SCRATCH = "/tmp/checkpoints"
+#: Bytes of text that become Python strings at once.
+SLICE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_base(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir, as a URI; a path without a scheme is one of
+    Hadoop's default file system.  Only a session with a local master, where all tasks share the machine, may leave the
+    setting out."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{LOCAL_SCRATCH}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", base).rstrip("/")
+
+
+#: Folders made so far by each application, oldest first.
+_MADE: dict[str, list[str]] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared folder that the cluster names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder."""
+    folder = f"{scratch_base(spark)}/llm-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """How many scratch folders there are, for drop_scratch()."""
+    return len(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, mark: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch folders made since `mark`, but for `keep`.  Results that are not written yet may need them:
+    only for callers that have written what they want."""
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    for folder in [f for f in made[mark:] if f not in keep]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        made.remove(folder)
 
 
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -33,6 +71,42 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def clear_of(names, taken) -> str:
+    """A prefix that no name in `taken` begins with, for helper columns beside a caller's own."""
+    prefix = "_"
+    while any(t.lower().startswith(prefix) for t in taken):
+        prefix += "_"
+    return prefix + names
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "_text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts have about `limit` bytes; a longer text stands alone.  Batches stay Arrow
+    memory; only a slice becomes Python strings."""
+    for batch in batches:
+        for part in array_slices(batch.column(column), limit):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
+def array_slices(texts: pa.Array, limit: int = SLICE) -> Iterator[slice]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def record_batch(**columns) -> pa.RecordBatch:
+    """A batch of arrays or lists."""
+    return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()], list(columns))
+
+
 def frame(**columns) -> pd.DataFrame:
     """A pandas frame whose lists become plain object columns, which any Arrow type can be built from."""
     n = max((len(c) for c in columns.values() if isinstance(c, (list, np.ndarray, pd.Series))), default=0)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralith.llm.common import materialize, table, text_or_empty
+from terralith.llm.common import materialize, table, text_or_empty, text_slices
 from terralith.llm.vocab import byte_encoder, default_path
 
 #: Lengths are summed in blocks of this many, blocks are then summed.
@@ -18,15 +18,15 @@ BLOCK = 1024
 def token_lengths(docs: DataFrame, ranks_path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs its columns `keep` and n_tokens, the number of byte-level BPE tokens of the whole text (null:
     0; strings that look like special tokens are ordinary text)."""
-    path = ranks_path or default_path("byte_bpe_50k.tiktoken")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = byte_encoder(path).encode_ordinary
-        for batch in batches:
-            yield batch.drop(columns="_text").assign(n_tokens=[len(encode(t)) for t in batch["_text"]])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = byte_encoder(ranks_path or default_path("byte_bpe_50k.tiktoken")).encode_ordinary
+        for part in text_slices(batches):
+            n = pa.array([len(encode(t)) for t in part.column("_text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], n], [*part.schema.names[:-1], "n_tokens"])
 
     kept = docs.select(*keep, text_or_empty().alias("_text"))
-    return kept.mapInPandas(count, ", ".join([*(f"`{c}` {t}" for c, t in kept.drop("_text").dtypes), "n_tokens long"]))
+    return kept.mapInArrow(count, ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[:-1]), "n_tokens long"]))
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

@@ -37,34 +37,29 @@ def word_tokenizer(path: str):
     return tokenizer
 
 
-def word_model(path: str):
-    """The same vocabulary and merges for single words that are normalised already: no splitting, no special tokens.
-    Not kept by the worker: only one stage needs it."""
+@functools.lru_cache(maxsize=1)
+def word_parts(path: str):
+    """From one reading of a JSON file: the same vocabulary and merges for single words that are normalised already (no
+    splitting, no special tokens), the piece of each id, and the ids of the special tokens' strings."""
     import json
+    import os
+
+    import numpy as np
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
 
-    with open(path, encoding="utf-8") as f:
-        parts = json.load(f)
-    parts.update(normalizer=None, pre_tokenizer=None, added_tokens=[], truncation=None, padding=None)
-    text = json.dumps(parts)
-    del parts
-    model = Tokenizer.from_str(text)
-    model.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-    return model
-
-
-@functools.lru_cache(maxsize=2)
-def pieces_and_specials(path: str) -> tuple[list[str], dict[str, int]]:
-    """The piece of each id of a JSON file, and the ids of its special tokens' strings; the tokenizer isn't loaded."""
-    import json
-
     with open(path, encoding="utf-8") as f:
         parts = json.load(f)
     specials = {a["content"]: a["id"] for a in parts["added_tokens"]}
     known = parts["model"]["vocab"] | specials
-    pieces = [""] * (max(known.values()) + 1)
+    pieces = np.full(max(known.values()) + 1, "", object)
     for piece, i in known.items():
         pieces[i] = piece
-    return pieces, specials
+    parts.update(normalizer=None, pre_tokenizer=None, added_tokens=[], truncation=None, padding=None)
+    text = json.dumps(parts)
+    del parts, known
+    model = Tokenizer.from_str(text)
+    model.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    return model, pieces, specials
