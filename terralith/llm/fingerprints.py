@@ -1,9 +1,10 @@
 """Document fingerprints: a threshold-scaled sketch of five-word shingles.
 
-Every shingle is hashed to 64 bits; the sketch keeps each hash below a fixed fraction of the hash range, so sketches
-of parts of a corpus merge by set union and the share of one sketch that another holds estimates containment,
-however unequal the two texts are.  A text with few distinct shingles (at most SHORT) is sketched at fraction 1; two sketches
-are compared at the smaller of their fractions, by dropping what the smaller one could not have kept.
+Every shingle is hashed to 64 bits; the sketch keeps each hash below a fixed fraction of the hash range, and always the
+least hash, so that no text with words has an empty sketch.  There is one fraction for texts of all lengths.  Sketches
+of parts of a corpus merge exactly: the sketch of two texts' shingles together is the union of their sketches, without
+a hash above the threshold that is no longer the least.  The share of one sketch that another holds estimates
+containment, however unequal the two texts are.
 
 DataFrame functions only: words by split, hashes by xxhash64, sets by array functions.
 """
@@ -17,9 +18,7 @@ from terralith.llm.common import materialize, table, text_or_empty
 
 WIDTH = 5
 #: The kept fraction is 2 ** -SCALE_BITS.
-SCALE_BITS = 3
-#: Texts with at most this many distinct shingles keep all of them.
-SHORT = 128
+SCALE_BITS = 2
 _WHITE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -36,49 +35,45 @@ def shingle_hashes(words: Column, width: int = WIDTH) -> Column:
     return F.when(n > 0, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def below(h: Column, bits: int = SCALE_BITS) -> Column:
-    """Whether a hash, read as an unsigned number, lies in the lowest 2 ** -bits of the range."""
-    return F.shiftrightunsigned(h, 64 - bits) == 0
+def threshold(bits: int = SCALE_BITS) -> int:
+    """Hashes, as signed numbers, are kept below this: the lowest 2 ** -bits of the range."""
+    return -(1 << 63) + (1 << (64 - bits))
 
 
-def with_sketch(df: DataFrame, text: str, out: str, bits: int = SCALE_BITS, short: int = SHORT) -> DataFrame:
-    """df with `out`: the sketch of column `text`, a struct of `whole` (whether it keeps every hash) and `kept`,
-    the sorted distinct hashes."""
-    df = df.withColumn("_words", word_hashes(F.col(text))).withColumn("_all", F.array_distinct(shingle_hashes(F.col("_words"))))
-    whole = F.size("_all") <= short
-    kept = F.array_sort(F.when(whole, F.col("_all")).otherwise(F.filter("_all", lambda h: below(h, bits))))
-    return df.withColumn(out, F.struct(whole.alias("whole"), kept.alias("kept"))).drop("_words", "_all")
+def _kept(hashes: Column, bits: int) -> Column:
+    least = F.array_min(hashes)
+    return F.array_sort(F.filter(hashes, lambda h: (h < threshold(bits)) | (h == least)))
 
 
-def merge(a: Column, b: Column, bits: int = SCALE_BITS) -> Column:
-    """The sketch of both texts' shingles together."""
-    kept = F.filter(F.array_union(a["kept"], b["kept"]), lambda h: (a["whole"] & b["whole"]) | below(h, bits))
-    return F.struct((a["whole"] & b["whole"]).alias("whole"), F.array_sort(kept).alias("kept"))
+def with_sketch(df: DataFrame, text: str, out: str, bits: int = SCALE_BITS) -> DataFrame:
+    """df with `out`: the sketch of column `text`, the sorted distinct hashes that are kept.  A text without words
+    (null, empty, white) has an empty sketch."""
+    df = df.withColumn("_all", F.array_distinct(shingle_hashes(word_hashes(F.col(text)))))
+    return df.withColumn(out, _kept(F.col("_all"), bits)).drop("_all")
 
 
-def _comparable(a: Column, b: Column, bits: int) -> Column:
-    return F.when(a["whole"] & ~b["whole"], F.filter(a["kept"], lambda h: below(h, bits))).otherwise(a["kept"])
+def merge(a: Column, b: Column, bits: int = SCALE_BITS) -> Column:
+    """The sketch of both texts' shingles together: exactly the sketch of the union."""
+    return _kept(F.array_union(a, b), bits)
 
 
-def likeness(a: Column, b: Column, bits: int = SCALE_BITS) -> Column:
-    """Estimated share of common shingles among all shingles of two texts; 1 for equal sketches, two empty ones
-    too, and 0 if only one of them is empty."""
-    x, y = _comparable(a, b, bits), _comparable(b, a, bits)
-    both = F.size(F.array_intersect(x, y))
-    either = F.size(x) + F.size(y) - both
-    return F.when(a == b, F.lit(1.0)).when(either > 0, both / either).otherwise(F.lit(0.0))
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated share of common shingles among all shingles of two texts: the share of common hashes in both sketches'
+    union.  1 for equal sketches, two empty ones too, and 0 if only one of them is empty.  (A hash above the threshold
+    is in a sketch only alone, so it counts only where the other sketch is the same.)"""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(a == b, F.lit(1.0)).when(both > 0, both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
 
 
-def containment(a: Column, b: Column, bits: int = SCALE_BITS) -> Column:
-    """Estimated share of a's shingles that b has; 1 if a is empty."""
-    x = _comparable(a, b, bits)
-    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, _comparable(b, a, bits))) / F.size(x)).otherwise(F.lit(1.0))
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of a's shingles that b has; 1 if a is empty.  If a's only hash lies above the threshold (few
+    shingles: one in four texts of five shingles), 1 if b's sketch has it and else 0."""
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(1.0))
 
 
 def render(sketch: Column) -> Column:
-    """The sketch as text: w (whole) or s (scaled), then 16 hexadecimal digits a hash."""
-    digits = F.array_join(F.transform(sketch["kept"], lambda h: F.lpad(F.hex(h), 16, "0")), "")
-    return F.concat(F.when(sketch["whole"], F.lit("w")).otherwise(F.lit("s")), digits)
+    """The sketch as text: 16 hexadecimal digits a hash."""
+    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
 def next_ids(ids: DataFrame, parts: int | None = None) -> DataFrame:
