@@ -1,9 +1,10 @@
 """Exact top-k search by distributed histogram selection.
 
-Vectors of scaled integers are packed into blocks; every block of queries meets every block of candidates.  Each round
-scores everything and counts scores in histograms that are summed over all candidates; the bin that holds a query's
-kth score is the range of the next round, until it is one value wide.  A last pass keeps the scores above the kth and,
-of the ties at it, those with the smallest ids.
+Vectors of scaled integers are written once, in blocks, to the shared folder; rows that move between tasks name blocks
+only.  Every block of queries meets every block of candidates.  Each round scores everything and counts scores in
+histograms that are summed over all candidates; the bin that holds a query's kth score is the range of the next round,
+until it is one value wide.  A last pass keeps the scores above the kth and, of the ties at it, those with the smallest
+ids.
 
 A task sends, for each query, only the bins down to the one in which its own kth score lies: the global kth score is
 never below that, so the bins that decide are complete, and rows sent are bounded by k, not by the candidates.
@@ -19,31 +20,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralith.llm.common import frame, materialize, table
+from terralith.llm.common import frame, materialize, scratch_dir, table
 
-#: Rows of a block of candidates and of queries: bounds what a task holds and what is sent at once.
-CANDIDATES, QUERIES = 2048, 512
+#: Rows of a block of queries and of candidates; a task holds one block of queries and WAVE rows of candidates.
+QUERIES, CANDIDATES, WAVE = 512, 1 << 14, 2048
 BINS = 4096
 SCALE = 256.0
 
-_BLOCKS = "block string, dim int, norm double, ids binary, data binary"
+_BLOCKS = "block string, dim int, norm double, n long, file string, start long"
 
 
-def pack(vectors: DataFrame, rows: int) -> DataFrame:
-    """Blocks of vectors (vec_id, embedding), each component x as floor(256 x).
+def pack(vectors: DataFrame, rows: int, folder: str) -> DataFrame:
+    """Write vectors (vec_id, embedding), each component x as floor(256 x), in blocks of `rows` to files below `folder`
+    and return where the blocks are.  A block is n ids (long), then n * dim components (double).
 
     Rows with a null id, a null vector, or null or non-finite components are left out.  Vectors of different lengths
     never share a block.  norm: the largest Euclidean norm in the block.
     """
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
         held: dict[int, list] = {}
+        name, out, at = uuid.uuid4().hex, None, 0
 
         def emit(dim: int) -> pd.DataFrame:
+            nonlocal out, at
             part = held.pop(dim)
             data = np.stack([v for _, v in part]) if dim else np.zeros((len(part), 0))
             norm = float(np.sqrt((data * data).sum(axis=1)).max())
-            return frame(block=[uuid.uuid4().hex], dim=[dim], norm=[norm], ids=[np.array([i for i, _ in part], np.int64).tobytes()], data=[data.tobytes()])
+            out = out or store.open_output_stream(f"{root}/{name}", compression=None)
+            out.write(np.array([i for i, _ in part], np.int64).tobytes())
+            out.write(data.tobytes())
+            row = frame(block=[f"{name}-{at}"], dim=[dim], norm=[norm], n=[len(part)], file=[name], start=[at])
+            at += 8 * len(part) * (1 + dim)
+            return row
 
         for batch in batches:
             for i, x in zip(batch["vec_id"], batch["embedding"]):
@@ -57,32 +70,52 @@ def pack(vectors: DataFrame, rows: int) -> DataFrame:
                     yield emit(len(v))
         for dim in list(held):
             yield emit(dim)
+        if out is not None:
+            out.close()
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL").mapInPandas(blocks, _BLOCKS)
-
+    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    return materialize(valid.mapInPandas(blocks, _BLOCKS))
 
 
+def _pair_up(queries: DataFrame, candidates: DataFrame, lows: DataFrame) -> DataFrame:
+    """The name of every block of queries with the name of every block of candidates of the same length, and the start
+    of each query's range; dealt out one pair a task, up to TASKS tasks."""
+    q = queries.select("block", "dim", F.col("n").alias("q_n"), F.col("file").alias("q_file"), F.col("start").alias("q_start"))
+    q = q.join(lows.withColumnRenamed("block", "_b"), F.col("block") == F.col("_b")).drop("_b", "block")
+    c = candidates.select(F.col("dim").alias("_dim"), F.col("n").alias("c_n"), F.col("file").alias("c_file"), F.col("start").alias("c_start"))
+    counts = [{r["dim"]: r["n"] for r in x.groupBy("dim").agg(F.count("*").alias("n")).collect()} for x in (queries, candidates)]
+    pairs = sum(n * counts[1].get(dim, 0) for dim, n in counts[0].items())
+    return q.join(c, F.col("dim") == F.col("_dim")).drop("_dim").repartition(min(max(1, pairs), TASKS))
 
 
-def _pair_up(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every block of queries with every block of candidates of the same length.  Pairs are made of block names;
-    contents then join them."""
-    q = queries.select(F.col("block").alias("q_block"), "dim")
-    c = candidates.select(F.col("block").alias("c_block"), F.col("dim").alias("c_dim"))
-    pairs = q.join(c, F.col("dim") == F.col("c_dim")).select("q_block", "c_block", "dim")
-    pairs = pairs.join(queries.select(F.col("block").alias("_q"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "lows", "width", "span"), F.col("q_block") == F.col("_q"))
-    pairs = pairs.join(candidates.select(F.col("block").alias("_c"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data")), F.col("c_block") == F.col("_c"))
-    return pairs.select("q_ids", "q_data", "lows", "width", "span", "c_ids", "c_data", "dim")
+#: More pairs than this share tasks.
+TASKS = 20000
 
 
-def _scored(per_pair: Callable, schema: str, pairs: DataFrame) -> DataFrame:
+def _scored(per_wave: Callable, schema: str, pairs: DataFrame, folders: tuple[str, str], width: float, span: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        (store, q_root), (_, c_root) = map(fs.FileSystem.from_uri, folders)
+
+        def read(f, at: int, n: int, dim: int, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+            last = n if last is None else last
+            ids = f.read_at(8 * (last - first), at + 8 * first)
+            data = f.read_at(8 * dim * (last - first), at + 8 * n + 8 * dim * first)
+            return np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(last - first, dim)
+
         for batch in batches:
-            for q_ids, q_data, lows, width, span, c_ids, c_data, dim in batch.itertuples(index=False):
-                q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-                scores = np.frombuffer(q_data).reshape(len(q_ids), dim) @ np.frombuffer(c_data).reshape(len(c_ids), dim).T
-                scores[q_ids[:, None] == c_ids[None, :]] = -np.inf  # a query is no candidate of its own
-                yield per_pair(q_ids, scores, np.frombuffer(lows), width, span, c_ids)
+            for p in batch.itertuples(index=False):
+                with store.open_input_file(f"{q_root}/{p.q_file}") as f:
+                    q_ids, q = read(f, p.q_start, p.q_n, p.dim)
+                low = dict(zip(np.frombuffer(p.ids, np.int64).tolist(), np.frombuffer(p.lows).tolist()))
+                lows = np.array([low[i] for i in q_ids.tolist()])
+                with store.open_input_file(f"{c_root}/{p.c_file}") as f:
+                    for first in range(0, p.c_n, WAVE):
+                        c_ids, c = read(f, p.c_start, p.c_n, p.dim, first, min(p.c_n, first + WAVE))
+                        scores = q @ c.T
+                        scores[q_ids[:, None] == c_ids[None, :]] = -np.inf  # a query is no candidate of its own
+                        yield per_wave(q_ids, scores, lows, width, span, c_ids)
 
     return pairs.mapInPandas(run, schema)
 
@@ -118,20 +151,13 @@ def _winners(k: int) -> Callable:
     return keep
 
 
-def _with_lows(blocks: DataFrame, lows: DataFrame, width: float, span: float) -> DataFrame:
-    """Blocks of queries with the start of each query's range, in the order of their ids, and with the width of a bin
-    and of the range.  lows (block, query_id, low)."""
+def _by_block(lows: DataFrame) -> DataFrame:
+    """lows (block, query_id, low) as one row a block: ids and lows, binary.  A block has QUERIES queries at most."""
 
-    def merge(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(block):
-            return frame(block=[], dim=[], ids=[], data=[], lows=[], width=[], span=[])
-        ids = np.frombuffer(block["ids"].iloc[0], np.int64)
-        low = dict(zip(known["query_id"].tolist(), known["low"].tolist()))
-        b = block.iloc[0]
-        return frame(block=[b["name"]], dim=[int(b["dim"])], ids=[b["ids"]], data=[b["data"]], lows=[np.array([low.get(i, -np.inf) for i in ids.tolist()]).tobytes()], width=[width], span=[span])
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        return frame(block=[rows["block"].iloc[0]], ids=[rows["query_id"].to_numpy(np.int64).tobytes()], lows=[rows["low"].to_numpy(np.float64).tobytes()])
 
-    own = blocks.select(F.col("block").alias("name"), "dim", "ids", "data")
-    return own.groupBy("name").cogroup(lows.groupBy("block")).applyInPandas(merge, "block string, dim int, ids binary, data binary, lows binary, width double, span double")
+    return materialize(lows.select("block", "query_id", "low").groupBy("block").applyInPandas(joined, "block string, ids binary, lows binary"))
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
@@ -145,17 +171,17 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """
     spark = candidates.sparkSession
     single = queries.select("vec_id", "embedding").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    q_blocks, c_blocks = materialize(pack(single, QUERIES)), materialize(pack(candidates, CANDIDATES))
+    folders = scratch_dir(spark), scratch_dir(spark)
+    q_blocks, c_blocks = pack(single, QUERIES, folders[0]), pack(candidates, CANDIDATES, folders[1])
     most = c_blocks.agg(F.max("norm")).first()[0], q_blocks.agg(F.max("norm")).first()[0]
     if None in most:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    names = q_blocks.select("block", "ids").mapInPandas(_ids, "block string, query_id long")
-    names = materialize(names)
+    names = materialize(q_blocks.select("block", "n", "file", "start").mapInPandas(_ids(folders[0]), "block string, query_id long"))
     bound = float(np.ceil(most[0] * most[1])) + 1
     lows, width = names.withColumn("low", F.lit(-bound)).withColumn("above", F.lit(0).cast("long")), float(np.ceil((2 * bound + 1) / BINS))
     span = width * BINS
     while True:
-        counted = _scored(_histograms(k), "query_id long, bin long, n long", _pair_up(_with_lows(q_blocks, lows, width, span), c_blocks))
+        counted = _scored(_histograms(k), "query_id long, bin long, n long", _pair_up(q_blocks, c_blocks, _by_block(lows)), folders, width, span)
         summed = counted.groupBy("query_id", "bin").agg(F.sum("n").alias("n")).withColumnRenamed("query_id", "_q")
         down = Window.partitionBy("_q").orderBy(F.desc("bin"))
         held = summed.join(lows.select(F.col("query_id").alias("_id"), "above"), F.col("_q") == F.col("_id")).withColumn("_upper", F.col("above") + F.sum("n").over(down) - F.col("n"))
@@ -167,15 +193,22 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
         if width <= 1:
             break
         width, span = float(np.ceil(width / BINS)), width
-    best = _scored(_winners(k), "query_id long, vec_id long, score long", _pair_up(_with_lows(q_blocks, lows, 1.0, 1.0), c_blocks))
+    best = _scored(_winners(k), "query_id long, vec_id long, score long", _pair_up(q_blocks, c_blocks, _by_block(lows)), folders, 1.0, 1.0)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for name, ids in zip(batch["block"], batch["ids"]):
-            yield frame(block=name, query_id=np.frombuffer(ids, np.int64))
+def _ids(folder: str) -> Callable:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for b in batch.itertuples(index=False):
+                with store.open_input_file(f"{root}/{b.file}") as f:
+                    yield frame(block=b.block, query_id=np.frombuffer(f.read_at(8 * b.n, b.start), np.int64))
+
+    return read
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
