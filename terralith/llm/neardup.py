@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import chunks_of, frame, materialize, mix64, shingle_hashes, table, text_key, text_or_empty
+from terralith.llm.common import clear_of, frame, materialize, mix64, quoted, record_batch, shingle_hashes, table, text_key, text_or_empty, text_slices
 from terralith.llm.components import components, relabel
 
 THRESHOLD = 0.8
@@ -39,6 +39,8 @@ SHARE = 0.75
 AGREE = 22
 #: Members of a bucket are compared in blocks of about this many, one of them with so many others at once.
 BLOCK, AT_ONCE = 512, 64
+#: Or fewer members, so that a block has about this many bytes of text.
+BLOCK_BYTES = 1 << 23
 #: A task looks for frequent shingles in blocks of about this many shingles; what it finds is sent by hash range, in
 #: SLABS ranges or one for each SLAB_ROWS rows.
 SLABS, SLAB_ROWS = 64, 1 << 16
@@ -53,11 +55,9 @@ def _distinct(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [np.unique(s, return_counts=True) for s in shingle_hashes(texts)]
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
-    for batch in batches:
-        texts = batch["_text"].tolist()
-        for part in chunks_of(texts, 1 << 19):
-            yield [np.unique(s) for s in shingle_hashes(texts[part])]
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for part in text_slices(batches, limit=1 << 19):
+        yield [np.unique(s) for s in shingle_hashes(part.column("_text").to_pylist())]
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -69,18 +69,18 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return empty
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         sizes: list[int] = []
 
-        def emit(upto: int) -> pd.DataFrame:
+        def emit(upto: int) -> pa.RecordBatch:
             h, count = np.unique(np.concatenate(held[:upto]), return_counts=True)
             often = count >= upto * SHARE / RARE
             del held[:upto], sizes[:upto]
             h, count = h[often], count[often]
             ends = np.searchsorted(h, edges).tolist()
             parts = [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], [*ends, len(h)])) if b > a]
-            return frame(slab=[k for k, _, _ in parts], h=[h[a:b].tobytes() for _, a, b in parts], n=[count[a:b].astype(np.int64).tobytes() for _, a, b in parts])
+            return record_batch(slab=pa.array([k for k, _, _ in parts], pa.int64()), h=pa.array([h[a:b].tobytes() for _, a, b in parts], pa.binary()), n=pa.array([count[a:b].astype(np.int64).tobytes() for _, a, b in parts], pa.binary()))
 
         for found in _sets(batches):
             held += found
@@ -102,23 +102,23 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     slabs, counted_once = max(SLABS, n // SLAB_ROWS), n * SHARE <= RARE
     edges = np.array([(k << 64) // slabs for k in range(1, slabs)], np.uint64)
     least = max(2.0, n / RARE) if counted_once else n * (1 - SHARE) / RARE
-    lower = docs.mapInPandas(candidates, "slab long, h binary, n binary").groupBy("slab").applyInPandas(summed, "h long, n long").toPandas()
+    lower = docs.mapInArrow(candidates, "slab long, h binary, n binary").groupBy("slab").applyInPandas(summed, "h long, n long").toPandas()
     if counted_once:
         rows = lower
     else:
         asked = np.sort(lower["h"].to_numpy().view(np.uint64))
         shared = spark.sparkContext.broadcast(asked)
 
-        def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(len(shared.value), np.int64)
             for found in _sets(batches):
                 if len(counts) and (joined := np.concatenate(found)).size:
                     at = np.minimum(np.searchsorted(shared.value, joined), len(counts) - 1)
                     counts += np.bincount(at[shared.value[at] == joined], minlength=len(counts))
             there = np.flatnonzero(counts)
-            yield frame(h=shared.value[there].view(np.int64), n=counts[there])
+            yield record_batch(h=shared.value[there].view(np.int64), n=counts[there])
 
-        rows = docs.mapInPandas(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2.0, n / RARE)).toPandas()
+        rows = docs.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2.0, n / RARE)).toPandas()
     h = rows["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     idf = 1 + np.log(n / rows["n"].to_numpy().astype(np.float64)) / np.log(RARE)
@@ -197,30 +197,28 @@ def signed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     n = 2 * SAMPLES // ROWS
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["_text"].tolist()
-            for part in chunks_of(texts, 1 << 19):
-                sets = _distinct(texts[part])
-                full = [i for i, (h, _) in enumerate(sets) if len(h)]
-                bands: list = [[] for _ in sets]
-                samples: list = [b""] * len(sets)
-                if full:
-                    h = np.concatenate([sets[i][0] for i in full])
-                    w = weights(h, np.concatenate([sets[i][1] for i in full]), shared.value)
-                    sizes = np.array([len(sets[i][0]) for i in full])
-                    starts = np.cumsum(sizes) - sizes
-                    found = np.concatenate([weighted_samples(h, w, starts), plain_samples(h, starts)], axis=1)
-                    keys = np.zeros((len(full), n), np.uint64)
-                    for k in range(ROWS):
-                        keys = mix64(keys + found[:, k::ROWS] + np.uint64(k))
-                    keys = mix64(keys + np.arange(n, dtype=np.uint64)).view(np.int64)
-                    short = found.astype(np.uint16)
-                    for row, i in enumerate(full):
-                        bands[i], samples[i] = keys[row], short[row].tobytes()
-                yield frame(doc_id=batch["doc_id"].iloc[part], text_key=batch["text_key"].iloc[part], bands=bands, samples=samples)
-
-    return docs.mapInPandas(sign, "doc_id long, text_key string, bands array<long>, samples binary")
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, limit=1 << 19):
+            sets = _distinct(part.column("_text").to_pylist())
+            full = [i for i, (h, _) in enumerate(sets) if len(h)]
+            keys, samples = np.zeros((len(full), n), np.uint64), [b""] * len(sets)
+            if full:
+                h = np.concatenate([sets[i][0] for i in full])
+                w = weights(h, np.concatenate([sets[i][1] for i in full]), shared.value)
+                sizes = np.array([len(sets[i][0]) for i in full])
+                starts = np.cumsum(sizes) - sizes
+                found = np.concatenate([weighted_samples(h, w, starts), plain_samples(h, starts)], axis=1)
+                for k in range(ROWS):
+                    keys = mix64(keys + found[:, k::ROWS] + np.uint64(k))
+                keys = mix64(keys + np.arange(n, dtype=np.uint64))
+                short = found.astype(np.uint16)
+                for row, i in enumerate(full):
+                    samples[i] = short[row].tobytes()
+            ends = np.cumsum([n if len(h) else 0 for h, _ in sets], dtype=np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[np.int32(0)], ends])), pa.array(keys.view(np.int64).ravel()))
+            yield record_batch(doc_id=part.column("doc_id"), text_key=part.column("text_key"), bands=bands, samples=pa.array(samples, pa.binary()))
+
+    return docs.select("doc_id", "text_key", "_text").mapInArrow(sign, "doc_id long, text_key string, bands array<long>, samples binary")
 
 
 # --- candidates -------------------------------------------------------------------------------------
@@ -299,18 +297,19 @@ def _cell_links(band: int, same: bool, members: list, frequent: tuple[np.ndarray
 
 
 def cross_links(members: DataFrame, texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
-    """Links (a, b) that join different classes, from members (bucket, band, tid, class, samples) and texts (tid,
-    _text).
+    """Links (a, b) that join different classes, from members (bucket, band, tid, class, samples, bytes) and texts
+    (tid, _text).
 
     Buckets of one class are left out.  A bucket's largest class and the rest are dealt into blocks of about BLOCK
-    members each.  A cell is two blocks of the rest, or one of the rest and one of the largest class, so no task holds
+    members or BLOCK_BYTES of text each.  A cell is two blocks of the rest, or one of the rest and one of the largest class, so no task holds
     more than two blocks, and members of the largest class are sent as often as the rest has blocks.  All pairs of
     different classes of which AGREE samples of a kind agree are held against each other within their cell; what leaves it are
     the links that join classes, fewer than the cell has members.
     """
-    sizes = members.groupBy("bucket", "class").agg(F.count("*").alias("_n"))
+    # a member counts as a BLOCK-th of a block, or as the share of BLOCK_BYTES that its text has
+    sizes = members.groupBy("bucket", "class").agg(F.sum(F.greatest(F.lit(1.0), F.col("bytes") * (BLOCK / BLOCK_BYTES))).alias("_n"))
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("_classes"), F.max_by("class", F.struct("_n", "class")).alias("_largest"), F.max("_n").alias("_most"), F.sum("_n").alias("_all")).filter("_classes > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK).cast("int"))
     mixed = materialize(mixed.select(F.col("bucket").alias("_bucket"), "_largest", blocks(F.col("_most")).alias("_b"), blocks(F.col("_all") - F.col("_most")).alias("_r")))
     rows = members.join(mixed, F.col("bucket") == F.col("_bucket")).withColumn("_in", F.col("class") == F.col("_largest"))
     rows = rows.join(texts.select(F.col("tid").alias("_t"), "_text"), F.col("tid") == F.col("_t"))
@@ -358,14 +357,14 @@ def verified(pairs: DataFrame, texts: DataFrame, frequent: tuple[np.ndarray, np.
     """Pairs (a, b) that are linked, with both similarities.  texts (tid, _text)."""
     shared = pairs.sparkSession.sparkContext.broadcast(frequent)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [similarities(x, y, shared.value) for x, y in zip(batch["_x"], batch["_y"])]
-            yield frame(a=batch["a"], b=batch["b"], similarity=[f[0] for f in found], plain=[f[1] for f in found])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "_x", 1 << 18):
+            found = [similarities(x.as_py(), y.as_py(), shared.value) for x, y in zip(part.column("_x"), part.column("_y"))]
+            yield record_batch(a=part.column("a"), b=part.column("b"), similarity=pa.array([f[0] for f in found], pa.float64()), plain=pa.array([f[1] for f in found], pa.float64()))
 
     both = pairs.join(texts.select(F.col("tid").alias("_s"), F.col("_text").alias("_x")), F.col("a") == F.col("_s"))
     both = both.join(texts.select(F.col("tid").alias("_t"), F.col("_text").alias("_y")), F.col("b") == F.col("_t")).select("a", "b", "_x", "_y")
-    linked = both.mapInPandas(compare, "a long, b long, similarity double, plain double")
+    linked = both.mapInArrow(compare, "a long, b long, similarity double, plain double")
     return linked.filter(F.greatest("similarity", "plain") >= threshold)
 
 
@@ -393,13 +392,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # a text is fetched from the row with its least id, from one of them if it is repeated
     own = full.select("_text", "text_key", F.coalesce("doc_id", F.lit(_LAST)).alias("_id"))
     fetched = own.join(needed, (F.col("text_key") == F.col("_key")) & (F.col("_id") == F.col("least_id"))).select("tid", "_text")
-    fetched = materialize(fetched.dropDuplicates(["tid"]))
+    fetched = materialize(fetched.dropDuplicates(["tid"]).withColumn("bytes", F.octet_length("_text")))
 
     pairs = materialize(star_pairs(members.select("bucket", "tid")))
     labels = components(materialize(verified(pairs, fetched, frequent, threshold).select("a", "b")))
     known = texts.select(F.col("tid").alias("_tid"), "samples")
+    known = known.join(fetched.select(F.col("tid").alias("_t"), "bytes"), F.col("_tid") == F.col("_t")).drop("_t")
     held = relabel(members.withColumn("class", F.col("tid")), labels, "class").join(known, F.col("tid") == F.col("_tid"))
-    links = materialize(cross_links(materialize(held.drop("_tid")), fetched, frequent, threshold))
+    links = materialize(cross_links(materialize(held.drop("_tid")), fetched.select("tid", "_text"), frequent, threshold))
     if not links.isEmpty():
         joined = components(relabel(relabel(links, labels, "a"), labels, "b"))
         # classes that were single texts so far enter the table too
@@ -418,10 +418,12 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without all but one row of each class: the one with the least doc_id (null ids last)."""
     found = materialize(classes(docs, threshold))
     kept = found.filter(F.coalesce("doc_id", F.lit(_LAST)) == F.coalesce("class_id", F.lit(_LAST)))
-    kept = kept.groupBy("root").agg(F.min_by(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("text_key").alias("_key")), "text_key").alias("_one")).select("_one.*")
-    joined = docs.withColumn("_own_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_own_key", text_key())
-    joined = joined.join(kept, (F.col("_own_key") == F.col("_key")) & (F.col("_own_id") == F.col("_id")))
-    return joined.dropDuplicates(["_own_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = {c: clear_of(c, docs.columns) for c in ("own_id", "own_key", "id", "key")}
+    one = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias(own["id"]), F.col("text_key").alias(own["key"]))
+    kept = kept.groupBy("root").agg(F.min_by(one, "text_key").alias("_one")).select("_one.*")
+    joined = docs.withColumn(own["own_id"], F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(own["own_key"], text_key())
+    joined = joined.join(kept, (F.col(own["own_key"]) == F.col(own["key"])) & (F.col(own["own_id"]) == F.col(own["id"])))
+    return joined.dropDuplicates([own["own_key"]]).select(*map(quoted, docs.columns))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
