@@ -53,11 +53,11 @@ def scratch_mark(spark: SparkSession) -> int:
     return len(_MADE.get(spark.sparkContext.applicationId, []))
 
 
-def drop_scratch(spark: SparkSession, mark: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Delete the scratch folders made since `mark`, but for `keep`.  Results that are not written yet may need them:
-    only for callers that have written what they want."""
+def drop_scratch(spark: SparkSession, mark: int = 0, keep: int = 0) -> None:
+    """Delete the scratch folders made since `mark`, but for the `keep` newest.  Results that are not written yet may
+    need them: only for callers that have written what they want."""
     made = _MADE.get(spark.sparkContext.applicationId, [])
-    for folder in [f for f in made[mark:] if f not in keep]:
+    for folder in made[mark : len(made) - keep]:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         made.remove(folder)

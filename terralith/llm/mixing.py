@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralith.llm.common import materialize, table, text_key, text_or_empty
+from terralith.llm.common import clear_of, materialize, quoted, table, text_key, text_or_empty
 
 #: Weights dealt to the sources in code-point order, again and again.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -96,13 +96,15 @@ def mix(docs: DataFrame, seed: str = "mix-1", least_range: int = 512, total_shar
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """docs with each row repeated as often as the mix takes it (rows that it doesn't take go).  Rows that agree in
     id, text and source are one row here, repeated as often as all of them are taken."""
-    keyed = docs.withColumn("_text_key", text_key())
-    taken = mix(keyed, keep=("_text_key",), **how).groupBy("doc_id", "_text_key", "source").agg(F.sum(F.col("epochs") + F.col("selected")).alias("_times")).filter("_times > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key"), F.col("source").alias("_source"), "_times")
-    single = keyed.dropDuplicates(["doc_id", "_text_key", "source"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))
-    copies = single.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    return copies.select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = {c: clear_of(c, docs.columns) for c in ("text_key", "id", "key", "source", "times", "copy")}
+    keyed = docs.withColumn(own["text_key"], text_key())
+    rows = keyed.select("doc_id", "text", "source", F.col(own["text_key"]).alias("_text_key"))
+    taken = mix(rows, keep=("_text_key",), **how).groupBy("doc_id", "_text_key", "source").agg(F.sum(F.col("epochs") + F.col("selected")).alias("_times")).filter("_times > 0")
+    taken = taken.select(F.col("doc_id").alias(own["id"]), F.col("_text_key").alias(own["key"]), F.col("source").alias(own["source"]), F.col("_times").alias(own["times"]))
+    single = keyed.dropDuplicates(["doc_id", own["text_key"], "source"])
+    same = F.col("doc_id").eqNullSafe(F.col(own["id"])) & (F.col(own["text_key"]) == F.col(own["key"])) & F.col("source").eqNullSafe(F.col(own["source"]))
+    copies = single.join(taken, same).withColumn(own["copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(own["times"]))))
+    return copies.select(*map(quoted, docs.columns))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:

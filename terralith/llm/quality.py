@@ -14,16 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import chunks_of, frame, id_bucket, joined_bytes, materialize, mix64, run_hashes, segments, table, text_or_empty
+from terralith.llm.common import array_slices, chunks_of, clear_of, frame, id_bucket, joined_bytes, materialize, mix64, quoted, record_batch, run_hashes, segments, table, text_or_empty, text_slices
 
 #: Features are hashed into this many places; counts are summed in slabs of SLAB places.
 PLACES, SLAB = 1 << 18, 1 << 12
 #: The hinge-loss model is fitted on about this many distinct labelled texts, up to half of them of each class, chosen by
 #: a hash of the text.
 SAMPLE = 2000
+#: Or fewer, so that they have about this many bytes.
+SAMPLE_BYTES = 1 << 24
 #: Share of the sample that fits the logistic curve instead.
 CALIBRATION = 0.25
 THRESHOLD = 0.3
@@ -89,25 +92,27 @@ def feature_places(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _count_and_sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_and_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (text, label, sampled): slabs of counts per class, and the places of sampled documents."""
     counts, docs, seen = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64), set()
-    for batch in batches:
-        texts, labels, sampled = batch["text"].tolist(), batch["label"].tolist(), batch["sampled"].tolist()
-        for part in chunks_of(texts, 1 << 18):
-            kept = []
-            for label, chosen, places in zip(labels[part], sampled[part], feature_places(texts[part])):
-                counts[label][places] += 1
-                docs[label] += 1
-                if chosen >= 0 and (label, chosen) not in seen:
-                    seen.add((label, chosen))
-                    kept.append((label, chosen, places.tobytes()))
-            if kept:
-                yield frame(slab=-1, label=[k[0] for k in kept], n=[k[1] for k in kept], data=[k[2] for k in kept])
+
+    def rows(slab: list[int], label: list[int], n: list[int], data: list[bytes]) -> pa.RecordBatch:
+        return record_batch(slab=pa.array(slab, pa.int32()), label=pa.array(label, pa.int32()), n=pa.array(n, pa.int64()), data=pa.array(data, pa.binary()))
+
+    for part in text_slices(batches, "text", 1 << 18):
+        kept = []
+        for label, chosen, places in zip(part.column("label").to_pylist(), part.column("sampled").to_pylist(), feature_places(part.column("text").to_pylist())):
+            counts[label][places] += 1
+            docs[label] += 1
+            if chosen >= 0 and (label, chosen) not in seen:
+                seen.add((label, chosen))
+                kept.append((label, chosen, places.tobytes()))
+        if kept:
+            yield rows([-1] * len(kept), *map(list, zip(*kept)))
     for label in (0, 1):
         if docs[label]:
             slabs = np.flatnonzero(counts[label].reshape(-1, SLAB).any(axis=1)).tolist()
-            yield frame(slab=[*slabs, -2], label=label, n=[0] * len(slabs) + [int(docs[label])], data=[counts[label][s * SLAB : (s + 1) * SLAB].tobytes() for s in slabs] + [b""])
+            yield rows([*slabs, -2], [label] * (len(slabs) + 1), [0] * len(slabs) + [int(docs[label])], [counts[label][s * SLAB : (s + 1) * SLAB].tobytes() for s in slabs] + [b""])
 
 
 _PART = "slab int, label int, n long, data binary"
@@ -209,19 +214,24 @@ def fit(counts: np.ndarray, docs: np.ndarray, sample: list[tuple[int, int, np.nd
     return model
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
+def train(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Classifier:
     """From labelled (doc_id, text, quality); rows with null quality are ignored, quality >= 1 is class 1.  Labels of
-    repeated rows each count.  Without rows every score is 0.5."""
+    repeated rows each count.  Without rows every score is 0.5.  `sample` and `sample_bytes` bound the number and the
+    bytes of the texts that the hinge-loss model is fitted on; what comes to the driver of them is at most four bytes
+    for each of seven features a byte."""
     rows = labelled.filter(F.col("quality").isNotNull())
     label = (F.col("quality") >= 1).cast("int")
     hashed = F.col("text_hash") if "text_hash" in labelled.columns else F.xxhash64(text_or_empty())
     order = F.shiftrightunsigned(hashed, 2)
     # copies count once, or a large group of them would fill the sample
-    distinct = {r[0]: r[1] for r in rows.select(label.alias("label"), order.alias("order")).distinct().groupBy("label").count().collect()}
-    upto = [int((1 << 62) * min(1.0, sample / 2 / max(distinct.get(k, 0), 1))) for k in (0, 1)]
+    size = F.col("text_bytes") if "text_bytes" in labelled.columns else F.octet_length(text_or_empty())
+    # copies count once, or a large group of them would fill the sample
+    distinct = rows.select(label.alias("label"), order.alias("order"), size.alias("size")).distinct().groupBy("label").agg(F.count("*"), F.sum("size"))
+    share = {k: min(1.0, sample / 2 / max(n, 1), sample_bytes / 2 / max(total, 1)) for k, n, total in distinct.collect()}
+    upto = [int((1 << 62) * share.get(k, 0.0)) for k in (0, 1)]
     chosen = order < F.when(label == 1, F.lit(upto[1])).otherwise(F.lit(upto[0]))
     rows = rows.select(text_or_empty().alias("text"), (F.col("quality") >= 1).cast("int").alias("label"), F.when(chosen, order).otherwise(-1).alias("sampled"))
-    parts = materialize(rows.mapInPandas(_count_and_sample, _PART))
+    parts = materialize(rows.mapInArrow(_count_and_sample, _PART))
     counts, docs = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64)
     # at most 2 * PLACES / SLAB rows of SLAB counts, then about `sample` rows of at most PLACES places
     for slab, label, data in parts.filter("slab >= 0").groupBy("slab", "label").applyInPandas(_sum_slab, "slab int, label int, data binary").collect():
@@ -232,19 +242,32 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
     return fit(counts, docs, picked)
 
 
+def score_of(spark: SparkSession, model: Classifier, text: str = "text") -> F.Column:
+    """The score of the column `text`; null counts as empty."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        parts = [shared.value.scores(texts[part].to_pylist()) for part in array_slices(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return scored(text_or_empty(text))
+
+
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (0 to 1, higher: class 1 likelier) and predicted (1 if score >= threshold, else 0).
+    """docs with score (0 to 1, higher: class 1 likelier) and predicted (1 if score >= threshold, else 0); columns of
+    these names that docs has are replaced (`accepted` keeps them).
 
     Null text is empty; an empty text has the score of the constant feature alone.  Whole texts are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = clear_of("score", docs.columns)
+    kept = [quoted(c) for c in docs.columns if c not in ("score", "predicted")]
+    return docs.withColumn(name, score_of(docs.sparkSession, model)).select(*kept, F.col(name).alias("score"), (F.col(name) >= threshold).cast("int").alias("predicted"))
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
-    return docs.withColumn("_score", scored(text_or_empty())).select(*kept, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+def accepted(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs with a score of at least `threshold`, all columns as they are."""
+    return docs.filter(score_of(docs.sparkSession, model) >= threshold)
 
 
 def held_out() -> F.Column:
@@ -252,10 +275,10 @@ def held_out() -> F.Column:
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, text_hash, quality) of the documents that have a label; of several labels of an id the greatest holds.
+    """(doc_id, text, text_hash, text_bytes, quality) of the documents that have a label; of several labels of an id the greatest holds.
     Labels grow with the documents, so both sides are dealt out by id at any size."""
     best = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("text_hash")).join(best.hint("merge"), "doc_id")
+    return docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("text_hash"), F.octet_length(text_or_empty()).alias("text_bytes")).join(best.hint("merge"), "doc_id")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,7 +142,7 @@ def test_cells_find_every_link(spark, monkeypatch, block):
     frequent = neardup.frequent_shingles(docs.select("_text"))
     signed = neardup.signed(docs, frequent).select(F.col("doc_id").alias("tid"), "samples")
     # the same band everywhere: the check for the first shared band must not hide any pair here
-    members = signed.crossJoin(spark.range(14).select(F.col("id").cast("int").alias("band"))).withColumn("bucket", F.col("band").cast("long"))
+    members = signed.withColumn("bytes", F.lit(300)).crossJoin(spark.range(14).select(F.col("id").cast("int").alias("band"))).withColumn("bucket", F.col("band").cast("long"))
     members = members.withColumn("class", F.when(F.col("tid") < 7, F.lit(0)).otherwise(F.col("tid")))
     links = [(r["a"], r["b"]) for r in neardup.cross_links(members, docs.select(F.col("doc_id").alias("tid"), "_text"), frequent, 0.8).collect()]
     edges = links + [(0, i) for i in range(7)]

@@ -25,30 +25,56 @@ def chain(values, coded):
     return seed
 
 
-def brute_sketch(text):
+def shingles(text):
     words = [w for w in re.split(r"[ \t\n\x0B\f\r]+", (text or "").lower()) if w]
-    if not words:
-        return "w"
     hashed = [signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in words]
-    runs = [hashed[i : i + 5] for i in range(max(len(hashed) - 5, 0) + 1)]
-    full = {chain(r, lambda v: v.to_bytes(8, "little", signed=True)) for r in runs}
-    whole = len(full) <= fingerprints.SHORT
-    kept = full if whole else {h for h in full if h < 1 << (64 - fingerprints.SCALE_BITS)}
-    return ("w" if whole else "s") + "".join(f"{h & ((1 << 64) - 1):016X}" for h in sorted(map(signed, kept)))
+    runs = [hashed[i : i + 5] for i in range(max(len(hashed) - 5, 0) + 1)] if words else []
+    return {signed(chain(r, lambda v: v.to_bytes(8, "little", signed=True))) for r in runs}
+
+
+def sketch_of(full):
+    """Those in the lowest quarter of the range, and the least."""
+    return {h for h in full if h < -(1 << 62) or h == min(full)}
+
+
+def rendered(sketch):
+    return "".join(f"{h & ((1 << 64) - 1):016X}" for h in sorted(sketch))
+
+
+def like(a, b):
+    return 1.0 if a == b else len(a & b) / len(a | b)
 
 
 def test_fingerprints_against_brute_force(spark):
     docs = sorted((r["doc_id"], r["text"] or "") for r in table(spark, SF, "documents").select("doc_id", "text").collect())
     got = {r["doc_id"]: r for r in fingerprints.op1_fingerprints(spark, SF).collect()}
     assert len(got) == len(docs)
+    off = []
     for k, (i, text) in enumerate(docs):
         other, cut = docs[(k + 1) % len(docs)][1], len(text) // 4
         edited = text[: len(text) - cut] + other[:cut]
-        r = got[i]
+        r, full = got[i], [shingles(t) for t in (text, edited, other)]
+        own, changed, following = map(sketch_of, full)
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["fingerprint"] == brute_sketch(text) and r["edited_fingerprint"] == brute_sketch(edited)
-        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
-    assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.95 * len(got)
+        assert r["fingerprint"] == rendered(own) and r["edited_fingerprint"] == rendered(changed)
+        assert r["near_edited"] == pytest.approx(like(own, changed)) and r["near_next"] == pytest.approx(like(own, following))
+        assert r["inside_edited"] == pytest.approx(len(own & changed) / len(own) if own else 1.0)
+        off += [abs(r["near_edited"] - like(full[0], full[1]))] if len(full[0]) > 100 else []
+    assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.9 * len(got)
+    assert sum(off) / len(off) < 0.06
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (3, 9), (100, 100), (100, 160), (160, 90), (5, 4000), (0, 7)])
+def test_sketch_of_a_union_is_the_union_of_sketches(spark, sizes):
+    rows = []
+    for k in range(20):
+        sets = [[f"{k}-{side}-{i}" if i % 3 else f"{k}-both-{i}" for i in range(n)] for side, n in enumerate(sizes)]
+        rows.append((sets[0], sets[1]))
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    hashed = [F.array_distinct(F.transform(c, lambda x: F.xxhash64(x))) for c in ("a", "b")]
+    own = [fingerprints._kept(h, 2) for h in (*hashed, F.array_union(*hashed))]
+    for merged, whole in df.select(fingerprints.merge(own[0], own[1]), own[2]).collect():
+        assert merged == whole
 
 
 def test_fingerprint_odd_rows(spark):
@@ -65,8 +91,8 @@ def test_sketches_merge_and_contain(spark):
     part = " ".join(f"w{i}" for i in range(3000))
     df = spark.createDataFrame([(part, part + " " + " ".join(f"v{i}" for i in range(30000)))], "a string, b string")
     df = fingerprints.with_sketch(fingerprints.with_sketch(df, "a", "x"), "b", "y")
-    inside, like, both = df.select(fingerprints.containment(F.col("x"), F.col("y")), fingerprints.likeness(F.col("x"), F.col("y")), fingerprints.merge(F.col("x"), F.col("y")) == F.col("y")).first()
-    assert inside == 1.0 and 0.06 < like < 0.13 and both
+    inside, alike, both = df.select(fingerprints.containment(F.col("x"), F.col("y")), fingerprints.likeness(F.col("x"), F.col("y")), fingerprints.merge(F.col("x"), F.col("y")) == F.col("y")).first()
+    assert inside == 1.0 and 0.06 < alike < 0.13 and both
 
 
 def test_successors_over_many_ranges(spark):
@@ -78,7 +104,7 @@ def test_successors_over_many_ranges(spark):
 
 def test_archives_round_trip(spark):
     big = "x" * 200
-    rows = [(5, "http://a/é?q=\n1", big), (2, None, big), (None, "u", big), (7, "u", "small"), (8, "u", "small"), (9, "u", None), (10, "u", ""), (11, "u", "é" * 99), (5, "dup", big)]
+    rows = [(5, "http://a/é?q=\n1", big), (2, None, big), (None, "u", big), (7, "u", "small"), (8, "u", "small"), (9, "u", None), (10, "u", ""), (11, "u", "é" * 99), (5, "dup", big), (12, "u", "long page " * 900000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
     folder = scratch_dir(spark)
     index = warc.write_archives(warc.classify(pages), folder)
@@ -89,6 +115,8 @@ def test_archives_round_trip(spark):
     for r in got:
         if r["record_type"] == "response":
             assert hashlib.sha256(bytes(r["payload"])).hexdigest() == r["payload_digest"] and len(r["payload"]) == r["payload_bytes"]
+    assert warc.read_records(index, folder, split=300).rdd.getNumPartitions() > 1
+    assert sorted(map(str, warc.read_records(index, folder, split=300).collect())) == sorted(map(str, got))
     one = warc.read_records(index.filter("page_id = 11"), folder).collect()
     assert [bytes(r["payload"]).decode() for r in one] == ["é" * 99]
     empty = scratch_dir(spark)
