@@ -34,7 +34,8 @@ def shingles(text):
 
 def sketch_of(full):
     """Those in the lowest quarter of the range, and the least."""
-    return {h for h in full if h < -(1 << 62) or h == min(full)}
+    least = min(full, default=None)
+    return {h for h in full if h < -(1 << 62) or h == least}
 
 
 def rendered(sketch):
