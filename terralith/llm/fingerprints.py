@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralith.llm.common import materialize, table, text_or_empty
+from terralith.llm.common import clear_of, materialize, table, text_or_empty
 
 WIDTH = 5
 #: The kept fraction is 2 ** -SCALE_BITS.
@@ -41,15 +41,20 @@ def threshold(bits: int = SCALE_BITS) -> int:
 
 
 def _kept(hashes: Column, bits: int) -> Column:
-    least = F.array_min(hashes)
-    return F.array_sort(F.filter(hashes, lambda h: (h < threshold(bits)) | (h == least)))
+    """Hashes below the threshold; the least, if it is not among them; none of none."""
+    low = F.filter(hashes, lambda h: h < threshold(bits))
+    return F.when(F.size(low) > 0, F.array_sort(low)).otherwise(F.array_compact(F.array(F.array_min(hashes))))
 
 
 def with_sketch(df: DataFrame, text: str, out: str, bits: int = SCALE_BITS) -> DataFrame:
     """df with `out`: the sketch of column `text`, the sorted distinct hashes that are kept.  A text without words
     (null, empty, white) has an empty sketch."""
-    df = df.withColumn("_all", F.array_distinct(shingle_hashes(word_hashes(F.col(text)))))
-    return df.withColumn(out, _kept(F.col("_all"), bits)).drop("_all")
+    words, all_hashes, low = (clear_of(c, df.columns) for c in ("words", "all", "low"))
+    # columns of their own: an expression within a lambda would be computed anew for each element
+    df = df.withColumn(words, word_hashes(F.col(text))).withColumn(all_hashes, F.array_distinct(shingle_hashes(F.col(words))))
+    df = df.withColumn(low, F.filter(all_hashes, lambda h: h < threshold(bits)))
+    kept = F.when(F.size(low) > 0, F.array_sort(low)).otherwise(F.array_compact(F.array(F.array_min(all_hashes))))
+    return df.withColumn(out, kept).drop(words, all_hashes, low)
 
 
 def merge(a: Column, b: Column, bits: int = SCALE_BITS) -> Column:
