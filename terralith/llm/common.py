@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -63,11 +64,28 @@ def drop_scratch(spark: SparkSession, mark: int = 0, keep: int = 0) -> None:
         made.remove(folder)
 
 
+#: Bytes that Spark sends to a Python worker at once while an operator writes a table of its own.
+ARROW_BATCH = "4m"
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: str = ARROW_BATCH) -> Iterator[None]:
+    """Actions within run with Arrow batches of `size`; afterwards the session is as it was."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    with arrow_batches(spark):
+        (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,6 +108,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "_text", limit:
     for batch in batches:
         for part in array_slices(batch.column(column), limit):
             yield batch.slice(part.start, part.stop - part.start)
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def array_slices(texts: pa.Array, limit: int = SLICE) -> Iterator[slice]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import clear_of, frame, materialize, mix64, quoted, record_batch, shingle_hashes, table, text_key, text_or_empty, text_slices
+from terralith.llm.common import arrow_batches, clear_of, frame, materialize, mix64, quoted, record_batch, shingle_hashes, table, text_key, text_or_empty, text_slices
 from terralith.llm.components import components, relabel
 
 THRESHOLD = 0.8
@@ -102,7 +102,8 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     slabs, counted_once = max(SLABS, n // SLAB_ROWS), n * SHARE <= RARE
     edges = np.array([(k << 64) // slabs for k in range(1, slabs)], np.uint64)
     least = max(2.0, n / RARE) if counted_once else n * (1 - SHARE) / RARE
-    lower = docs.mapInArrow(candidates, "slab long, h binary, n binary").groupBy("slab").applyInPandas(summed, "h long, n long").toPandas()
+    with arrow_batches(spark):
+        lower = docs.mapInArrow(candidates, "slab long, h binary, n binary").groupBy("slab").applyInPandas(summed, "h long, n long").toPandas()
     if counted_once:
         rows = lower
     else:
@@ -118,7 +119,8 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             there = np.flatnonzero(counts)
             yield record_batch(h=shared.value[there].view(np.int64), n=counts[there])
 
-        rows = docs.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2.0, n / RARE)).toPandas()
+        with arrow_batches(spark):
+            rows = docs.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2.0, n / RARE)).toPandas()
     h = rows["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     idf = 1 + np.log(n / rows["n"].to_numpy().astype(np.float64)) / np.log(RARE)
