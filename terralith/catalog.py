@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terralith.plans import aggregates, decision, imports, resolution
+from terralith.plans import aggregates, audits, decision, imports, resolution
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (decision, aggregates, resolution, imports):
+for _module in (decision, aggregates, resolution, imports, audits):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

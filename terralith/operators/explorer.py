@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralith.operators.classify import CATEGORY_RULES, first_rule, tags
-from terralith.operators.quality import value_kind
+from terralith.operators.quality import first_of_each, value_kind
 
 #: Module that a category belongs to (fixed values).
 MODULES = {
@@ -56,5 +56,6 @@ def dictionary(features: DataFrame, examples: int = 10) -> DataFrame:
         F.min_by("value", F.when(F.col("value").isNotNull(), F.struct("_first", "value"))).alias("example"),
         F.collect_set(value_kind(F.col("value"))).alias("_kinds"),
     )
+    out = out.join(first_of_each(per, "field", examples).withColumnRenamed("field", "_field"), F.col("field") == F.col("_field"), "left").drop("_field")
     kind = F.when(F.size("_kinds") == 0, "inconnu").when(F.size("_kinds") == 1, F.col("_kinds")[0]).when(F.size(F.array_except("_kinds", F.array(F.lit("int"), F.lit("float")))) == 0, "float").otherwise("str")
     return out.withColumn("kind", kind).drop("_kinds")

@@ -42,7 +42,7 @@ def tree_rows(df: DataFrame, levels: list[str], separator: str = " > ") -> DataF
     )
 
 
-def preorder(tree: DataFrame, root: str | None = None) -> DataFrame:
+def preorder(tree: DataFrame) -> DataFrame:
     """Position of every node within its first-level branch, in pre-order (binary order of names)."""
     over = Window.partitionBy(F.element_at("path", 1)).orderBy("path")
     return tree.withColumn("position", F.row_number().over(over))

@@ -34,7 +34,7 @@ SECTIONS = (
     ("sources", "Sources"),
     ("analyse", "Analyse"),
 )
-MISSING = "Non renseigné"
+MISSING = "Donnée non encore renseignée"
 
 
 def sections(spark: SparkSession) -> DataFrame:

@@ -25,8 +25,8 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def candidate_pairs(entities: DataFrame, ratio=name_ratio) -> DataFrame:
-    """entities (ord, id, entity_type, code, name, parent) as pairs with confidence and reasons, best first by
-    confidence, then by order.  Null codes meet nothing."""
+    """entities (ord, id, entity_type, code, name, parent) as pairs with confidence and reasons, in no
+    order (`best_first` sorts them).  Null codes meet nothing."""
     left = entities.filter("code IS NOT NULL").select(*(F.col(c).alias(f"l_{c}") for c in ("ord", "id", "entity_type", "code", "name", "parent")))
     right = entities.filter("code IS NOT NULL").select(*(F.col(c).alias(f"r_{c}") for c in ("ord", "id", "entity_type", "code", "name", "parent")))
     pairs = left.join(right, (F.col("l_entity_type") == F.col("r_entity_type")) & (F.col("l_code") == F.col("r_code")) & (F.col("l_ord") < F.col("r_ord")))
@@ -38,6 +38,10 @@ def candidate_pairs(entities: DataFrame, ratio=name_ratio) -> DataFrame:
     return scored.filter(F.col("confidence") >= LEAST).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "confidence", "reasons")
 
 
+def best_first(pairs: DataFrame) -> DataFrame:
+    return pairs.orderBy(F.desc("confidence"), "left_id", "right_id")
+
+
 def merge_proposals(pairs: DataFrame) -> DataFrame:
     """Proposals to keep the left entity; none is ever applied by itself."""
     return pairs.select("left_id", "right_id", "confidence", F.array_join("reasons", "; ").alias("justification"), F.lit(False).alias("auto_merge"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -112,11 +112,20 @@ def field_dictionary(df: DataFrame, order: str, fields: list[str] | None = None,
         F.min_by("value", F.when(F.col("value").isNotNull(), F.struct("_first", "value"))).alias("example"),
         *(F.count_if(value_kind(F.col("value")) == k).alias(f"_{k}") for k in kinds),
     )
+    out = out.join(first_of_each(per_value, "field", examples).withColumnRenamed("field", "_field"), F.col("field") == F.col("_field"), "left").drop("_field")
     known = F.col("unique_count")
     kind = F.when(known == 0, "inconnu").when(F.col("_bool") == known, "bool").when(F.col("_int") == known, "int").when(F.col("_int") + F.col("_float") == known, "float").otherwise("str")
     return out.withColumn("kind", kind).drop(*(f"_{k}" for k in kinds))
 
 
+def first_of_each(per_value: DataFrame, key: str, n: int) -> DataFrame:
+    """From (key, value, _first) the first n non-null values of each key, in order, as the array `examples`.  No task
+    holds more than n values of a key: what comes after is left out before the shuffle."""
+    turn = F.row_number().over(Window.partitionBy(key).orderBy("_first", "value"))
+    first = per_value.filter("value IS NOT NULL").withColumn("_turn", turn).filter(F.col("_turn") <= n)
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_turn", "value"))), lambda x: x["value"]).alias("examples"))
+
+
 def first_values(df: DataFrame, order: str, field: str, n: int) -> DataFrame:
     """The first n distinct non-blank values of a field, in order of first occurrence."""
     seen = df.filter(F.trim(F.col(field).cast("string")) != "").groupBy(F.trim(F.col(field).cast("string")).alias("value")).agg(F.min(order).alias("first"))

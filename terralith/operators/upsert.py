@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from terralith.functions.text import blank_to_null
 
 
+def one_row_each(df: DataFrame, key: str) -> DataFrame:
+    """df with one row a key, the least by all its columns, so that no join on the key fans out; rows without a key all
+    stay."""
+    rest = [c for c in df.columns if c != key]
+    single = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("_least")) if rest else df.filter(F.col(key).isNotNull()).distinct()
+    single = single.select(*(F.col(key) if c == key else F.col(f"_least.{c}").alias(c) for c in df.columns)) if rest else single
+    return single.unionByName(df.filter(F.col(key).isNull()))
+
+
 def planned_actions(staged: DataFrame, existing: DataFrame, key: str, compared: list[str], parents: DataFrame | None = None, parent: str | None = None, required: tuple[str, ...] = (), order: str = "ord") -> DataFrame:
     """staged (order, key, ...) with `action` (insert, update, unchanged, reject) and `reason`.
 
     Rejected are rows with a blank required column, rows that repeat an earlier row's key, and rows whose parent is
-    unknown, in this order.  Nothing is written.
+    unknown, in this order.  A key that `existing` repeats counts once (see one_row_each).  Nothing is written.
     """
     rows = staged.withColumn("_key", blank_to_null(F.col(key).cast("string")))
     # rows without a key are rejected anyway: each is a group of its own, so that they don't meet in one task
@@ -26,7 +35,7 @@ def planned_actions(staged: DataFrame, existing: DataFrame, key: str, compared:
         known = parents.select(F.col(parents.columns[0]).cast("string").alias("_parent")).distinct()
         rows = rows.join(known, blank_to_null(F.col(parent).cast("string")) == F.col("_parent"), "left")
         reason = reason.when(F.col("_parent").isNull(), F.lit("Parent inconnu"))
-    before = existing.select(F.col(key).cast("string").alias("_old_key"), F.struct(*compared).alias("_old"))
+    before = existing.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("_old_key")).agg(F.min(F.struct(*compared)).alias("_old"))
     rows = rows.join(before, F.col("_key") == F.col("_old_key"), "left")
     changed = ~F.struct(*compared).eqNullSafe(F.col("_old"))
     action = F.when(reason.isNotNull(), "reject").when(F.col("_old_key").isNull(), "insert").when(changed, "update").otherwise("unchanged")
@@ -47,16 +56,54 @@ def strict(planned: DataFrame) -> DataFrame:
 
 
 def apply_changes(existing: DataFrame, planned: DataFrame, key: str) -> DataFrame:
-    """The snapshot after the planned inserts and updates: a full join on the key, new values first."""
+    """The snapshot after the planned inserts and updates, one row a key: a full join on the key, new values first."""
     new = planned.filter(F.col("action").isin("insert", "update")).select(F.col(key).alias("_k"), F.struct(*existing.columns).alias("_new"))
-    both = existing.select(F.col(key).alias("_o"), F.struct(*existing.columns).alias("_old")).join(new, F.col("_o") == F.col("_k"), "full_outer")
+    old = one_row_each(existing, key).select(F.col(key).alias("_o"), F.struct(*existing.columns).alias("_old"))
+    both = old.join(new, F.col("_o") == F.col("_k"), "full_outer")
     return both.select(F.coalesce("_new", "_old").alias("_row")).select("_row.*")
 
 
-def skip_existing(existing: DataFrame, staged: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows to append (the first of each new key is kept by the caller's order) and rows to leave out."""
-    known = existing.select(key)
-    return staged.join(known, key, "left_anti"), staged.join(known, key, "left_semi")
+def skip_existing(existing: DataFrame, staged: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows to append, the first by `order` of each new key, and rows to leave out: those of known keys, later ones of
+    new keys, and those without a key."""
+    first = staged.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    rows = staged.join(first, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_first")), "left")
+    known = existing.select(F.col(key).alias("_known")).distinct()
+    rows = rows.join(known, F.col(key) == F.col("_known"), "left")
+    new = F.col("_first").isNotNull() & F.col("_known").isNull()
+    return rows.filter(new).select(*staged.columns), rows.filter(~new).select(*staged.columns)
+
+
+def reseeded(existing: DataFrame, fresh: DataFrame, source: str, name: str) -> DataFrame:
+    """The snapshot with all rows of source `name` (column `source`) replaced by `fresh`."""
+    return existing.filter(~F.col(source).eqNullSafe(F.lit(name))).unionByName(fresh)
+
+
+def zipped(rows: DataFrame, profiles: DataFrame, order: str, turn: str) -> DataFrame:
+    """rows with the profile whose `turn` (0, 1, ...) is the row's place by `order`, going round the profiles.  For
+    seeds of bounded size: places come from one window."""
+    n = profiles.count()
+    placed = rows.withColumn("_place", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(max(n, 1))))
+    return placed.join(profiles.withColumnRenamed(turn, "_turn"), F.col("_place") == F.col("_turn"), "left").drop("_place", "_turn")
+
+
+def ordered_import(levels: list[tuple[str, DataFrame, DataFrame, str | None]], key: str, compared: list[str], required: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Plans of several levels, top down: (level, staged, existing, parent column).  A level's rows may hang on rows
+    that the level above has or is about to get."""
+    plans, above = {}, None
+    for level, staged, existing, parent in levels:
+        plans[level] = planned_actions(staged, existing, key, compared, above if parent else None, parent, required)
+        above = existing.select(key).unionByName(plans[level].filter("action IN ('insert', 'update', 'unchanged')").select(key))
+    return plans
+
+
+def import_totals(plans: dict[str, DataFrame], most_rejected: float = 0.5) -> DataFrame:
+    """One row an import: rows, rejected, accepted, and whether more than `most_rejected` of its rows are rejected."""
+    out = None
+    for level, plan in plans.items():
+        one = plan.agg(F.lit(level).alias("import"), F.count("*").alias("rows"), F.count_if(F.col("action") == "reject").alias("rejected"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("accepted", F.col("rows") - F.col("rejected")).withColumn("failed", F.col("rejected") > most_rejected * F.col("rows"))
 
 
 def missing_parents(staged: DataFrame, parents: DataFrame, parent: str, key: str, prefix: str = "AUTO_") -> DataFrame:
@@ -91,7 +138,8 @@ PROPOSED, VALIDATED, REJECTED = "propose", "valide", "rejete"
 def transitions(suggestions: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
     """suggestions (id, status, validated_at, validated_by, ...) after decisions (id, decision, by): only proposed ones
     change; accepting stamps who and when, rejecting clears the stamp."""
-    asked = decisions.select(F.col("id").alias("_id"), "decision", "by")
+    # of several decisions on one suggestion the least by (decision, by) counts: accept before reject
+    asked = decisions.groupBy(F.col("id").alias("_id")).agg(F.min(F.struct("decision", "by")).alias("_d")).select("_id", "_d.decision", "_d.by")
     rows = suggestions.join(asked, F.col("id") == F.col("_id"), "left")
     moved = (F.col("status") == PROPOSED) & F.col("decision").isin("accept", "reject")
     accept = moved & (F.col("decision") == "accept")

@@ -177,7 +177,7 @@ SELECT field, CAST(count(value) AS BIGINT) AS value_count, CAST(count(DISTINCT v
   CASE field WHEN 'c_nationkey' THEN 'int' ELSE 'str' END AS kind FROM l GROUP BY field""")
 def field_dictionary(spark: SparkSession, d: str) -> DataFrame:
     customer = read(spark, d, "customer").select(F.col("c_custkey").alias("ord"), "c_name", "c_mktsegment", "c_nationkey")
-    return q.field_dictionary(customer, "ord")
+    return q.field_dictionary(customer, "ord").drop("examples")
 
 
 @query("""SELECT source, lang, CAST(count(*) AS BIGINT) AS n, round(100.0::DOUBLE * (count_if(trim(text) <> '') + count_if(n_chars IS NOT NULL)) / (2 * count(*)), 2) AS completeness FROM documents GROUP BY source, lang""")

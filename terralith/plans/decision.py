@@ -119,14 +119,14 @@ def any_column_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 9 END AS rang
-FROM orders ORDER BY rang, o_orderkey LIMIT 200""")
+FROM orders""")
 def custom_rank_order(spark: SparkSession, d: str) -> DataFrame:
     names = F.when(F.col("o_orderpriority") == "1-URGENT", "critique").when(F.col("o_orderpriority") == "2-HIGH", "haute").when(F.col("o_orderpriority") == "3-MEDIUM", "normale")
     rows = read(spark, d, "orders").select("o_orderkey", "o_orderpriority", op.priority_rank(names).alias("rang"))
-    return rows.orderBy("rang", "o_orderkey").limit(200)
+    return rows.orderBy("rang", "o_orderkey")
 
 
-@query(None)
+@query("""SELECT n_name, CAST(row_number() OVER (ORDER BY lower(strip_accents(n_name)), n_name) AS INTEGER) AS position FROM nation""")
 def locale_sort(spark: SparkSession, d: str) -> DataFrame:
     """Nation names and their place in French collation."""
     from pyspark.sql import Window

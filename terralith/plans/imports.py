@@ -88,10 +88,10 @@ def auto_create_parents(spark: SparkSession, d: str) -> DataFrame:
     return u.missing_parents(staged, parents.select(F.col("n_nationkey").cast("string").alias("n")), "parent", "n")
 
 
-@query(f"WITH {_STAGED_SQL} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(code IN (SELECT code FROM e)) AS BIGINT) AS ignored FROM s")
+@query(f"WITH {_STAGED_SQL} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(DISTINCT CASE WHEN code NOT IN (SELECT code FROM e) THEN code END) AS BIGINT) AS ignored FROM s")
 def skip_if_exists(spark: SparkSession, d: str) -> DataFrame:
     staged, existing, _ = _staged(spark, d)
-    new, old = u.skip_existing(existing, staged, "code")
+    new, old = u.skip_existing(existing, staged, "code", "ord")
     return new.select(F.lit(0).alias("o")).unionByName(old.select(F.lit(1).alias("o"))).agg(F.count("*").alias("n"), F.sum("o").alias("ignored"))
 
 

@@ -28,3 +28,37 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if extension not in READERS:
         raise FormatNotSupported(extension)
     return READERS[extension](spark, path)
+
+
+#: Sources of the referentials (fixed values): name, role; none is connected by itself.
+SOURCES = (("kml", "geometrie"), ("xlsx", "nomenclature"), ("geojson", "limites"), ("csv", "zones"))
+#: Sources that are announced without a loader (fixed values).
+ANNOUNCED = ("ceni", "caid", "ins")
+LOADERS: dict = {}
+
+
+def register_loader(kind: str, loader) -> None:
+    """loader(spark, **request) returns a DataFrame."""
+    LOADERS[kind] = loader
+
+
+def run(spark: SparkSession, kind: str, **request) -> DataFrame:
+    """The rows of a source; an announced one isn't implemented, an unknown one is an error."""
+    if kind in LOADERS:
+        return LOADERS[kind](spark, **request)
+    if kind in ANNOUNCED:
+        raise NotImplementedError(kind)
+    raise KeyError(kind)
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """(source, role, connected, loader): what is known of each source."""
+    rows = [(name, role, False, name in LOADERS or name in READERS) for name, role in SOURCES] + [(name, "annonce", False, name in LOADERS) for name in ANNOUNCED]
+    return spark.createDataFrame(rows, "source string, role string, connected boolean, loader boolean")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of every file below the path."""
+    from pyspark.sql import functions as F
+
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -42,12 +42,37 @@ def placemark(name: Column, lon: Column, lat: Column) -> Column:
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A small result as a Markdown table, `most` rows at the most."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; larger ones are refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
 
 
+def kml_document(placemarks: DataFrame, path: str, name: str, column: str = "placemark") -> None:
+    """A KML document in one file (for layers that one writer can hold open; each line is one placemark)."""
+    spark = placemarks.sparkSession
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{name}</name>'
+    lines = [(0, head), (2, "</Document></kml>")]
+    body = placemarks.select(F.lit(1).alias("part"), F.col(column).alias("line"))
+    both = spark.createDataFrame(lines, "part int, line string").unionByName(body)
+    both.coalesce(1).sortWithinPartitions("part").select("line").write.mode("overwrite").text(path)
+
+
+def write_twice(df: DataFrame, folder: str, stem: str, as_json: bool = True) -> list[str]:
+    """The same result under its own name and as the latest one; returns both paths."""
+    paths = [f"{folder}/{stem}.catalog", f"{folder}/latest.catalog"]
+    for path in paths:
+        (df.write.mode("overwrite").json if as_json else df.write.mode("overwrite").parquet)(path)
+    return paths
+
+
+def write_manifest(spark, paths: list[str], path: str) -> None:
+    """The created files, one row each."""
+    spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "ord int, created_file string").coalesce(1).write.mode("overwrite").json(path)
+
+
 def append_run(df: DataFrame, path: str, source: str, as_of: str) -> None:
     """Append a run's action counts (action, reason, n) to the history."""
     df.withColumn("source", F.lit(source)).withColumn("as_of", F.lit(as_of)).write.mode("append").parquet(path)
