@@ -1,9 +1,9 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A rule is a pattern over a text's words with a label, a priority, a confidence and the keywords without which it cannot
-match: a whole word, or that word with a version glued to it (GPL2, LGPLv2.1).  The few hundred rules are built from
-families of licences, their versions and the ways in which a licence is named or granted (named, granted, referred to
-by tag or address).  Texts without any keyword are never held against a
+match: a whole word, or that word with a version glued to it (GPL2, LGPLv2.1).  Most rules are hand-written
+signatures of licence bodies, notices, clauses and addresses (license_texts); others name a licence of a family, with
+its versions, tags and grants.  Texts without any keyword are never held against a
 rule; the others meet the rules whose keywords they contain, in order of priority.  A detection that lies within one of
 higher priority, or of equal priority and more words, is suppressed.
 """
@@ -17,11 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import frame, table, text_or_empty
+from terralith.llm.common import record_batch, table, text_or_empty, text_slices
+from terralith.llm.license_texts import SIGNATURES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(WORD)
@@ -64,32 +65,7 @@ FAMILIES = (
     ("odbl", ("open database license", "odbl"), ("1 0",)),
 )
 
-#: Sentences and tags that stand for a licence without naming it in a usual way (fixed values): label, pattern over
-#: words, keyword.
-TEXTS = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby"),
-    ("mit", "the software is provided as is without warranty of any kind", "warranty"),
-    ("apache", "you may not use this file except in compliance with the license", "compliance"),
-    ("apache", "(?:https? )?www apache org licenses license 2 0", "licenses"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution"),
-    ("bsd", "neither the name of (?:\\w+ ){1,8}nor the names of its contributors", "contributors"),
-    ("gpl", "free software you can redistribute it and or modify it under the terms of", "redistribute"),
-    ("gpl", "you should have received a copy of the gnu general public license", "gnu"),
-    ("gpl", "(?:https? )?www gnu org licenses gpl", "gnu"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("public-domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", "domain"),
-    ("proprietary", "all rights reserved", "reserved"),
-    ("proprietary", "proprietary and confidential", "proprietary"),
-    ("zlib", "this software is provided as is without any express or implied warranty", "warranty"),
-    ("wtfpl", "you just do what the fuck you want to", "fuck"),
-    ("cc-by", "(?:https? )?creativecommons org licenses by(?! nc| nd| sa)", "creativecommons"),
-    ("cc-by-sa", "(?:https? )?creativecommons org licenses by sa", "creativecommons"),
-    ("cc-by-nc", "(?:https? )?creativecommons org licenses by nc(?! nd| sa)", "creativecommons"),
-    ("cc0", "(?:https? )?creativecommons org publicdomain zero", "creativecommons"),
-)
-
-_GRANTS = ("licensed under(?: the)?(?: terms of)?(?: the)?", "released under(?: the)?(?: terms of)?(?: the)?", "distributed under(?: the)?(?: terms of)?(?: the)?", "available under(?: the)?(?: terms of)?(?: the)?", "covered by(?: the)?", "subject to(?: the)?(?: terms of)?(?: the)?")
+_GRANT = "(?:(?:licensed|released|distributed|available) under(?: the)?(?: terms of)?(?: the)?|covered by(?: the)?|subject to(?: the)?(?: terms of)?(?: the)?)"
 
 
 @dataclass(frozen=True)
@@ -108,17 +84,32 @@ def _keyword(words: str) -> str:
     return max(words.split(), key=len)
 
 
+_OPTIONAL = re.compile(r"\(\?[:!](?:[^()]|\([^()]*\))*\)(?:\?|\{\d+,\d+\})?")
+
+
+def needed_word(pattern: str) -> str:
+    """The longest whole word that every match of a hand-written pattern has: groups are alternatives or optional, and a
+    word with an optional or alternative part, or glued to the next, is none."""
+
+    def apart(group: re.Match) -> str:
+        inner = group[0][3 : group[0].rindex(")")]
+        return " " * inner.startswith(" ") + "|" + " " * inner.endswith(" ")
+
+    parts = _OPTIONAL.sub(apart, pattern).split()
+    words = [w for w, after in zip(parts, [*parts[1:], ""]) if re.fullmatch(r"[a-z0-9]+", w) and not after.startswith("?")]
+    return max(words, key=len)
+
+
 @functools.lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first.  Longer, more particular wordings come first."""
-    out = [Rule(label, pattern, keyword, 50, 0.95) for label, pattern, keyword in TEXTS]
+    out = [Rule(label, pattern, needed_word(pattern), 50, 0.95) for label, lines in SIGNATURES.items() for pattern in lines.strip().split("\n")]
     for label, names, versions in FAMILIES:
         for name in names:
             suffix = "" if name.endswith(("license", "licence")) else "(?: license| licence| software license)?"
             needed = suffix.rstrip("?") if suffix else ""
             key = _keyword(name)
-            for grant in _GRANTS:
-                out.append(Rule(label, f"{grant} {name}{suffix}(?: as published by)?", key, 40, 0.9))
+            out.append(Rule(label, f"{_GRANT} {name}{suffix}(?: as published by)?", key, 40, 0.9))
             for version in versions:
                 particular = f"{label}-{version.replace(' ', '.') if version[-1].isdigit() else version.replace(' ', '-')}"
                 spaced = f"(?: version| ?v)? ?{version}(?! \\d)" if version[-1].isdigit() else f" {version}"
@@ -195,8 +186,10 @@ def base_places(words: list[str]) -> list[tuple[int, str]]:
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:int,words:int>>"
 
 
-def scan_texts(texts: list[str]) -> pd.DataFrame:
-    rows = []
+def scan_texts(texts: list[str]) -> dict[str, list]:
+    """The columns of SCHEMA for each text."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    out: dict[str, list] = {n: [] for n in names}
     for text in texts:
         words = _WORD.findall(text.translate(_LOWER))
         base = base_places(words)
@@ -205,10 +198,13 @@ def scan_texts(texts: list[str]) -> pd.DataFrame:
         every = sorted(labels | {rule.label for _, _, rule in kept})
         score = max([rule.confidence for _, _, rule in kept] + [0.8] * bool(base), default=0.0)
         spans = [{"label": rule.label, "first": a, "words": b - a} for a, b, rule in kept]
-        rows.append((len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(labels)), ",".join(every), score, spans))
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    columns = list(zip(*rows)) or [()] * len(names)
-    return frame(**{n: list(c) for n, c in zip(names, columns)})
+        row = (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(labels)), ",".join(every), score, spans)
+        for n, value in zip(names, row):
+            out[n].append(value)
+    return out
+
+
+_TYPES = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<struct<label:string,first:int,words:int>>": pa.list_(pa.struct([("label", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))}
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -219,13 +215,14 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     that repeat are scanned each; other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = scan_texts(batch["_text"].tolist())
-            yield frame(**{c: batch[c] for c in keep}, **{c: found[c] for c in found})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            found = scan_texts(part.column("_text").to_pylist())
+            own = {n: pa.array(found[n], _TYPES[t]) for n, t in (c.split(" ") for c in SCHEMA.split(", "))}
+            yield record_batch(**{c: part.column(c) for c in keep}, **own)
 
     kept = docs.select(*keep, text_or_empty().alias("_text"))
-    return kept.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in kept.drop("_text").dtypes), SCHEMA]))
+    return kept.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in kept.drop("_text").dtypes), SCHEMA]))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terralith.llm import language, licenses, quality
+from terralith.llm import language, license_texts, licenses, quality
 from terralith.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -223,3 +223,53 @@ def test_licence_odd_rows(spark):
     docs = spark.createDataFrame(ODD, ODD_SCHEMA).withColumn("labels", F.lit(1))
     got = licenses.scan(docs).collect()
     assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got) and licenses.scan(docs.limit(0)).count() == 0
+
+
+def an_example(pattern):
+    """Words that the pattern matches: first alternatives, optional parts left out."""
+    while True:
+        shorter = re.sub(r"\(\?!(?:[^()])*\)", "", pattern)
+        shorter = re.sub(r"\(\?:[^()]*\)\?", "", shorter)
+        shorter = re.sub(r"\(\?:([^()|]*)[^()]*\)(?:\{(\d+),\d+\})?", lambda m: "" if m[2] == "0" else m[1], shorter)
+        if shorter == pattern:
+            break
+        pattern = shorter
+    return re.sub(r"\s+", " ", re.sub(r"\[(.)[^\]]*\]", r"\1", pattern).replace("\\w+", "x").replace(" ?", " ").replace("s?", "s").replace("?", "")).strip()
+
+
+def test_every_signature_has_a_match_and_a_near_miss():
+    """Each hand-written signature, a word away from its text, and among unrelated words."""
+    seen, total = set(), 0
+    for label, lines in license_texts.SIGNATURES.items():
+        for pattern in lines.strip().split("\n"):
+            assert pattern not in seen, pattern
+            seen.add(pattern)
+            total += 1
+            word, compiled = licenses.needed_word(pattern), re.compile(f" {pattern}(?= )")
+            words = an_example(pattern).split()
+            assert compiled.search(f" {' '.join(words)} "), (pattern, words)
+            assert word in words, (pattern, word)
+            missed = [w if w != word else "zzz" for w in words]
+            assert not compiled.search(f" {' '.join(missed)} "), pattern
+            text = " ".join(["once", "upon", *words, "a", "time"])
+            found = {rule.label for _, _, rule in licenses.detect(text.split())}
+            assert found, pattern
+    assert total >= 250
+    assert licenses.detect("once upon a time there was a copy of a book and a notice about its author".split()) == []
+
+
+def test_prefilter_and_suppression_against_all_rules(spark):
+    """Whole documents: all rules without a prefilter, and suppression by comparing every pair of hits."""
+    every = [(i, re.compile(f" {r.pattern}(?= )"), r) for i, r in enumerate(licenses.rules())]
+    texts = [r["text"] for r in table(spark, SF, "documents").collect() if r["text"] and len(r["text"]) < 20000]
+    bodies = [an_example(p) for lines in license_texts.SIGNATURES.values() for p in lines.strip().split("\n")]
+    texts += [" and ".join(bodies[k : k + 7]) for k in range(0, len(bodies), 5)]
+    for text in texts:
+        words = re.findall(licenses.WORD, text.translate(licenses._LOWER))
+        line = f" {' '.join(words)} "
+        hits = [(m.start(), m.end(), i, r) for i, p, r in every for m in p.finditer(line)]
+        better = lambda x, y: (-x[3].priority, x[0] - x[1], x[2]) < (-y[3].priority, y[0] - y[1], y[2])
+        # what a suppressed hit would cover is covered by what suppressed it
+        want = sorted((a, b, i) for a, b, i, r in hits if not any(better(o, (a, b, i, r)) and o[0] <= a and b <= o[1] for o in hits))
+        starts = licenses._starts(words)
+        assert [(a, b, r) for a, b, r in licenses.detect(words)] == [(starts.index(a), starts.index(b), licenses.rules()[i]) for a, b, i in want]
