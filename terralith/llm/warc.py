@@ -27,8 +27,9 @@ LEAST_REVISIT = 100
 ARCHIVE_BYTES = 256 << 20
 #: Gaps up to this many bytes are read through; a read is no longer than READ_BYTES unless one record is.
 GAP_BYTES, READ_BYTES = 64 << 10, 4 << 20
-#: A task reads records of about this many archive bytes.
-SPLIT_BYTES = 4 << 20
+#: A task reads records of about this many archive bytes; small selections are dealt over the cores, in LEAST_SPLIT bytes
+#: at least.
+SPLIT_BYTES, LEAST_SPLIT = 32 << 20, 1 << 20
 _DATE = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 _CRLF = b"\r\n"
 
@@ -136,7 +137,7 @@ def parse_record(data: bytes) -> dict:
 
 def read_records(selected: DataFrame, folder: str, gap: int = GAP_BYTES, most: int = READ_BYTES, split: int = SPLIT_BYTES) -> DataFrame:
     """The records that the index rows `selected` name: rows of an archive meet in order of offset, neighbouring
-    ranges become one read, and a task has records of about `split` bytes.  Payloads are held against their digests; a revisit has none of its own."""
+    ranges become one read, and a task has records of about `split` bytes at most.  Payloads are held against their digests; a revisit has none of its own."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -172,11 +173,14 @@ def read_records(selected: DataFrame, folder: str, gap: int = GAP_BYTES, most: i
         if source is not None:
             source.close()
 
-    placed = selected.select("archive", "offset", "length").withColumn("_split", F.floor(F.col("offset") / split))
+    placed = selected.select("archive", "offset", "length")
     # index rows are small, so their own size says nothing about a task's work: the number of tasks comes from the bytes
     # that the rows stand for
     total = placed.agg(F.sum("length")).first()[0] or 0
-    placed = placed.repartition(max(1, -(-total // split)), "archive", "_split").sortWithinPartitions("archive", "offset")
+    cores = min(selected.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST_SPLIT))
+    tasks = max(1, cores, -(-total // split))
+    placed = placed.withColumn("_split", F.floor(F.col("offset") / max(1, -(-total // tasks))))
+    placed = placed.repartition(tasks, "archive", "_split").sortWithinPartitions("archive", "offset")
     return placed.select("archive", "offset", "length").mapInPandas(read, RECORD_SCHEMA)
 
 
