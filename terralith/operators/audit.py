@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.functions.text import ascii_token, blank_to_null, city_token, group_key, province_key, slug, token
 from terralith.operators.quality import Check, anomalies, flags
 
 #: What a code may look like (fixed value).
@@ -125,3 +126,46 @@ def less_errors(scores: DataFrame, errors: DataFrame, level: str, weight: int =
     counts = errors.groupBy(F.col(level).alias("_level")).agg(F.count("*").alias("errors"))
     joined = scores.join(counts, F.col(level) == F.col("_level"), "left").drop("_level").withColumn("errors", F.coalesce("errors", F.lit(0)))
     return joined.withColumn("score", F.greatest(F.lit(0).cast("long"), F.col("score") - weight * F.col("errors")))
+
+
+def canonical_ids(kind: str, zone: Column, name: Column, code: Column, territory: Column, parent: Column) -> Column:
+    """Identifier of an entity of one of five kinds; what is missing is named.  Every kind has its own way to write
+    names."""
+    place = lambda c: F.coalesce(F.nullif(ascii_token(c), F.lit("")), F.lit("INCONNU"))
+    write = {"groupement": lambda c: token(group_key(c)), "localite": place}.get(kind, token)
+    said = lambda c, other: write(F.coalesce(blank_to_null(c), F.lit(other)))
+    zone = F.coalesce(blank_to_null(zone), F.lit("INCONNU"))
+    code = F.coalesce(blank_to_null(code), F.lit("SANS_CODE"))
+    parts = {
+        "province": (F.lit("PROV"), F.upper(F.replace(province_key(name), F.lit(" "), F.lit("_")))),
+        "ville": (F.lit("VILLE"), city_token(name)),
+        "collectivite": (F.lit("COLL"), said(territory, "TERRITOIRE_INCONNU"), said(parent, "INCONNU"), write(name)),
+        "groupement": (F.lit("GRPT"), said(parent, "COLLECTIVITE_INCONNUE"), write(name), code),
+        "localite": (F.lit("LOC"), said(territory, "TERRITOIRE_INCONNU"), said(parent, "PARENT_INCONNU"), write(name), code),
+    }[kind]
+    return F.concat_ws("-", F.lit("RDC"), zone, *parts)
+
+
+def orphan_audit(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
+    """rows without a parent of their key, each with the likely cause."""
+    cause = F.when(blank_to_null(F.col(key).cast("string")).isNull(), "code absent").otherwise("code sans parent connu")
+    return rows.join(parents.select(F.col(parent_key).alias("_parent")), F.col(key) == F.col("_parent"), "left_anti").withColumn("cause", cause)
+
+
+def mismatch_fields(messages: DataFrame, message: str) -> DataFrame:
+    """(field, n): how often each field is named by messages "FIELD source='..' parent='..'"; others count as AUTRE."""
+    field = F.regexp_extract(message, r"^([A-Z]+) source='[^']*' parent='[^']*'$", 1)
+    return messages.groupBy(F.when(field == "", "AUTRE").otherwise(field).alias("field")).agg(F.count("*").alias("n"))
+
+
+def zone_layer(provinces: DataFrame, zones: DataFrame, unnamed: str = "Zone") -> DataFrame:
+    """A layer of zones made from provinces (nom, zone, geometry) that have a geometry: layer, code, nom (the zone's, of
+    zones: code, nom), province, geometry."""
+    names = zones.groupBy(F.col("code").alias("_code")).agg(F.min("nom").alias("_nom"))
+    rows = provinces.filter(blank_to_null("geometry").isNotNull()).join(names, F.col("zone") == F.col("_code"), "left")
+    return rows.select(F.lit("zones").alias("layer"), F.col("zone").alias("code"), F.coalesce("_nom", F.lit(unnamed)).alias("nom"), F.col("nom").alias("province"), "geometry")
+
+
+def tree_ids(path: Column) -> Column:
+    """Identifier of a tree node: the slugs of its ancestors and itself."""
+    return F.array_join(F.transform(path, slug), "--")

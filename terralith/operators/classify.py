@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terralith.functions.text import description_pairs, type_key
+
 #: Classes of geographic features and the words that tell them, in order (fixed values).
 FEATURE_RULES = (
     ("Province", ("province",)),
@@ -52,6 +54,7 @@ TAG_RULES = (
 #: Staging types by hints in names and type attributes; a more particular hint comes before one it contains (fixed
 #: values).
 STAGING_RULES = (
+    ("zone", ("ZONE ", " ND", " SD", " CE", " OT", " ET")),
     ("province", ("PROVINCE",)),
     ("ville", ("VILLE", "CITY")),
     ("territoire", ("TERRITOIRE", "TERRITORY")),
@@ -121,6 +124,45 @@ def staging_type(candidates: Column, zone: Column, province: Column, territory:
     )
 
 
+#: Types that are no collectivity's, keys and hints that name a type, and what is said if nothing does (fixed values).
+OTHER_TYPES = ("commune", "communes", "cite", "cites", "ville", "villes", "territoire", "territoires")
+TYPE_KEYS = ("type", "type_collectivite", "nature", "categorie")
+TYPE_HINTS = ("type", "nature", "categorie")
+UNKNOWN_TYPE, UNKNOWN_SOURCE = "Type inconnu", "Non determine"
+
+
+#: Cities that the audit tells by name (fixed values).
+AUDIT_CITIES = ("kananga", "mbuji-mayi", "mwene ditu", "likasi", "lubumbashi", "kolwezi", "butembo", "beni", "goma", "bukavu", "kindu")
+
+
+def audit_type(kind: Column, name: Column) -> Column:
+    """Territoire or Commune by the attribute TYPE, else Ville by name, else Autre."""
+    said = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    return F.when(said == "territoire", "Territoire").when(said.isin("commune", "communes"), "Commune").when(F.lower(F.trim(name)).isin(*AUDIT_CITIES), "Ville").otherwise("Autre")
+
+
+def _collectivity(text: Column) -> Column:
+    key = type_key(text)
+    return F.when(key.contains("secteur"), "Secteur").when(key.contains("chefferie"), "Chefferie")
+
+
+def collectivity_type(ext: Column, description: Column, path: Column) -> tuple[Column, Column]:
+    """Secteur, Chefferie, Autre (another type is named) or Type inconnu, and which place told it: the attribute TYPE, another
+    attribute, a pair of the description, the description's text, the folders; the first that says anything counts.
+    ext: array of (k, v) in order."""
+    stated = lambda v: F.coalesce(_collectivity(v), F.when(type_key(v).isin(*OTHER_TYPES), "Autre"))
+    told = lambda found: F.get(F.filter(found, lambda c: c.isNotNull()), 0)
+    own = F.get(F.filter(ext, lambda e: e["k"].isin("TYPE", "type") & (e["v"] != "")), 0)["v"]
+    others = F.filter(ext, lambda e: F.lower(e["k"]).isin(*TYPE_KEYS))
+    pairs = F.filter(F.map_entries(description_pairs(description)), lambda e: contains_any(e["key"], TYPE_HINTS))
+    places = (
+        ("TYPE", stated(own)), ("ExtendedData", told(F.transform(others, lambda e: stated(e["v"])))), ("Description", told(F.transform(pairs, lambda e: stated(e["value"])))),
+        ("Description", _collectivity(description)), ("Arborescence KMZ", _collectivity(F.array_join(path, " "))),
+    )
+    kind = F.coalesce(*(c for _, c in places), F.lit(UNKNOWN_TYPE))
+    return kind, F.coalesce(*(F.when(c.isNotNull(), s) for s, c in places), F.lit(UNKNOWN_SOURCE))
+
+
 def locality_type(haystack: Column, code: Column) -> tuple[Column, Column]:
     """Type and the reason for it: a word of the (normalised) haystack, the code, a code of several digits."""
     words = (("quartier", "Quartier"), ("camp", "Camp"), ("cite", "Cité"), ("village", "Village"))

@@ -17,10 +17,17 @@ def chain(base: DataFrame, parents: Sequence[tuple[DataFrame, str, str]], how: s
 
 
 def members_index(df: DataFrame, keys: list[str], member: Column, count: str = "n", members: str = "members", separator: str = ", ") -> DataFrame:
-    """Per key the sorted members, joined, and their number."""
+    """Per key the sorted members, joined, and their number: a report for groups that fit into one text (see
+    member_rows)."""
     return df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(member)), separator).alias(members), F.count("*").alias(count))
 
 
+def member_rows(df: DataFrame, keys: list[str], member: Column, out: str = "member") -> DataFrame:
+    """The members of every key as rows in order: what to write for groups of any size.  The sort is by ranges of (key,
+    member), so that a hot key is spread over tasks."""
+    return df.select(*keys, member.alias(out)).orderBy(*keys, out)
+
+
 def prefix_counts(df: DataFrame, levels: list[str], count: str = "n") -> DataFrame:
     """Counts at every prefix of the levels, in one pass (grouping sets); depth is the number of levels given."""
     depth = sum(((1 - F.grouping(c)).cast("int") for c in levels), F.lit(0))
@@ -42,10 +49,16 @@ def tree_rows(df: DataFrame, levels: list[str], separator: str = " > ") -> DataF
     )
 
 
-def preorder(tree: DataFrame) -> DataFrame:
-    """Position of every node within its first-level branch, in pre-order (binary order of names)."""
-    over = Window.partitionBy(F.element_at("path", 1)).orderBy("path")
-    return tree.withColumn("position", F.row_number().over(over))
+def preorder(tree: DataFrame, split: int = 2) -> DataFrame:
+    """Position of every node within its first-level branch, in pre-order (binary order of names).  Nodes are numbered
+    below each of the first `split` names, and the sizes of the branches before are added."""
+    rows = tree.withColumn("_top", F.element_at("path", 1)).withColumn("_head", F.slice("path", 1, split))
+    sizes = rows.groupBy(F.col("_top").alias("_t"), F.col("_head").alias("_h")).agg(F.count("*").alias("_size"))
+    over = Window.partitionBy("_t").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(over), F.lit(0))).drop("_size", "_t")
+    place = F.row_number().over(Window.partitionBy("_top", "_head").orderBy("path"))
+    joined = rows.join(before, F.col("_head").eqNullSafe(F.col("_h")))
+    return joined.withColumn("position", (F.col("_before") + place).cast("int")).select(*tree.columns, "position")
 
 
 def visible_nodes(tree: DataFrame, matches: Column) -> DataFrame:
@@ -94,11 +107,14 @@ def resolve_staging_parents(staging: DataFrame) -> DataFrame:
     """staging (ord, id, entity_type, code, parent_code, name_key, province_key, territory_key) with parent_id.
 
     By parent code (of equal codes the last row), else the first row, in input order, whose type may be the parent's
-    and whose name is the province or the territory.  Two equi-joins instead of a search through all rows.
+    and whose name is the province or the territory.  Two equi-joins instead of a search through all rows.  Of rows
+    with one name and type only the first two are joined: one of them isn't the row itself.  Ids are distinct.
     """
     spark = staging.sparkSession
     by_code = staging.filter("code IS NOT NULL").groupBy("code").agg(F.max_by("id", "ord").alias("_by_code")).withColumnRenamed("code", "_code")
     named = staging.filter("name_key <> ''").select(F.col("ord").alias("_ord"), F.col("id").alias("_pid"), F.col("entity_type").alias("_ptype"), F.col("name_key").alias("_name"))
+    turn = F.row_number().over(Window.partitionBy("_name", "_ptype").orderBy("_ord"))
+    named = named.withColumn("_turn", turn).filter("_turn <= 2").drop("_turn")
     rules = parent_rules(spark)
     found = None
     for key in ("province_key", "territory_key"):

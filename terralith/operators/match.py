@@ -45,3 +45,24 @@ def best_first(pairs: DataFrame) -> DataFrame:
 def merge_proposals(pairs: DataFrame) -> DataFrame:
     """Proposals to keep the left entity; none is ever applied by itself."""
     return pairs.select("left_id", "right_id", "confidence", F.array_join("reasons", "; ").alias("justification"), F.lit(False).alias("auto_merge"))
+
+
+SAME = ["entity_type", "code", "name", "parent"]
+
+
+def _classes(entities: DataFrame) -> DataFrame:
+    return entities.filter("code IS NOT NULL").groupBy(*SAME).agg(F.min_by("id", "ord").alias("class_id"), F.min("ord").alias("class_ord"), F.count("*").alias("members"))
+
+
+def membership(entities: DataFrame) -> DataFrame:
+    """(id, class_id, members): entities alike in type, code, name and parent are one class, named by its first member.
+    Rows without a code have none."""
+    classes = _classes(entities).select(*(F.col(c).alias(f"_{c}") for c in SAME), "class_id", "members")
+    return entities.join(classes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SAME]).select("id", "class_id", "members")
+
+
+def representative_pairs(entities: DataFrame, ratio=name_ratio) -> DataFrame:
+    """candidate_pairs between the first members of the classes: with membership, all pairs of a code that many copies
+    share, without a row for each."""
+    one = _classes(entities)
+    return candidate_pairs(one.select(F.col("class_ord").alias("ord"), F.col("class_id").alias("id"), *SAME), ratio)

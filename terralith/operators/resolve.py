@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralith.functions.text import blank_to_null
+from terralith.functions.text import alnum_key, blank_to_null
 from terralith.operators.windows import keep_first, keep_last
 
 
@@ -49,3 +49,15 @@ def ordered_fallback_join(df: DataFrame, rules: list[Rule], fields: list[str], n
     level = F.coalesce(*(F.when(F.col(f"_p{i}").isNotNull(), r.level) for i, r in enumerate(rules)))
     picked = out.withColumn("_found", found).withColumn("resolution", label).withColumn("parent_level", level)
     return picked.select(*df.columns, *(F.col(f"_found.{f}").alias(f) for f in fields), "resolution", "parent_level")
+
+
+def find_territories(df: DataFrame, name: Column, province: Column, province_code: Column, territories: DataFrame, fields: list[str]) -> DataFrame:
+    """df with `fields` of the territory of that name in the province (by name, else by code), else of the first
+    territory of that name anywhere.  territories (ord, nom, province, province_code, ...)."""
+    known = territories.withColumn("_name", alnum_key("nom")).withColumn("_province", alnum_key("province")).withColumn("_code", alnum_key("province_code"))
+    rules = [
+        Rule("province", (alnum_key(province), alnum_key(name)), known, ("_province", "_name"), "territoire"),
+        Rule("code province", (alnum_key(province_code), alnum_key(name)), known, ("_code", "_name"), "territoire"),
+        Rule("nom", (alnum_key(name),), known, ("_name",), "territoire", "first"),
+    ]
+    return ordered_fallback_join(df, rules, fields)

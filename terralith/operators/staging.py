@@ -1,7 +1,7 @@
 """Normalisation of staging rows of any source: prepare, classify, resolve parents, validate, match, summarise.
 
 staging: ord, id, raw_name, raw_code, type_hint, parent_code, zone_code, province_name, territory_name,
-geometry_type, geometry (GeoJSON text)
+geometry_type, geometry (GeoJSON text); level and admin_level, if there, may name the type too
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from terralith.operators.quality import EXPECTED_COUNTS
 def prepare(staging: DataFrame) -> DataFrame:
     """Names, codes and types normalised; parents resolved."""
     rows = staging.withColumn("name_key", staging_key("raw_name")).withColumn("code", compact_code("raw_code")).withColumn("parent_code", compact_code("parent_code"))
-    candidates = F.transform(F.array_compact(F.array("name_key", "type_hint")), lambda c: F.upper(c))
+    candidates = F.transform(F.array_compact(F.array("name_key", *(c for c in ("type_hint", "level", "admin_level") if c in staging.columns))), lambda c: F.upper(c))
     kind = staging_type(candidates, blank_to_null("zone_code"), blank_to_null("province_name"), blank_to_null("territory_name"), F.col("geometry_type"))
     rows = rows.withColumn("entity_type", kind).withColumn("province_key", staging_key("province_name")).withColumn("territory_key", staging_key("territory_name"))
     return resolve_staging_parents(rows)

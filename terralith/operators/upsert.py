@@ -21,16 +21,17 @@ def planned_actions(staged: DataFrame, existing: DataFrame, key: str, compared:
     """staged (order, key, ...) with `action` (insert, update, unchanged, reject) and `reason`.
 
     Rejected are rows with a blank required column, rows that repeat an earlier row's key, and rows whose parent is
-    unknown, in this order.  A key that `existing` repeats counts once (see one_row_each).  Nothing is written.
+    unknown, in this order.  `order` is distinct from row to row.  A key that `existing` repeats counts once (see
+    one_row_each).  Nothing is written.
     """
     rows = staged.withColumn("_key", blank_to_null(F.col(key).cast("string")))
-    # rows without a key are rejected anyway: each is a group of its own, so that they don't meet in one task
-    group = F.coalesce("_key", F.concat(F.lit("\0"), F.col(order).cast("string")))
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    # an aggregate and a join instead of a window: a code that many rows repeat is combined before the shuffle
+    firsts = rows.filter("_key IS NOT NULL").groupBy(F.col("_key").alias("_k")).agg(F.min(order).alias("_first"))
+    rows = rows.join(firsts, F.col("_key") == F.col("_k"), "left")
     reason = F.when(F.col("_key").isNull(), F.lit(f"{key} manquant"))
     for c in required:
         reason = reason.when(blank_to_null(F.col(c).cast("string")).isNull(), F.lit(f"{c} manquant"))
-    reason = reason.when(F.col("_turn") > 1, F.lit("Doublon dans le fichier"))
+    reason = reason.when(F.col(order) > F.col("_first"), F.lit("Doublon dans le fichier"))
     if parents is not None:
         known = parents.select(F.col(parents.columns[0]).cast("string").alias("_parent")).distinct()
         rows = rows.join(known, blank_to_null(F.col(parent).cast("string")) == F.col("_parent"), "left")
@@ -47,6 +48,18 @@ def preview(planned: DataFrame) -> DataFrame:
     return planned.groupBy("action", "reason").agg(F.count("*").alias("n"))
 
 
+def first_errors(planned: DataFrame, order: str = "ord", n: int = 50) -> DataFrame:
+    """The first n rejected rows, in order: what a preview lists."""
+    return planned.filter("action = 'reject'").select(order, "reason").orderBy(order).limit(n)
+
+
+def set_null(rows: DataFrame, parent: str, gone: DataFrame) -> DataFrame:
+    """rows whose optional reference `parent` is among the deleted (gone: column key) lose the reference and stay."""
+    dropped = gone.select(F.col("key").alias("_gone")).distinct()
+    joined = rows.join(dropped, F.col(parent) == F.col("_gone"), "left")
+    return joined.select(*(F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == parent else F.col(c) for c in rows.columns))
+
+
 def strict(planned: DataFrame) -> DataFrame:
     """The plan, or an error if any row is rejected."""
     first = planned.filter("action = 'reject'").limit(1).collect()
@@ -57,7 +70,8 @@ def strict(planned: DataFrame) -> DataFrame:
 
 def apply_changes(existing: DataFrame, planned: DataFrame, key: str) -> DataFrame:
     """The snapshot after the planned inserts and updates, one row a key: a full join on the key, new values first."""
-    new = planned.filter(F.col("action").isin("insert", "update")).select(F.col(key).alias("_k"), F.struct(*existing.columns).alias("_new"))
+    written = planned.filter(F.col("action").isin("insert", "update")).select(*existing.columns)
+    new = one_row_each(written, key).select(F.col(key).alias("_k"), F.struct(*existing.columns).alias("_new"))
     old = one_row_each(existing, key).select(F.col(key).alias("_o"), F.struct(*existing.columns).alias("_old"))
     both = old.join(new, F.col("_o") == F.col("_k"), "full_outer")
     return both.select(F.coalesce("_new", "_old").alias("_row")).select("_row.*")

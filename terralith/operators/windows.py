@@ -36,12 +36,33 @@ def _keep(df: DataFrame, keys: list[str], order: str, pick) -> DataFrame:
     return df.groupBy(*keys).agg(pick(F.struct(*df.columns), order).alias("_row")).select("_row.*")
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list[str], out: str, stretches: int = 256) -> DataFrame:
+    """Place 1, 2, ... of every row among those of equal keys, null keys being equal too.
+
+    The first column of `order` is a number.  Its values are cut into equal stretches for each key, rows are numbered
+    within a stretch, and the sizes of the stretches before are added, so no task sorts all rows of a hot key.
+    """
+    low, high = F.min(F.col(order[0]).cast("double")).alias("_low"), F.max(F.col(order[0]).cast("double")).alias("_high")
+    ends = df.groupBy(*(F.col(k).alias(f"_e_{k}") for k in keys)).agg(low, high)
+    same = [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys]
+    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / stretches)
+    stretch = F.coalesce(F.floor((F.col(order[0]).cast("double") - F.col("_low")) / width), F.lit(0))
+    # null orders come first, as in a sort
+    rows = df.join(ends, same).withColumn("_stretch", F.when(F.col(order[0]).isNull(), -1).otherwise(stretch)).drop("_low", "_high", *(f"_e_{k}" for k in keys))
+    sizes = rows.groupBy(*(F.col(k).alias(f"_e_{k}") for k in keys), F.col("_stretch").alias("_s")).agg(F.count("*").alias("_size"))
+    over = Window.partitionBy(*(f"_e_{k}" for k in keys)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(over), F.lit(0)))
+    rows = rows.join(before, [*same, F.col("_stretch") == F.col("_s")])
+    place = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(*order))
+    return rows.withColumn(out, F.col("_before") + place).select(*df.columns, out)
+
+
 def numbered_codes(df: DataFrame, prefix: Column, order: list[str], existing: DataFrame | None = None, out: str = "code", width: int = 3) -> DataFrame:
-    """Codes prefix_NNN that continue each prefix's greatest number in existing (code)."""
+    """Codes prefix_NNN that continue each prefix's greatest number in existing (code).  The first column of `order` is
+    a number (see numbered_within)."""
     from terralith.functions.text import zero_fill
 
-    rows = df.withColumn("_prefix", prefix)
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_prefix").orderBy(*order)))
+    rows = numbered_within(df.withColumn("_prefix", prefix), ["_prefix"], order, "_n")
     if existing is not None:
         suffix = F.substring_index("code", "_", -1)
         used = existing.select(F.expr("substring(code, 1, length(code) - length(substring_index(code, '_', -1)) - 1)").alias("_used"), suffix.try_cast("int").alias("_top"))

@@ -6,14 +6,13 @@ order), description, geometry_type and coordinates.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralith.functions import text as t
 from terralith.operators import classify
 from terralith.operators import quality as q
+from terralith.operators.hierarchy import member_rows, prefix_counts
 from terralith.operators.quality import Check
 from terralith.operators.resolve import Rule, ordered_fallback_join
 from terralith.operators.windows import keep_first
@@ -56,7 +55,7 @@ def level_checks(level: str) -> list[Check]:
     failed = {
         "province": {"geometry": ~F.col("geometrie_valide"), "code": F.col("code").isNull(), "capital": blank("chef_lieu")} if level == "province" else {},
         "ville": {"province": blank("province"), "zone": blank("zone"), "geometry": ~F.col("geometrie_valide")},
-        "collectivite": {"territory": blank("territoire"), "province": blank("province"), "zone": blank("zone"), "geometry": ~F.col("geometrie_valide"), "type": F.col("type") == "Inconnu"},
+        "collectivite": {"territory": blank("territoire"), "province": blank("province"), "zone": blank("zone"), "geometry": ~F.col("geometrie_valide"), "type": F.col("type") == classify.UNKNOWN_TYPE},
         "groupement": {"parent": blank("collectivite"), "territory": blank("territoire"), "province": blank("province"), "zone": blank("zone"), "geometry": ~F.col("geometrie_valide"), "code": F.col("code").isNull()},
         "localite": {"orphan": F.col("parent_level").isNull(), "zone": blank("province") | blank("zone"), "geometry": ~F.col("geometrie_valide"), "type": F.col("type") == "Autre"},
     }[level]
@@ -101,14 +100,14 @@ def city_quality(cities_: DataFrame) -> DataFrame:
 
 
 def collectivities(placemarks: DataFrame, territories_: DataFrame) -> DataFrame:
-    """Sectors and chiefdoms (other explicit types are left out); the territory is found by the first four digits of
-    the code.  territories_ (ord, nom, province, zone, code)."""
-    kind = t.type_key(attribute("TYPE"))
-    rows = placemarks.withColumn("type", F.when(kind == "secteur", "Secteur").when(kind == "chefferie", "Chefferie").when(kind.isNull(), "Inconnu")).filter("type IS NOT NULL")
+    """Sectors and chiefdoms (other explicit types are left out), with the place that told the type; the territory is
+    found by the first four digits of the code.  territories_ (ord, nom, province, zone, code)."""
+    kind, source = classify.collectivity_type(F.col("ext"), F.col("description"), F.col("path"))
+    rows = placemarks.withColumn("type", kind).withColumn("type_source", source).filter("type <> 'Autre'")
     rows = rows.withColumn("code", t.clean_code(attribute("CODE_INS", "CODE"))).withColumn("nom", F.coalesce(t.blank_to_null("name"), attribute("NOM")))
     parents = territories_.select("ord", F.substring("code", 1, 4).alias("_code"), F.col("nom").alias("territoire"), F.col("province").alias("_p"), F.col("zone").alias("_z"))
     found = ordered_fallback_join(rows, [Rule("code", (F.substring("code", 1, 4),), parents, ("_code",), "territoire")], ["territoire", "_p", "_z"])
-    out = found.select("ord", "nom", "type", "code", "territoire", F.coalesce("_p", kml.province_of_collectivities(F.col("path"))).alias("province"), F.coalesce("_z", t.zone_code(kml.zone_of_path(F.col("path")))).alias("zone"), "resolution", _geometry_valid(F.col("geometry_type"), F.col("coordinates")).alias("geometrie_valide"))
+    out = found.select("ord", "nom", "type", "type_source", "code", "territoire", F.coalesce("_p", kml.province_of_collectivities(F.col("path"))).alias("province"), F.coalesce("_z", t.zone_code(kml.zone_of_path(F.col("path")))).alias("zone"), "resolution", _geometry_valid(F.col("geometry_type"), F.col("coordinates")).alias("geometrie_valide"))
     return scored(out, level_checks("collectivite"))
 
 
@@ -167,11 +166,20 @@ def localities(placemarks: DataFrame, groupings_: DataFrame, collectivities_: Da
 
 
 def locality_indexes(localities_: DataFrame) -> DataFrame:
-    """Sorted members and counts by province, territory, collectivity and grouping prefixes, in one pass."""
-    levels = ["province", "territoire", "collectivite", "groupement"]
-    rows = localities_.select(*(F.coalesce(c, F.lit("")).alias(c) for c in levels), "nom")
-    depth = reduce(lambda a, b: a + b, ((1 - F.grouping(c)).cast("int") for c in levels))
-    return rows.rollup(*levels).agg(F.array_sort(F.collect_list("nom")).alias("members"), F.count("*").alias("n"), depth.alias("depth")).filter("depth > 0")
+    """Counts by province, territory, collectivity and grouping prefixes, in one pass (see locality_members)."""
+    return prefix_counts(_index_rows(localities_), INDEX_LEVELS).filter("depth > 0")
+
+
+def locality_members(localities_: DataFrame) -> DataFrame:
+    """Members of all prefixes, in order: one row a locality under its full path, so that a prefix is a run of rows."""
+    return member_rows(_index_rows(localities_), INDEX_LEVELS, F.col("nom"))
+
+
+INDEX_LEVELS = ["province", "territoire", "collectivite", "groupement"]
+
+
+def _index_rows(localities_: DataFrame) -> DataFrame:
+    return localities_.select(*(F.coalesce(c, F.lit("")).alias(c) for c in INDEX_LEVELS), "nom")
 
 
 def coverage_audit(territories_: DataFrame, collectivities_: DataFrame, groupings_: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.operators.windows import carry_forward
+
 SCHEMA = "file string, sheet_ord int, sheet string, row int, col string, value string"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -68,3 +70,28 @@ def header_rows(cells: DataFrame, known: list[str], least: int = 3) -> DataFrame
     upper = F.upper(F.trim(F.regexp_replace("value", r"\s+", " ")))
     hits = cells.filter(upper.isin(known)).groupBy("file", "sheet", "row").agg(F.countDistinct(upper).alias("n")).filter(F.col("n") >= least)
     return hits.groupBy("file", "sheet").agg(F.min("row").alias("row"))
+
+
+def workbook_entities(cells: DataFrame) -> DataFrame:
+    """Zones, provinces and towns or territories of the official workbook's cells (file, sheet_ord, sheet, row, col,
+    value): a sheet is a zone, its code the last word; column C names a province, which holds for the rows
+    below; E names what lies in it, G is its code and I its number of sites.  A sheet is at most a million rows, so a
+    window over a sheet is bounded."""
+    wide = cells.groupBy("file", "sheet_ord", "sheet", "row").pivot("col", ["B", "C", "E", "G", "I"]).agg(F.first("value"))
+    text = {c: F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("B", "C", "E", "G", "I")}
+    rows = wide.select("file", "sheet_ord", "sheet", "row", *(v.alias(c) for c, v in text.items())).withColumn("zone_code", sheet_zone(F.col("sheet")))
+    province = F.when(F.upper("C") != "PROVINCE", F.struct(F.col("C").alias("name"), F.coalesce("B", "G", "C").alias("code")))
+    rows = carry_forward(rows.withColumn("_own", province), F.col("_own"), "_province", ["file", "sheet_ord"], ["row"])
+    kind = F.when(F.contains(F.upper("E"), F.lit("VILLE")), "ville").otherwise("territoire")
+    none = F.lit(None).cast("string")
+    sheets = cells.select("file", "sheet", F.lit(0).alias("row"), sheet_zone(F.col("sheet")).alias("zone_code")).distinct()
+    zones = sheets.select("file", "sheet", "row", F.lit("zone").alias("level"), F.col("sheet").alias("raw_name"), F.col("zone_code").alias("raw_code"), none.alias("parent_code"), "zone_code", none.alias("province_name"), none.alias("territory_name"), none.alias("sites"))
+    provinces = rows.filter("_own IS NOT NULL").select("file", "sheet", "row", F.lit("province").alias("level"), F.col("_own.name").alias("raw_name"), F.col("_own.code").alias("raw_code"), F.col("zone_code").alias("parent_code"), "zone_code", F.col("_own.name").alias("province_name"), none.alias("territory_name"), F.col("I").alias("sites"))
+    local = rows.filter(F.upper("E") != "TOWN/TERRITORY").withColumn("_kind", kind)
+    local = local.select("file", "sheet", "row", F.col("_kind").alias("level"), F.col("E").alias("raw_name"), F.col("G").alias("raw_code"), F.coalesce("_province.code", "zone_code").alias("parent_code"), "zone_code", F.col("_province.name").alias("province_name"), F.when(F.col("_kind") == "territoire", F.col("E")).alias("territory_name"), F.col("I").alias("sites"))
+    return zones.unionByName(provinces).unionByName(local)
+
+
+def sheet_zone(sheet: Column) -> Column:
+    """The last word of the sheet's name, in capitals."""
+    return F.upper(F.element_at(F.split(F.trim(sheet), r"\s+"), -1))

@@ -116,3 +116,55 @@ def test_stream_counts_agree_with_batch(spark, tmp_path):
     got = {(r["start"], r["event_type"]): r["n"] for r in spark.table("counted").collect()}
     want = {(r["start"], r["event_type"]): r["n"] for r in events.window_counts(src).collect()}
     assert got == want and got
+
+
+def test_numbering_in_stretches_is_row_number(spark):
+    from pyspark.sql import Window
+
+    from terralith.operators.windows import numbered_within
+
+    rows = [(k, v, i) for i, (k, v) in enumerate([("a", x * x) for x in range(300)] + [("b", 5)] * 4 + [(None, None), (None, 1), ("c", None), ("c", -3), ("a", 10**12)])]
+    df = spark.createDataFrame(rows, "k string, v long, i int")
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("v", "i")))
+    got = numbered_within(df, ["k"], ["v", "i"], "n", 16)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == len(rows)
+    assert numbered_within(df.limit(0), ["k"], ["v"], "n").count() == 0
+
+
+def test_preorder_is_the_sort_of_paths(spark):
+    paths = [["z"], ["z", "a"], ["z", "a", "x"], ["z", "a b"], ["z", "a", "y"], ["y"], ["y", None], ["z", "é"]]
+    got = {tuple(r["path"]): r["position"] for r in hierarchy.preorder(spark.createDataFrame([(p,) for p in paths], "path array<string>")).collect()}
+    assert got == {("z",): 1, ("z", "a"): 2, ("z", "a", "x"): 3, ("z", "a", "y"): 4, ("z", "a b"): 5, ("z", "é"): 6, ("y",): 1, ("y", None): 2}
+
+
+def test_classes_give_all_pairs(spark):
+    rows = [(i, f"e{i}", "t", c, n, p) for i, (c, n, p) in enumerate([("A", "x", None), ("A", "x", None), ("A", "y", "q"), ("A", "y", "q"), ("A", None, "q"), (None, "x", None), ("B", "x", None)])]
+    df = spark.createDataFrame(rows, "ord int, id string, entity_type string, code string, name string, parent string")
+    member = {r["id"]: r["class_id"] for r in match.membership(df).collect()}
+    assert member == {"e0": "e0", "e1": "e0", "e2": "e2", "e3": "e2", "e4": "e4", "e6": "e6"}
+    between = {(r["left_id"], r["right_id"]): r["confidence"] for r in match.representative_pairs(df).collect()}
+    for r in match.candidate_pairs(df).collect():
+        a, b = member[r["left_id"]], member[r["right_id"]]
+        assert a == b or between[(a, b)] == r["confidence"]
+
+
+def test_parents_by_name_skip_the_row_itself(spark):
+    columns = "ord int, id string, entity_type string, code string, parent_code string, name_key string, province_key string, territory_key string"
+    rows = [(i, f"p{i}", "province", None, None, "ITURI", "", "") for i in range(5)] + [(9, "t", "territoire", None, None, "DJUGU", "ITURI", ""), (10, "u", "territoire", None, None, "X", "NULLE", "")]
+    got = {r["id"]: r["parent_id"] for r in hierarchy.resolve_staging_parents(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {f"p{i}": None for i in range(5)} | {"t": "p0", "u": None}
+
+
+def test_set_null_and_first_errors(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, parent string")
+    gone = spark.createDataFrame([("a",), ("a",)], "key string")
+    assert {tuple(r) for r in upsert.set_null(rows, "parent", gone).collect()} == {(1, None), (2, "b"), (3, None)}
+    plan = spark.createDataFrame([(i, "reject" if i % 2 else "insert", "x") for i in range(200)], "ord int, action string, reason string")
+    assert [r["ord"] for r in upsert.first_errors(plan).collect()] == list(range(1, 101, 2))
+
+
+def test_repeated_rows_are_written_once(spark):
+    staged = spark.createDataFrame([(1, "A", "x"), (1, "A", "x")], "ord int, code string, nom string")
+    existing = spark.createDataFrame([], "code string, nom string")
+    plan = upsert.planned_actions(staged, existing, "code", ["nom"])
+    assert upsert.apply_changes(existing, plan, "code").count() == 1
