@@ -30,6 +30,31 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return READERS[extension](spark, path)
 
 
+#: Formats that are known without a reader (fixed values).
+UNREAD = ("gpkg",)
+
+
+def explore(spark: SparkSession, path: str) -> tuple[str, DataFrame | None, list[str]]:
+    """(format, rows, warnings) of a path, as a catalogue of files needs it: a format without a reader has no rows and a
+    warning instead of an error."""
+    extension = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    if extension in READERS:
+        return extension, read(spark, path), []
+    return extension, None, [f"{extension}: format connu, non lu" if extension in UNREAD else f"{extension or path}: format inconnu"]
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, tasks: int = 32, **options: str) -> DataFrame:
+    """A database table.  With a numeric key it is read in `tasks` ranges between the key's ends, else in one task."""
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if key is None:
+        return reader.option("dbtable", table).load()
+    ends = reader.option("query", f"SELECT min({key}) AS low, max({key}) AS high FROM {table}").load().first()
+    if ends is None or ends["low"] is None:
+        return reader.option("dbtable", table).load()
+    ranged = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(ends["low"]), upperBound=str(ends["high"]), numPartitions=str(tasks), **options)
+    return ranged.load()
+
+
 #: Sources of the referentials (fixed values): name, role; none is connected by itself.
 SOURCES = (("kml", "geometrie"), ("xlsx", "nomenclature"), ("geojson", "limites"), ("csv", "zones"))
 #: Sources that are announced without a loader (fixed values).

@@ -49,8 +49,11 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_features, FEATURES)
 
 
-def read_records(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Rows of a JSON document: its list under `key`, or the whole document if it is a list."""
+def read_records(spark: SparkSession, path: str, key: str | None = None, schema: str | None = None) -> DataFrame:
+    """Rows of a JSON document: its list under `key`, or the whole document if it is a list.  With a schema of the rows
+    a missing file is an empty table, as a report that isn't written yet; without one it is an error."""
+    if schema is not None and not exists(spark, path):
+        return spark.createDataFrame([], schema)
     doc = spark.read.json(path, multiLine=True)
     if key is None:
         lists = [f.name for f in doc.schema.fields if f.dataType.typeName() == "array"]
@@ -58,6 +61,13 @@ def read_records(spark: SparkSession, path: str, key: str | None = None) -> Data
     return doc if key is None else doc.select(F.inline(F.col(key)))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path, in any file system that Spark reads, matches a file or folder."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = name.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(name)
+    return found is not None and len(found) > 0
+
+
 def layer_level(layer: Column) -> Column:
     """Administrative level from a boundary layer's name."""
     name = F.lower(layer)

@@ -115,3 +115,16 @@ def test_geometry(spark):
     assert json.loads(sinks.feature_collection(feature))["features"][0]["geometry"] == {"type": "Point", "coordinates": [1.0, 2.0]}
     assert "&amp;&lt;" in spark.range(1).select(sinks.placemark(F.lit("&<"), F.lit(1.0), F.lit(2.0))).first()[0]
     assert sinks.markdown_table(spark.range(2)).splitlines() == ["| id |", "| --- |", "| 0 |", "| 1 |"]
+
+
+def test_missing_reports_and_unread_formats(spark, tmp_path):
+    from terralith import sources
+    from terralith.sources.geojson import read_records
+
+    assert read_records(spark, str(tmp_path / "none.json"), "rows", "nom string").count() == 0
+    with pytest.raises(Exception):
+        read_records(spark, str(tmp_path / "none.json"), "rows").count()
+    (tmp_path / "r.json").write_text('{"rows": [{"nom": "a"}]}')
+    assert read_records(spark, str(tmp_path / "r.json"), "rows", "nom string").first()["nom"] == "a"
+    assert sources.explore(spark, "x/a.gpkg")[1:] == (None, ["gpkg: format connu, non lu"])
+    assert sources.explore(spark, "x/a")[1] is None and sources.explore(spark, str(tmp_path / "r.json"))[0] == "json"
