@@ -306,6 +306,18 @@ w AS (SELECT *, count(*) OVER (PARTITION BY code) AS codes, count(*) OVER (PARTI
 j AS (SELECT w.*, p.entity_type AS ptype, w.entity_type <> 'zone' AS needs FROM w LEFT JOIN e p ON w.parent_id = p.id)"""
 
 
+def prepared_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as prepared staging rows with every kind of issue."""
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, ("village", "groupement", "secteur", "zone"))), (k % 4 + 1).cast("int"))
+    geometry = F.when(k % 3 == 0, '{"coordinates":[1,2]}').when(k % 3 == 1, '{"x":1}')
+    return read(spark, d, "customer").select(
+        k.cast("string").alias("id"), F.when(k % 11 != 0, F.concat(F.lit("K"), F.floor(k / 2).cast("string"))).alias("code"),
+        F.when(k % 13 == 0, "").otherwise(F.concat(F.lower("c_mktsegment"), (k % 500).cast("string"))).alias("name_key"), kind.alias("entity_type"),
+        F.when(k % 5 != 0, (k + 1).cast("string")).alias("parent_id"), geometry.alias("geometry"), F.lit("Point").alias("geometry_type"), k.alias("ord"),
+    )
+
+
 @query(f"""WITH {_ISSUES_SQL}
 SELECT id, 'EMPTY_NAME' AS issue FROM j WHERE name_key = '' UNION ALL SELECT id, 'MISSING_CODE' FROM j WHERE code IS NULL UNION ALL SELECT id, 'DUPLICATE_CODE' FROM j WHERE code IS NOT NULL AND codes > 1
 UNION ALL SELECT id, 'DUPLICATE_NAME' FROM j WHERE name_key <> '' AND names > 1 UNION ALL SELECT id, 'INVALID_GEOMETRY' FROM j WHERE k % 3 = 1
@@ -315,15 +327,7 @@ def staging_issues(spark: SparkSession, d: str) -> DataFrame:
     """All eight issues of prepared staging rows."""
     from terralith.operators.staging import issues
 
-    k = F.col("c_custkey")
-    kind = F.element_at(F.array(*map(F.lit, ("village", "groupement", "secteur", "zone"))), (k % 4 + 1).cast("int"))
-    geometry = F.when(k % 3 == 0, '{"coordinates":[1,2]}').when(k % 3 == 1, '{"x":1}')
-    rows = read(spark, d, "customer").select(
-        k.cast("string").alias("id"), F.when(k % 11 != 0, F.concat(F.lit("K"), F.floor(k / 2).cast("string"))).alias("code"),
-        F.when(k % 13 == 0, "").otherwise(F.concat(F.lower("c_mktsegment"), (k % 500).cast("string"))).alias("name_key"), kind.alias("entity_type"),
-        F.when(k % 5 != 0, (k + 1).cast("string")).alias("parent_id"), geometry.alias("geometry"), F.lit("Point").alias("geometry_type"),
-    )
-    return issues(rows)
+    return issues(prepared_customers(spark, d))
 
 
 @query("""SELECT p_partkey, p_brand || '|' || p_type AS pairs, 2 AS n FROM part""")

@@ -21,6 +21,8 @@ SCHEMA = (
     "ext array<struct<k:string,v:string>>, geometry_type string, coordinates string, error string"
 )
 
+GEOMETRY_SCHEMA = "file string, ord long, geometry_type string, geometry string"
+
 
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
@@ -84,6 +86,23 @@ def _geometry(placemark) -> tuple[str | None, str | None]:
     return None, None
 
 
+def _geojson(node) -> dict | None:
+    """A geometry element as GeoJSON: points with their altitude, others without, of polygons the outer ring; several in
+    one element are a GeometryCollection of those that have coordinates."""
+    kind = _local(node.tag)
+    if kind == "MultiGeometry":
+        parts = [g for g in map(_geojson, node) if g]
+        return {"type": "GeometryCollection", "geometries": parts} if parts else None
+    ring = next((c for c in node.iter() if _local(c.tag) == "coordinates"), None)
+    points = _points(None if ring is None else ring.text)
+    if not points or kind not in ("Point", "LineString", "Polygon"):
+        return None
+    if kind == "Point":
+        return {"type": kind, "coordinates": points[0][:3]}
+    flat = [p[:2] for p in points]
+    return {"type": kind, "coordinates": [flat] if kind == "Polygon" else flat}
+
+
 def _walk(node, path: list[str]) -> Iterator[tuple[list[str], object]]:
     for child in node:
         kind = _local(child.tag)
@@ -113,6 +132,29 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(placemarks, SCHEMA)
 
 
+def geometries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, content) of documents as one row a placemark with a geometry: the first of its Point, LineString, Polygon
+    and MultiGeometry elements.  Documents that can't be read give none (read_placemarks tells why)."""
+    for batch in batches:
+        for file, content in zip(batch["path"], batch["content"]):
+            rows = []
+            try:
+                marks = [m for _, m in _walk(ElementTree.fromstring(kml_text(bytes(content))), [])]
+            except (ValueError, ElementTree.ParseError, zipfile.BadZipFile):
+                marks = []
+            for i, mark in enumerate(marks):
+                nodes = [c for kind in ("Point", "LineString", "Polygon", "MultiGeometry") for c in mark if _local(c.tag) == kind]
+                found = next((g for g in map(_geojson, nodes) if g), None)
+                if found:
+                    rows.append((file, i, found["type"], json.dumps(found, separators=(",", ":"))))
+            yield pd.DataFrame(rows, columns=["file", "ord", "geometry_type", "geometry"]).astype({"file": object, "ord": "int64", "geometry_type": object, "geometry": object})
+
+
+def read_geometries(spark: SparkSession, path: str) -> DataFrame:
+    """Geometries as GeoJSON text; (file, ord) are those of read_placemarks."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(geometries, GEOMETRY_SCHEMA)
+
+
 def extended_map(ext: Column) -> Column:
     return F.map_from_entries(F.transform(ext, lambda e: F.struct(e["k"], e["v"])))
 
@@ -139,13 +181,18 @@ def province_of_collectivities(path: Column) -> Column:
 
 
 def resolved_styles(spark: SparkSession, path: str) -> DataFrame:
-    """(file, style_id, line_color, poly_color) of shared styles, for joins on style_url."""
+    """(file, style_id, line_color, poly_color) of shared styles, for joins on style_url; files that can't be
+    read have none (read_placemarks tells why)."""
 
     def styles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for file, content in zip(batch["path"], batch["content"]):
-                for node in ElementTree.fromstring(kml_text(bytes(content))).iter():
+                try:
+                    root = ElementTree.fromstring(kml_text(bytes(content)))
+                except (ValueError, ElementTree.ParseError, zipfile.BadZipFile):
+                    continue
+                for node in root.iter():
                     if _local(node.tag) == "Style" and node.get("id"):
                         colors = {_local(s.tag): _child_text(s, "color") for s in node}
                         rows.append((file, f"#{node.get('id')}", colors.get("LineStyle"), colors.get("PolyStyle")))

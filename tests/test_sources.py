@@ -128,3 +128,46 @@ def test_missing_reports_and_unread_formats(spark, tmp_path):
     assert read_records(spark, str(tmp_path / "r.json"), "rows", "nom string").first()["nom"] == "a"
     assert sources.explore(spark, "x/a.gpkg")[1:] == (None, ["gpkg: format connu, non lu"])
     assert sources.explore(spark, "x/a")[1] is None and sources.explore(spark, str(tmp_path / "r.json"))[0] == "json"
+
+
+def _shp_record(number, body):
+    return struct.pack(">2i", number, len(body) // 2) + body
+
+
+def _rings(kind, rings):
+    points = [p for r in rings for p in r]
+    starts, at = [], 0
+    for r in rings:
+        starts.append(at)
+        at += len(r)
+    return struct.pack("<i4d2i", kind, 0, 0, 0, 0, len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+
+
+def test_shapes(spark, tmp_path):
+    outer, hole = [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 1)]
+    far = [(9, 9), (9, 10), (10, 10), (9, 9)]
+    bodies = [struct.pack("<i2d", 1, 1.5, 2), struct.pack("<i", 0), struct.pack("<i3d", 11, 3, 4, 5), _rings(3, [outer]), _rings(3, [outer, far]), _rings(5, [outer, hole]), _rings(5, [outer, hole, far])]
+    bodies.append(struct.pack("<i4di", 8, 0, 0, 0, 0, 2) + struct.pack("<4d", 1, 2, 3, 4))
+    data = b"\0" * 100 + b"".join(_shp_record(i + 1, b) for i, b in enumerate(bodies))
+    (tmp_path / "a.shp").write_bytes(data)
+    (tmp_path / "b.shp").write_bytes(b"\0" * 100)
+    rows = {r["ord"]: (r["geometry_type"], json.loads(r["geometry"])["coordinates"]) for r in shapefile.read_shapes(spark, str(tmp_path / "*.shp")).collect()}
+    lists = lambda ring: [list(map(float, p)) for p in ring]
+    assert rows[0] == ("Point", [1.5, 2.0]) and 1 not in rows and rows[2] == ("Point", [3.0, 4.0])
+    assert rows[3] == ("LineString", lists(outer)) and rows[4] == ("MultiLineString", [lists(outer), lists(far)])
+    assert rows[5] == ("Polygon", [lists(outer), lists(hole)]) and rows[6] == ("MultiPolygon", [[lists(outer), lists(hole)], [lists(far)]])
+    assert rows[7] == ("MultiPoint", [[1.0, 2.0], [3.0, 4.0]]) and len(rows) == 7
+
+
+def test_dbf_keeps_record_numbers():
+    head = b"N".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([2]) + b"\0" * 15 + b"\r"
+    data = b"\x03\0\0\0" + struct.pack("<IHH", 2, 32 + len(head), 3) + b"\0" * 20 + head + b"*1 " + b" 2 "
+    assert shapefile.dbf_records(data) == [(1, {"N": "2"})]
+
+
+def test_broken_documents_give_no_geometry_and_no_style(spark, tmp_path):
+    (tmp_path / "a.kml").write_text('<kml><Document><Style id="s"><LineStyle><color>ff</color></LineStyle></Style><Placemark/><Placemark><MultiGeometry/><Point><coordinates>1,2</coordinates></Point></Placemark></Document></kml>')
+    (tmp_path / "b.kml").write_text("<kml>")
+    found = [tuple(r)[1:] for r in kml.read_geometries(spark, str(tmp_path / "*.kml")).collect()]
+    assert found == [(1, "Point", '{"type":"Point","coordinates":[1.0,2.0]}')]
+    assert [tuple(r)[1:] for r in kml.resolved_styles(spark, str(tmp_path / "*.kml")).collect()] == [("#s", "ff", None)]
