@@ -172,7 +172,7 @@ def ring_validity(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("n_nationkey", "n_name", g.ring_closed(F.col("p")).alias("valid"), F.size("p").alias("points"), g.representative(g.flat(F.col("p")))[0].alias("first_lon"))
 
 
-@query(None)
+@query("""SELECT c_custkey, '{"type":"Feature","properties":{"nom":"' || c_name || '","activite":"' || c_mktsegment || '"},"geometry":{"type":"Point","coordinates":[' || CAST(c_custkey % 360 - 180 AS VARCHAR) || '.0,' || CAST(c_nationkey * 3 - 40 AS VARCHAR) || '.0]}}' AS feature FROM customer""")
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "customer")
     lon, lat = (F.col("c_custkey") % 360 - 180).cast("double"), (F.col("c_nationkey") * 3 - 40).cast("double")
