@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith.llm import bpe, fingerprints, language, licenses, mixing, neardup, quality, token_counts, topk, warc
+from terralith.llm import bpe, filter_audit, fingerprints, importance, language, licenses, mixing, neardup, quality, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,9 +15,13 @@ QUERIES = {
     "op2_warc": warc.op2_warc,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op11_resample": importance.op11_resample,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 ORACLES = {
     "op2_warc": warc.OP2_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
     "op9_topk": topk.OP9_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }

@@ -177,6 +177,26 @@ def level_of(count: str) -> Column:
     return F.floor(F.log2(F.col(count)) * 16)
 
 
+def class_sample(rows: DataFrame, classes, sample: int, sample_bytes: int, least: int) -> DataFrame:
+    """A bounded sample of rows (label, order, size): for each of the classes up to its even share of `sample` rows in
+    ascending order whose sizes together stay within its even share of `sample_bytes` (a row that doesn't fit is passed
+    over); if these are fewer than `least`, the smallest others too, until there are so many.  Only these rows' numbers,
+    at most `sample` and `least` a class, come to the driver.  Columns label and order."""
+    rows, picked = materialize(rows.select("label", "order", "size")), []
+    for label in classes:
+        mine, left, taken = rows.filter(F.col("label") == label), sample_bytes // len(classes), {}
+        for r in mine.orderBy("order", "size").limit(sample // len(classes)).collect():
+            if r["size"] <= left and r["order"] not in taken:
+                left -= r["size"]
+                taken[r["order"]] = label
+        if len(taken) < least:
+            for r in mine.orderBy("size", "order").limit(least).collect():
+                if len(taken) < least:
+                    taken[r["order"]] = label
+        picked += [(label, order) for order in taken]
+    return rows.sparkSession.createDataFrame(picked, "label int, order long")
+
+
 # --- text as arrays -------------------------------------------------------------------------------
 
 _MULT = 0x9E3779B97F4A7C15 | 1
