@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.scratch import ranged
+
 
 def ilike_any(columns: list[str], text: str | None) -> Column | None:
     """Whether any column contains the text, in any case; its own % and _ are wild, as in ILIKE."""
@@ -46,6 +48,33 @@ def page(df: DataFrame, order: list[str], skip: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(skip).limit(limit)
 
 
+class Pages:
+    """Pages of df in `order`, which should tell all rows apart, for any place in it.
+
+    Made once: rows are written in ranges of the order, one folder a range.  A page then sorts only the ranges that it
+    touches, found by the sums of their sizes (one number a range is all that the driver holds); the files of other
+    ranges aren't read.  An empty table has no row on any page."""
+
+    def __init__(self, df: DataFrame, order: list) -> None:
+        self.order, self.rows = order, ranged(df, order, "_page_range", partitioned=True)
+        self.sizes = sorted((r[0], r[1]) for r in self.rows.groupBy("_page_range").count().collect())
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n in self.sizes)
+
+    def at(self, skip: int, limit: int) -> DataFrame:
+        """`limit` rows after the first `skip`, in order."""
+        touched, before, start = [], 0, None
+        for number, n in self.sizes:
+            if before < skip + limit and before + n > skip:
+                touched.append(number)
+                start = before if start is None else start
+            before += n
+        rows = self.rows.filter(F.col("_page_range").isin(touched)).drop("_page_range")
+        return rows.orderBy(*self.order).offset(skip - (start or 0) if touched else 0).limit(limit)
+
+
 def clamped_page(total: int, size: int, asked: int) -> int:
     """The page asked for, within 1 and the last page."""
     return min(max(asked, 1), max(1, -(-total // size)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.operators.windows import numbered_within
+
 
 def chain(base: DataFrame, parents: Sequence[tuple[DataFrame, str, str]], how: str = "inner") -> DataFrame:
     """base joined to its parents one after another: (table, child key, parent key).  Which side is broadcast is left
@@ -49,16 +51,11 @@ def tree_rows(df: DataFrame, levels: list[str], separator: str = " > ") -> DataF
     )
 
 
-def preorder(tree: DataFrame, split: int = 2) -> DataFrame:
-    """Position of every node within its first-level branch, in pre-order (binary order of names).  Nodes are numbered
-    below each of the first `split` names, and the sizes of the branches before are added."""
-    rows = tree.withColumn("_top", F.element_at("path", 1)).withColumn("_head", F.slice("path", 1, split))
-    sizes = rows.groupBy(F.col("_top").alias("_t"), F.col("_head").alias("_h")).agg(F.count("*").alias("_size"))
-    over = Window.partitionBy("_t").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(over), F.lit(0))).drop("_size", "_t")
-    place = F.row_number().over(Window.partitionBy("_top", "_head").orderBy("path"))
-    joined = rows.join(before, F.col("_head").eqNullSafe(F.col("_h")))
-    return joined.withColumn("position", (F.col("_before") + place).cast("int")).select(*tree.columns, "position")
+def preorder(tree: DataFrame, **how) -> DataFrame:
+    """Position of every node within its first-level branch, in pre-order (binary order of names); a hot branch is
+    numbered by stretches of its paths (see windows.numbered_within, which takes `how`)."""
+    rows = numbered_within(tree.withColumn("_top", F.element_at("path", 1)), ["_top"], ["path"], "position", **how)
+    return rows.withColumn("position", F.col("position").cast("int")).select(*tree.columns, "position")
 
 
 def visible_nodes(tree: DataFrame, matches: Column) -> DataFrame:

@@ -3,6 +3,10 @@
 A pair's score is 0.70 for equal codes, 0.25 for equal (or nearly equal: 0.15 similar) names and 0.05 for equal
 parents; pairs below 0.60 are no candidates.  Without equal codes a pair reaches 0.30 at most, so joining on
 (type, code) finds every candidate.  Candidates of one code are met once, smaller order first.
+
+The similarity of names is a Python ratio.  It is asked for only where it can matter: equal names are told apart by a
+comparison, and of two different ones columns give a bound (twice the letters that they share, over all their letters)
+that the ratio never exceeds; pairs whose bound lies below the least ratio that counts send no names to Python.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,17 +24,35 @@ NEARLY_EQUAL, SIMILAR = 0.92, 0.82
 
 @F.pandas_udf(T.DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two names."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+    """Ratcliff-Obershelp similarity of two names; 0 where one is null."""
+    return pd.Series([0.0 if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+
+def with_bag(rows: DataFrame, name: str = "name", out: str = "bag") -> DataFrame:
+    """rows with the letters of a name, each with its turn among equal ones (aab: a1, a2, b1), so that what two bags have
+    in common counts repeated letters as often as both names have them."""
+    letters = F.array_sort(F.regexp_extract_all(F.coalesce(F.col(name), F.lit("")), F.lit("(?s)."), F.lit(0)))
+    turn = F.transform("_letters", lambda c, i: F.concat(c, (i - F.array_position(F.col("_letters"), c) + 2).cast("string")))
+    return rows.withColumn("_letters", letters).withColumn(out, turn).drop("_letters")
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """An upper bound of the ratio of two names, from their bags."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
 def candidate_pairs(entities: DataFrame, ratio=name_ratio) -> DataFrame:
     """entities (ord, id, entity_type, code, name, parent) as pairs with confidence and reasons, in no
     order (`best_first` sorts them).  Null codes meet nothing."""
-    left = entities.filter("code IS NOT NULL").select(*(F.col(c).alias(f"l_{c}") for c in ("ord", "id", "entity_type", "code", "name", "parent")))
-    right = entities.filter("code IS NOT NULL").select(*(F.col(c).alias(f"r_{c}") for c in ("ord", "id", "entity_type", "code", "name", "parent")))
+    known = with_bag(entities.filter("code IS NOT NULL"))
+    columns = ("ord", "id", "entity_type", "code", "name", "parent", "bag")
+    left, right = (known.select(*(F.col(c).alias(f"{side}_{c}") for c in columns)) for side in "lr")
     pairs = left.join(right, (F.col("l_entity_type") == F.col("r_entity_type")) & (F.col("l_code") == F.col("r_code")) & (F.col("l_ord") < F.col("r_ord")))
-    pairs = pairs.withColumn("_ratio", F.when(F.col("l_name") == F.col("r_name"), F.lit(1.0)).otherwise(ratio("l_name", "r_name")))
+    # null and blank names are alike
+    same = F.coalesce("l_name", F.lit("")) == F.coalesce("r_name", F.lit(""))
+    asked = ~same & (ratio_bound(F.col("l_bag"), F.col("r_bag")) >= SIMILAR)
+    pairs = pairs.withColumn("_ratio", F.when(same, F.lit(1.0)).otherwise(ratio(F.when(asked, F.col("l_name")), F.when(asked, F.col("r_name")))))
     name = F.when(F.col("_ratio") >= NEARLY_EQUAL, 0.25).when(F.col("_ratio") >= SIMILAR, 0.15).otherwise(0.0)
     parent = F.when(F.col("l_parent") == F.col("r_parent"), 0.05).otherwise(0.0)
     reasons = F.array_compact(F.array(F.lit("code identique"), F.when(name == 0.25, "nom identique"), F.when(name == 0.15, "nom proche"), F.when(parent > 0, "meme parent")))

@@ -1,26 +1,76 @@
-"""Order-dependent patterns of tabular sources, as window functions over an explicit row number."""
+"""Order-dependent patterns of tabular sources over an explicit row number: window functions, and for groups too large for
+one task the same in two levels."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.scratch import ranged
 
-def carry_forward(df: DataFrame, value: Column, out: str, group: list[str], order: list[str]) -> DataFrame:
-    """The last non-null value so far within the group."""
-    over = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(over))
 
+#: A group of more rows than this is dealt out in stretches instead of meeting in one task.
+HOT = 1 << 20
 
-def first_seen(df: DataFrame, keys: list[str], order: list[str], out: str = "occurrence", first: str = "first_row", row: str | None = None) -> DataFrame:
+
+def _has_hot(df: DataFrame, group: list[str], hot: int) -> bool:
+    """Whether a group has more than `hot` rows: counts are summed in each task before they meet."""
+    return hot <= 0 or not df.groupBy(*group).count().filter(F.col("count") > hot).isEmpty()
+
+
+def _two_level(df: DataFrame, group: list[str], order: list[str], summaries: dict[str, Column], before: dict, within: dict) -> DataFrame:
+    """A scan of ordered groups in two levels: rows fall into stretches of (group, order) of about equal size, each
+    stretch is summed up in one row, and what the stretches before add up to is joined to the rows.
+
+    summaries: aggregates of a stretch; before: from a window over the stretches of a group to columns; within: from a
+    window over the rows of a stretch to the columns that are added (they may use those of `before`)."""
+    rows = ranged(df, [*group, *order])
+    named = {k: f"_g{i}" for i, k in enumerate(group)}
+    stretches = rows.groupBy(*(F.col(k).alias(v) for k, v in named.items()), F.col("_stretch").alias("_s")).agg(*(c.alias(n) for n, c in summaries.items()))
+    # a group has at most one row a stretch here
+    over = Window.partitionBy(*named.values()).orderBy("_s")
+    stretches = stretches.select(*named.values(), "_s", *(make(over).alias(n) for n, make in before.items()))
+    same = [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()]
+    rows = rows.join(stretches, [*same, F.col("_stretch") == F.col("_s")])
+    inside = Window.partitionBy(*group, "_stretch").orderBy(*order)
+    return rows.select(*df.columns, *(make(inside).alias(n) for n, make in within.items()))
+
+
+def carry_forward(df: DataFrame, value: Column, out: str, group: list[str], order: list[str], hot: int = HOT) -> DataFrame:
+    """The last non-null value so far within the group (null keys are a group).  Rows that agree in `order` may come in
+    any order."""
+    if not _has_hot(df, group, hot):
+        over = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(over))
+    scanned = _two_level(
+        df.withColumn("_value", value), group, order,
+        {"_last": F.max_by(F.struct(F.col("_value").alias("v")), F.when(F.col("_value").isNotNull(), F.struct(*order)))},
+        {"_carried": lambda w: F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))["v"]},
+        {out: lambda w: F.coalesce(F.last("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_carried"))},
+    )
+    return scanned.drop("_value")
+
+
+def first_seen(df: DataFrame, keys: list[str], order: list[str], out: str = "occurrence", first: str = "first_row", row: str | None = None, hot: int = HOT) -> DataFrame:
     """Occurrence number within equal keys, and the row that came first."""
-    over = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(over)).withColumn(first, F.first(row or order[0]).over(over))
+    row = row or order[0]
+    if not _has_hot(df, keys, hot):
+        over = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(over)).withColumn(first, F.first(row).over(over))
+    return _two_level(
+        df, keys, order,
+        {"_n": F.count("*"), "_first": F.min_by(F.struct(F.col(row).alias("v")), F.struct(*order))},
+        {"_before": lambda w: F.sum("_n").over(w) - F.col("_n"), "_head": lambda w: F.first("_first").over(w)["v"]},
+        {out: lambda w: (F.col("_before") + F.row_number().over(w)).cast("int"), first: lambda w: F.col("_head")},
+    )
 
 
 def repeated(df: DataFrame, keys: list[str], out: str = "n_same") -> DataFrame:
-    """Number of rows with the same keys, on every one of them."""
-    return df.withColumn(out, F.count("*").over(Window.partitionBy(*keys)))
+    """Number of rows with the same keys, on every one of them: counts joined to the rows, a join that adaptive execution
+    splits where a key is hot."""
+    named = {k: f"_r{i}" for i, k in enumerate(keys)}
+    counts = df.groupBy(*(F.col(k).alias(v) for k, v in named.items())).agg(F.count("*").alias(out))
+    return df.join(counts, [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()]).drop(*named.values())
 
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -36,30 +86,25 @@ def _keep(df: DataFrame, keys: list[str], order: str, pick) -> DataFrame:
     return df.groupBy(*keys).agg(pick(F.struct(*df.columns), order).alias("_row")).select("_row.*")
 
 
-def numbered_within(df: DataFrame, keys: list[str], order: list[str], out: str, stretches: int = 256) -> DataFrame:
-    """Place 1, 2, ... of every row among those of equal keys, null keys being equal too.
+def numbered_within(df: DataFrame, keys: list[str], order: list[str], out: str, hot: int = HOT) -> DataFrame:
+    """Place 1, 2, ... of every row among those of equal keys, null keys being equal too and null orders first.
 
-    The first column of `order` is a number.  Its values are cut into equal stretches for each key, rows are numbered
-    within a stretch, and the sizes of the stretches before are added, so no task sorts all rows of a hot key.
+    Hot groups are cut into stretches of about equal numbers of rows, whatever their values; rows are numbered within a
+    stretch, and the sizes of the stretches before are added.
     """
-    low, high = F.min(F.col(order[0]).cast("double")).alias("_low"), F.max(F.col(order[0]).cast("double")).alias("_high")
-    ends = df.groupBy(*(F.col(k).alias(f"_e_{k}") for k in keys)).agg(low, high)
-    same = [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys]
-    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / stretches)
-    stretch = F.coalesce(F.floor((F.col(order[0]).cast("double") - F.col("_low")) / width), F.lit(0))
-    # null orders come first, as in a sort
-    rows = df.join(ends, same).withColumn("_stretch", F.when(F.col(order[0]).isNull(), -1).otherwise(stretch)).drop("_low", "_high", *(f"_e_{k}" for k in keys))
-    sizes = rows.groupBy(*(F.col(k).alias(f"_e_{k}") for k in keys), F.col("_stretch").alias("_s")).agg(F.count("*").alias("_size"))
-    over = Window.partitionBy(*(f"_e_{k}" for k in keys)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(over), F.lit(0)))
-    rows = rows.join(before, [*same, F.col("_stretch") == F.col("_s")])
-    place = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(*order))
-    return rows.withColumn(out, F.col("_before") + place).select(*df.columns, out)
+    if not _has_hot(df, keys, hot):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return _two_level(
+        df, keys, order,
+        {"_n": F.count("*")},
+        {"_before": lambda w: F.sum("_n").over(w) - F.col("_n")},
+        {out: lambda w: F.col("_before") + F.row_number().over(w)},
+    )
 
 
 def numbered_codes(df: DataFrame, prefix: Column, order: list[str], existing: DataFrame | None = None, out: str = "code", width: int = 3) -> DataFrame:
-    """Codes prefix_NNN that continue each prefix's greatest number in existing (code).  The first column of `order` is
-    a number (see numbered_within)."""
+    """Codes prefix_NNN that continue each prefix's greatest number in existing (code).  See
+    numbered_within for hot prefixes."""
     from terralith.functions.text import zero_fill
 
     rows = numbered_within(df.withColumn("_prefix", prefix), ["_prefix"], order, "_n")

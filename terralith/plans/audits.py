@@ -385,6 +385,22 @@ def match_confidence(spark: SparkSession, d: str) -> DataFrame:
     return best_first(candidate_pairs(rows)).withColumn("reasons", F.array_join("reasons", "; "))
 
 
+_NEAR_SQL = """e AS (SELECT c_custkey AS id, c_nationkey AS code, ['abcdefghijk', 'abcdefghijx', 'zzzzqqqq', 'kjihgfedcba', NULL, 'aaaabbbbcccc', 'aaaabbbbcccd'][c_custkey % 7 + 1] AS name FROM customer)"""
+_NEAR_NAMES = ["abcdefghijk", "abcdefghijx", "zzzzqqqq", "kjihgfedcba", None, "aaaabbbbcccc", "aaaabbbbcccd"]
+
+
+@query(f"""WITH {_NEAR_SQL}, s AS (SELECT l.id AS left_id, r.id AS right_id, CASE WHEN coalesce(l.name, '') = coalesce(r.name, '') THEN 'nom identique'
+  WHEN least(l.name, r.name) = 'abcdefghijk' AND greatest(l.name, r.name) = 'abcdefghijx' OR least(l.name, r.name) = 'aaaabbbbcccc' AND greatest(l.name, r.name) = 'aaaabbbbcccd' THEN 'nom proche' END AS near FROM e l JOIN e r ON l.code = r.code AND l.id < r.id)
+SELECT near, CASE near WHEN 'nom identique' THEN 0.95 WHEN 'nom proche' THEN 0.85 ELSE 0.7 END AS confidence, CAST(count(*) AS BIGINT) AS n, min(left_id) AS first_left, CAST(sum(right_id - left_id) AS BIGINT) AS spread FROM s GROUP BY near""")
+def match_near_names(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of one code by what their names have in common: equal, near (a ratio of 0.82 to 0.92), or neither, one of them
+    with the same letters in another order."""
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_custkey").alias("id"), F.lit("site").alias("entity_type"), F.col("c_nationkey").cast("string").alias("code"), F.get(F.array(*map(F.lit, _NEAR_NAMES)), (F.col("c_custkey") % 7).cast("int")).alias("name"), F.lit(None).cast("string").alias("parent"))
+    near = F.try_element_at(F.filter("reasons", lambda x: x.startswith("nom ")), F.lit(1)).alias("near")
+    pairs = candidate_pairs(rows).select(near, "confidence", "left_id", "right_id")
+    return pairs.groupBy("near", "confidence").agg(F.count("*").alias("n"), F.min("left_id").alias("first_left"), F.sum(F.col("right_id") - F.col("left_id")).alias("spread"))
+
+
 @query("""SELECT * FROM (VALUES ('kml', 'geometrie', false, true), ('xlsx', 'nomenclature', false, true), ('geojson', 'limites', false, true), ('csv', 'zones', false, true), ('ceni', 'annonce', false, false), ('caid', 'annonce', false, false), ('ins', 'annonce', false, false)) t(source, role, connected, loader)""")
 def source_registry(spark: SparkSession, d: str) -> DataFrame:
     from terralith.sources import registry

@@ -9,7 +9,9 @@ from terralith.functions.text import zone_code
 from terralith.operators import decision as op
 from terralith.operators.hierarchy import chain
 from terralith.operators.quality import missing_fields
+from terralith.operators.search import build
 from terralith.plans.tables import LOCALITIES_SQL, localities, order_profiles, read
+from terralith.scratch import folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -102,15 +104,44 @@ def page_offset_limit(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'part', p_partkey, p_name, lower(concat_ws(' ', p_name, p_brand, p_type)) FROM part)
 SELECT layer, id, label FROM s WHERE contains(h, 'ar')""")
 def search_free_text(spark: SparkSession, d: str) -> DataFrame:
-    layers = [("region", "r_regionkey", "r_name", []), ("nation", "n_nationkey", "n_name", []), ("customer", "c_custkey", "c_name", ["c_mktsegment"]), ("supplier", "s_suppkey", "s_name", []), ("part", "p_partkey", "p_name", ["p_brand", "p_type"])]
+    rows = _search_rows(spark, d)
+    return rows.filter(F.col("text").contains("ar")).drop("text")
+
+
+#: What the searches of the layers look through: key, label and further columns.
+_SEARCHED = [("region", "r_regionkey", "r_name", []), ("nation", "n_nationkey", "n_name", []), ("customer", "c_custkey", "c_name", ["c_mktsegment"]), ("supplier", "s_suppkey", "s_name", []), ("part", "p_partkey", "p_name", ["p_brand", "p_type"])]
+
+
+def _search_rows(spark: SparkSession, d: str) -> DataFrame:
     out = None
-    for layer, key, name, more in layers:
-        hit = read(spark, d, layer).filter(op.haystack(name, *more).contains("ar"))
-        part = hit.select(F.lit(layer).alias("layer"), F.col(key).cast("long").alias("id"), F.col(name).alias("label"))
+    for layer, key, name, more in _SEARCHED:
+        part = read(spark, d, layer).select(F.lit(layer).alias("layer"), F.col(key).cast("long").alias("id"), F.col(name).alias("label"), op.haystack(name, *more).alias("text"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+_TERMS = ["ar", "ation", "BUILDING", "steel", "000042", "r#0000", "_%", "zzzz"]
+
+
+@query("WITH s AS (" + " UNION ALL ".join(f"SELECT '{layer}' AS layer, CAST({key} AS BIGINT) AS id, {name} AS label, lower(concat_ws(' ', {', '.join([name, *more])})) AS h FROM {layer}" for layer, key, name, more in _SEARCHED) + ") SELECT term, layer, id, label FROM s, (SELECT unnest(" + str(_TERMS) + ") AS term) WHERE contains(h, lower(term))")
+def search_trigram_index(spark: SparkSession, d: str) -> DataFrame:
+    """Several terms looked up in one index of all layers."""
+    index = build(_search_rows(spark, d), ["layer", "id", "label"], F.col("text"), folder(spark, "index"), parts=8, buckets=32)
+    out = None
+    for term in _TERMS:
+        part = index.search(term).select(F.lit(term).alias("term"), "layer", "id", "label")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT 25 OFFSET (SELECT greatest(count(*) - 100, 0) FROM lineitem)""")
+def page_far_from_start(spark: SparkSession, d: str) -> DataFrame:
+    """A page shortly before the end, from pages made once."""
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    pages = op.Pages(rows, ["l_shipdate", "l_orderkey", "l_linenumber"])
+    return pages.at(max(pages.total - 100, 0), 25)
+
+
 @query("""SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part
 WHERE contains(lower(p_name), '3') OR contains(lower(p_brand), '3') OR contains(lower(p_type), '3') OR contains(CAST(p_size AS VARCHAR), '3')""")
 def any_column_filter(spark: SparkSession, d: str) -> DataFrame:

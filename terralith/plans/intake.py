@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.operators import geometry as g
 from terralith.operators import intake as i
 from terralith.plans.audits import _ISSUES_SQL, prepared_customers
 from terralith.plans.tables import read
 from terralith.sources import kml
+from terralith.sources.sinks import shape_placemark
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -135,3 +137,68 @@ def kml_geometries(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("<kml><Document><Placemark><name>a</name>"), body, F.lit("</Placemark></Document></kml>"))
     docs = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), F.encode(text, "UTF-8").alias("content"))
     return docs.mapInPandas(kml.geometries, kml.GEOMETRY_SCHEMA)
+
+
+_SHAPES_SQL = """s AS (SELECT s_suppkey AS k, CAST(s_suppkey % 90 AS VARCHAR) || '.5' AS x, s_suppkey % 6 AS turn FROM supplier), p AS (
+  SELECT k, x, turn, '[[[' || x || ',0.0,7.0],[9.5,1.0,7.0],[' || x || ',2.0,7.0],[' || x || ',0.0,7.0]],[[' || x || ',1.0],[2.0,2.0],[' || x || ',1.0]]]' AS hole, '[[[' || x || ',3.0],[4.0,4.0],[' || x || ',3.0]]]' AS plain FROM s)"""
+
+
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers with a geometry of each kind: points with altitude, lines, polygons with holes, several of them,
+    collections, and none."""
+    x, k = (F.col("s_suppkey") % 90 + 0.5).cast("double"), F.col("s_suppkey")
+    at = lambda *p: F.array(*(c if not isinstance(c, float) else F.lit(c) for c in p))
+    hole = g.part("Polygon", F.array(F.array(at(x, 0.0, 7.0), at(9.5, 1.0, 7.0), at(x, 2.0, 7.0), at(x, 0.0, 7.0)), F.array(at(x, 1.0), at(2.0, 2.0), at(x, 1.0))))
+    plain = g.part("Polygon", F.array(F.array(at(x, 3.0), at(4.0, 4.0), at(x, 3.0))))
+    point = g.part("Point", F.array(F.array(at(x, 2.5, 7.0))))
+    line = g.part("LineString", F.array(F.array(at(x, 0.0, 1.0), at(9.5, 1.0))))
+    turn = k % 6
+    kinds = [F.array(point), F.array(hole), F.array(hole, plain), F.array(point, line, hole), F.array(line)]
+    parts = F.when(turn == 0, kinds[0])
+    for i, kind in enumerate(kinds[1:], 1):
+        parts = parts.when(turn == i, kind)
+    return read(spark, d, "supplier").select(k, F.col("s_name").alias("nom"), g.whole(parts).alias("geometry"))
+
+
+@query(f"""WITH {_SHAPES_SQL}
+SELECT 's' || CAST(k AS VARCHAR) AS file, CASE turn WHEN 0 THEN '{{"type":"Point","coordinates":[' || x || ',2.5,7.0]}}' WHEN 1 THEN '{{"type":"Polygon","coordinates":' || hole || '}}'
+  WHEN 2 THEN '{{"type":"MultiPolygon","coordinates":[' || hole || ',' || plain || ']}}'
+  WHEN 3 THEN '{{"type":"GeometryCollection","geometries":[{{"type":"Point","coordinates":[' || x || ',2.5,7.0]}},{{"type":"LineString","coordinates":[[' || x || ',0.0,1.0],[9.5,1.0]]}},{{"type":"Polygon","coordinates":' || hole || '}}]}}'
+  ELSE '{{"type":"LineString","coordinates":[[' || x || ',0.0,1.0],[9.5,1.0]]}}' END AS feature_geometry,
+  CASE WHEN turn <> 3 THEN CAST(x AS DOUBLE) END AS lon, CASE turn WHEN 0 THEN 2.5 WHEN 3 THEN NULL ELSE 0.0 END AS lat, CASE turn WHEN 0 THEN 7.0 WHEN 3 THEN NULL WHEN 4 THEN 1.0 ELSE 7.0 END AS alt, true AS same
+FROM p WHERE turn < 5""")
+def geometry_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Whole geometries through KML documents, a zip each, and through GeoJSON text and back."""
+    rows = _shapes(spark, d)
+    text = F.concat(F.lit("<kml><Document><name>d</name>"), shape_placemark(F.col("nom"), F.col("geometry")), F.lit("</Document></kml>"))
+    docs = rows.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    back = docs.mapInPandas(zipped, "path string, content binary").mapInPandas(kml.shapes, kml.SHAPE_SCHEMA)
+    out = back.withColumn("feature_geometry", g.geojson(F.col("geometry"))).withColumn("first", g.first_point(F.col("geometry")))
+    again = g.from_geojson(F.col("feature_geometry")).eqNullSafe(F.col("geometry"))
+    return out.select("file", "feature_geometry", "first.lon", "first.lat", "first.alt", again.alias("same"))
+
+
+def zipped(batches):
+    """(path, content): each content as the only member of a zip archive."""
+    import io
+    import zipfile
+
+    for batch in batches:
+        held = []
+        for content in batch["content"]:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("doc.kml", bytes(content))
+            held.append(out.getvalue())
+        yield batch.assign(content=held)
+
+
+@query(f"""WITH {_SHAPES_SQL}, z AS (SELECT p.*, s_name AS nom, s_nationkey FROM p JOIN supplier ON k = s_suppkey)
+SELECT k AS s_suppkey, '{{"type":"Feature","properties":{{"layer":"localites","nom":"' || nom || '","statut":null}},"geometry":' || CASE turn WHEN 0 THEN '{{"type":"Point","coordinates":[' || x || ',2.5,7.0]}}'
+  WHEN 1 THEN '{{"type":"Polygon","coordinates":' || hole || '}}' WHEN 2 THEN '{{"type":"MultiPolygon","coordinates":[' || hole || ',' || plain || ']}}'
+  WHEN 3 THEN '{{"type":"GeometryCollection","geometries":[{{"type":"Point","coordinates":[' || x || ',2.5,7.0]}},{{"type":"LineString","coordinates":[[' || x || ',0.0,1.0],[9.5,1.0]]}},{{"type":"Polygon","coordinates":' || hole || '}}]}}'
+  ELSE '{{"type":"LineString","coordinates":[[' || x || ',0.0,1.0],[9.5,1.0]]}}' END || '}}' AS feature FROM z WHERE turn < 5""")
+def map_layer_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The features of a layer of any geometries; rows without one have none."""
+    rows = g.layer(_shapes(spark, d), "geometry", layer=F.lit("localites"), nom=F.col("nom"), statut=F.lit(None).cast("string"))
+    return rows.select("s_suppkey", "feature")

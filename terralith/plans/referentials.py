@@ -38,10 +38,11 @@ def _geometry_valid(kind: Column, coordinates: Column) -> Column:
 
 
 def provinces(placemarks: DataFrame, zones: DataFrame) -> DataFrame:
-    """Placemarks whose name is a province of the zone table (code, province): of equal names the first counts."""
-    known = zones.select(F.col("code").alias("zone"), t.province_key("province").alias("_key")).dropDuplicates(["_key"])
+    """Placemarks whose name is a province of the zone table (code, province): of equal names the first
+    counts, by file and place in it; of several zones of a name the least."""
+    known = zones.groupBy(t.province_key("province").alias("_key")).agg(F.min("code").alias("zone"))
     rows = placemarks.withColumn("_key", t.province_key("name")).filter("_key <> ''")
-    first = keep_first(rows, ["_key"], "ord")
+    first = keep_first(rows.withColumn("_place", F.struct("file", "ord") if "file" in rows.columns else F.struct("ord")), ["_key"], "_place").drop("_place")
     joined = first.join(known, "_key")
     capital = F.coalesce(attribute("CHEF_LIEU", "CAPITALE"), F.try_element_at(t.description_pairs("description"), F.lit("chef lieu")))
     out = joined.select("ord", F.col("name").alias("nom"), "zone", F.lit("Province").alias("niveau"), t.clean_code(attribute("CODE_OFFICIEL", "CODE", "CODE_INS")).alias("code"), capital.alias("chef_lieu"), _geometry_valid(F.col("geometry_type"), F.col("coordinates")).alias("geometrie_valide"))
@@ -66,11 +67,16 @@ def scored(df: DataFrame, checks: list[Check]) -> DataFrame:
     return df.withColumn("flags", q.flags(checks)).withColumn("score", q.row_score(checks))
 
 
+def _in_territories() -> Column:
+    """Whether the last folder is Territoire(s)."""
+    return F.lower(F.trim(F.try_element_at("path", F.lit(-1)))).isin("territoire", "territoires")
+
+
 def territories(placemarks: DataFrame) -> DataFrame:
-    """Placemarks under a folder Territoire(s): zone and province from the path, inconsistencies with the attributes.
-    Zones are compared as codes, names without accents and in one case; an attribute that is missing isn't one."""
-    last = F.lower(F.trim(F.try_element_at("path", F.lit(-1))))
-    rows = placemarks.filter(last.isin("territoire", "territoires") & (F.size("path") >= 5))
+    """Placemarks under a folder Territoire(s), at least six deep (the document's name counts): zone and province from
+    the path, inconsistencies with the attributes.  Zones are compared as codes, names without accents and in one case;
+    an attribute that is missing isn't one."""
+    rows = placemarks.filter(_in_territories() & (F.size("path") >= 6))
     province = kml.province_after_marker(F.col("path"))
     rows = rows.withColumn("zone", t.zone_code(kml.zone_of_path(F.col("path")))).withColumn("province", province)
     rows = rows.withColumn("nom", F.coalesce(t.blank_to_null("name"), attribute("NOM", "TERRITOIRE")))
@@ -84,8 +90,9 @@ def territories(placemarks: DataFrame) -> DataFrame:
 
 
 def cities(placemarks: DataFrame) -> DataFrame:
-    """Placemarks six folders deep whose TYPE is Commune(s)."""
-    rows = placemarks.filter((F.size("path") >= 5) & F.lower(attribute("TYPE")).isin("commune", "communes"))
+    """Named placemarks whose TYPE is Commune(s) in a folder Territoire(s) exactly six deep (the document's name counts)."""
+    named = t.blank_to_null("name").isNotNull()
+    rows = placemarks.filter(named & _in_territories() & (F.size("path") == 6) & F.lower(attribute("TYPE")).isin("commune", "communes"))
     out = rows.select("ord", F.coalesce(t.blank_to_null("name"), attribute("NOM")).alias("nom"), t.zone_code(kml.zone_of_path(F.col("path"))).alias("zone"), kml.province_after_marker(F.col("path")).alias("province"), _geometry_valid(F.col("geometry_type"), F.col("coordinates")).alias("geometrie_valide"))
     return scored(out.withColumn("canonical_id", F.concat_ws("-", F.lit("VILLE"), t.city_token("province"), t.city_token("nom"))), level_checks("ville"))
 

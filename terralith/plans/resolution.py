@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.functions.text import alnum_key, staging_key, xml_escape
+from terralith.operators.attach import Level, attached, child_counts, ids_under_parents, kept_nodes, unattached
 from terralith.operators import classify as c
 from terralith.operators import geometry as g
 from terralith.operators.hierarchy import resolve_staging_parents
@@ -191,3 +192,74 @@ def kmz_placemarks(spark: SparkSession, d: str) -> DataFrame:
     files = documents.select(F.concat("r_name", F.lit(".kml")).alias("path"), F.encode(F.format_string(head, xml_escape("r_name"), "_marks"), "UTF-8").alias("content"))
     rows = files.mapInPandas(kml.placemarks, kml.SCHEMA)
     return rows.select(kml.innermost_folder(F.col("path")).alias("folder"), "name", kml.extended_map(F.col("ext"))["CODE"].alias("code"), "geometry_type", "coordinates", "ord")
+
+
+_ATTACH_SQL = """c AS (
+  SELECT c_custkey AS id, c_name AS nom, r_name AS zone, CASE WHEN c_custkey % 11 = 0 THEN 'Nulle part' ELSE n_name END AS province, c_mktsegment AS collectivite,
+         CASE WHEN c_custkey % 5 > 0 THEN 'G' || CAST(c_custkey % 4 AS VARCHAR) END AS groupement
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+), t AS (SELECT DISTINCT zone, n_name AS nom, CAST(n_nationkey AS BIGINT) AS id FROM c JOIN nation ON province = n_name),
+k AS (SELECT zone, province, collectivite AS nom, min(id) AS id FROM c WHERE collectivite <> 'MACHINERY' AND province <> 'Nulle part' GROUP BY ALL),
+g AS (SELECT zone, province, collectivite, groupement AS nom, min(id) AS id FROM c WHERE groupement IN ('G0', 'G1', 'G2') GROUP BY ALL),
+g2 AS (SELECT g.* FROM g JOIN k ON g.zone = k.zone AND g.province = k.province AND g.collectivite = k.nom)"""
+
+
+def _attach_levels(spark: SparkSession, d: str) -> tuple[DataFrame, list[Level]]:
+    """Customers as localities that name a zone, a province, a collectivity and, most of them, a grouping; and the nodes
+    they name: no collectivity of one segment, no grouping of one number, and provinces that aren't there."""
+    nation = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customer = read(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    province = F.when(F.col("c_custkey") % 11 == 0, "Nulle part").otherwise(F.col("n_name"))
+    group = F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit("G"), (F.col("c_custkey") % 4).cast("string")))
+    leaves = customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("nom"), F.col("r_name").alias("zone"), province.alias("province"), F.col("c_mktsegment").alias("collectivite"), group.alias("groupement"))
+    top = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("nom"), F.col("r_name").alias("zone"))
+    place = ["zone", "province", "collectivite"]
+    middle = leaves.filter("collectivite <> 'MACHINERY'").groupBy(*place).agg(F.min("id").alias("id")).withColumnRenamed("collectivite", "nom")
+    low = leaves.filter(F.col("groupement").isin("G0", "G1", "G2")).groupBy(*place, "groupement").agg(F.min("id").alias("id")).withColumnRenamed("groupement", "nom")
+    return leaves, [Level("territoire", top, ("zone",)), Level("collectivite", middle, ("zone", "province")), Level("groupement", low, ("zone", "province", "collectivite"))]
+
+
+_PLACES = {"groupement": ("zone", "province", "collectivite", "groupement"), "collectivite": ("zone", "province", "collectivite"), "territoire": ("zone", "province")}
+
+
+@query(f"""WITH {_ATTACH_SQL}
+SELECT c.id, CASE WHEN g2.id IS NOT NULL THEN 'groupement' WHEN k.id IS NOT NULL THEN 'collectivite' WHEN t.id IS NOT NULL THEN 'territoire' END AS parent_level, coalesce(g2.id, k.id, t.id) AS parent_id
+FROM c LEFT JOIN g2 ON c.zone = g2.zone AND c.province = g2.province AND c.collectivite = g2.collectivite AND c.groupement = g2.nom
+LEFT JOIN k ON c.zone = k.zone AND c.province = k.province AND c.collectivite = k.nom LEFT JOIN t ON c.zone = t.zone AND c.province = t.nom""")
+def attach_by_path(spark: SparkSession, d: str) -> DataFrame:
+    leaves, levels = _attach_levels(spark, d)
+    return attached(leaves, kept_nodes(levels), _PLACES).select("id", "parent_level", "parent_id")
+
+
+@query(f"""WITH {_ATTACH_SQL}
+SELECT lower(zone || '|' || province) AS key, CAST(count(*) AS BIGINT) AS n FROM c WHERE province <> 'Nulle part' GROUP BY ALL
+UNION ALL SELECT lower(c.zone || '|' || c.province || '|' || collectivite), CAST(count(*) AS BIGINT) FROM c JOIN k ON c.zone = k.zone AND c.province = k.province AND c.collectivite = k.nom GROUP BY ALL""")
+def attached_child_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Localities below every territory and collectivity, wherever they hang under it."""
+    leaves, levels = _attach_levels(spark, d)
+    return child_counts(attached(leaves, kept_nodes(levels), _PLACES), 3).filter(F.size(F.split("key", r"\|")) > 1)
+
+
+@query(f"""WITH {_ATTACH_SQL}
+SELECT id, CASE WHEN groupement IS NOT NULL THEN 'groupement introuvable: ' || lower(zone || '|' || province || '|' || collectivite || '|' || groupement)
+  ELSE 'collectivite introuvable: ' || lower(zone || '|' || province || '|' || collectivite) END AS reason FROM c WHERE province = 'Nulle part'""")
+def unattached_report(spark: SparkSession, d: str) -> DataFrame:
+    leaves, levels = _attach_levels(spark, d)
+    return unattached(attached(leaves, kept_nodes(levels), _PLACES), _PLACES).select("id", "reason")
+
+
+@query(f"""WITH {_ATTACH_SQL}
+SELECT 'zone' AS level, CAST(r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent_id FROM region
+UNION ALL SELECT 'territoire', CAST(n_nationkey AS BIGINT), CAST(r_regionkey AS BIGINT) FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'collectivite', k.id, t.id FROM k LEFT JOIN t ON k.zone = t.zone AND k.province = t.nom
+UNION ALL SELECT 'collectivite', min(id), NULL FROM c WHERE collectivite <> 'MACHINERY' AND province = 'Nulle part' GROUP BY zone, collectivite
+UNION ALL SELECT 'groupement', g.id, k.id FROM g LEFT JOIN k ON g.zone = k.zone AND g.province = k.province AND g.collectivite = k.nom""")
+def ids_by_parent_path(spark: SparkSession, d: str) -> DataFrame:
+    """Names to ids level by level: each segment's name occurs under every province."""
+    _, levels = _attach_levels(spark, d)
+    zones = Level("zone", read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("nom")))
+    out = None
+    for name, rows in ids_under_parents([zones, *levels]).items():
+        part = rows.select(F.lit(name).alias("level"), "id", "parent_id")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -43,16 +43,32 @@ def explore(spark: SparkSession, path: str) -> tuple[str, DataFrame | None, list
     return extension, None, [f"{extension}: format connu, non lu" if extension in UNREAD else f"{extension or path}: format inconnu"]
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, tasks: int = 32, **options: str) -> DataFrame:
-    """A database table.  With a numeric key it is read in `tasks` ranges between the key's ends, else in one task."""
+def key_ranges(spark: SparkSession, url: str, table: str, key: str, tasks: int, **options: str) -> list[str]:
+    """Conditions that cut a table into at most `tasks` ranges of a numeric key with about as many rows each, rows without
+    a key in the first.  Bounds are quantiles of the key column, which alone is read for them, in ranges of equal width.
+    A value that a large share of the rows has is a range of its own: a key cannot cut it further."""
     reader = spark.read.format("jdbc").options(url=url, **options)
+    low, high = reader.option("query", f"SELECT min({key}) AS low, max({key}) AS high FROM {table}").load().first()
+    if low is None or low == high:
+        return ["1 = 1"]
+    keys = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(tasks), **options).load().select(key)
+    column = keys.columns[0]
+    probes = [i / tasks for i in range(1, tasks)]
+    kind = int if keys.dtypes[0][1] in ("tinyint", "smallint", "int", "bigint") or keys.dtypes[0][1].endswith(",0)") else float
+    cuts = keys.select(keys[column].cast("double")).dropna().approxQuantile(column, probes, 0.1 / tasks)
+    cuts = sorted({kind(c) for c in cuts if low < c <= high})
+    if not cuts:
+        return [f"{key} = {low} OR {key} IS NULL", f"{key} > {low}"]
+    middle = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{key} < {cuts[0]} OR {key} IS NULL", *middle, f"{key} >= {cuts[-1]}"]
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, tasks: int = 32, **options: str) -> DataFrame:
+    """A database table.  With a numeric key it is read in up to `tasks` ranges of about as many rows (see key_ranges),
+    else in one task.  Filters and columns of what follows go to the database."""
     if key is None:
-        return reader.option("dbtable", table).load()
-    ends = reader.option("query", f"SELECT min({key}) AS low, max({key}) AS high FROM {table}").load().first()
-    if ends is None or ends["low"] is None:
-        return reader.option("dbtable", table).load()
-    ranged = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(ends["low"]), upperBound=str(ends["high"]), numPartitions=str(tasks), **options)
-    return ranged.load()
+        return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    return spark.read.jdbc(url, table, predicates=key_ranges(spark, url, table, key, tasks, **options), properties=options)
 
 
 #: Sources of the referentials (fixed values): name, role; none is connected by itself.

@@ -1,12 +1,15 @@
 """KML and KMZ files as one row a placemark.
 
-Files are read whole by binaryFile, one task for each; the folder path of a placemark is data, so the document is
-walked as a tree.  Everything after that is columns.
+Documents are parsed as they are read, event by event: a placemark becomes a row and is let go, so a task holds one
+placemark and the folders above it, whatever the size of the document.  A folder's name comes before what lies in it, as
+the schema of the format has it.  Everything after that is columns.
 """
 
 from __future__ import annotations
 
+import contextlib
 import io
+import itertools
 import json
 import zipfile
 from collections.abc import Iterator
@@ -16,6 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.operators.geometry import GEOMETRY
+from terralith.sources.files import STREAMED, documents, member, opened, xml_events
+
 SCHEMA = (
     "file string, ord long, path array<string>, name string, description string, style_url string, "
     "ext array<struct<k:string,v:string>>, geometry_type string, coordinates string, error string"
@@ -32,15 +38,33 @@ def _child_text(node, name: str) -> str | None:
     return next(((c.text or "").strip() for c in node if _local(c.tag) == name), None)
 
 
-def kml_text(data: bytes) -> str:
-    """The document of a KMZ (its first .kml member) or the file itself, with undecodable bytes replaced."""
-    if data[:2] == b"PK":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            name = next((n for n in z.namelist() if n.lower().endswith(".kml")), None)
-            if name is None:
-                raise ValueError("no KML document in the archive")
-            data = z.read(name)
-    return data.decode("utf-8", "replace").lstrip("﻿")
+def features(stream: io.IOBase, also: str = "") -> Iterator[tuple[list[str], ElementTree.Element]]:
+    """(folder path, element) of every placemark of a KML document, or of the one in a KMZ (its first .kml member), in
+    document order; and of every other element with the tag `also`.  The element is valid until the next one."""
+    names: list[str] = []
+    open_: list[ElementTree.Element] = []  # elements that are begun
+    inside = 0  # how many of them are placemarks or `also`
+    with member(stream, ".kml") as (_, document):
+        for event, node in xml_events(document):
+            kind = _local(node.tag)
+            if event == "start":
+                open_.append(node)
+                if kind in ("Document", "Folder") and not inside:
+                    names.append("")
+                inside += kind in ("Placemark", also)
+                continue
+            open_.pop()
+            parent = open_[-1] if open_ else None
+            if kind in ("Placemark", also):
+                inside -= 1
+                if not inside:
+                    yield [n for n in names if n], node
+            elif kind in ("Document", "Folder") and not inside:
+                names.pop()
+            elif kind == "name" and parent is not None and _local(parent.tag) in ("Document", "Folder") and not inside:
+                names[-1] = names[-1] or (node.text or "").strip()
+            if not inside and parent is not None:
+                parent.remove(node)
 
 
 def _extended(placemark) -> list[dict]:
@@ -103,56 +127,101 @@ def _geojson(node) -> dict | None:
     return {"type": kind, "coordinates": [flat] if kind == "Polygon" else flat}
 
 
-def _walk(node, path: list[str]) -> Iterator[tuple[list[str], object]]:
-    for child in node:
-        kind = _local(child.tag)
-        if kind == "Placemark":
-            yield path, child
-        elif kind in ("Document", "Folder"):
-            name = _child_text(child, "name")
-            yield from _walk(child, [*path, name] if name else path)
+#: Rows of a frame that goes from a task to Spark.
+FRAME = 1000
+_UNREADABLE = (ValueError, ElementTree.ParseError, zipfile.BadZipFile)
+
+
+def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while part := list(itertools.islice(rows, FRAME)):
+        out = pd.DataFrame(part, columns=columns).astype(object)
+        yield out.where(out.notna(), None)
 
 
 def placemarks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, content) of documents as rows of SCHEMA (see files.opened for content)."""
+
+    def rows(file: str, content: bytes | None) -> Iterator[tuple]:
+        try:
+            with opened(file, content) as stream:
+                for i, (p, m) in enumerate(features(stream)):
+                    yield file, i, p, _child_text(m, "name"), _child_text(m, "description"), _child_text(m, "styleUrl"), _extended(m), *_geometry(m), None
+        except _UNREADABLE as e:
+            yield file, None, [], None, None, None, [], None, None, str(e)
+
+    columns = ["file", "ord", "path", "name", "description", "style_url", "ext", "geometry_type", "coordinates", "error"]
     for batch in batches:
         for file, content in zip(batch["path"], batch["content"]):
-            try:
-                root = ElementTree.fromstring(kml_text(bytes(content)))
-                rows = [(file, i, p, _child_text(m, "name"), _child_text(m, "description"), _child_text(m, "styleUrl"), _extended(m), *_geometry(m), None) for i, (p, m) in enumerate(_walk(root, []))]
-            except (ValueError, ElementTree.ParseError, zipfile.BadZipFile) as e:
-                rows = [(file, None, [], None, None, None, [], None, None, str(e))]
-            columns = ["file", "ord", "path", "name", "description", "style_url", "ext", "geometry_type", "coordinates", "error"]
-            out = pd.DataFrame(rows, columns=columns).astype(object)
-            yield out.where(out.notna(), None)
+            yield from _frames(rows(file, content), columns)
 
 
-def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
-    """One row a placemark in document order; a file that can't be read gives one row with `error`."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(placemarks, SCHEMA)
+def read_placemarks(spark: SparkSession, path: str, streamed: int = STREAMED) -> DataFrame:
+    """One row a placemark in document order.  A file that can't be read gives a row with `error` and no `ord`, after the
+    placemarks that stand before the fault."""
+    return documents(spark, path, streamed).mapInPandas(placemarks, SCHEMA)
 
 
 def geometries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(path, content) of documents as one row a placemark with a geometry: the first of its Point, LineString, Polygon
-    and MultiGeometry elements.  Documents that can't be read give none (read_placemarks tells why)."""
-    for batch in batches:
-        for file, content in zip(batch["path"], batch["content"]):
-            rows = []
-            try:
-                marks = [m for _, m in _walk(ElementTree.fromstring(kml_text(bytes(content))), [])]
-            except (ValueError, ElementTree.ParseError, zipfile.BadZipFile):
-                marks = []
-            for i, mark in enumerate(marks):
+    and MultiGeometry elements.  What stands after a fault in a document gives none (read_placemarks tells why)."""
+
+    def rows(file: str, content: bytes | None) -> Iterator[tuple]:
+        with contextlib.suppress(*_UNREADABLE), opened(file, content) as stream:
+            for i, (_, mark) in enumerate(features(stream)):
                 nodes = [c for kind in ("Point", "LineString", "Polygon", "MultiGeometry") for c in mark if _local(c.tag) == kind]
                 found = next((g for g in map(_geojson, nodes) if g), None)
                 if found:
-                    rows.append((file, i, found["type"], json.dumps(found, separators=(",", ":"))))
-            yield pd.DataFrame(rows, columns=["file", "ord", "geometry_type", "geometry"]).astype({"file": object, "ord": "int64", "geometry_type": object, "geometry": object})
+                    yield file, i, found["type"], json.dumps(found, separators=(",", ":"))
 
+    for batch in batches:
+        for file, content in zip(batch["path"], batch["content"]):
+            yield from _frames(rows(file, content), ["file", "ord", "geometry_type", "geometry"])
 
-def read_geometries(spark: SparkSession, path: str) -> DataFrame:
+
+def read_geometries(spark: SparkSession, path: str, streamed: int = STREAMED) -> DataFrame:
     """Geometries as GeoJSON text; (file, ord) are those of read_placemarks."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(geometries, GEOMETRY_SCHEMA)
+    return documents(spark, path, streamed).mapInPandas(geometries, GEOMETRY_SCHEMA)
+
+
+def _shape(node) -> list[dict]:
+    """Parts (see operators.geometry) of a geometry element: holes and altitudes are kept, parts without coordinates
+    aren't."""
+    kind = _local(node.tag)
+    if kind == "MultiGeometry":
+        return [p for child in node for p in _shape(child)]
+    if kind not in ("Point", "LineString", "Polygon"):
+        return []
+    if kind == "Polygon":
+        rings = [_points(c.text) for side in ("outerBoundaryIs", "innerBoundaryIs") for b in node if _local(b.tag) == side for c in b.iter() if _local(c.tag) == "coordinates"]
+    else:
+        rings = [_points(c.text) for c in node if _local(c.tag) == "coordinates"]
+        rings = [r[:1] if kind == "Point" else r for r in rings[:1]]
+    return [{"type": kind, "rings": [[p[:3] for p in r] for r in rings if r]}] if rings and rings[0] else []
+
+
+def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, content) of documents as one row a placemark with its whole geometry: all its geometry elements."""
+
+    def rows(file: str, content: bytes | None) -> Iterator[tuple]:
+        with contextlib.suppress(*_UNREADABLE), opened(file, content) as stream:
+            for i, (_, mark) in enumerate(features(stream)):
+                parts = [p for node in mark for p in _shape(node)]
+                if parts:
+                    kinds = {p["type"] for p in parts}
+                    kind = "GeometryCollection" if len(kinds) > 1 else ("Multi" if len(parts) > 1 else "") + kinds.pop()
+                    yield file, i, {"type": kind, "parts": parts}
+
+    for batch in batches:
+        for file, content in zip(batch["path"], batch["content"]):
+            yield from _frames(rows(file, content), ["file", "ord", "geometry"])
+
+
+SHAPE_SCHEMA = f"file string, ord long, geometry {GEOMETRY}"
+
+
+def read_shapes(spark: SparkSession, path: str, streamed: int = STREAMED) -> DataFrame:
+    """Whole geometries of placemarks; (file, ord) are those of read_placemarks."""
+    return documents(spark, path, streamed).mapInPandas(shapes, SHAPE_SCHEMA)
 
 
 def extended_map(ext: Column) -> Column:
@@ -184,19 +253,17 @@ def resolved_styles(spark: SparkSession, path: str) -> DataFrame:
     """(file, style_id, line_color, poly_color) of shared styles, for joins on style_url; files that can't be
     read have none (read_placemarks tells why)."""
 
+    def rows(file: str, content: bytes | None) -> Iterator[tuple]:
+        with contextlib.suppress(*_UNREADABLE), opened(file, content) as stream:
+            for _, mark in features(stream, also="Style"):
+                for node in mark.iter():
+                    if _local(node.tag) == "Style" and node.get("id"):
+                        colors = {_local(s.tag): _child_text(s, "color") for s in node}
+                        yield file, f"#{node.get('id')}", colors.get("LineStyle"), colors.get("PolyStyle")
+
     def styles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for file, content in zip(batch["path"], batch["content"]):
-                try:
-                    root = ElementTree.fromstring(kml_text(bytes(content)))
-                except (ValueError, ElementTree.ParseError, zipfile.BadZipFile):
-                    continue
-                for node in root.iter():
-                    if _local(node.tag) == "Style" and node.get("id"):
-                        colors = {_local(s.tag): _child_text(s, "color") for s in node}
-                        rows.append((file, f"#{node.get('id')}", colors.get("LineStyle"), colors.get("PolyStyle")))
-            yield pd.DataFrame(rows, columns=["file", "style_id", "line_color", "poly_color"]).astype(object)
+                yield from _frames(rows(file, content), ["file", "style_id", "line_color", "poly_color"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(styles, "file string, style_id string, line_color string, poly_color string")
+    return documents(spark, path).mapInPandas(styles, "file string, style_id string, line_color string, poly_color string")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralith.functions.text import xml_escape
+from terralith.operators.geometry import kml
+from terralith.sources import committed
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -41,6 +43,11 @@ def placemark(name: Column, lon: Column, lat: Column) -> Column:
     return F.concat(F.lit("<Placemark><name>"), xml_escape(F.coalesce(name, F.lit(""))), F.lit("</name><Point><coordinates>"), lon.cast("string"), F.lit(","), lat.cast("string"), F.lit("</coordinates></Point></Placemark>"))
 
 
+def shape_placemark(name: Column, geometry: Column) -> Column:
+    """A placemark with a whole geometry (see operators.geometry)."""
+    return F.concat(F.lit("<Placemark><name>"), xml_escape(F.coalesce(name, F.lit(""))), F.lit("</name>"), kml(geometry), F.lit("</Placemark>"))
+
+
 def markdown_table(df: DataFrame, most: int = 200) -> str:
     """A small result as a Markdown table; larger ones are refused."""
     rows = df.limit(most + 1).collect()
@@ -51,20 +58,18 @@ def markdown_table(df: DataFrame, most: int = 200) -> str:
 
 
 def kml_document(placemarks: DataFrame, path: str, name: str, column: str = "placemark") -> None:
-    """A KML document in one file (for layers that one writer can hold open; each line is one placemark)."""
-    spark = placemarks.sparkSession
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{name}</name>'
-    lines = [(0, head), (2, "</Document></kml>")]
-    body = placemarks.select(F.lit(1).alias("part"), F.col(column).alias("line"))
-    both = spark.createDataFrame(lines, "part int, line string").unionByName(body)
-    both.coalesce(1).sortWithinPartitions("part").select("line").write.mode("overwrite").text(path)
+    """KML documents of a bounded number of placemarks in the folder `path`, written by all tasks, and one that links them
+    (see committed)."""
+    committed.write(placemarks.select(column), path, "kml", name, overwrite=True)
 
 
 def write_twice(df: DataFrame, folder: str, stem: str, as_json: bool = True) -> list[str]:
-    """The same result under its own name and as the latest one; returns both paths."""
+    """The same result under its own name and as the latest one: computed once, then copied.  Returns both paths."""
     paths = [f"{folder}/{stem}.catalog", f"{folder}/latest.catalog"]
-    for path in paths:
-        (df.write.mode("overwrite").json if as_json else df.write.mode("overwrite").parquet)(path)
+    (df.write.mode("overwrite").json if as_json else df.write.mode("overwrite").parquet)(paths[0])
+    reader = df.sparkSession.read.schema(df.schema)
+    first = reader.json(paths[0]) if as_json else reader.parquet(paths[0])
+    (first.write.mode("overwrite").json if as_json else first.write.mode("overwrite").parquet)(paths[1])
     return paths
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.operators.windows import carry_forward
+from terralith.sources.files import STREAMED, documents, opened, xml_events
 
 SCHEMA = "file string, sheet_ord int, sheet string, row int, col string, value string"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -26,35 +28,62 @@ def _texts(node) -> str:
     return "".join(t.text or "" for t in node.iter() if _local(t.tag) == "t")
 
 
-def workbook_cells(data: bytes) -> list[tuple[int, str, int, str, str]]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
+def _rows_of(stream: io.IOBase, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements with this tag of an XML stream, one at a time; what is read is let go."""
+    open_: list[ElementTree.Element] = []
+    inside = 0
+    for event, node in xml_events(stream):
+        wanted = _local(node.tag) == tag
+        if event == "start":
+            open_.append(node)
+            inside += wanted
+            continue
+        open_.pop()
+        inside -= wanted
+        if not inside:
+            if wanted:
+                yield node
+            if open_:
+                open_[-1].remove(node)
+
+
+def workbook_cells(stream: io.IOBase | bytes) -> Iterator[tuple[int, str, int, str, str]]:
+    """(sheet number, sheet, row, column, value) of every filled cell.  Sheets are parsed as they are read; a workbook's
+    shared strings are held, as its cells name them by number."""
+    with zipfile.ZipFile(io.BytesIO(stream) if isinstance(stream, bytes) else stream) as z:
         shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = [_texts(n) for n in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(n.tag) == "si"]
+        if "xl/sharedStrings.xml" in z.namelist():
+            with z.open("xl/sharedStrings.xml") as part:
+                shared = [_texts(n) for n in _rows_of(part, "si")]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         sheets = [n for n in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(n.tag) == "sheet"]
-        out = []
         for i, sheet in enumerate(sheets):
-            member = "xl/" + targets[sheet.get(_REL)].removeprefix("/xl/").lstrip("/")
-            for cell in (n for n in ElementTree.fromstring(z.read(member)).iter() if _local(n.tag) == "c"):
-                raw = next((c.text for c in cell if _local(c.tag) == "v"), None)
-                kind = cell.get("t")
-                value = shared[int(raw)] if kind == "s" and raw is not None else _texts(cell) if kind == "inlineStr" else raw
-                place = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r", ""))
-                if value is not None and place:
-                    out.append((i, sheet.get("name"), int(place[2]), place[1], value))
-    return out
+            name = "xl/" + targets[sheet.get(_REL)].removeprefix("/xl/").lstrip("/")
+            with z.open(name) as part:
+                for cell in _rows_of(part, "c"):
+                    raw = next((c.text for c in cell if _local(c.tag) == "v"), None)
+                    kind = cell.get("t")
+                    value = shared[int(raw)] if kind == "s" and raw is not None else _texts(cell) if kind == "inlineStr" else raw
+                    place = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r", ""))
+                    if value is not None and place:
+                        yield i, sheet.get("name"), int(place[2]), place[1], value
+
+
+#: Cells of a frame that goes from a task to Spark.
+FRAME = 10_000
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for file, content in zip(batch["path"], batch["content"]):
-            yield pd.DataFrame([(file, *c) for c in workbook_cells(bytes(content))], columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"sheet": object, "col": object, "value": object, "file": object})
+            with opened(file, content) as stream:
+                cells = workbook_cells(stream)
+                while part := list(itertools.islice(cells, FRAME)):
+                    yield pd.DataFrame([(file, *c) for c in part], columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"sheet": object, "col": object, "value": object, "file": object})
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_cells, SCHEMA)
+def read_cells(spark: SparkSession, path: str, streamed: int = STREAMED) -> DataFrame:
+    return documents(spark, path, streamed).mapInPandas(_cells, SCHEMA)
 
 
 def read_table(spark: SparkSession, path: str, columns: dict[str, str], sheet: str | None = None, header_rows: int = 1) -> DataFrame:

@@ -26,7 +26,7 @@ def kmz(groups):
         body += "".join(f"<Folder><name>{p}</name>" for p in path) + "".join(marks) + "</Folder>" * len(path)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("doc.kml", f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>{body}</Document></kml>')
+        z.writestr("doc.kml", f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>Document</name>{body}</Document></kml>')
     return out.getvalue()
 
 
@@ -68,9 +68,27 @@ def test_cities(spark, read):
     assert [(x["nom"], x["province"], x["zone"], x["geometrie_valide"]) for x in found] == [("Goma", "Nord-Kivu", "ET", True)]
 
 
+def test_depth_and_last_folder(spark, read):
+    """Cities lie exactly six deep and in Territoire(s); territories at least six deep."""
+    here = ["ZONES", "ZONE EST", "Provinces", "Nord-Kivu"]
+    goma, beni = placemark("Goma", {"TYPE": "Commune"}), placemark("Beni", {"TYPE": "Commune"})
+    p = read((here + ["Communes"], [goma]), (here + ["x", "Territoires"], [goma]), (here[1:] + ["Territoires"], [goma]), (here + ["Territoires"], [beni, placemark("", {"TYPE": "Commune", "NOM": "Sans nom"})]))
+    assert [x["nom"] for x in rows(r.cities(p))] == ["Beni"]
+    assert sorted(x["nom"] for x in rows(r.territories(p))) == ["Beni", "Goma", "Sans nom"]
+
+
+def test_first_of_several_files(spark, read, tmp_path):
+    """The first province of a name is that of the first file, though places restart in each."""
+    for i, code in enumerate(("11", "12", "13")):
+        (tmp_path / f"p{i}.kmz").write_bytes(kmz([(["P"], [placemark("x", {})] * (3 - i) + [placemark("Kwilu", {"CODE": code})])]))
+    zones = spark.createDataFrame([("OT", "Kwilu"), ("EE", "Kwilu")], "code string, province string")
+    found = r.provinces(kml.read_placemarks(spark, str(tmp_path / "p*.kmz")), zones).collect()
+    assert [(x["code"], x["zone"]) for x in found] == [("11", "EE")]
+
+
 def test_city_conflict(spark, read):
     goma = placemark("Goma", {"TYPE": "Commune"})
-    p = read((["ZONES", "ZONE EST", "Provinces", "Nord-Kivu", "T"], [goma]), (["ZONES", "ZONE OUEST", "Provinces", "Kinshasa", "T"], [goma]))
+    p = read((["ZONES", "ZONE EST", "Provinces", "Nord-Kivu", "Territoires"], [goma]), (["ZONES", "ZONE OUEST", "Provinces", "Kinshasa", "Territoire"], [goma]))
     one = r.city_quality(r.cities(p)).first()
     assert (one["duplicates"], one["multi_province"], one["multi_zone"], one["score"]) == (1, 1, 1, 65.0)
 

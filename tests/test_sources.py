@@ -171,3 +171,127 @@ def test_broken_documents_give_no_geometry_and_no_style(spark, tmp_path):
     found = [tuple(r)[1:] for r in kml.read_geometries(spark, str(tmp_path / "*.kml")).collect()]
     assert found == [(1, "Point", '{"type":"Point","coordinates":[1.0,2.0]}')]
     assert [tuple(r)[1:] for r in kml.resolved_styles(spark, str(tmp_path / "*.kml")).collect()] == [("#s", "ff", None)]
+
+
+# --- streams and committed writers ---------------------------------------------------------------------
+
+
+def test_large_files_are_read_as_streams(spark, tmp_path):
+    from terralith.sources import kml, xlsx
+
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>Tout</name><Style id="s"><LineStyle><color>ff00</color></LineStyle></Style>'
+    marks = "".join(f"<Folder><name>F{i % 7} é</name><Placemark><name>p{i}</name><ExtendedData><Data name='K'><value>{i}</value></Data></ExtendedData><Point><coordinates>{i},1,2</coordinates></Point></Placemark></Folder>" for i in range(5000))
+    (tmp_path / "a.kml").write_text("﻿" + head + marks + "</Document></kml>", encoding="utf-8")
+    with zipfile.ZipFile(tmp_path / "b.kmz", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.png", b"no")
+        z.writestr("doc.kml", head + marks + "</Document></kml>")
+    for name in ("a.kml", "b.kmz"):
+        whole = kml.read_placemarks(spark, str(tmp_path / name)).orderBy("ord").collect()
+        streamed = kml.read_placemarks(spark, str(tmp_path / name), streamed=0).orderBy("ord").collect()
+        assert whole == streamed and len(whole) == 5000 and whole[4]["path"] == ["Tout", "F4 é"] and whole[4]["ext"][0]["v"] == "4"
+        assert kml.read_geometries(spark, str(tmp_path / name), streamed=0).count() == 5000
+        assert [r["line_color"] for r in kml.resolved_styles(spark, str(tmp_path / name)).collect()] == ["ff00"]
+
+
+def test_memory_of_a_large_document_is_bounded(tmp_path):
+    """40 MB of KML: what the parser holds stays far below the size of the document."""
+    import tracemalloc
+
+    from terralith.sources import kml
+
+    one = "<Placemark><name>n</name><description>" + "x" * 900 + "</description><Point><coordinates>1,2</coordinates></Point></Placemark>"
+    path = tmp_path / "big.kml"
+    with path.open("w") as f:
+        f.write('<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Folder><name>A</name>')
+        for _ in range(40_000):
+            f.write(one)
+        f.write("</Folder></Document></kml>")
+    tracemalloc.start()
+    n = 0
+    with kml.opened(f"file:{path}", None) as stream:
+        for _ in kml.features(stream):
+            n += 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 40_000 and most < 4_000_000
+
+
+def test_a_fault_gives_an_error_row(spark, tmp_path):
+    from terralith.sources import kml
+
+    (tmp_path / "bad.kml").write_text("<kml><Document><Placemark><name>a</name></Placemark><oops></Document></kml>")
+    rows = kml.read_placemarks(spark, str(tmp_path / "bad.kml")).collect()
+    assert [(r["ord"], r["name"]) for r in rows if r["error"] is None] == [(0, "a")] and sum(r["error"] is not None for r in rows) == 1
+    assert kml.read_geometries(spark, str(tmp_path / "bad.kml")).count() == 0
+
+
+def test_committed_documents_round_trip(spark, tmp_path):
+    import json
+
+    from terralith.sources import committed, kml, sinks, xlsx
+
+    df = spark.range(0, 2500, 1, 3).select(F.col("id"), F.when(F.col("id") % 5 > 0, F.format_string("a < b & é %d", "id")).alias("nom"), (F.col("id") / 4).alias("x"), F.lit("2024-01-02").cast("date").alias("d"), F.array(F.lit(1)).alias("l"))
+    marks = df.select(sinks.placemark(F.col("nom"), F.col("id").cast("double"), F.lit(1.5)).alias("placemark"))
+    committed.write(marks, str(tmp_path / "k"), "kml", "C & <A>", most_rows=400)
+    files = sorted(p.name for p in (tmp_path / "k").iterdir())
+    assert len(files) == 10 and files[0] == "doc.kml" and not any("staging" in f for f in files)
+    assert all(f in (tmp_path / "k/doc.kml").read_text() for f in files[1:])
+    back = kml.read_placemarks(spark, str(tmp_path / "k/part-*"))
+    assert back.filter("error IS NOT NULL").count() == 0 and {r["name"] for r in back.collect()} == {r["nom"] or "" for r in df.collect()} and back.count() == 2500
+    committed.write(df, str(tmp_path / "w"), "xlsx", "Feuille/1", most_rows=1000)
+    cells = xlsx.read_table(spark, str(tmp_path / "w/*.xlsx"), {"A": "id", "B": "nom", "C": "x", "D": "d", "E": "l"})
+    want = {(str(r["id"]), r["nom"], repr(r["x"]), "2024-01-02", "[1]") for r in df.collect()}
+    assert {tuple(r) for r in cells.select("id", "nom", "x", "d", "l").collect()} == want and cells.count() == 2500
+    committed.write(df, str(tmp_path / "j"), "json", most_rows=10_000)
+    held = [r for p in (tmp_path / "j").glob("part-*") for r in json.loads(p.read_text())["rows"]]
+    assert len(held) == 2500 and json.loads((tmp_path / "j/manifest.json").read_text())["rows"] == 2500
+    with pytest.raises(Exception, match="already"):
+        committed.write(df, str(tmp_path / "j"), "json")
+    committed.write(df.limit(3), str(tmp_path / "j"), "json", overwrite=True)
+    assert json.loads((tmp_path / "j/manifest.json").read_text())["rows"] == 3 and len(list((tmp_path / "j").glob("part-*"))) == 1
+    committed.write(df.limit(0), str(tmp_path / "e"), "json")
+    assert [p.name for p in (tmp_path / "e").iterdir()] == ["manifest.json"]
+
+
+def test_a_failed_task_leaves_nothing_visible(spark, tmp_path):
+    from terralith.sources import committed
+
+    df = spark.range(0, 1000, 1, 4).select(F.when(F.col("id") < 900, F.col("id")).otherwise(F.raise_error(F.lit("broken"))).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        committed.write(df, str(tmp_path / "f"), "json")
+    assert not (tmp_path / "f").exists() or list((tmp_path / "f").iterdir()) == []
+
+
+# --- databases -----------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def derby(spark, tmp_path_factory):
+    """Derby, embedded in Spark's jars, with a skewed table, one without rows and one of a single key."""
+    url = "jdbc:derby:memory:terralith;create=true"
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    key = F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 3 == 0, 7).when(F.col("id") == 1, 10**12).otherwise(F.col("id"))
+    rows = spark.range(3000).select(key.cast("long").alias("K"), F.col("id").alias("ID"), F.concat(F.lit("n"), F.col("id")).alias("NOM")).coalesce(2)
+    rows.write.jdbc(url, "SITES", "overwrite", options)
+    rows.limit(0).write.jdbc(url, "VIDE", "overwrite", options)
+    rows.limit(20).withColumn("K", F.lit(5).cast("long")).write.jdbc(url, "SEUL", "overwrite", options)
+    return url, options, rows
+
+
+def test_jdbc_ranges_of_a_skewed_key(spark, derby):
+    url, options, rows = derby
+    got = sources.read_jdbc(spark, url, "SITES", "K", 8, **options)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    # a third of the rows have one key, which is one range; the others stay near the mean whatever the outlier
+    assert 4 <= len(sizes) <= 9 and sorted(sizes)[-2] < 2.5 * 3000 / 8
+    assert got.rdd.getNumPartitions() <= 8
+
+
+def test_jdbc_odd_tables_and_pushdown(spark, derby):
+    url, options, _ = derby
+    assert sources.read_jdbc(spark, url, "VIDE", "K", 4, **options).collect() == []
+    assert sources.read_jdbc(spark, url, "SEUL", "K", 4, **options).count() == 20
+    assert sources.read_jdbc(spark, url, "SITES", **options).count() == 3000
+    plan = sources.read_jdbc(spark, url, "SITES", "K", 4, **options).filter("NOM = 'n5'").select("ID")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(NOM), *EqualTo(NOM,n5)]" in plan and "ReadSchema: struct<ID:bigint>" in plan
