@@ -60,9 +60,14 @@ def cells(rows: DataFrame) -> DataFrame:
     return counted.groupBy("part").agg(*(by_mask(c).alias(c) for c in ("n", "good", "toxic")))
 
 
-def steps() -> list[tuple[str, int, int, int]]:
-    """Every step of every order: the order, the step from 1, its filter's bit, the bits of the filters before."""
-    return [("".join(p), k + 1, _bit(p[k]), sum(map(_bit, p[:k]))) for p in permutations(FILTERS) for k in range(len(p))]
+def orders() -> Column:
+    """All orders of the filters, an array of 120 strings."""
+    return F.lit(["".join(p) for p in permutations(FILTERS)])
+
+
+def _before() -> Column:
+    """The bits of the filters that stand before `step` in `filter_order`."""
+    return sum((F.when(F.instr("filter_order", f) < F.col("step"), _bit(f)).otherwise(0) for f in FILTERS), F.lit(0))
 
 
 def _total(counts: str, which) -> Column:
@@ -75,8 +80,9 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per part, filter_order and step with long counts: kept, removed, redundant, unique_fails, good_lost,
     toxic_lost, shapley (see masks() for odd rows).  An empty table has no part and gives no row; columns of other names
     are ignored."""
-    every = F.array(*(F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step"), F.lit(b).alias("_bit"), F.lit(a).alias("_before")) for o, s, b, a in steps()))
-    rows = cells(masks(docs, labels)).select("*", F.inline(every))
+    rows = cells(masks(docs, labels)).withColumn("filter_order", F.explode(orders())).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))))
+    own = F.ascii(F.substring("filter_order", F.col("step"), F.lit(1))) - ord(FILTERS[0])
+    rows = rows.withColumn("_bit", F.call_function("shiftleft", F.lit(1), own)).withColumn("_before", _before())
     bit, before = F.col("_bit"), F.col("_before")
     fails, out = lambda m: m.bitwiseAND(bit) != 0, lambda m: m.bitwiseAND(before) != 0
     here = lambda m: fails(m) & ~out(m)

@@ -17,6 +17,9 @@ COLUMNS = {
     "op7": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op8": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
     "op9": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+    "op11": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
+    "op12": {"part": "string", "filter_order": "string", "step": "int"} | dict.fromkeys(("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"), "bigint"),
+    "op13": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
 }
 
@@ -30,7 +33,7 @@ def test_columns(spark, op):
 
 def test_one_query_for_each_operator():
     names = list(__spark_entry__.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_oracles_name_queries():
@@ -42,7 +45,7 @@ def test_library_stands_alone():
     assert subprocess.run([sys.executable, "-c", code], cwd=__spark_entry__.__file__.rsplit("/", 1)[0], capture_output=True).returncode == 0
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op6_mix_sources", "op9_topk"])
+@pytest.mark.parametrize("name", ["op2_warc", "op6_mix_sources", "op9_topk", "op12_filter_audit"])
 def test_sql(spark, name):
     import os
 
