@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import array_slices, chunks_of, clear_of, frame, id_bucket, joined_bytes, materialize, mix64, quoted, record_batch, run_hashes, segments, table, text_or_empty, text_slices
+from terralith.llm.common import array_slices, chunks_of, class_sample, clear_of, frame, id_bucket, joined_bytes, materialize, mix64, quoted, record_batch, run_hashes, segments, table, text_or_empty, text_slices
 
 #: Features are hashed into this many places; counts are summed in slabs of SLAB places.
 PLACES, SLAB = 1 << 18, 1 << 12
 #: The hinge-loss model is fitted on about this many distinct labelled texts, up to half of them of each class, chosen by
 #: a hash of the text.
 SAMPLE = 2000
-#: Or fewer, so that they have about this many bytes.
-SAMPLE_BYTES = 1 << 24
+#: Or fewer, so that they have this many bytes; but LEAST of each class (the shortest) where that many don't fit.
+SAMPLE_BYTES, LEAST = 1 << 24, 20
 #: Share of the sample that fits the logistic curve instead.
 CALIBRATION = 0.25
 THRESHOLD = 0.3
@@ -217,20 +217,18 @@ def fit(counts: np.ndarray, docs: np.ndarray, sample: list[tuple[int, int, np.nd
 def train(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Classifier:
     """From labelled (doc_id, text, quality); rows with null quality are ignored, quality >= 1 is class 1.  Labels of
     repeated rows each count.  Without rows every score is 0.5.  `sample` and `sample_bytes` bound the number and the
-    bytes of the texts that the hinge-loss model is fitted on; what comes to the driver of them is at most four bytes
-    for each of seven features a byte."""
+    bytes of the texts that the hinge-loss model is fitted on (see common.class_sample); what comes to the driver of them
+    is at most four bytes for each of seven features a byte."""
     rows = labelled.filter(F.col("quality").isNotNull())
     label = (F.col("quality") >= 1).cast("int")
     hashed = F.col("text_hash") if "text_hash" in labelled.columns else F.xxhash64(text_or_empty())
     order = F.shiftrightunsigned(hashed, 2)
-    # copies count once, or a large group of them would fill the sample
     size = F.col("text_bytes") if "text_bytes" in labelled.columns else F.octet_length(text_or_empty())
-    # copies count once, or a large group of them would fill the sample
-    distinct = rows.select(label.alias("label"), order.alias("order"), size.alias("size")).distinct().groupBy("label").agg(F.count("*"), F.sum("size"))
-    share = {k: min(1.0, sample / 2 / max(n, 1), sample_bytes / 2 / max(total, 1)) for k, n, total in distinct.collect()}
-    upto = [int((1 << 62) * share.get(k, 0.0)) for k in (0, 1)]
-    chosen = order < F.when(label == 1, F.lit(upto[1])).otherwise(F.lit(upto[0]))
-    rows = rows.select(text_or_empty().alias("text"), (F.col("quality") >= 1).cast("int").alias("label"), F.when(chosen, order).otherwise(-1).alias("sampled"))
+    rows = rows.select(text_or_empty().alias("text"), label.alias("label"), order.alias("order"), size.alias("size"))
+    # copies count once, or a large group of them would fill the sample; at most `sample` and LEAST rows a class
+    chosen = class_sample(rows.select("label", "order", "size").distinct(), (0, 1), sample, sample_bytes, LEAST)
+    chosen = F.broadcast(chosen.select(F.col("label").alias("_l"), F.col("order").alias("_o")))
+    rows = rows.join(chosen, (F.col("label") == F.col("_l")) & (F.col("order") == F.col("_o")), "left").select("text", "label", F.coalesce("_o", F.lit(-1)).alias("sampled"))
     parts = materialize(rows.mapInArrow(_count_and_sample, _PART))
     counts, docs = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64)
     # at most 2 * PLACES / SLAB rows of SLAB counts, then about `sample` rows of at most PLACES places

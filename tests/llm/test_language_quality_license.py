@@ -273,3 +273,21 @@ def test_prefilter_and_suppression_against_all_rules(spark):
         want = sorted((a, b, i) for a, b, i, r in hits if not any(better(o, (a, b, i, r)) and o[0] <= a and b <= o[1] for o in hits))
         starts = licenses._starts(words)
         assert [(a, b, r) for a, b, r in licenses.detect(words)] == [(starts.index(a), starts.index(b), licenses.rules()[i]) for a, b, i in want]
+
+
+def test_every_language_of_one_text_has_a_model(spark):
+    """71 languages, 70 of them with a single text: whichever texts the hash holds back, none loses its language."""
+    rows = [("l0", f"the of and to in that number {i}") for i in range(60)] + [(f"l{k}", " ".join(chr(0x4E00 + 40 * k + j) for j in range(40))) for k in range(1, 71)]
+    model = language.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert sorted(model.models) == sorted({r[0] for r in rows})
+    assert [p[0] for p in model.predict([t for _, t in rows[60:]])] == [r[0] for r in rows[60:]]
+
+
+def test_quality_sample_has_long_texts_of_a_rare_class(spark):
+    """Texts that each have most of the byte budget: the class keeps texts in the sample, and they score low."""
+    rows = [(i, f"clean words here and there number {i} and some more of them", 1) for i in range(40)]
+    rows += [(100 + i, ("### $$$ %%% " + f"{i} " * 7) * 20_000, 0) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(df, sample_bytes=1 << 16)
+    scores = {r["doc_id"]: r["score"] for r in quality.score(df, model).collect()}
+    assert max(scores[100 + i] for i in range(3)) < quality.THRESHOLD < min(scores[i] for i in range(40))
