@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +104,42 @@ def unreserved(attributes: Column, reserved: list[str]) -> Column:
     return F.map_filter(attributes, lambda k, v: ~k.isin(*reserved))
 
 
+def merged(*maps: Column) -> Column:
+    """One map of several of text to text; of equal keys the value of the later map counts, null maps are empty."""
+    held = [F.coalesce(m, F.create_map().cast("map<string,string>")) for m in maps]
+    return reduce(_later_wins, held)
+
+
+def _later_wins(before: Column, later: Column) -> Column:
+    return F.map_concat(F.map_filter(before, lambda k, v: ~F.map_contains_key(later, k)), later)
+
+
+def placemark_attributes(name: Column, extended: Column, description: Column) -> Column:
+    """Attributes of a placemark: its name, then its extended data, then what its description says, the later winning."""
+    return merged(F.create_map(F.lit("name"), F.coalesce(F.trim(name), F.lit(""))), extended, description)
+
+
+#: What stands for a missing role of an activity, a missing level of a challenge, and missing names (fixed values).
+UNQUALIFIED, ACTIVITY, CHALLENGE = "À qualifier", "Activité", "Défi"
+
+
+def activities(main: Column, second: Column, others: Column) -> Column:
+    """All activities of a profile as an array of nom and role: the main one, the second one, then the others, an array of
+    structs of nom, label, role and priorite.  Blank main and second ones are left out; the others keep their order."""
+    of = lambda name, role: F.when(blank_to_null(name).isNotNull(), F.struct(name.alias("nom"), F.lit(role).alias("role")))
+    first = F.array_compact(F.array(of(main, "Principale"), of(second, "Secondaire")))
+    either = lambda x, a, b, none: F.coalesce(blank_to_null(x[a]), blank_to_null(x[b]), F.lit(none))
+    rest = F.transform(F.array_compact(others), lambda x: F.struct(either(x, "nom", "label", ACTIVITY).alias("nom"), either(x, "role", "priorite", UNQUALIFIED).alias("role")))
+    return F.concat(first, F.coalesce(rest, F.array().cast("array<struct<nom:string,role:string>>")))
+
+
+def challenges(listed: Column) -> Column:
+    """Challenges of a profile as an array of nom and niveau, from structs of nom, label and niveau."""
+    named = lambda x: F.coalesce(blank_to_null(x["nom"]), blank_to_null(x["label"]), F.lit(CHALLENGE))
+    found = F.transform(F.array_compact(listed), lambda x: F.struct(named(x).alias("nom"), F.coalesce(blank_to_null(x["niveau"]), F.lit(UNQUALIFIED)).alias("niveau")))
+    return F.coalesce(found, F.array().cast("array<struct<nom:string,niveau:string>>"))
+
+
 def attribute_fallback(profile: Column, metadata: Column, *path: str) -> Column:
     """The first non-empty of profile[name], metadata[name] and, if a second name is given, profile[second]."""
     tries = [profile[path[0]], metadata[path[0]], *(profile[p] for p in path[1:])]
@@ -158,6 +196,33 @@ def mismatch_fields(messages: DataFrame, message: str) -> DataFrame:
     return messages.groupBy(F.when(field == "", "AUTRE").otherwise(field).alias("field")).agg(F.count("*").alias("n"))
 
 
+def mismatch_examples(messages: DataFrame, message: str, order: str, most: int = 20) -> DataFrame:
+    """The first messages in order, and the field that each names: examples beside the counts of mismatch_fields."""
+    field = F.regexp_extract(message, r"^([A-Z]+) source='[^']*' parent='[^']*'$", 1)
+    return messages.select(order, F.when(field == "", "AUTRE").otherwise(field).alias("field"), message).orderBy(order, message).limit(most)
+
+
+def reconciled(expected: DataFrame, found: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, n, etat) of every expected key and every found one: trouvée; manquante; inattendue; doublon, if it is found
+    more than once; non rattachée, if it is expected and found only without a parent.  Null keys are left out.  Counts
+    meet, not rows, so a key that a third of the rows have is one row."""
+    want = expected.filter(F.col(key).isNotNull()).select(F.col(key).alias("_e")).distinct()
+    have = found.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_f")).agg(F.count("*").alias("n"), F.count(parent).alias("_placed"))
+    both = want.join(have, F.col("_e") == F.col("_f"), "full_outer")
+    state = F.when(F.col("_f").isNull(), "manquante").when(F.col("_e").isNull(), "inattendue").when(F.col("_placed") == 0, "non rattachée").when(F.col("n") > 1, "doublon").otherwise("trouvée")
+    return both.select(F.coalesce("_e", "_f").alias(key), F.coalesce("n", F.lit(0)).alias("n"), state.alias("etat"))
+
+
+def extraction_gap(found: DataFrame, kind: str, recognised: Column, expected: dict[str, int]) -> DataFrame:
+    """(kind, extracted, recognised, additional, expected, gap) of every type that is found or expected: what an
+    extraction took, how much of it is the type's own, and how far the extraction lies from the expected number."""
+    counts = found.groupBy(F.col(kind).alias("_k")).agg(F.count("*").alias("_n"), F.count_if(recognised).alias("_r"))
+    wanted = found.sparkSession.createDataFrame(list(expected.items()), f"{kind} string, expected long")
+    both = wanted.join(counts, F.col(kind) == F.col("_k"), "full_outer")
+    n, r = F.coalesce("_n", F.lit(0)), F.coalesce("_r", F.lit(0))
+    return both.select(F.coalesce(kind, "_k").alias(kind), n.alias("extracted"), r.alias("recognised"), (n - r).alias("additional"), "expected", (n - F.col("expected")).alias("gap"))
+
+
 def zone_layer(provinces: DataFrame, zones: DataFrame, unnamed: str = "Zone") -> DataFrame:
     """A layer of zones made from provinces (nom, zone, geometry) that have a geometry: layer, code, nom (the zone's, of
     zones: code, nom), province, geometry."""

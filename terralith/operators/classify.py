@@ -74,6 +74,19 @@ LOCALITY_CODES = {"0": "Village", "4": "Cité", "5": "Quartier", "6": "Localité
 LOCALITY_PRIORITY = ("Cité", "Quartier", "Camp", "Localité", "Village")
 
 
+#: Map colours by thematic mode: words, the colour where one of them occurs, the colour elsewhere (fixed values).
+THEMES = {
+    "economic": (("commerce",), "#f97316", "#16a34a"),
+    "agriculture": (("agriculture",), "#22c55e", "#84cc16"),
+    "mining": (("mine", "minier"), "#a855f7", "#64748b"),
+    "network": (("faible", "absence"), "#dc2626", "#2563eb"),
+    "challenges": (("critique", "insécurité", "insecurite"), "#b91c1c", "#f59e0b"),
+    "infrastructure": (("route", "port", "aéroport"), "#0891b2", "#64748b"),
+    "priority": (("priorité", "priorite"), "#7c3aed", "#0f766e"),
+}
+PLAIN_COLOUR = "#0f766e"
+
+
 def contains_any(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
 
@@ -87,6 +100,14 @@ def first_rule(text: Column, rules, default: str) -> Column:
     return out.otherwise(default)
 
 
+def thematic_colour(text: Column, mode: str | None) -> Column:
+    """Colour of a feature in a thematic mode, by its search text (in lower case); unknown modes have one for all."""
+    if mode not in THEMES:
+        return F.lit(PLAIN_COLOUR)
+    words, hit, miss = THEMES[mode]
+    return F.when(contains_any(text, words), hit).otherwise(miss)
+
+
 def matched_terms(text: Column, rules) -> Column:
     """Words of the first matching rule that the text contains."""
     out = None

@@ -3,6 +3,8 @@ the report of a normalisation."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +145,31 @@ def structure_plan(rows: DataFrame, provinces: DataFrame, territories: DataFrame
     return out.select("code", "nom", "zone", action(same)), below.select("province", "code", "nom", "sites", action(alike))
 
 
+def positional_import(rows: DataFrame, order: str, required: list[str], key: list[str], existing: DataFrame, parents: DataFrame | None = None, parent: str | None = None, parent_key: str = "code") -> DataFrame:
+    """rows of a workbook read by position, each with action and reason: skip if a required column is blank, error if
+    its parent isn't there (parents, column parent_key), skip if its key is among the existing ones or was taken by an
+    earlier row, else insert.  A row that is skipped or in error takes no key.
+
+    existing has the columns `key`; keys are compared as text.  First rows are found by an aggregate and a join, so a key
+    that a third of the rows have is no single task.
+    """
+    out = rows
+    missing = reduce(lambda a, b: a | b, (blank_to_null(F.col(c).cast("string")).isNull() for c in required))
+    if parents is None:
+        out = out.withColumn("_there", F.lit(True))
+    else:
+        known = parents.select(F.col(parent_key).cast("string").alias("_parent")).dropna().distinct()
+        out = out.join(known, F.col(parent).cast("string") == F.col("_parent"), "left").withColumn("_there", F.col("_parent").isNotNull()).drop("_parent")
+    out = out.withColumn("_ok", ~missing & F.col("_there")).withColumn("_key", F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(key))))
+    held = existing.select(F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(key))).alias("_known")).distinct()
+    first = out.filter("_ok").groupBy(F.col("_key").alias("_k")).agg(F.min(order).alias("_first"))
+    out = out.join(held, F.col("_key") == F.col("_known"), "left").join(first, F.col("_key") == F.col("_k"), "left")
+    reason = F.when(missing, "champ manquant").when(~F.col("_there"), "parent introuvable").when(F.col("_known").isNotNull(), "déjà présent").when(F.col(order) > F.col("_first"), "répété")
+    out = out.withColumn("reason", reason)
+    action = F.when(F.col("reason").isNull(), "insert").when(F.col("reason") == "parent introuvable", "error").otherwise("skip")
+    return out.withColumn("action", action).select(*rows.columns, "action", "reason")
+
+
 def normalisation_report(prepared: DataFrame, source: str) -> DataFrame:
     """(source, section, item, n) of prepared staging rows: their number, the number of each level, of each issue, and of
     merge candidates.  The rows themselves come from staging.issues and staging.matches."""

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAST, MOST = 0.60, 0.99
+#: Entities of one code that meet in a task, on either side.
+BLOCK = 4096
 NEARLY_EQUAL, SIMILAR = 0.92, 0.82
 
 
@@ -42,13 +44,29 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
-def candidate_pairs(entities: DataFrame, ratio=name_ratio) -> DataFrame:
+def in_blocks(known: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """A table as left and right side of a join with itself on `keys` and (_i, _j): the rows of a key are dealt into blocks
+    of about `block`, and each block of the left side meets each of the right side, one pair of blocks a key.  Keys of no
+    more than `block` rows have one block, and if all are so, nothing is counted again or repeated."""
+    if known.groupBy(*keys).count().filter(F.col("count") > block).isEmpty():
+        one = known.withColumns({"_i": F.lit(0), "_j": F.lit(0)})
+        return one, one
+    counts = known.groupBy(*(F.col(k).alias(f"_b_{k}") for k in keys)).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    rows = known.join(counts, [F.col(k) == F.col(f"_b_{k}") for k in keys]).drop(*(f"_b_{k}" for k in keys))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64(*known.columns), F.col("_blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left, right = rows.withColumn("_i", F.col("_own")).withColumn("_j", others), rows.withColumn("_j", F.col("_own")).withColumn("_i", others)
+    return left.drop("_own", "_blocks"), right.drop("_own", "_blocks")
+
+
+def candidate_pairs(entities: DataFrame, ratio=name_ratio, block: int = BLOCK) -> DataFrame:
     """entities (ord, id, entity_type, code, name, parent) as pairs with confidence and reasons, in no
-    order (`best_first` sorts them).  Null codes meet nothing."""
+    order (`best_first` sorts them).  Null codes meet nothing; the entities of a hot code meet block by block."""
     known = with_bag(entities.filter("code IS NOT NULL"))
-    columns = ("ord", "id", "entity_type", "code", "name", "parent", "bag")
-    left, right = (known.select(*(F.col(c).alias(f"{side}_{c}") for c in columns)) for side in "lr")
-    pairs = left.join(right, (F.col("l_entity_type") == F.col("r_entity_type")) & (F.col("l_code") == F.col("r_code")) & (F.col("l_ord") < F.col("r_ord")))
+    columns = ("ord", "id", "entity_type", "code", "name", "parent", "bag", "_i", "_j")
+    sides = in_blocks(known.select(*columns[:-2]), ["entity_type", "code"], block)
+    left, right = (rows.select(*(F.col(c).alias(f"{side}_{c}") for c in columns)) for side, rows in zip("lr", sides))
+    pairs = left.join(right, (F.col("l_entity_type") == F.col("r_entity_type")) & (F.col("l_code") == F.col("r_code")) & (F.col("l__i") == F.col("r__i")) & (F.col("l__j") == F.col("r__j")) & (F.col("l_ord") < F.col("r_ord")))
     # null and blank names are alike
     same = F.coalesce("l_name", F.lit("")) == F.coalesce("r_name", F.lit(""))
     asked = ~same & (ratio_bound(F.col("l_bag"), F.col("r_bag")) >= SIMILAR)

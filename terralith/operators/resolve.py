@@ -37,7 +37,9 @@ def ordered_fallback_join(df: DataFrame, rules: list[Rule], fields: list[str], n
         for name, column in zip(keys, rule.parent):
             known = known.withColumn(name, blank_to_null(F.col(column).cast("string")))
         known = known.dropna(subset=keys)
-        known = (keep_last if rule.keep == "last" else keep_first)(known, keys, "ord")
+        # places restart in every file, so the fields break ties
+        known = known.withColumn("_place", F.struct("ord", *fields))
+        known = (keep_last if rule.keep == "last" else keep_first)(known, keys, "_place")
         known = known.select(*keys, F.struct(*fields).alias(f"_p{i}"))
         on = None
         for name, child in zip(keys, rule.child):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralith.functions.text import blank_to_null
+from terralith.operators.windows import numbered_within
 
 
 def one_row_each(df: DataFrame, key: str) -> DataFrame:
@@ -94,10 +95,11 @@ def reseeded(existing: DataFrame, fresh: DataFrame, source: str, name: str) -> D
 
 
 def zipped(rows: DataFrame, profiles: DataFrame, order: str, turn: str) -> DataFrame:
-    """rows with the profile whose `turn` (0, 1, ...) is the row's place by `order`, going round the profiles.  For
-    seeds of bounded size: places come from one window."""
+    """rows with the profile whose `turn` (0, 1, ...) is the row's place by `order`, going round the profiles.  Places of
+    many rows come from ranges of the order (see windows.numbered_within)."""
     n = profiles.count()
-    placed = rows.withColumn("_place", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(max(n, 1))))
+    numbered = numbered_within(rows.withColumn("_all", F.lit(0)), ["_all"], [order], "_n")
+    placed = numbered.withColumn("_place", F.pmod(F.col("_n") - 1, F.lit(max(n, 1)))).drop("_all", "_n")
     return placed.join(profiles.withColumnRenamed(turn, "_turn"), F.col("_place") == F.col("_turn"), "left").drop("_place", "_turn")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.functions.text import description_pairs
 from terralith.operators import audit as a
 from terralith.operators import upsert as u
 from terralith.operators.classify import FEATURE_RULES, first_rule
@@ -276,7 +277,9 @@ def attribute_maps(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT page_id, sha256(coalesce(html, '')) AS sha256 FROM pages""")
 def content_digests(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256).alias("sha256"))
+    from terralith.sources import content_digest
+
+    return read(spark, d, "pages").select("page_id", content_digest(F.encode("html", "UTF-8")).alias("sha256"))
 
 
 @query("""SELECT user_id, min(ts) AS first_seen, CAST(coalesce(min(CASE WHEN event_type = 'signup' THEN ts END), TIMESTAMP '2024-06-01') AS DATE) AS created_on,
@@ -401,8 +404,95 @@ def match_near_names(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("near", "confidence").agg(F.count("*").alias("n"), F.min("left_id").alias("first_left"), F.sum(F.col("right_id") - F.col("left_id")).alias("spread"))
 
 
-@query("""SELECT * FROM (VALUES ('kml', 'geometrie', false, true), ('xlsx', 'nomenclature', false, true), ('geojson', 'limites', false, true), ('csv', 'zones', false, true), ('ceni', 'annonce', false, false), ('caid', 'annonce', false, false), ('ins', 'annonce', false, false)) t(source, role, connected, loader)""")
+@query("""WITH k AS (SELECT * FROM (VALUES ('kml', 'geometrie', true), ('xlsx', 'nomenclature', true), ('geojson', 'limites', true), ('csv', 'zones', true), ('ceni', 'annonce', false), ('caid', 'annonce', false), ('ins', 'annonce', false)) t(source, role, loader)),
+n AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+SELECT coalesce(k.source, n.source) AS source, CASE WHEN k.source IS NULL THEN 'inconnue' ELSE role END AS role, coalesce(loader, false) AS loader, CAST(coalesce(n, 0) AS BIGINT) AS records, n IS NOT NULL AS connected FROM k FULL JOIN n ON k.source = n.source""")
 def source_registry(spark: SparkSession, d: str) -> DataFrame:
-    from terralith.sources import registry
+    """What is known of each source, and how many records came from it."""
+    from terralith.sources import source_rows
+
+    return source_rows(spark, read(spark, d, "documents"))
+
+
+@query("""SELECT p_partkey, p_name || ' 2' AS name, p_brand AS marque, p_type AS type, CASE WHEN p_size % 2 = 0 THEN 'dit' ELSE p_type END AS decrit, CAST(CASE WHEN p_size % 2 = 0 THEN 5 ELSE 4 END AS INTEGER) AS n FROM part""")
+def placemark_attribute_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Name, extended data and description of a placemark as one map, the later winning."""
+    extended = F.create_map(F.lit("name"), F.concat("p_name", F.lit(" 2")), F.lit("MARQUE"), F.col("p_brand"), F.lit("decrit"), F.col("p_type"), F.lit("vide"), F.lit(""))
+    told = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<b>decrit</b>: dit<br/>type: "), F.col("p_type")))
+    m = a.placemark_attributes(F.col("p_name"), extended, description_pairs(told))
+    rows = read(spark, d, "part").select("p_partkey", "p_type", m.alias("m"))
+    return rows.select("p_partkey", F.col("m")["name"].alias("name"), F.col("m")["MARQUE"].alias("marque"), F.coalesce(F.col("m")["type"], F.col("p_type")).alias("type"), F.col("m")["decrit"].alias("decrit"), F.size("m").alias("n"))
+
+
+_PROFILE_SQL = """a AS (
+  SELECT c_custkey AS id, 0 AS k, c_mktsegment AS nom, 'Principale' AS role FROM customer UNION ALL SELECT c_custkey, 1, 'Pêche', 'Secondaire' FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey, 2, 'Commerce', CASE WHEN c_custkey % 2 = 0 THEN 'Locale' ELSE 'À qualifier' END FROM customer UNION ALL SELECT c_custkey, 3, 'Activité', 'Haute' FROM customer WHERE c_custkey % 5 = 0)"""
+
+
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with their activities and challenges, from main, second and further ones of which parts are missing."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    item = lambda nom, label, role, more: F.struct(nom.alias("nom"), label.alias("label"), role.alias("role"), more.alias("priorite"))
+    others = F.array(item(none, F.lit("Commerce"), F.when(k % 2 == 0, "Locale"), none), F.when(k % 5 == 0, item(F.lit(" "), none, none, F.lit("Haute"))))
+    level = lambda nom, niveau: F.struct(nom.alias("nom"), none.alias("label"), niveau.alias("niveau"))
+    listed = F.when(k % 4 == 0, F.array(level(F.lit("Route"), none), level(none, F.lit("fort"))))
+    found = a.activities(F.col("c_mktsegment"), F.when(k % 3 == 0, "Pêche").otherwise(""), others)
+    return read(spark, d, "customer").select(k.alias("id"), found.alias("activites"), a.challenges(listed).alias("defis"))
 
-    return registry(spark)
+
+@query(f"WITH {_PROFILE_SQL} SELECT id, string_agg(nom || '=' || role, ';' ORDER BY k) AS activites, CASE WHEN id % 4 = 0 THEN 'Route=À qualifier;Défi=fort' ELSE '' END AS defis FROM a GROUP BY id")
+def profile_unions(spark: SparkSession, d: str) -> DataFrame:
+    joined = lambda xs, b: F.array_join(F.transform(xs, lambda x: F.concat(x["nom"], F.lit("="), x[b])), ";")
+    return _profiles(spark, d).select("id", joined("activites", "role").alias("activites"), joined("defis", "niveau").alias("defis"))
+
+
+@query(f"WITH {_PROFILE_SQL} SELECT nom, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT id) AS BIGINT) AS profils FROM a GROUP BY nom")
+def activity_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many profiles name each activity, in whatever role."""
+    rows = _profiles(spark, d).select("id", F.explode("activites").alias("x"))
+    return rows.groupBy(F.col("x.nom").alias("nom")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("profils"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'AUTRE' WHEN s_suppkey % 2 = 0 THEN 'COLLECTIV' ELSE 'TERRITOIRE' END AS field,
+CASE WHEN s_suppkey % 3 = 0 THEN 'illisible' ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'COLLECTIV' ELSE 'TERRITOIRE' END || ' source=' || chr(39) || s_name || chr(39) || ' parent=' || chr(39) || 'x' || chr(39) END AS cause FROM supplier ORDER BY s_suppkey LIMIT 20""")
+def mismatch_first_examples(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = F.when(k % 3 == 0, "illisible").otherwise(F.concat(F.when(k % 2 == 0, "COLLECTIV").otherwise("TERRITOIRE"), F.lit(" source='"), F.col("s_name"), F.lit("' parent='x'")))
+    return a.mismatch_examples(read(spark, d, "supplier").select(k, text.alias("cause")), "cause", "s_suppkey")
+
+
+@query("""WITH e AS (SELECT n_name AS nom FROM nation UNION SELECT 'ATLANTIS'), f AS (
+  SELECT CASE WHEN s_suppkey % 13 = 0 THEN 'MU ' || CAST(s_nationkey AS VARCHAR) ELSE n_name END AS nom, CASE WHEN s_nationkey % 4 > 0 THEN s_nationkey END AS parent FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT nom, count(*) AS n, count(parent) AS placed FROM f GROUP BY nom)
+SELECT coalesce(e.nom, c.nom) AS nom, CAST(coalesce(n, 0) AS BIGINT) AS n, CASE WHEN c.nom IS NULL THEN 'manquante' WHEN e.nom IS NULL THEN 'inattendue' WHEN placed = 0 THEN 'non rattachée' WHEN n > 1 THEN 'doublon' ELSE 'trouvée' END AS etat FROM e FULL JOIN c ON e.nom = c.nom""")
+def reconciliation_states(spark: SparkSession, d: str) -> DataFrame:
+    nation = read(spark, d, "nation")
+    expected = nation.select(F.col("n_name").alias("nom")).union(spark.createDataFrame([("ATLANTIS",)], "nom string"))
+    key = F.col("s_nationkey")
+    found = read(spark, d, "supplier").join(nation, key == F.col("n_nationkey"))
+    found = found.select(F.when(F.col("s_suppkey") % 13 == 0, F.concat(F.lit("MU "), key.cast("string"))).otherwise(F.col("n_name")).alias("nom"), F.when(key % 4 > 0, key).alias("parent"))
+    return a.reconciled(expected, found, "nom", "parent")
+
+
+@query("""WITH f AS (SELECT p_type AS t, count(*) AS n, count_if(p_size > 10) AS r FROM part GROUP BY p_type), e AS (SELECT 'ATLANTIS' AS t, 3 AS expected UNION ALL SELECT min(p_type), 145 FROM part)
+SELECT coalesce(e.t, f.t) AS p_type, CAST(coalesce(n, 0) AS BIGINT) AS extracted, CAST(coalesce(r, 0) AS BIGINT) AS recognised, CAST(coalesce(n, 0) - coalesce(r, 0) AS BIGINT) AS additional, CAST(expected AS BIGINT) AS expected, CAST(coalesce(n, 0) - expected AS BIGINT) AS gap FROM e FULL JOIN f ON e.t = f.t""")
+def extraction_gap_by_type(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part")
+    first = part.agg(F.min("p_type")).first()[0]
+    return a.extraction_gap(part, "p_type", F.col("p_size") > 10, {"ATLANTIS": 3, first: 145})
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, lower(c_mktsegment || ' ' || CASE c_custkey % 5 WHEN 0 THEN 'commerce, route' WHEN 1 THEN 'Agriculture' WHEN 2 THEN 'minier critique' WHEN 3 THEN 'réseau faible' ELSE 'priorité' END) AS x FROM customer)
+SELECT id, mode, CASE mode WHEN 'economic' THEN CASE WHEN contains(x, 'commerce') THEN '#f97316' ELSE '#16a34a' END WHEN 'agriculture' THEN CASE WHEN contains(x, 'agriculture') THEN '#22c55e' ELSE '#84cc16' END
+  WHEN 'mining' THEN CASE WHEN contains(x, 'mine') OR contains(x, 'minier') THEN '#a855f7' ELSE '#64748b' END WHEN 'network' THEN CASE WHEN contains(x, 'faible') OR contains(x, 'absence') THEN '#dc2626' ELSE '#2563eb' END
+  WHEN 'challenges' THEN CASE WHEN contains(x, 'critique') OR contains(x, 'insécurité') OR contains(x, 'insecurite') THEN '#b91c1c' ELSE '#f59e0b' END WHEN 'infrastructure' THEN CASE WHEN contains(x, 'route') OR contains(x, 'port') OR contains(x, 'aéroport') THEN '#0891b2' ELSE '#64748b' END
+  WHEN 'priority' THEN CASE WHEN contains(x, 'priorit') THEN '#7c3aed' ELSE '#0f766e' END ELSE '#0f766e' END AS couleur
+FROM c, (SELECT unnest(['economic', 'agriculture', 'mining', 'network', 'challenges', 'infrastructure', 'priority', 'autre']) AS mode)""")
+def thematic_colours(spark: SparkSession, d: str) -> DataFrame:
+    """The colour of every customer in every thematic mode and an unknown one."""
+    from terralith.operators.classify import THEMES, thematic_colour
+
+    words = F.get(F.array(*map(F.lit, ["commerce, route", "Agriculture", "minier critique", "réseau faible", "priorité"])), (F.col("c_custkey") % 5).cast("int"))
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lower(F.concat_ws(" ", "c_mktsegment", words)).alias("x"))
+    modes = F.array(*(F.struct(F.lit(m).alias("mode"), thematic_colour(F.col("x"), m).alias("couleur")) for m in (*THEMES, "autre")))
+    return rows.select("id", F.inline(modes))

@@ -9,8 +9,9 @@ from terralith.operators import geometry as g
 from terralith.operators import intake as i
 from terralith.plans.audits import _ISSUES_SQL, prepared_customers
 from terralith.plans.tables import read
-from terralith.sources import kml
-from terralith.sources.sinks import shape_placemark
+from terralith.scratch import folder
+from terralith.sources import committed, geojson, kml, xlsx
+from terralith.sources.sinks import placemark, shape_placemark
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -202,3 +203,48 @@ def map_layer_shapes(spark: SparkSession, d: str) -> DataFrame:
     """The features of a layer of any geometries; rows without one have none."""
     rows = g.layer(_shapes(spark, d), "geometry", layer=F.lit("localites"), nom=F.col("nom"), statut=F.lit(None).cast("string"))
     return rows.select("s_suppkey", "feature")
+
+
+_BOOK_SQL = """w AS (SELECT c_custkey AS ord, CASE WHEN c_custkey % 10 > 0 THEN c_name END AS nom, 'T' || CAST(c_custkey % 500 AS VARCHAR) AS code, CASE WHEN c_custkey % 9 = 0 THEN 'XX' ELSE 'N' || CAST(c_nationkey AS VARCHAR) END AS province FROM customer),
+p AS (SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS code FROM nation WHERE n_nationkey <> 3),
+e AS (SELECT p.code AS province, 'T' || CAST(x AS VARCHAR) AS code FROM p, (SELECT unnest(range(10)) AS x)),
+v AS (SELECT w.*, nom IS NOT NULL AND province IN (SELECT code FROM p) AS ok FROM w),
+f AS (SELECT province, code, min(ord) AS first FROM v WHERE ok GROUP BY province, code)"""
+
+
+@query(f"""WITH {_BOOK_SQL}, r AS (SELECT v.ord, v.code, v.province, CASE WHEN nom IS NULL THEN 'champ manquant' WHEN v.province NOT IN (SELECT code FROM p) THEN 'parent introuvable' WHEN e.code IS NOT NULL THEN 'déjà présent' WHEN v.ord > first THEN 'répété' END AS reason
+  FROM v LEFT JOIN e ON v.province = e.province AND v.code = e.code LEFT JOIN f ON v.province = f.province AND v.code = f.code)
+SELECT ord, code, province, CASE WHEN reason IS NULL THEN 'insert' WHEN reason = 'parent introuvable' THEN 'error' ELSE 'skip' END AS action, reason FROM r""")
+def workbook_import(spark: SparkSession, d: str) -> DataFrame:
+    """Territories written to workbooks by all tasks, read back by column letters from the zipped files, and planned."""
+    k = F.col("c_custkey")
+    province = F.when(k % 9 == 0, "XX").otherwise(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")))
+    book = read(spark, d, "customer").select(F.when(k % 10 > 0, F.col("c_name")).alias("nom"), F.concat(F.lit("T"), (k % 500).cast("string")).alias("code"), province.alias("province"), k.alias("ord"))
+    path = folder(spark, "books")
+    committed.write(book.repartition(4, "ord"), path, "xlsx", "Territoires")
+    rows = xlsx.read_table(spark, f"{path}/part-*.xlsx", {"A": "nom", "B": "code", "C": "province", "D": "ord"})
+    rows = rows.select(F.col("ord").cast("long"), "nom", "code", "province")
+    provinces = read(spark, d, "nation").filter("n_nationkey <> 3").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"))
+    existing = provinces.select(F.col("code").alias("province"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: F.concat(F.lit("T"), x.cast("string")))).alias("code"))
+    return i.positional_import(rows, "ord", ["nom", "code", "province"], ["province", "code"], existing, provinces, "province").drop("nom")
+
+
+@query("""SELECT c_name || ' <' || c_mktsegment || '>' AS name, '[' || CAST(c_custkey % 180 AS VARCHAR) || '.0, ' || CAST(c_nationkey AS VARCHAR) || '.0]' AS coordinates FROM customer""")
+def kml_documents_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Placemarks in KML documents of 1000 each, committed together, and read back from the files."""
+    rows = read(spark, d, "customer")
+    name = F.concat("c_name", F.lit(" <"), "c_mktsegment", F.lit(">"))
+    marks = rows.select(placemark(name, (F.col("c_custkey") % 180).cast("double"), F.col("c_nationkey").cast("double")).alias("placemark"))
+    path = folder(spark, "kml")
+    committed.write(marks.repartition(3), path, "kml", "Clients", most_rows=1000)
+    return kml.read_placemarks(spark, f"{path}/part-*.kml").select("name", "coordinates")
+
+
+@query("""SELECT s_suppkey, s_name, CAST(s_acctbal AS DOUBLE) AS s_acctbal, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey % 5 = 0 END AS cinq FROM supplier""")
+def json_documents_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Indented JSON documents, committed together, and read back as records."""
+    k = F.col("s_nationkey")
+    rows = read(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"), F.when(k % 2 == 0, k % 5 == 0).alias("cinq"))
+    path = folder(spark, "json")
+    committed.write(rows.repartition(3, "s_suppkey"), path, "json", "Fournisseurs", most_rows=200)
+    return geojson.read_records(spark, f"{path}/part-*.json", "rows").select("s_suppkey", "s_name", "s_acctbal", "cinq")

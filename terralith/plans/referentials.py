@@ -166,10 +166,26 @@ def localities(placemarks: DataFrame, groupings_: DataFrame, collectivities_: Da
         Rule("nom territoire", (F.col("_t"),), p, ("_n",), "territoire", "first"),
     ]
     found = ordered_fallback_join(rows, rules, ["groupement", "collectivite", "territoire", "province", "zone"])
-    out = found.withColumn("geometrie_valide", _geometry_valid(F.col("geometry_type"), F.col("coordinates")))
+    out = found.withColumn("geometrie_valide", _geometry_valid(F.col("geometry_type"), F.col("coordinates"))).withColumn("sans_coordonnees", F.col("coordinates").isNull())
     parent = F.coalesce("groupement", "collectivite", "territoire")
     out = out.withColumn("canonical_id", F.concat_ws("-", F.lit("LOC"), F.coalesce(t.ascii_token(parent), F.lit("PARENT_INCONNU")), F.coalesce("code", F.lit("SANS_CODE")), t.ascii_token("nom")))
-    return scored(out, level_checks("localite")).select("ord", "nom", "code", "type", "type_reason", "groupement", "collectivite", "territoire", "province", "zone", "resolution", "parent_level", "canonical_id", "geometrie_valide", "flags", "score")
+    return scored(out, level_checks("localite")).select("ord", "nom", "code", "type", "type_reason", "groupement", "collectivite", "territoire", "province", "zone", "resolution", "parent_level", "canonical_id", "geometrie_valide", "sans_coordonnees", "flags", "score")
+
+
+def locality_quality(localities_: DataFrame) -> DataFrame:
+    """Global score of the level: localities without parent, those that can't be attached (no province, or no zone),
+    without valid geometry, without coordinates, of unknown type, and keys that several share."""
+    several = q.duplicate_groups(localities_.filter("canonical_id IS NOT NULL"), ["canonical_id"]).agg(F.count("*").alias("duplicates")).withColumn("_j", F.lit(1))
+    blank = lambda c: t.blank_to_null(c).isNull()
+    counts = localities_.agg(
+        F.count("*").alias("entities"),
+        F.count_if(F.col("parent_level").isNull()).alias("orphan"),
+        F.count_if(blank("province") | blank("zone")).alias("unattachable"),
+        F.count_if(~F.col("geometrie_valide")).alias("geometry"),
+        F.count_if(F.col("sans_coordonnees")).alias("coordinates"),
+        F.count_if(F.col("type") == "Autre").alias("type"),
+    ).withColumn("_j", F.lit(1))
+    return counts.join(several, "_j").drop("_j").withColumn("score", q.penalty_score(F.col("entities"), list(q.GLOBAL_WEIGHTS["localite"].items())))
 
 
 def locality_indexes(localities_: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
 
-from terralith.sources import geojson, kml, shapefile, tabular, xlsx
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terralith.sources import committed, geojson, kml, shapefile, sinks, tabular, xlsx
 
 
 class FormatNotSupported(ValueError):
@@ -30,6 +33,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return READERS[extension](spark, path)
 
 
+#: Writers by kind: of folders of lines (csv, jsonl, geojson), and of committed documents (see committed).
+WRITERS = {
+    "csv": sinks.write_csv,
+    "jsonl": sinks.write_json,
+    "geojson": sinks.write_features,
+    **{kind: functools.partial(committed.write, kind=kind) for kind in committed.MOST_ROWS},
+}
+
+
+def write(df: DataFrame, path: str, kind: str, **how) -> None:
+    """df in the format of a kind; an unknown one is an error."""
+    if kind not in WRITERS:
+        raise FormatNotSupported(kind)
+    WRITERS[kind](df, path, **how)
+
+
 #: Formats that are known without a reader (fixed values).
 UNREAD = ("gpkg",)
 
@@ -98,8 +117,19 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "source string, role string, connected boolean, loader boolean")
 
 
+def source_rows(spark: SparkSession, records: DataFrame, source: str = "source") -> DataFrame:
+    """The registry with the number of records of each source, and the sources of records that it doesn't know."""
+    counts = records.groupBy(F.col(source).alias("_s")).agg(F.count("*").alias("_n"))
+    both = registry(spark).join(counts, F.col("source") == F.col("_s"), "full_outer")
+    role = F.when(F.col("source").isNotNull(), F.col("role")).otherwise("inconnue")
+    return both.select(F.coalesce("source", "_s").alias("source"), role.alias("role"), F.coalesce("loader", F.lit(False)).alias("loader"), F.coalesce("_n", F.lit(0)).alias("records"), F.col("_n").isNotNull().alias("connected"))
+
+
+def content_digest(content: Column) -> Column:
+    """Identity of a file's or document's content: SHA-256 in hex, of no bytes if there is none."""
+    return F.sha2(F.coalesce(content, F.lit("").cast("binary")), 256)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of every file below the path."""
-    from pyspark.sql import functions as F
-
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").load(path).select("path", "length", content_digest(F.col("content")).alias("sha256"))

@@ -1,4 +1,4 @@
-"""Documents written by many tasks and shown all at once: KML, XLSX workbooks and indented JSON.
+"""Documents written by many tasks and shown all at once: KML, XLSX workbooks, indented JSON and Markdown.
 
 Each task writes whole documents of a bounded number of rows into a staging folder below the target.  The driver's
 commit moves them into place and writes the document that names them last (a KML of network links, else a manifest), so a
@@ -21,15 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
+from terralith.sources.files import system_of
+
 FORMAT = "terralith_documents"
 #: Rows of one document, by kind (a sheet of a workbook ends at 1,048,576 rows, of which one is the head).
-MOST_ROWS = {"kml": 50_000, "xlsx": 1_000_000, "json": 100_000}
+MOST_ROWS = {"kml": 50_000, "xlsx": 1_000_000, "json": 100_000, "md": 10_000}
 _KML = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{}</name>\n'
 
 
 def write(df: DataFrame, path: str, kind: str, name: str = "document", overwrite: bool = False, most_rows: int | None = None) -> None:
-    """df as documents of a kind in the folder `path`: `kml` (one column, a placemark each: see sinks.placemark), `xlsx`
-    or `json` (any columns).  Rows keep their order within a partition.  An empty df gives the naming document alone.
+    """df as documents of a kind in the folder `path`: `kml` (one column, a placemark each: see sinks.placemark), `xlsx`,
+    `json` or `md` (any columns).  Rows keep their order within a partition.  An empty df gives the naming document alone.
     A folder that has been committed already is an error, unless it is to be overwritten."""
     df.sparkSession.dataSource.register(CommittedDocuments)
     rows = df if kind == "kml" else df.select(*(df[f"`{c}`"] if simple(t) else to_text(df, c) for c, t in df.dtypes))
@@ -55,12 +57,6 @@ def qualified(spark: SparkSession, path: str) -> str:
     return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(name).toString()
 
 
-def _system(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:"):
-        uri = "file:///" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 @dataclass
 class Written(WriterCommitMessage):
     files: tuple[str, ...]
@@ -100,7 +96,7 @@ class DocumentWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:8]
-        system, folder = _system(self.staging)
+        system, folder = system_of(self.staging)
         system.create_dir(folder, recursive=True)
         files, total, rows = [], 0, iter(rows)
         while (first := next(rows, None)) is not None:
@@ -111,7 +107,7 @@ class DocumentWriter(DataSourceWriter):
         return Written(tuple(files), total)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, target = _system(self.uri)
+        system, target = system_of(self.uri)
         files = sorted(f for m in messages if m for f in m.files)
         system.create_dir(target, recursive=True)
         if self.overwrite:  # readers see nothing between the old documents and the new ones
@@ -126,7 +122,7 @@ class DocumentWriter(DataSourceWriter):
         self._drop(system, target)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._drop(*_system(self.uri))
+        self._drop(*system_of(self.uri))
 
     def _drop(self, system: fs.FileSystem, target: str) -> None:
         if system.get_file_info(f"{target}/_staging-{self.job}").type == fs.FileType.Directory:
@@ -134,7 +130,7 @@ class DocumentWriter(DataSourceWriter):
 
 
 def _exists(uri: str) -> bool:
-    system, path = _system(uri)
+    system, path = system_of(uri)
     return system.get_file_info(path).type != fs.FileType.NotFound
 
 
@@ -166,6 +162,17 @@ def _json(out: io.IOBase, columns: list[str], first: Row, rows: Iterator[Row], t
     return n
 
 
+def _md(out: io.IOBase, columns: list[str], first: Row, rows: Iterator[Row], title: str) -> int:
+    """A heading and a table; bars and line ends inside values are escaped."""
+    plain = lambda v: "" if v is None else str(v).replace("\\", "\\\\").replace("|", "\\|").replace("\r", "").replace("\n", "<br>")
+    line = lambda values: ("| " + " | ".join(map(plain, values)) + " |\n").encode()
+    out.write(f"# {title}\n\n".encode() + line(columns) + ("|" + " --- |" * len(columns) + "\n").encode())
+    n = 0
+    for n, row in enumerate(_chain(first, rows), 1):
+        out.write(line(row))
+    return n
+
+
 #: The parts of a workbook with one sheet (fixed values of the format).
 _BOOK = {
     "[Content_Types].xml": '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
@@ -216,4 +223,4 @@ def _chain(first, rest: Iterator):
     yield from rest
 
 
-_WRITERS = {"kml": _kml, "xlsx": _xlsx, "json": _json}
+_WRITERS = {"kml": _kml, "xlsx": _xlsx, "json": _json, "md": _md}

@@ -7,8 +7,10 @@ import contextlib
 import io
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 from xml.etree import ElementTree
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,15 +29,20 @@ def documents(spark: SparkSession, path: str, streamed: int = STREAMED) -> DataF
     return small.unionByName(large)
 
 
+def system_of(path: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system of a path as Hadoop writes it (not escaped), and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
 @contextlib.contextmanager
 def opened(path: str, content: bytes | None) -> Iterator[io.IOBase]:
     """A seekable stream of the file's bytes."""
     if content is not None:
         yield io.BytesIO(content)
         return
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+    system, inner = system_of(path)
     with system.open_input_file(inner) as stream:
         yield stream
 

@@ -30,7 +30,7 @@ def _rows(file: str, layer: str, text: str) -> list[tuple]:
     return out
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for file, content in zip(batch["path"], batch["content"]):
             data = bytes(content)
@@ -46,7 +46,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """One row a feature of GeoJSON files or of zip archives of them."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_features, FEATURES)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(features, FEATURES)
 
 
 def read_records(spark: SparkSession, path: str, key: str | None = None, schema: str | None = None) -> DataFrame:

@@ -121,6 +121,9 @@ def test_localities(spark, read):
     got = rows(found)
     assert [(x["type"], x["groupement"], x["resolution"]) for x in got] == [("Camp", "Bwato", "CODE_GRPT"), ("Cité", None, "non rattaché")]
     assert got[1]["flags"] == ["orphan", "zone"] and got[1]["canonical_id"] == "LOC-PARENT_INCONNU-99920005-SANS_PARENT"
+    one = r.locality_quality(found).first()
+    assert (one["entities"], one["orphan"], one["unattachable"], one["geometry"], one["coordinates"], one["type"], one["duplicates"]) == (2, 1, 1, 0, 0, 0, 0)
+    assert one["score"] == 77.5  # 100 less (25 + 20) / 2
     assert r.locality_indexes(found).agg(F.sum(F.when(F.col("depth") == 1, F.col("n")))).first()[0] == 2
 
 

@@ -142,3 +142,13 @@ def test_ratio_bound_never_lies_below_the_ratio(spark):
         assert bound >= difflib.SequenceMatcher(None, x or "", y or "").ratio() - 1e-9
         far += bound < match.SIMILAR
     assert far > 0.8 * len(names) * (len(names) - 1) / 2  # what never reaches Python
+
+
+def test_a_hot_code_meets_in_blocks(spark, many):
+    rnd = random.Random(9)
+    rows = [(i, i, "t", "hot" if i % 3 == 0 else f"c{i % 40}", rnd.choice(["kinshasa", "kinshassa", "goma", None]), rnd.choice(["p", None])) for i in range(240)]
+    df = spark.createDataFrame(rows, "ord int, id int, entity_type string, code string, name string, parent string")
+    assert sets(match.candidate_pairs(df, block=7)) == sets(match.candidate_pairs(df))
+    left, right = match.in_blocks(df, ["entity_type", "code"], 7)
+    sizes = [r["count"] for side in (left, right) for r in side.groupBy("code", "_i", "_j").count().collect()]
+    assert max(sizes) <= 3 * 7 and left.filter("code = 'hot'").select("_i", "_j").distinct().count() > 50

@@ -181,6 +181,8 @@ def test_large_files_are_read_as_streams(spark, tmp_path):
 
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>Tout</name><Style id="s"><LineStyle><color>ff00</color></LineStyle></Style>'
     marks = "".join(f"<Folder><name>F{i % 7} é</name><Placemark><name>p{i}</name><ExtendedData><Data name='K'><value>{i}</value></Data></ExtendedData><Point><coordinates>{i},1,2</coordinates></Point></Placemark></Folder>" for i in range(5000))
+    (tmp_path / "a b%20é.kml").write_text(head + "</Document></kml>")
+    assert kml.read_placemarks(spark, str(tmp_path / "a b*.kml"), streamed=0).count() == 0
     (tmp_path / "a.kml").write_text("﻿" + head + marks + "</Document></kml>", encoding="utf-8")
     with zipfile.ZipFile(tmp_path / "b.kmz", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("x.png", b"no")
@@ -249,6 +251,11 @@ def test_committed_documents_round_trip(spark, tmp_path):
         committed.write(df, str(tmp_path / "j"), "json")
     committed.write(df.limit(3), str(tmp_path / "j"), "json", overwrite=True)
     assert json.loads((tmp_path / "j/manifest.json").read_text())["rows"] == 3 and len(list((tmp_path / "j").glob("part-*"))) == 1
+    sources.write(df.limit(5).coalesce(1).withColumn("nom", F.lit("a|b\\c\nd")), str(tmp_path / "m"), "md", name="Rapport")
+    text = next((tmp_path / "m").glob("part-*.md")).read_text()
+    assert text.startswith("# Rapport\n\n| id | nom | x | d | l |\n| --- |") and "| 0 | a\\|b\\\\c<br>d | 0.0 | 2024-01-02 | [1] |" in text and len(text.splitlines()) == 9
+    with pytest.raises(sources.FormatNotSupported):
+        sources.write(df, str(tmp_path / "x"), "doc")
     committed.write(df.limit(0), str(tmp_path / "e"), "json")
     assert [p.name for p in (tmp_path / "e").iterdir()] == ["manifest.json"]
 
