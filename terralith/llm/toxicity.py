@@ -5,6 +5,8 @@ A sentence's score is logistic in the sum of its features' weights; a document's
 blame by their own scores, and the trained model points at the offending ones.
 
 Features are hashed: words, their beginnings of 4 to 6 letters (a stem with any ending), and pairs of neighbouring words.
+A feature counts by how clearly the labels of the documents that hold it differ from the others' (the root of their
+log-likelihood ratio), so that few labelled documents are enough to tell an offending word from one that is there by chance.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ PLACES = 1 << 18
 #: The model is fitted on at most so many distinct labelled texts and about so many bytes, half of each class (see
 #: common.class_sample), and on LEAST texts of a class at least, where it has them.
 SAMPLE, SAMPLE_BYTES, LEAST = 3000, 1 << 24, 20
-#: Features of fewer texts of the sample have no weight.
-LEAST_TEXTS = 5
+#: Features of fewer texts of the sample have no weight; one of this evidence counts once.
+LEAST_TEXTS, EVIDENT = 3, 4.0
 #: A sentence ends after these, before white space or the end; at a line's end; and after so many words.
 STOPS, MOST_WORDS = ".!?…。！？", 64
 STEMS = range(4, 7)
@@ -86,6 +88,18 @@ def sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return owner, start[heads] - begins[owner], end[tails] - begins[owner], (both % PLACES).astype(np.int32), both // PLACES
 
 
+def evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Root of the log-likelihood ratio between a feature's share of toxic and of clean texts being different and being
+    the same; toxic and clean are the numbers of texts that hold it."""
+    both = (toxic + clean) / max(n_toxic + n_clean, 1)
+
+    def part(k: np.ndarray, n: int) -> np.ndarray:
+        miss = n - k
+        return k * np.log(np.maximum(k, 1) / np.maximum(n * both, 1e-12)) + miss * np.log(np.maximum(miss, 1e-12) / np.maximum(n * (1 - both), 1e-12))
+
+    return np.sqrt(np.maximum(2 * (part(toxic, n_toxic) + part(clean, n_clean)), 0.0))
+
+
 class Model:
     """A weight a place and the bias; without weights every sentence has the score of the bias."""
 
@@ -127,12 +141,14 @@ def fit(texts: list[str], y: np.ndarray, shares: np.ndarray, seed: int = 11) ->
         return Model(np.zeros(PLACES, np.float32), float(np.log(rate / (1 - rate))) if not len(owner) or y.all() else -20.0)
     place, of = np.concatenate(places), np.concatenate(ofs)
     del places, ofs
-    seen = np.unique(owner[of] * PLACES + place) % PLACES
-    frequent = np.bincount(seen, minlength=PLACES) >= LEAST_TEXTS
-    used = frequent[place]
+    class_size = np.array([(y < 1).sum(), (y > 0).sum()])
+    seen = np.unique(owner[of] * PLACES + place)
+    bad = y[seen // PLACES] > 0
+    clean, toxic = (np.bincount(seen[bad == k] % PLACES, minlength=PLACES) for k in (False, True))
+    scale = np.where(clean + toxic >= LEAST_TEXTS, evidence(toxic, clean, class_size[1], class_size[0]) / EVIDENT, 0.0)
+    used = scale[place] > 0
     place, of = place[used], of[used]
 
-    class_size = np.array([(y < 1).sum(), (y > 0).sum()])
     weight = np.where(y > 0, shares[1] / class_size[1], shares[0] / class_size[0])
     weight *= len(y) / weight.sum()
     w, b = np.zeros(PLACES), float(np.log(rate * len(texts) / len(owner)))
@@ -147,19 +163,19 @@ def fit(texts: list[str], y: np.ndarray, shares: np.ndarray, seed: int = 11) ->
             mine = place[first_feature[k] : first_feature[k + 1]]
             which = of[first_feature[k] : first_feature[k + 1]] - s
             text = owner[s:t] - k * BATCH
-            z = b + np.bincount(which, w[mine], t - s)
+            z = b + np.bincount(which, (w * scale)[mine], t - s)
             p = 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
             none = np.exp(-np.bincount(text, np.logaddexp(0.0, z), BATCH))  # the chance that no sentence is toxic
             blame = none / np.maximum(1.0 - none, 1e-12)
             labels, weights = y[k * BATCH + text], weight[k * BATCH + text]
             down = weights * p * np.where(labels > 0, -blame[text], 1.0)  # the loss's slope by z
-            slope = np.bincount(mine, down[which], PLACES) / BATCH + DECAY * w
+            slope = scale * np.bincount(mine, down[which], PLACES) / BATCH + DECAY * w
             past += slope * slope
             w -= RATE * slope / np.sqrt(past)
             slope_b = float(down.sum()) / BATCH
             past_b += slope_b * slope_b
             b -= RATE * slope_b / np.sqrt(past_b)
-    return Model(w.astype(np.float32), b)
+    return Model((w * scale).astype(np.float32), b)
 
 
 def train(labelled: DataFrame, texts: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
