@@ -1,7 +1,7 @@
 """Exact top-k search by distributed histogram selection.
 
-Vectors of scaled integers are written once, in blocks, to the shared folder; rows that move between tasks name blocks
-only.  Every block of queries meets every block of candidates.  Each round scores everything and counts scores in
+Vectors of scaled integers are written once, in blocks, to the shared folder, and so are, each round, the starts of the
+queries' ranges; rows that move between tasks name places in these files only.  Every block of queries meets every block of candidates.  Each round scores everything and counts scores in
 histograms that are summed over all candidates; the bin that holds a query's kth score is the range of the next round,
 until it is one value wide.  A last pass keeps the scores above the kth and, of the ties at it, those with the smallest
 ids.
@@ -78,8 +78,8 @@ def pack(vectors: DataFrame, rows: int, folder: str) -> DataFrame:
 
 
 def _pair_up(queries: DataFrame, candidates: DataFrame, lows: DataFrame) -> DataFrame:
-    """The name of every block of queries with the name of every block of candidates of the same length, and the start
-    of each query's range; dealt out one pair a task, up to TASKS tasks."""
+    """Where every block of queries, the starts of its queries' ranges (see _by_block) and every block of candidates of the
+    same length are; dealt out one pair a task, up to TASKS tasks."""
     q = queries.select("block", "dim", F.col("n").alias("q_n"), F.col("file").alias("q_file"), F.col("start").alias("q_start"))
     q = q.join(lows.withColumnRenamed("block", "_b"), F.col("block") == F.col("_b")).drop("_b", "block")
     c = candidates.select(F.col("dim").alias("_dim"), F.col("n").alias("c_n"), F.col("file").alias("c_file"), F.col("start").alias("c_start"))
@@ -92,11 +92,13 @@ def _pair_up(queries: DataFrame, candidates: DataFrame, lows: DataFrame) -> Data
 TASKS = 20000
 
 
-def _scored(per_wave: Callable, schema: str, pairs: DataFrame, folders: tuple[str, str], width: float, span: float) -> DataFrame:
+def _scored(per_wave: Callable, schema: str, pairs: DataFrame, folders: tuple[str, str, str], width: float, span: float, merge: Callable | None = None) -> DataFrame:
+    """What per_wave makes of the scores of every pair's waves; `merge` makes one frame of a pair's."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        (store, q_root), (_, c_root) = map(fs.FileSystem.from_uri, folders)
+        (store, q_root), (_, c_root), (_, l_root) = map(fs.FileSystem.from_uri, folders)
 
         def read(f, at: int, n: int, dim: int, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
             last = n if last is None else last
@@ -108,14 +110,19 @@ def _scored(per_wave: Callable, schema: str, pairs: DataFrame, folders: tuple[st
             for p in batch.itertuples(index=False):
                 with store.open_input_file(f"{q_root}/{p.q_file}") as f:
                     q_ids, q = read(f, p.q_start, p.q_n, p.dim)
-                low = dict(zip(np.frombuffer(p.ids, np.int64).tolist(), np.frombuffer(p.lows).tolist()))
-                lows = np.array([low[i] for i in q_ids.tolist()])
+                with store.open_input_file(f"{l_root}/{p.l_file}") as f:
+                    known, low = np.frombuffer(f.read_at(8 * p.q_n, p.l_start), np.int64), np.frombuffer(f.read_at(8 * p.q_n, p.l_start + 8 * p.q_n))
+                lows, found = low[np.searchsorted(known, q_ids)], []
                 with store.open_input_file(f"{c_root}/{p.c_file}") as f:
                     for first in range(0, p.c_n, WAVE):
                         c_ids, c = read(f, p.c_start, p.c_n, p.dim, first, min(p.c_n, first + WAVE))
                         scores = q @ c.T
                         scores[q_ids[:, None] == c_ids[None, :]] = -np.inf  # a query is no candidate of its own
-                        yield per_wave(q_ids, scores, lows, width, span, c_ids)
+                        found.append(per_wave(q_ids, scores, lows, width, span, c_ids))
+                        if merge is None:
+                            yield found.pop()
+                if found:
+                    yield merge(pd.concat(found))
 
     return pairs.mapInPandas(run, schema)
 
@@ -151,13 +158,48 @@ def _winners(k: int) -> Callable:
     return keep
 
 
-def _by_block(lows: DataFrame) -> DataFrame:
-    """lows (block, query_id, low) as one row a block: ids and lows, binary.  A block has QUERIES queries at most."""
+def _best(k: int) -> Callable:
+    """The k best of each query among a pair's waves."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+        return rows[rows.groupby("query_id").cumcount() < k]
+
+    return merge
+
+
+def _by_block(lows: DataFrame, folder: str) -> DataFrame:
+    """Write lows (block, query_id, low) to files below `folder`, of each block its ids in ascending order and then their
+    lows, and return where they are.  A block has QUERIES queries at most; a task writes one file."""
 
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        return frame(block=[rows["block"].iloc[0]], ids=[rows["query_id"].to_numpy(np.int64).tobytes()], lows=[rows["low"].to_numpy(np.float64).tobytes()])
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name, out, at = uuid.uuid4().hex, None, 0
+        rest = None
+
+        def emit(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal out, at
+            out = out or store.open_output_stream(f"{root}/{name}", compression=None)
+            out.write(rows["query_id"].to_numpy(np.int64).tobytes() + rows["low"].to_numpy(np.float64).tobytes())
+            at += 16 * len(rows)
+            return frame(block=[rows["block"].iloc[0]], l_file=[name], l_start=[at - 16 * len(rows)])
+
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch])
+            last = rest["block"].iloc[-1] if len(rest) else None
+            for _, rows in rest[rest["block"] != last].groupby("block", sort=False):
+                yield emit(rows)
+            rest = rest[rest["block"] == last]
+        if rest is not None and len(rest):
+            yield emit(rest)
+        if out is not None:
+            out.close()
 
-    return materialize(lows.select("block", "query_id", "low").groupBy("block").applyInPandas(joined, "block string, ids binary, lows binary"))
+    rows = lows.select("block", "query_id", "low").repartition("block").sortWithinPartitions("block", "query_id")
+    return materialize(rows.mapInPandas(write, "block string, l_file string, l_start long"))
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
@@ -171,7 +213,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """
     spark = candidates.sparkSession
     single = queries.select("vec_id", "embedding").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    folders = scratch_dir(spark), scratch_dir(spark)
+    folders = scratch_dir(spark), scratch_dir(spark), scratch_dir(spark)
     q_blocks, c_blocks = pack(single, QUERIES, folders[0]), pack(candidates, CANDIDATES, folders[1])
     most = c_blocks.agg(F.max("norm")).first()[0], q_blocks.agg(F.max("norm")).first()[0]
     if None in most:
@@ -181,7 +223,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     lows, width = names.withColumn("low", F.lit(-bound)).withColumn("above", F.lit(0).cast("long")), float(np.ceil((2 * bound + 1) / BINS))
     span = width * BINS
     while True:
-        counted = _scored(_histograms(k), "query_id long, bin long, n long", _pair_up(q_blocks, c_blocks, _by_block(lows)), folders, width, span)
+        counted = _scored(_histograms(k), "query_id long, bin long, n long", _pair_up(q_blocks, c_blocks, _by_block(lows, folders[2])), folders, width, span)
         summed = counted.groupBy("query_id", "bin").agg(F.sum("n").alias("n")).withColumnRenamed("query_id", "_q")
         down = Window.partitionBy("_q").orderBy(F.desc("bin"))
         held = summed.join(lows.select(F.col("query_id").alias("_id"), "above"), F.col("_q") == F.col("_id")).withColumn("_upper", F.col("above") + F.sum("n").over(down) - F.col("n"))
@@ -193,7 +235,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
         if width <= 1:
             break
         width, span = float(np.ceil(width / BINS)), width
-    best = _scored(_winners(k), "query_id long, vec_id long, score long", _pair_up(q_blocks, c_blocks, _by_block(lows)), folders, 1.0, 1.0)
+    best = _scored(_winners(k), "query_id long, vec_id long, score long", _pair_up(q_blocks, c_blocks, _by_block(lows, folders[2])), folders, 1.0, 1.0, _best(k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

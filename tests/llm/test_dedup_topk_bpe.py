@@ -225,3 +225,25 @@ def test_bpe_is_the_tokenizers_library(spark, hot):
 def test_bpe_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_documents(docs).count() == 0
+
+
+def test_pairs_of_blocks_carry_names_only(spark, monkeypatch):
+    """What a pair of blocks sends between tasks doesn't grow with the queries of a block."""
+    from terralith.llm import topk
+
+    monkeypatch.setattr(topk, "QUERIES", 64)
+    monkeypatch.setattr(topk, "CANDIDATES", 128)
+    seen, plain = [], topk._pair_up
+    monkeypatch.setattr(topk, "_pair_up", lambda *a: seen.append(plain(*a)) or seen[-1])
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.search(df.filter("vec_id % 3 = 0"), df, 5).collect()
+    assert len(got) == 5 * 234
+    v = np.floor(256 * np.array([r[1] for r in rows]))
+    for q in range(0, 700, 33):
+        score = (v @ v[q]).astype(np.int64)
+        want = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:5]
+        assert sorted((-r["score"], r["vec_id"]) for r in got if r["query_id"] == q) == want
+    for pairs in seen:
+        assert not {"ids", "lows"} & set(pairs.columns) and max(len(repr(r)) for r in pairs.limit(20).collect()) < 400
