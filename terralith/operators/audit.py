@@ -196,6 +196,11 @@ def mismatch_fields(messages: DataFrame, message: str) -> DataFrame:
     return messages.groupBy(F.when(field == "", "AUTRE").otherwise(field).alias("field")).agg(F.count("*").alias("n"))
 
 
+def feature_report(features: DataFrame, kind: Column, geometry: Column, description: Column) -> DataFrame:
+    """(class, features, without_geometry, described) of every class of features."""
+    return features.groupBy(kind.alias("class")).agg(F.count("*").alias("features"), F.count_if(geometry.isNull()).alias("without_geometry"), F.count(description).alias("described"))
+
+
 def mismatch_examples(messages: DataFrame, message: str, order: str, most: int = 20) -> DataFrame:
     """The first messages in order, and the field that each names: examples beside the counts of mismatch_fields."""
     field = F.regexp_extract(message, r"^([A-Z]+) source='[^']*' parent='[^']*'$", 1)

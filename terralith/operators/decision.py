@@ -48,6 +48,11 @@ def page(df: DataFrame, order: list[str], skip: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(skip).limit(limit)
 
 
+def recent_first(df: DataFrame, moment: str, key: str, skip: int, limit: int) -> DataFrame:
+    """A page near the start, latest rows first, then by key; null moments last.  See Pages for pages far from it."""
+    return df.orderBy(F.col(moment).desc_nulls_last(), key).offset(skip).limit(limit)
+
+
 class Pages:
     """Pages of df in `order`, which should tell all rows apart, for any place in it.
 

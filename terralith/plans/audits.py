@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.functions.dates import created_on, elapsed_seconds
 from terralith.functions.text import description_pairs
 from terralith.operators import audit as a
 from terralith.operators import upsert as u
 from terralith.operators.classify import FEATURE_RULES, first_rule
+from terralith.operators.decision import recent_first
 from terralith.operators.hierarchy import chain
 from terralith.operators.match import best_first, candidate_pairs
 from terralith.operators.quality import Check, first_values, missing_fields
@@ -146,7 +148,7 @@ def code_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40""")
 def recent_first_page(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20)
+    return recent_first(read(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 40, 20)
 
 
 @query("""WITH t AS (SELECT DISTINCT CASE WHEN p_size % 9 <> 0 THEN p_name END AS nom FROM part)
@@ -254,7 +256,7 @@ def geo_report(spark: SparkSession, d: str) -> DataFrame:
     word = F.when(size == 0, "PROVINCE").when(size == 1, "station site").when(size == 2, "Ville")
     rows = read(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type", word)).alias("t"))
     geometry, description = F.when(F.col("p_partkey") % 7 != 0, F.lit("POINT")), F.when(F.col("p_partkey") % 3 == 0, F.col("t"))
-    return rows.groupBy(first_rule(F.col("t"), FEATURE_RULES, "Inconnu").alias("class")).agg(F.count("*").alias("features"), F.count_if(geometry.isNull()).alias("without_geometry"), F.count(description).alias("described"))
+    return a.feature_report(rows, first_rule(F.col("t"), FEATURE_RULES, "Inconnu"), geometry, description)
 
 
 # --- attributes and values ------------------------------------------------------------------------------
@@ -287,8 +289,7 @@ def content_digests(spark: SparkSession, d: str) -> DataFrame:
 def dated_rows(spark: SparkSession, d: str) -> DataFrame:
     """A creation date with a fixed default, and elapsed whole seconds."""
     signup = F.min(F.when(F.col("event_type") == "signup", F.col("ts")))
-    elapsed = F.floor((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1000000)
-    return read(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.coalesce(signup, F.lit("2024-06-01").cast("timestamp")).cast("date").alias("created_on"), elapsed.alias("elapsed"))
+    return read(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_seen"), created_on(signup, "2024-06-01").alias("created_on"), elapsed_seconds(F.min("ts"), F.max("ts")).alias("elapsed"))
 
 
 @query("""WITH l AS (SELECT 'p_brand' AS field, p_partkey AS o, trim(p_brand) AS value FROM part UNION ALL SELECT 'p_size', p_partkey, CAST(p_size AS VARCHAR) FROM part UNION ALL SELECT 'p_name', p_partkey, trim(p_name) FROM part),

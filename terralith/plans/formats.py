@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.functions.text import xml_escape
+from terralith.operators import geometry as g
 from terralith.operators import upsert as u
+from terralith.operators.decision import page
 from terralith.plans.tables import read
 from terralith.scratch import folder
 from terralith.sources import committed, geojson, kml, sinks, tabular
@@ -188,3 +190,16 @@ def markdown_documents(spark: SparkSession, d: str) -> DataFrame:
     committed.write(rows.repartition(3, "s_suppkey"), path, "md", "Fournisseurs", most_rows=100)
     lines = spark.read.text(f"{path}/part-*.md").filter(F.col("value").rlike(r"^\| \d"))
     return lines.select(F.regexp_extract("value", r"^\| (\d+)", 1).cast("long").alias("s_suppkey"), F.col("value").alias("ligne"))
+
+
+@query("""WITH i AS (SELECT c_custkey AS k, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'Commune' ELSE 'TERRITOIRE' END AS type, c_custkey % 4 > 0 AS there FROM customer),
+p AS (SELECT * FROM i WHERE lower(type) = 'territoire' ORDER BY k LIMIT 200 OFFSET 20)
+SELECT k, '{"type":"Feature","properties":{"nom":"' || c_name || '","type":"' || type || '"},"geometry":{"type":"Point","coordinates":[' || CAST(k % 180 AS VARCHAR) || '.0,1.5]}}' AS feature FROM p WHERE there""")
+def map_layer_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the layer of territories: items of that type in any case, in order; those without a geometry take their
+    place in the page and have no feature."""
+    k = F.col("c_custkey")
+    point = g.whole(F.array(g.part("Point", F.array(F.array(F.array((k % 180).cast("double"), F.lit(1.5)))))))
+    items = read(spark, d, "customer").select(k.alias("k"), F.col("c_name").alias("nom"), F.when(k % 3 == 0, "Commune").otherwise("TERRITOIRE").alias("type"), F.when(k % 4 > 0, point).alias("geometry"))
+    shown = page(items.filter(F.lower("type") == "territoire"), ["k"], 20, 200)
+    return g.layer(shown, "geometry", nom=F.col("nom"), type=F.col("type")).select("k", "feature")

@@ -24,9 +24,25 @@ def base(spark: SparkSession) -> str:
     return re.sub(r"^file:/+", "file:///", whole).rstrip("/")
 
 
+#: Folders named so far by each application.
+_MADE: dict[str, list[str]] = {}
+
+
 def folder(spark: SparkSession, kind: str) -> str:
     """A new folder name below the shared folder."""
-    return f"{base(spark)}/{kind}-{uuid.uuid4().hex}"
+    name = f"{base(spark)}/{kind}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return name
+
+
+def drop(spark: SparkSession) -> int:
+    """Delete the folders that this application has made here, and return their number: for callers that have written
+    what they want, as results that are not written yet read them."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for name in made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
 
 
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
