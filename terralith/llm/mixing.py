@@ -3,8 +3,8 @@
 Every document draws the exponential key -ln(u) / weight; the documents of a source in ascending key order are a
 weighted random order.  A source's target is met with complete epochs first; what remains is the prefix of that
 order whose sizes fill the remaining budget.  The prefix is found without sorting a source in one task: documents fall
-into ranges of (source, key) of about equal numbers, whatever the weights; range totals are prefix-summed, and only the
-range in which the budget ends is sorted.
+into RANGES ranges of their source's key quantiles, of about equal numbers whatever the weights; range totals are
+prefix-summed, and only the range in which the budget ends is sorted.
 
 DataFrame operations only.  The sole windows run over sources, over key ranges of a source, and over the documents
 of one key range of each source.
@@ -19,6 +19,8 @@ from terralith.llm.common import clear_of, materialize, quoted, table, text_key,
 
 #: Weights dealt to the sources in code-point order, again and again.
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Ranges of keys of a source.
+RANGES = 128
 
 
 def word_count(col: str = "text") -> F.Column:
@@ -47,6 +49,13 @@ def source_targets(sources: DataFrame, total_share: float = 1.5, max_epochs: flo
     return ranked.withColumn("target", F.coalesce(F.least(F.col("_w") * F.col("_set"), F.col("_cap")), F.col("_cap"))).drop("_w", "_cap", "_level", "_free", "_set")
 
 
+def _in_ranges(light: DataFrame, plan: DataFrame) -> DataFrame:
+    """light with its source's plan and _range, the number of the source's bounds below the key: rows that tie share one.
+    The plan is written, so its bounds are the same for all who ask."""
+    joined = light.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    return joined.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("_key")))).drop("_bounds")
+
+
 def mix(docs: DataFrame, seed: str = "mix-1", total_share: float = 1.5, max_epochs: float = 2.0, weights=WEIGHTS, quality: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, epochs,
     selected, taken, and the columns `keep`.
@@ -64,17 +73,15 @@ def mix(docs: DataFrame, seed: str = "mix-1", total_share: float = 1.5, max_epoc
         known = quality.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("weight").cast("double").alias("_w"))
         weight = F.when((F.col("_w") > 0) & (F.col("_w") < float("inf")), F.col("_w")).otherwise(1.0)
         light = light.join(known, F.col("doc_id") == F.col("_id"), "left").withColumn("_key", F.col("_key") / weight).drop("_id", "_w")
-    # range bounds come from a sample of what is written first, so that texts are read once; rows that tie share a range
-    order = ["_key", "doc_id", "size"]
-    light = materialize(materialize(light).repartitionByRange("source", *order).withColumn("_range", F.spark_partition_id()))
+    light = materialize(light)
 
-    sources = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sources = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"), F.percentile_approx("_key", [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("_bounds"))
     plan = source_targets(sources, total_share, max_epochs, weights).withColumn("target", F.col("target").cast("double"))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("_left", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = materialize(plan.withColumnRenamed("source", "_source"), 1)
 
-    placed = light.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    placed = _in_ranges(light, plan)
     ranges = placed.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"), F.first("_left").alias("_left"))
     running = Window.partitionBy("_source").orderBy("_range")
     ranges = ranges.withColumn("_end", F.sum("_sum").over(running)).withColumn("_start", F.col("_end") - F.col("_sum"))
@@ -83,8 +90,8 @@ def mix(docs: DataFrame, seed: str = "mix-1", total_share: float = 1.5, max_epoc
     cut = cut.groupBy("_source").agg(F.min_by("_range", "_range").alias("_cut"), F.min_by("_start", "_range").alias("_start"))
     cut = materialize(plan.join(cut.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"), 1)
 
-    placed = light.join(cut, F.col("source").eqNullSafe(F.col("_source")))
-    within = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = _in_ranges(light, cut)
+    within = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at_cut = F.col("_range") == F.col("_cut")
     outside = placed.filter(~F.coalesce(at_cut, F.lit(False))).withColumn("selected", F.coalesce(F.col("_range") < F.col("_cut"), F.lit(False)))
     inside = placed.filter(at_cut).withColumn("_before", F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))

@@ -210,25 +210,16 @@ def test_targets_are_a_water_level(spark, sizes):
     assert all(abs(got[f"s{i}"] - want[i]) < 1e-6 for i in range(len(sizes)))
 
 
-def test_ranges_of_heavy_weights(spark):
-    """Weights of 1000 and a hot source: no range of keys holds more than four times the mean, and targets are met."""
-    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
-    spark.conf.set("spark.sql.shuffle.partitions", "24")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.format_string("one two %d", "id").alias("text"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))
-        weights = docs.select("doc_id", F.lit(1000.0).alias("weight"))
-        seen, plain = [], mixing.materialize
-        mixing.materialize = lambda df, *n: seen.append(plain(df, *n)) or seen[-1]
-        try:
-            got = mixing.mix(docs, quality=weights)
-        finally:
-            mixing.materialize = plain
-        ranged = next(df for df in seen if "_range" in df.columns and "_key" in df.columns)
-        sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
-        assert len(sizes) > 12 and max(sizes) <= 4 * sum(sizes) / len(sizes)
-        for r in got.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
-            assert abs(r["taken"] - r["target"]) <= 3
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+def test_ranges_of_heavy_weights(spark, monkeypatch):
+    """Weights of 1000 and a hot source: no range of a source's keys holds more than four times its mean, and targets are
+    met."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.format_string("one two %d", "id").alias("text"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))
+    seen, plain = [], mixing._in_ranges
+    monkeypatch.setattr(mixing, "_in_ranges", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = mixing.mix(docs, quality=docs.select("doc_id", F.lit(1000.0).alias("weight")))
+    sizes = {}
+    for r in seen[0].groupBy("source", "_range").count().collect():
+        sizes.setdefault(r["source"], []).append(r["count"])
+    assert len(sizes) == 8 and all(len(v) > 100 and max(v) <= 4 * sum(v) / len(v) for v in sizes.values())
+    for r in got.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
+        assert abs(r["taken"] - r["target"]) <= 3
