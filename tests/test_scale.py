@@ -64,12 +64,14 @@ def test_ranges_hold_about_as_many_rows(spark, many):
         assert sum(sizes) == 40_000 and len(sizes) > 8 and max(sizes) <= 4 * sum(sizes) / len(sizes)
 
 
-def test_scratch_goes_when_it_is_dropped(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(scratch, "LOCAL", f"file://{tmp_path}/shared")
+def test_scratch_goes_when_it_is_dropped(spark, monkeypatch):
+    import os
+
     monkeypatch.setattr(scratch, "_MADE", {})
     table = scratch.written(spark.range(10).withColumn("p", (F.col("id") % 3).cast("int")), "p")
-    assert table.columns == ["id", "p"] and table.filter("p = 1").count() == 3 and len(list((tmp_path / "shared").iterdir())) == 1
-    assert scratch.drop(spark) == 1 and list((tmp_path / "shared").iterdir()) == [] and scratch.drop(spark) == 0
+    made = [p.removeprefix("file://") for p in scratch._MADE[spark.sparkContext.applicationId]]
+    assert table.columns == ["id", "p"] and table.filter("p = 1").count() == 3 and len(made) == 1 and os.path.isdir(made[0])
+    assert scratch.drop(spark) == 1 and not os.path.exists(made[0]) and scratch.drop(spark) == 0
 
 
 def test_preorder_of_a_hot_branch(spark, many):
