@@ -291,3 +291,18 @@ def test_quality_sample_has_long_texts_of_a_rare_class(spark):
     model = quality.train(df, sample_bytes=1 << 16)
     scores = {r["doc_id"]: r["score"] for r in quality.score(df, model).collect()}
     assert max(scores[100 + i] for i in range(3)) < quality.THRESHOLD < min(scores[i] for i in range(40))
+
+
+def test_all_texts_are_counted_and_set_the_limits(spark):
+    """1200 texts: the model is that of all their grams, the limits those of all their cross-entropies by the half without them."""
+    rows = [("en", f"the of and to in that number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * (1 + i % 5)) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = language.train(docs)
+    halves = [[r["text"] for r in docs.filter(F.pmod(F.xxhash64("text"), F.lit(2)) == k).collect()] for k in (0, 1)]
+    brute = lambda texts: language.Model(*np.unique(np.concatenate([language.grams(language.letters(t)) for t in texts]), return_counts=True))
+    keys = np.unique(np.concatenate([language.grams(language.letters(t)) for _, t in rows]))
+    assert np.allclose(model.models["en"].log_p(keys), brute([t for _, t in rows]).log_p(keys), atol=1e-5)
+    h, n = map(np.concatenate, zip(*(language.Identifier({"en": brute(halves[1 - k])}).cross_entropies(halves[k]) for k in (0, 1))))
+    h, mean = h[:, 0], np.average(h[:, 0], weights=n)
+    spread, floor = 5 * np.sqrt(np.mean((h - mean) ** 2 * n)), 5 * np.sqrt(np.mean((h - mean)[n >= np.median(n)] ** 2))
+    assert len(h) == 1200 and np.allclose(model.limits["en"], (mean, max(spread, 6.0), max(floor, 0.6)))
