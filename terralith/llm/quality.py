@@ -2,9 +2,10 @@
 by dual coordinate descent.
 
 Features are hashed n-grams of three kinds: bytes (1 to 4 of the text as it is), word shapes (1 to 3), and
-repetitions of the word before.  The log-count ratios come from all labelled training documents; the hinge-loss model
-is fitted on a bounded sample of them (SAMPLE), and the score is its margin put through a logistic curve that is fitted
-on another part of that sample.
+repetitions of the word before.  All labelled training documents take part in each step: the log-count ratios are
+theirs; two halves of them have a hinge-loss model each, the mean of what dual coordinate descent finds on its blocks,
+weighted by their documents; the logistic curve is fitted on the margins of all documents by the half that they aren't in.
+The score is the mean of the two models' margins put through that curve.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from terralith.llm.common import array_slices, chunks_of, class_sample, clear_of
 
 #: Features are hashed into this many places; counts are summed in slabs of SLAB places.
 PLACES, SLAB = 1 << 18, 1 << 12
-#: The hinge-loss model is fitted on about this many distinct labelled texts, up to half of them of each class, chosen by
-#: a hash of the text.
-SAMPLE = 2000
-#: Or fewer, so that they have this many bytes; but LEAST of each class (the shortest) where that many don't fit.
-SAMPLE_BYTES, LEAST = 1 << 24, 20
-#: Share of the sample that fits the logistic curve instead.
+#: Bytes of text that one task fits at once; a longer text stands alone.
+BLOCK = 1 << 22
+#: Only for callers of train() that ask for a sample: the distinct labelled texts, up to half of them of each class, chosen
+#: by a hash of the text, and their bytes; but LEAST of each class (the shortest) where that many don't fit.
+SAMPLE, SAMPLE_BYTES, LEAST = 2000, 1 << 24, 20
+#: Share of such a sample that fits the logistic curve instead.
 CALIBRATION = 0.25
 THRESHOLD = 0.3
 _SEED = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(12)]
@@ -192,8 +193,7 @@ def fit(counts: np.ndarray, docs: np.ndarray, sample: list[tuple[int, int, np.nd
     """counts (2, PLACES) and docs (2,) of all labelled documents; sample rows (label, order, places)."""
     if not docs.all():
         return Classifier(None, 0.0, 0.0, float(np.log((docs[1] + 0.5) / (docs[0] + 0.5))))
-    share = (counts + 1.0) / (docs[:, None] + 2.0)
-    ratio = np.log(share[1] / share[0])
+    ratio = _ratio(counts, docs)
     sample = sorted(sample, key=lambda s: (s[1], s[0], len(s[2])))
     rows, y = [], []
     for label, _, places in sample:
@@ -214,28 +214,136 @@ def fit(counts: np.ndarray, docs: np.ndarray, sample: list[tuple[int, int, np.nd
     return model
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Classifier:
+def _ratio(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    share = (counts + 1.0) / (docs[:, None] + 2.0)
+    return np.log(share[1] / share[0])
+
+
+def _slabs(weights: np.ndarray) -> list[bytes]:
+    return [weights[at : at + SLAB].tobytes() for at in range(0, PLACES, SLAB)]
+
+
+def _sum_weights(rows: pd.DataFrame) -> pd.DataFrame:
+    total = 0.0
+    for x in sorted(rows["data"]):  # the sum's last digits must not hang on the order of arrival
+        total = total + np.frombuffer(x)
+    return frame(slab=[int(rows["slab"].iloc[0])], half=[int(rows["half"].iloc[0])], data=[total.tobytes()])
+
+
+def _half_models(kept: DataFrame, ratio: np.ndarray, docs: np.ndarray) -> dict[int, Classifier]:
+    """From all of kept (text, label, half) a model of each half: the mean over blocks of about BLOCK bytes of the
+    hinge-loss model of their documents, weighted by their number."""
+    shared, balance = kept.sparkSession.sparkContext.broadcast(ratio), float(docs[1] / docs[0])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, biases, n = {}, {}, {}
+        for part in text_slices(batches, "text", BLOCK):
+            rows, texts = {}, part.column("text").to_pylist()
+            labels, halves = part.column("label").to_pylist(), part.column("half").to_pylist()
+            for piece in chunks_of(texts, 1 << 18):
+                for label, half, places in zip(labels[piece], halves[piece], feature_places(texts[piece])):
+                    values = shared.value[places]
+                    rows.setdefault(half, []).append((label, places, (values / np.sqrt(max(float(values @ values), 1e-9))).astype(np.float32)))
+            for half, mine in rows.items():
+                y = np.array([1.0 if label else -1.0 for label, _, _ in mine])
+                w, b = dual_coordinate_descent([r[1:] for r in mine], y, PLACES, 10.0 * np.where(y > 0, 1.0, balance))
+                weights[half] = weights.get(half, 0.0) + len(mine) * w
+                biases[half], n[half] = biases.get(half, 0.0) + len(mine) * b, n.get(half, 0) + len(mine)
+        for half in n:
+            data = [*_slabs(weights[half]), np.array([biases[half], n[half]]).tobytes()]
+            yield record_batch(slab=pa.array([*range(len(data) - 1), -1], pa.int32()), half=pa.array([half] * len(data), pa.int32()), data=pa.array(data, pa.binary()))
+
+    schema = "slab int, half int, data binary"
+    parts = materialize(kept.select("text", "label", "half").mapInArrow(solve, schema))
+    sums = {(r["half"], r["slab"]): np.frombuffer(r["data"]) for r in parts.groupBy("slab", "half").applyInPandas(_sum_weights, schema).collect()}
+    models = {}
+    for half in sorted({half for half, _ in sums}):
+        bias, n = sums[half, -1]
+        w = np.concatenate([sums[half, k] for k in range(PLACES // SLAB)]) / n
+        models[half] = Classifier(np.stack([w * ratio, ratio * ratio]).astype(np.float32), float(bias / n), 1.0, 0.0)
+    return models
+
+
+def _margins(kept: DataFrame, models: dict[int, Classifier]) -> DataFrame:
+    """The label and margin of each row of kept (text, label, half) by the model of the other half, if there is one."""
+    shared = kept.sparkSession.sparkContext.broadcast(models)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text", 1 << 18):
+            places, halves = feature_places(part.column("text").to_pylist()), np.array(part.column("half").to_pylist())
+            out = np.zeros(len(places))
+            for half in set(halves.tolist()):
+                at = np.flatnonzero(halves == half)
+                out[at] = shared.value.get(1 - half, shared.value[half]).margins([places[i] for i in at])
+            yield record_batch(label=part.column("label"), margin=out)
+
+    return materialize(kept.select("text", "label", "half").mapInArrow(measure, "label int, margin double"))
+
+
+def _logistic_of_all(found: DataFrame, docs: np.ndarray) -> tuple[float, float]:
+    """logistic() of all rows of found (label, margin), a class's share being its share of the rows; one row of sums
+    comes to the driver for each step."""
+    bad, good = map(float, docs)
+    target, m = F.when(F.col("label") == 1, (good + 1) / (good + 2)).otherwise(1 / (bad + 2)), F.col("margin")
+    theta = np.array([1.0, float(np.log(good / bad))])
+    for _ in range(100):
+        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), m * float(theta[0]) + float(theta[1])))
+        rows = found.select(m, target.alias("t"), (1 / (1 + F.exp(-z))).alias("p"))
+        curve, off = F.col("p") * (1 - F.col("p")), F.col("t") - F.col("p")
+        a, b, c, u, v = rows.agg(F.sum(curve * m * m), F.sum(curve * m), F.sum(curve), F.sum(off * m), F.sum(off)).first()
+        step = np.linalg.solve(np.array([[a, b], [b, c]]) + 1e-3 * np.eye(2), np.array([u, v]) - 1e-3 * (theta - [1.0, 0.0]))
+        theta += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(max(theta[0], 1e-3)), float(theta[1])
+
+
+def _counted(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by class and place, and documents by class: at most 2 * PLACES / SLAB rows of SLAB counts."""
+    counts, docs = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64)
+    for slab, label, data in parts.filter("slab >= 0").groupBy("slab", "label").applyInPandas(_sum_slab, "slab int, label int, data binary").collect():
+        counts[label, slab * SLAB : (slab + 1) * SLAB] = np.frombuffer(data, np.int64)
+    for label, total in parts.filter("slab = -2").groupBy("label").agg(F.sum("n")).collect():
+        docs[label] = total
+    return counts, docs
+
+
+def _train_on_all(rows: DataFrame) -> Classifier:
+    """From all of rows (text, label, order), written once.  Halves go by the text's hash, so that copies share one; where
+    a class has no text in one of them there is one model, and the curve is fitted on its own margins."""
+    kept = materialize(rows.select("text", "label", F.pmod(F.col("order"), F.lit(2)).cast("int").alias("half")), codec="zstd")
+    counts, docs = _counted(materialize(kept.select("text", "label", F.lit(-1).alias("sampled")).mapInArrow(_count_and_sample, _PART)))
+    if not docs.all():
+        return fit(counts, docs, [])
+    if kept.select("label", "half").distinct().count() < 4:
+        kept = kept.withColumn("half", F.lit(0))
+    ratio = _ratio(counts, docs)
+    models = _half_models(kept, ratio, docs)
+    slope, shift = _logistic_of_all(_margins(kept, models), docs)
+    return Classifier(np.mean([m.weights for m in models.values()], axis=0), float(np.mean([m.bias for m in models.values()])), slope, shift)
+
+
+def train(labelled: DataFrame, sample: int | None = None, sample_bytes: int | None = None) -> Classifier:
     """From labelled (doc_id, text, quality); rows with null quality are ignored, quality >= 1 is class 1.  Labels of
-    repeated rows each count.  Without rows every score is 0.5.  `sample` and `sample_bytes` bound the number and the
-    bytes of the texts that the hinge-loss model is fitted on (see common.class_sample); what comes to the driver of them
-    is at most four bytes for each of seven features a byte."""
+    repeated rows each count.  Without rows every score is 0.5.  All rows are fitted, unless `sample` or `sample_bytes`
+    bound the number and the bytes of the texts that the hinge-loss model is fitted on (see common.class_sample); what
+    comes to the driver of them is at most four bytes for each of seven features a byte."""
     rows = labelled.filter(F.col("quality").isNotNull())
     label = (F.col("quality") >= 1).cast("int")
     hashed = F.col("text_hash") if "text_hash" in labelled.columns else F.xxhash64(text_or_empty())
     order = F.shiftrightunsigned(hashed, 2)
     size = F.col("text_bytes") if "text_bytes" in labelled.columns else F.octet_length(text_or_empty())
     rows = rows.select(text_or_empty().alias("text"), label.alias("label"), order.alias("order"), size.alias("size"))
+    if sample is None and sample_bytes is None:
+        return _train_on_all(rows)
+    sample, sample_bytes = SAMPLE if sample is None else sample, SAMPLE_BYTES if sample_bytes is None else sample_bytes
     # copies count once, or a large group of them would fill the sample; at most `sample` and LEAST rows a class
     chosen = class_sample(rows.select("label", "order", "size").distinct(), (0, 1), sample, sample_bytes, LEAST)
     chosen = F.broadcast(chosen.select(F.col("label").alias("_l"), F.col("order").alias("_o")))
     rows = rows.join(chosen, (F.col("label") == F.col("_l")) & (F.col("order") == F.col("_o")), "left").select("text", "label", F.coalesce("_o", F.lit(-1)).alias("sampled"))
     parts = materialize(rows.mapInArrow(_count_and_sample, _PART))
-    counts, docs = np.zeros((2, PLACES), np.int64), np.zeros(2, np.int64)
-    # at most 2 * PLACES / SLAB rows of SLAB counts, then about `sample` rows of at most PLACES places
-    for slab, label, data in parts.filter("slab >= 0").groupBy("slab", "label").applyInPandas(_sum_slab, "slab int, label int, data binary").collect():
-        counts[label, slab * SLAB : (slab + 1) * SLAB] = np.frombuffer(data, np.int64)
-    for label, total in parts.filter("slab = -2").groupBy("label").agg(F.sum("n")).collect():
-        docs[label] = total
+    counts, docs = _counted(parts)
+    # about `sample` rows of at most PLACES places
     picked = [(r[0], r[1], np.frombuffer(r[2], np.int32)) for r in parts.filter("slab = -1").select("label", "n", "data").dropDuplicates(["label", "n"]).collect()]
     return fit(counts, docs, picked)
 

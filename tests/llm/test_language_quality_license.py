@@ -306,3 +306,18 @@ def test_all_texts_are_counted_and_set_the_limits(spark):
     h, mean = h[:, 0], np.average(h[:, 0], weights=n)
     spread, floor = 5 * np.sqrt(np.mean((h - mean) ** 2 * n)), 5 * np.sqrt(np.mean((h - mean)[n >= np.median(n)] ** 2))
     assert len(h) == 1200 and np.allclose(model.limits["en"], (mean, max(spread, 6.0), max(floor, 0.6)))
+
+
+def test_quality_is_fitted_on_all_labelled_texts(spark, monkeypatch):
+    """3000 labelled texts: no sample is drawn, both halves' models and the curve come from every one of them."""
+    rows = [(i, f"clean words here and there number {i}" if i % 3 else "### $$$ %%% " * (1 + i % 5) + str(i), int(i % 3 > 0)) for i in range(3000)]
+    seen, solve, curve = [], quality._half_models, quality._logistic_of_all
+    monkeypatch.setattr(quality, "_half_models", lambda kept, *rest: seen.append(kept.count()) or solve(kept, *rest))
+    monkeypatch.setattr(quality, "_logistic_of_all", lambda found, docs: seen.append(found) or curve(found, docs))
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    assert seen[0] == seen[1].count() == 3000
+    found = seen[1].toPandas()
+    y, docs = np.where(found["label"] == 1, 1.0, -1.0), np.array([1000, 2000])
+    assert np.allclose((model.slope, model.shift), quality.logistic(found["margin"].to_numpy(), y, docs / 3000), rtol=1e-4, atol=1e-4)
+    good, bad = model.scores(["clean words here and there number 77", "### $$$ %%% ### $$$ %%% "])
+    assert bad < quality.THRESHOLD < good
