@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import arrow_batches, clear_of, frame, materialize, mix64, quoted, record_batch, shingle_hashes, table, text_key, text_or_empty, text_slices
+from terralith.llm.common import array_slices, arrow_batches, clear_of, frame, materialize, mix64, quoted, record_batch, release_memory, shingle_hashes, table, text_key, text_or_empty, text_slices
 from terralith.llm.components import components, relabel
 
 THRESHOLD = 0.8
@@ -268,13 +268,20 @@ class _Classes:
         return x != y
 
 
-def _cell_links(band: int, same: bool, members: list, frequent: tuple[np.ndarray, np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Links between classes among a cell's members (left, tid, class, samples, text): for each left one the right ones
-    of other classes, the most similar samples first, until the classes are one.  A pair is looked at in the first
-    band that it shares only; in a cell of one block, once."""
+def _weighted_sets(texts: pa.Array, frequent: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingle hashes and weights of each text, of which only a slice becomes strings at once."""
+    return [(h, weights(h, n, frequent)) for part in array_slices(texts, 1 << 19) for h, n in _distinct(texts[part].to_pylist())]
+
+
+def _cell_links(band: int, same: bool, members: list, frequent: tuple[np.ndarray, np.ndarray], threshold: float, texts: pa.Array | None = None) -> list[tuple[int, int]]:
+    """Links between classes among a cell's members (left, tid, class, samples, and _text unless their texts are given
+    apart): for each left one the right ones of other classes, the most similar samples first, until the classes are
+    one.  A pair is looked at in the first band that it shares only; in a cell of one block, once."""
     if not same and len({m["left"] for m in members}) < 2:  # one of the two blocks is empty
         return []
-    sets = [(h, weights(h, n, frequent)) for h, n in _distinct([m["_text"] for m in members])]
+    sets = _weighted_sets(pa.array([m["_text"] for m in members]) if texts is None else texts, frequent)
+    order = sorted(range(len(members)), key=lambda i: members[i]["tid"])
+    members, sets = [members[i] for i in order], [sets[i] for i in order]
     samples = np.frombuffer(b"".join(bytes(m["samples"]) for m in members), np.uint16).reshape(len(members), 2 * SAMPLES)
     left = [i for i, m in enumerate(members) if m["left"]]
     right = np.array([i for i, m in enumerate(members) if same or not m["left"]], np.int64)
@@ -332,11 +339,14 @@ def cross_links(members: DataFrame, texts: DataFrame, frequent: tuple[np.ndarray
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):  # one cell at a time becomes Python objects
-                band, same, members = (batch.column(c)[k].as_py() for c in ("band", "same", "members"))
-                links = _cell_links(band, same, sorted(members, key=lambda m: m["tid"]), shared.value, threshold)
+            for k in range(batch.num_rows):  # of one cell at a time all but the texts becomes Python objects
+                cell = batch.column("members")[k].values
+                small = [cell.field(c).to_pylist() for c in ("left", "tid", "class", "samples")]
+                members = [dict(zip(("left", "tid", "class", "samples"), m)) for m in zip(*small)]
+                links = _cell_links(batch.column("band")[k].as_py(), batch.column("same")[k].as_py(), members, shared.value, threshold, cell.field("_text"))
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+        release_memory()
 
     return cells.select("band", (F.col("rest") & (F.col("i") == F.col("j"))).alias("same"), "members").mapInArrow(compare, "a long, b long")
 
@@ -391,10 +401,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = materialize(members.join(sizes, F.col("bucket") == F.col("_bucket")).select("bucket", "band", "tid"))
     needed = texts.join(members.select(F.col("tid").alias("_tid")).distinct(), F.col("tid") == F.col("_tid"))
     needed = materialize(needed.select("tid", F.col("text_key").alias("_key"), "least_id"))
-    # a text is fetched from the row with its least id, from one of them if it is repeated
-    own = full.select("_text", "text_key", F.coalesce("doc_id", F.lit(_LAST)).alias("_id"))
+    # a text is fetched from the row with its least id, from one of them if it is repeated: repeated rows go first, so
+    # that texts are dealt out once
+    own = full.select("_text", "text_key", F.coalesce("doc_id", F.lit(_LAST)).alias("_id")).dropDuplicates(["text_key", "_id"])
     fetched = own.join(needed, (F.col("text_key") == F.col("_key")) & (F.col("_id") == F.col("least_id"))).select("tid", "_text")
-    fetched = materialize(fetched.dropDuplicates(["tid"]).withColumn("bytes", F.octet_length("_text")))
+    fetched = materialize(fetched.withColumn("bytes", F.octet_length("_text")))
 
     pairs = materialize(star_pairs(members.select("bucket", "tid")))
     labels = components(materialize(verified(pairs, fetched, frequent, threshold).select("a", "b")))
@@ -423,9 +434,11 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = {c: clear_of(c, docs.columns) for c in ("own_id", "own_key", "id", "key")}
     one = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias(own["id"]), F.col("text_key").alias(own["key"]))
     kept = kept.groupBy("root").agg(F.min_by(one, "text_key").alias("_one")).select("_one.*")
+    # a class has one text here and one id; rows that repeat both go before the join, so that texts are dealt out once
     joined = docs.withColumn(own["own_id"], F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(own["own_key"], text_key())
+    joined = joined.dropDuplicates([own["own_key"], own["own_id"]])
     joined = joined.join(kept, (F.col(own["own_key"]) == F.col(own["key"])) & (F.col(own["own_id"]) == F.col(own["id"])))
-    return joined.dropDuplicates([own["own_key"]]).select(*map(quoted, docs.columns))
+    return joined.select(*map(quoted, docs.columns))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
