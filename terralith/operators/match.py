@@ -7,17 +7,25 @@ parents; pairs below 0.60 are no candidates.  Without equal codes a pair reaches
 The similarity of names is a Python ratio.  It is asked for only where it can matter: equal names are told apart by a
 comparison, and of two different ones columns give a bound (twice the letters that they share, over all their letters)
 that the ratio never exceeds; pairs whose bound lies below the least ratio that counts send no names to Python.
+`near_names` asks once for two names of a code, however many entities have them.
+
+`pair_totals` counts the pairs of each kind without making them: what comes after an entity is counted by scans of
+ordered groups, so its work grows like that of a sort.
 """
 
 from __future__ import annotations
 
 import difflib
+import functools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terralith.operators.windows import HOT, has_hot, sums_after
+from terralith.scratch import written
+
 LEAST, MOST = 0.60, 0.99
 #: Entities of one code that meet in a task, on either side.
 BLOCK = 4096
@@ -26,8 +34,10 @@ NEARLY_EQUAL, SIMILAR = 0.92, 0.82
 
 @F.pandas_udf(T.DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two names; 0 where one is null."""
-    return pd.Series([0.0 if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    """Ratcliff-Obershelp similarity of two names, worked out once for equal pairs of a batch; 0 where one is null."""
+    pairs = list(zip(a, b))
+    found = {(x, y): 0.0 if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in set(pairs)}
+    return pd.Series([found[p] for p in pairs], dtype="float64")
 
 
 def with_bag(rows: DataFrame, name: str = "name", out: str = "bag") -> DataFrame:
@@ -78,6 +88,80 @@ def candidate_pairs(entities: DataFrame, ratio=name_ratio, block: int = BLOCK) -
     return scored.filter(F.col("confidence") >= LEAST).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "confidence", "reasons")
 
 
+def near_names(entities: DataFrame, ratio=name_ratio, block: int = BLOCK) -> DataFrame:
+    """(entity_type, code, name, other, level): two different names of a code whose ratio counts, level 2 if they are
+    nearly equal and 1 if similar.  The ratio of two names depends on which comes first; one whose entities all come after
+    those of the other is never its left."""
+    spans = entities.groupBy("entity_type", "code", "name").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    left, right = in_blocks(with_bag(spans), ["entity_type", "code"], block)
+    other = right.select("entity_type", "code", "_i", "_j", F.col("name").alias("other"), F.col("last").alias("until"), F.col("bag").alias("other_bag"))
+    longest, both = F.greatest(F.size("bag"), F.size("other_bag")), F.size("bag") + F.size("other_bag")
+    # the lengths alone bound the ratio, and cost less than the letters
+    able = (F.col("name") != F.col("other")) & (F.col("first") < F.col("until")) & (2.0 * (both - longest) >= SIMILAR * both)
+    asked = left.join(other, ["entity_type", "code", "_i", "_j"]).filter(able).filter(ratio_bound(F.col("bag"), F.col("other_bag")) >= SIMILAR)
+    found = asked.select("entity_type", "code", "name", "other", ratio(F.col("name"), F.col("other")).alias("ratio")).filter(F.col("ratio") >= SIMILAR)
+    return found.select("entity_type", "code", "name", "other", F.when(F.col("ratio") >= NEARLY_EQUAL, 2).otherwise(1).alias("level"))
+
+
+#: By level of the names (other, similar, equal or nearly so) and whether parents are equal: confidence and reasons.
+KINDS = {
+    (level, parent): (min(round(0.70 + name + 0.05 * parent, 2), MOST), ["code identique", *reason, *["meme parent"] * parent])
+    for level, (name, reason) in enumerate([(0.0, []), (0.15, ["nom proche"]), (0.25, ["nom identique"])]) for parent in (0, 1)
+}
+
+
+def pair_totals(entities: DataFrame, ratio=name_ratio, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """What candidate_pairs counts up to: (confidence, reasons, n, first_left, spread) with the number of pairs of each
+    kind, the least left id and the sum of right less left id, which are numbers.  No pair is made: for each entity
+    those that come after it within its code, and of these the ones of its name, parent or both, and of each near name,
+    are counted and their ids summed up; the others are what remains."""
+    known = entities.filter("code IS NOT NULL AND entity_type IS NOT NULL AND ord IS NOT NULL").withColumn("name", F.coalesce("name", F.lit("")))
+    keys = ["entity_type", "code", "name", "parent", "ord", "id"]
+    plain = rows = written(known.groupBy(*keys).agg(F.count("*").alias("w")))
+    weight, ids = F.col("w"), F.col("w") * F.col("id").cast("long")
+    some = hot if has_hot(rows, ["entity_type", "code"], hot) else None
+    for tag, group in (("all", []), ("name", ["name"]), ("parent", ["parent"]), ("both", ["name", "parent"])):
+        rows = sums_after(rows, ["entity_type", "code", *group], "ord", {f"{tag}_n": weight, f"{tag}_s": ids}, some)
+    orphan = F.col("parent").isNull()
+    rows = rows.withColumns({f"{tag}_{c}": F.when(orphan, F.lit(0)).otherwise(F.col(f"{tag}_{c}")) for tag in ("parent", "both") for c in "ns"})
+
+    near = written(near_names(plain, ratio, block))
+    asks = near.join(plain, ["entity_type", "code", "name"]).withColumn("asks", F.lit(True))
+    meets = near.join(plain.withColumnRenamed("name", "other"), ["entity_type", "code", "other"]).withColumn("asks", F.lit(False))
+    both = asks.unionByName(meets)
+    counted = {"n": F.when(~F.col("asks"), weight).otherwise(0), "s": F.when(~F.col("asks"), ids).otherwise(0)}
+    group = ["entity_type", "code", "name", "other"]
+    some = some and (hot if has_hot(both, group, hot) else None)
+    both = sums_after(both, group, "ord", {f"near_{c}": v for c, v in counted.items()}, some)
+    both = sums_after(both, [*group, "parent"], "ord", {f"kin_{c}": v for c, v in counted.items()}, some).filter("asks")
+    kin = {c: F.when(orphan, F.lit(0)).otherwise(F.col(f"kin_{c}")) for c in "ns"}
+    at = {f"near{level}_{c}": F.sum(F.when(F.col("level") == level, F.col(f"near_{c}")).otherwise(0)) for level in (1, 2) for c in "ns"}
+    at |= {f"kin{level}_{c}": F.sum(F.when(F.col("level") == level, kin[c]).otherwise(0)) for level in (1, 2) for c in "ns"}
+    found = both.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(*(v.alias(k) for k, v in at.items()))
+    rows = rows.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").na.fill(0, list(at))
+
+    def of(level: int, parent: int, c: str) -> Column:
+        """How many of a kind come after an entity (n), or the sum of their ids (s)."""
+        col = lambda tag: F.col(f"{tag}_{c}")
+        alike = {1: (col("near1"), col("kin1")), 2: (col("name") + col("near2"), col("both") + col("kin2"))}
+        every, own = alike[level] if level else (col("all") - alike[1][0] - alike[2][0], col("parent") - alike[1][1] - alike[2][1])
+        return own if parent else every - own
+
+    def row(i: int, level: int, parent: int) -> Column:
+        n, s = of(level, parent, "n"), of(level, parent, "s")
+        return F.struct(F.lit(i).alias("kind"), (weight * n).alias("n"), F.when(n > 0, F.col("id")).alias("left"), (weight * (s - n * F.col("id"))).alias("spread"))
+
+    kinds = rows.select(F.inline(F.array(*(row(i, *k) for i, k in enumerate(KINDS)))))
+    totals = kinds.filter("n > 0").groupBy("kind").agg(F.sum("n").alias("n"), F.min("left").alias("first_left"), F.sum("spread").alias("spread"))
+    return totals.select(*_told(), "n", "first_left", "spread")
+
+
+def _told() -> list[Column]:
+    """confidence and reasons of the column kind, a place in KINDS."""
+    picked = [functools.reduce(lambda c, ir: c.when(F.col("kind") == ir[0], ir[1]), enumerate(values), F) for values in zip(*((F.lit(c), F.array(*map(F.lit, r))) for c, r in KINDS.values()))]
+    return [c.alias(name) for c, name in zip(picked, ("confidence", "reasons"))]
+
+
 def best_first(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc("confidence"), "left_id", "right_id")
 

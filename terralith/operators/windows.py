@@ -13,7 +13,7 @@ from terralith.scratch import ranged
 HOT = 1 << 20
 
 
-def _has_hot(df: DataFrame, group: list[str], hot: int) -> bool:
+def has_hot(df: DataFrame, group: list[str], hot: int) -> bool:
     """Whether a group has more than `hot` rows: counts are summed in each task before they meet."""
     return hot <= 0 or not df.groupBy(*group).count().filter(F.col("count") > hot).isEmpty()
 
@@ -39,7 +39,7 @@ def _two_level(df: DataFrame, group: list[str], order: list[str], summaries: dic
 def carry_forward(df: DataFrame, value: Column, out: str, group: list[str], order: list[str], hot: int = HOT) -> DataFrame:
     """The last non-null value so far within the group (null keys are a group).  Rows that agree in `order` may come in
     any order."""
-    if not _has_hot(df, group, hot):
+    if not has_hot(df, group, hot):
         over = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(over))
     scanned = _two_level(
@@ -54,7 +54,7 @@ def carry_forward(df: DataFrame, value: Column, out: str, group: list[str], orde
 def first_seen(df: DataFrame, keys: list[str], order: list[str], out: str = "occurrence", first: str = "first_row", row: str | None = None, hot: int = HOT) -> DataFrame:
     """Occurrence number within equal keys, and the row that came first."""
     row = row or order[0]
-    if not _has_hot(df, keys, hot):
+    if not has_hot(df, keys, hot):
         over = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(over)).withColumn(first, F.first(row).over(over))
     return _two_level(
@@ -65,6 +65,25 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str], out: str = "occ
     )
 
 
+def sums_after(df: DataFrame, group: list[str], order: str, sums: dict[str, Column], hot: int | None = HOT) -> DataFrame:
+    """df with sums over the rows of the group (null keys are a group) whose `order` is greater than a row's own.
+    hot: None if the caller knows that no group is."""
+
+    def after(c: Column, w) -> Column:
+        return F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.sum(c).over(w)
+
+    if hot is None or not has_hot(df, group, hot):
+        over = Window.partitionBy(*group).orderBy(order)
+        return df.withColumns({out: after(c, over) for out, c in sums.items()})
+    named = {out: f"_a{i}" for i, out in enumerate(sums)}
+    return _two_level(
+        df, group, [order],
+        {a: F.sum(sums[out]) for out, a in named.items()},
+        {f"{a}r": lambda w, a=a: after(F.col(a), w) for a in named.values()},
+        {out: lambda w, a=a, out=out: F.col(f"{a}r") + after(sums[out], w) for out, a in named.items()},
+    )
+
+
 def repeated(df: DataFrame, keys: list[str], out: str = "n_same") -> DataFrame:
     """Number of rows with the same keys, on every one of them: counts joined to the rows, a join that adaptive execution
     splits where a key is hot."""
@@ -92,7 +111,7 @@ def numbered_within(df: DataFrame, keys: list[str], order: list[str], out: str,
     Hot groups are cut into stretches of about equal numbers of rows, whatever their values; rows are numbered within a
     stretch, and the sizes of the stretches before are added.
     """
-    if not _has_hot(df, keys, hot):
+    if not has_hot(df, keys, hot):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     return _two_level(
         df, keys, order,

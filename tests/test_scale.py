@@ -162,3 +162,29 @@ def test_a_hot_code_meets_in_blocks(spark, many):
     left, right = match.in_blocks(df, ["entity_type", "code"], 7)
     sizes = [r["count"] for side in (left, right) for r in side.groupBy("code", "_i", "_j").count().collect()]
     assert max(sizes) <= 3 * 7 and left.filter("code = 'hot'").select("_i", "_j").distinct().count() > 50
+
+
+def _crowd(spark):
+    """Codes that many share, repeated ids, names near in one order only, null names, parents and orders."""
+    rnd = random.Random(5)
+    names = ["kinshasa", "kinshassa", "kinshasha", "goma", "amog", "", None, "aaaabbbbcccc", "aaaabbbbcccd", "tide", "diet"]
+    rows = [(None if i % 61 == 0 else i - i % 7, i - i % 7, rnd.choice(["t", "t", None]), rnd.choice(["hot", "hot", "a", None]), rnd.choice(names), rnd.choice(["p", "q", None])) for i in range(300)]
+    return spark.createDataFrame(rows, "ord long, id long, entity_type string, code string, name string, parent string").repartition(5)
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 10])
+def test_pair_totals_are_what_the_pairs_count_up_to(spark, many, hot):
+    df = _crowd(spark)
+    pairs = match.candidate_pairs(df).groupBy("confidence", "reasons").agg(F.count("*").alias("n"), F.min("left_id").alias("first_left"), F.sum(F.col("right_id") - F.col("left_id")).alias("spread"))
+    want = sets(pairs)
+    assert len(want) == 6 and sets(match.pair_totals(df, block=4, hot=hot)) == want
+    assert match.pair_totals(df.limit(0)).count() == 0
+
+
+def test_totals_ask_once_for_two_names(spark):
+    """2000 entities of one code with two near names: two million pairs, two ratios at most."""
+    rows = spark.range(2000).select(F.col("id").alias("ord"), "id", F.lit("t").alias("entity_type"), F.lit("c").alias("code"), F.when(F.col("id") % 2 == 0, "kinshasa").otherwise("kinshassa").alias("name"), F.lit(None).cast("string").alias("parent"))
+    asked = match.near_names(rows)
+    assert sorted((r["name"], r["other"], r["level"]) for r in asked.collect()) == [("kinshasa", "kinshassa", 2), ("kinshassa", "kinshasa", 2)]
+    got = match.pair_totals(rows).collect()
+    assert [(r["confidence"], r["n"], r["first_left"]) for r in got] == [(0.95, 1999000, 0)] and got[0]["spread"] == sum(d * (2000 - d) for d in range(2000))
