@@ -29,6 +29,8 @@ from terralith.scratch import written
 LEAST, MOST = 0.60, 0.99
 #: Entities of one code that meet in a task, on either side.
 BLOCK = 4096
+#: Pairs of rows that a task compares, about, and the most parts that a join is dealt out to.
+MEETINGS, MOST_PARTS = 1 << 21, 1 << 14
 NEARLY_EQUAL, SIMILAR = 0.92, 0.82
 
 
@@ -57,35 +59,47 @@ def ratio_bound(a: Column, b: Column) -> Column:
 def in_blocks(known: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, DataFrame]:
     """A table as left and right side of a join with itself on `keys` and (_i, _j): the rows of a key are dealt into blocks
     of about `block`, and each block of the left side meets each of the right side, one pair of blocks a key.  Keys of no
-    more than `block` rows have one block, and if all are so, nothing is counted again or repeated."""
-    if known.groupBy(*keys).count().filter(F.col("count") > block).isEmpty():
-        one = known.withColumns({"_i": F.lit(0), "_j": F.lit(0)})
-        return one, one
-    counts = known.groupBy(*(F.col(k).alias(f"_b_{k}") for k in keys)).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    rows = known.join(counts, [F.col(k) == F.col(f"_b_{k}") for k in keys]).drop(*(f"_b_{k}" for k in keys))
-    rows = rows.withColumn("_own", F.pmod(F.xxhash64(*known.columns), F.col("_blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left, right = rows.withColumn("_i", F.col("_own")).withColumn("_j", others), rows.withColumn("_j", F.col("_own")).withColumn("_i", others)
-    return left.drop("_own", "_blocks"), right.drop("_own", "_blocks")
-
-
-def candidate_pairs(entities: DataFrame, ratio=name_ratio, block: int = BLOCK) -> DataFrame:
-    """entities (ord, id, entity_type, code, name, parent) as pairs with confidence and reasons, in no
-    order (`best_first` sorts them).  Null codes meet nothing; the entities of a hot code meet block by block."""
-    known = with_bag(entities.filter("code IS NOT NULL"))
-    columns = ("ord", "id", "entity_type", "code", "name", "parent", "bag", "_i", "_j")
-    sides = in_blocks(known.select(*columns[:-2]), ["entity_type", "code"], block)
-    left, right = (rows.select(*(F.col(c).alias(f"{side}_{c}") for c in columns)) for side, rows in zip("lr", sides))
-    pairs = left.join(right, (F.col("l_entity_type") == F.col("r_entity_type")) & (F.col("l_code") == F.col("r_code")) & (F.col("l__i") == F.col("r__i")) & (F.col("l__j") == F.col("r__j")) & (F.col("l_ord") < F.col("r_ord")))
+    more than `block` rows have one block, and if all are so, nothing is counted again or repeated.  Where many rows meet,
+    both sides are dealt out by what they meet, not by their own size, which is small."""
+    counts = known.groupBy(*(F.col(k).alias(f"_b_{k}") for k in keys)).count()
+    most, met = counts.agg(F.max("count"), F.sum(F.col("count").cast("double") * F.col("count"))).first()
+    if (most or 0) <= block:
+        left = right = known.withColumns({"_i": F.lit(0), "_j": F.lit(0)})
+    else:
+        blocks = counts.select(*(f"_b_{k}" for k in keys), F.ceil(F.col("count") / block).cast("int").alias("_blocks"))
+        rows = known.join(blocks, [F.col(k) == F.col(f"_b_{k}") for k in keys]).drop(*(f"_b_{k}" for k in keys))
+        rows = rows.withColumn("_own", F.pmod(F.xxhash64(*known.columns), F.col("_blocks")).cast("int"))
+        others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+        left, right = (rows.withColumn(own, F.col("_own")).withColumn(other, others).drop("_own", "_blocks").select(*known.columns, "_i", "_j") for own, other in (("_i", "_j"), ("_j", "_i")))
+    parts = min(int((met or 0) / MEETINGS), MOST_PARTS)
+    if parts < 2:
+        return left, right
+    return tuple(side.repartition(parts, *keys, "_i", "_j") for side in (left, right))
+
+
+def kind_pairs(entities: DataFrame, ratio=name_ratio, block: int = BLOCK) -> DataFrame:
+    """entities (ord, id, entity_type, code, name, parent) as pairs (left_id, right_id, kind), kind being a place in KINDS,
+    in no order.  Null codes meet nothing; the entities of a hot code meet block by block.  A pair compares its names and
+    looks for the right one in the list of those near the left one, which is as long as a block at most."""
     # null and blank names are alike
-    same = F.coalesce("l_name", F.lit("")) == F.coalesce("r_name", F.lit(""))
-    asked = ~same & (ratio_bound(F.col("l_bag"), F.col("r_bag")) >= SIMILAR)
-    pairs = pairs.withColumn("_ratio", F.when(same, F.lit(1.0)).otherwise(ratio(F.when(asked, F.col("l_name")), F.when(asked, F.col("r_name")))))
-    name = F.when(F.col("_ratio") >= NEARLY_EQUAL, 0.25).when(F.col("_ratio") >= SIMILAR, 0.15).otherwise(0.0)
-    parent = F.when(F.col("l_parent") == F.col("r_parent"), 0.05).otherwise(0.0)
-    reasons = F.array_compact(F.array(F.lit("code identique"), F.when(name == 0.25, "nom identique"), F.when(name == 0.15, "nom proche"), F.when(parent > 0, "meme parent")))
-    scored = pairs.withColumn("confidence", F.least(F.round(0.70 + name + parent, 2), F.lit(MOST))).withColumn("reasons", reasons)
-    return scored.filter(F.col("confidence") >= LEAST).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "confidence", "reasons")
+    known = entities.filter("code IS NOT NULL").select("ord", "id", "entity_type", "code", F.coalesce("name", F.lit("")).alias("name"), "parent")
+    left, right = in_blocks(known, ["entity_type", "code"], block)
+    met = right.select("entity_type", "code", "_j", F.col("name").alias("other")).distinct()
+    lists = (F.collect_list(F.when(F.col("level") == level, F.col("other"))).alias(f"near{level}") for level in (1, 2))
+    near = near_names(known, ratio, block).join(met, ["entity_type", "code", "other"]).groupBy("entity_type", "code", "_j", "name").agg(*lists)
+    left = left.join(near, ["entity_type", "code", "_j", "name"], "left")
+    left, right = (rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns)) for side, rows in (("l", left), ("r", right)))
+    keys = ("entity_type", "code", "_i", "_j")
+    pairs = left.join(right, [*(F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys), F.col("l_ord") < F.col("r_ord")])
+    listed = {level: F.coalesce(F.array_contains(F.col(f"l_near{level}"), F.col("r_name")), F.lit(False)) for level in (1, 2)}
+    level = F.when((F.col("l_name") == F.col("r_name")) | listed[2], 2).when(listed[1], 1).otherwise(0)
+    kind = 2 * level + F.when(F.col("l_parent") == F.col("r_parent"), 1).otherwise(0)
+    return pairs.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), kind.alias("kind"))
+
+
+def candidate_pairs(entities: DataFrame, ratio=name_ratio, block: int = BLOCK, joined: bool = False) -> DataFrame:
+    """The pairs of entities with confidence and reasons (joined: as one text), in no order (`best_first` sorts them)."""
+    return kind_pairs(entities, ratio, block).select("left_id", "right_id", *_told(joined))
 
 
 def near_names(entities: DataFrame, ratio=name_ratio, block: int = BLOCK) -> DataFrame:
@@ -103,7 +117,8 @@ def near_names(entities: DataFrame, ratio=name_ratio, block: int = BLOCK) -> Dat
     return found.select("entity_type", "code", "name", "other", F.when(F.col("ratio") >= NEARLY_EQUAL, 2).otherwise(1).alias("level"))
 
 
-#: By level of the names (other, similar, equal or nearly so) and whether parents are equal: confidence and reasons.
+#: By level of the names (other, similar, equal or nearly so) and whether parents are equal: confidence and reasons.  None
+#: lies below LEAST, as equal codes alone give 0.70.
 KINDS = {
     (level, parent): (min(round(0.70 + name + 0.05 * parent, 2), MOST), ["code identique", *reason, *["meme parent"] * parent])
     for level, (name, reason) in enumerate([(0.0, []), (0.15, ["nom proche"]), (0.25, ["nom identique"])]) for parent in (0, 1)
@@ -156,10 +171,14 @@ def pair_totals(entities: DataFrame, ratio=name_ratio, block: int = BLOCK, hot:
     return totals.select(*_told(), "n", "first_left", "spread")
 
 
-def _told() -> list[Column]:
-    """confidence and reasons of the column kind, a place in KINDS."""
-    picked = [functools.reduce(lambda c, ir: c.when(F.col("kind") == ir[0], ir[1]), enumerate(values), F) for values in zip(*((F.lit(c), F.array(*map(F.lit, r))) for c, r in KINDS.values()))]
-    return [c.alias(name) for c, name in zip(picked, ("confidence", "reasons"))]
+def _told(joined: bool = False) -> list[Column]:
+    """confidence and reasons (an array, or joined to a text) of the column kind, a place in KINDS."""
+
+    def picked(values: list[Column]) -> Column:
+        return functools.reduce(lambda c, iv: c.when(F.col("kind") == iv[0], iv[1]), enumerate(values[:-1]), F).otherwise(values[-1])
+
+    reasons = [F.lit("; ".join(r)) if joined else F.array(*map(F.lit, r)) for _, r in KINDS.values()]
+    return [picked([F.lit(c) for c, _ in KINDS.values()]).alias("confidence"), picked(reasons).alias("reasons")]
 
 
 def best_first(pairs: DataFrame) -> DataFrame:
@@ -167,8 +186,9 @@ def best_first(pairs: DataFrame) -> DataFrame:
 
 
 def merge_proposals(pairs: DataFrame) -> DataFrame:
-    """Proposals to keep the left entity; none is ever applied by itself."""
-    return pairs.select("left_id", "right_id", "confidence", F.array_join("reasons", "; ").alias("justification"), F.lit(False).alias("auto_merge"))
+    """Proposals to keep the left entity; none is ever applied by itself.  Reasons may be joined already."""
+    told = F.col("reasons") if pairs.schema["reasons"].dataType == T.StringType() else F.array_join("reasons", "; ")
+    return pairs.select("left_id", "right_id", "confidence", told.alias("justification"), F.lit(False).alias("auto_merge"))
 
 
 SAME = ["entity_type", "code", "name", "parent"]

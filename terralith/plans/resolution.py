@@ -150,7 +150,7 @@ def match_candidates_blocked(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def merge_proposal_rows(spark: SparkSession, d: str) -> DataFrame:
     """Proposals with confidence by similarity of names."""
-    return merge_proposals(candidate_pairs(_entities(spark, d)))
+    return merge_proposals(candidate_pairs(_entities(spark, d), joined=True))
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, replace(CAST(round(l_discount * 2000 - 100, 1) AS VARCHAR), '.', ',') AS lat, CAST(round(l_tax * 3000, 1) AS VARCHAR) AS lon FROM lineitem)

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -188,3 +189,23 @@ def test_totals_ask_once_for_two_names(spark):
     assert sorted((r["name"], r["other"], r["level"]) for r in asked.collect()) == [("kinshasa", "kinshassa", 2), ("kinshassa", "kinshasa", 2)]
     got = match.pair_totals(rows).collect()
     assert [(r["confidence"], r["n"], r["first_left"]) for r in got] == [(0.95, 1999000, 0)] and got[0]["spread"] == sum(d * (2000 - d) for d in range(2000))
+
+
+def test_pairs_ask_python_once_for_two_names(spark):
+    """79,800 pairs of a code, half of them of near names: Python sees the two names, not the pairs."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        asked.add(len(a))
+        return a.str.len() / b.str.len() * 0 + 0.85
+
+    rows = spark.range(400).select(F.col("id").alias("ord"), "id", F.lit("t").alias("entity_type"), F.lit("c").alias("code"), F.when(F.col("id") % 2 == 0, "kinshasa").otherwise("kinshassa").alias("name"), F.lit(None).cast("string").alias("parent"))
+    got = match.candidate_pairs(rows, ratio).groupBy("confidence").count().collect()
+    assert {r["confidence"]: r["count"] for r in got} == {0.95: 39800, 0.85: 40000} and 0 < asked.value <= 4
+
+
+def test_pairs_are_dealt_out_by_what_meets(spark):
+    """24,000 rows are little to shuffle, and 72 million pairs of rows."""
+    rows = spark.range(24000).select(F.lit("t").alias("entity_type"), (F.col("id") % 8).cast("string").alias("code"), "id")
+    assert min(side.rdd.getNumPartitions() for side in match.in_blocks(rows, ["entity_type", "code"], 4096)) >= 30
