@@ -93,7 +93,7 @@ def kind_pairs(entities: DataFrame, ratio=name_ratio, block: int = BLOCK) -> Dat
     pairs = left.join(right, [*(F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys), F.col("l_ord") < F.col("r_ord")])
     listed = {level: F.coalesce(F.array_contains(F.col(f"l_near{level}"), F.col("r_name")), F.lit(False)) for level in (1, 2)}
     level = F.when((F.col("l_name") == F.col("r_name")) | listed[2], 2).when(listed[1], 1).otherwise(0)
-    kind = 2 * level + F.when(F.col("l_parent") == F.col("r_parent"), 1).otherwise(0)
+    kind = (2 * level + F.when(F.col("l_parent") == F.col("r_parent"), 1).otherwise(0)).cast("int")
     return pairs.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), kind.alias("kind"))
 
 
@@ -181,6 +181,13 @@ def _told(joined: bool = False) -> list[Column]:
     return [picked([F.lit(c) for c, _ in KINDS.values()]).alias("confidence"), picked(reasons).alias("reasons")]
 
 
+def best_pairs(entities: DataFrame, ratio=name_ratio, block: int = BLOCK, joined: bool = False) -> DataFrame:
+    """best_first of the candidate pairs.  Kinds stand in the order of their confidence, so what is sorted are three
+    numbers a pair, without reasons."""
+    pairs = kind_pairs(entities, ratio, block).orderBy(F.desc("kind"), "left_id", "right_id")
+    return pairs.select("left_id", "right_id", *_told(joined))
+
+
 def best_first(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc("confidence"), "left_id", "right_id")
 

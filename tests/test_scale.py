@@ -209,3 +209,11 @@ def test_pairs_are_dealt_out_by_what_meets(spark):
     """24,000 rows are little to shuffle, and 72 million pairs of rows."""
     rows = spark.range(24000).select(F.lit("t").alias("entity_type"), (F.col("id") % 8).cast("string").alias("code"), "id")
     assert min(side.rdd.getNumPartitions() for side in match.in_blocks(rows, ["entity_type", "code"], 4096)) >= 30
+
+
+def test_best_pairs_sort_numbers_only(spark, many):
+    df = _crowd(spark).withColumn("id", F.monotonically_increasing_id())
+    got = match.best_pairs(df, block=7, joined=True)
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in match.best_first(match.candidate_pairs(df)).withColumn("reasons", F.array_join("reasons", "; ")).collect()]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "code identique" in plan.split("Sort [")[0] and "code identique" not in plan.split("Sort [")[1]
