@@ -321,3 +321,20 @@ def test_quality_is_fitted_on_all_labelled_texts(spark, monkeypatch):
     assert np.allclose((model.slope, model.shift), quality.logistic(found["margin"].to_numpy(), y, docs / 3000), rtol=1e-4, atol=1e-4)
     good, bad = model.scores(["clean words here and there number 77", "### $$$ %%% ### $$$ %%% "])
     assert bad < quality.THRESHOLD < good
+
+
+def test_models_list_all_grams(spark, monkeypatch):
+    """A language of more than 2^17 grams, most of them seen once: each has the probability of the model of all grams,
+    and a process that may keep no model reads them again."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 20000, 2000))) for _ in range(80)] + ["the cat sat on the mat"]
+    keys, n = np.unique(np.concatenate([language.grams(language.letters(t)) for t in texts]), return_counts=True)
+    docs = spark.createDataFrame([("zh", 0, t) for t in texts], "lang string, half int, text string")
+    counts = language.gram_counts(docs).drop("half")
+    model = language.models_of(counts)["zh"]
+    assert len(keys) > 1 << 17 and len(model.levels[4][0]) == len(keys)
+    got, want = model.log_p(keys), language.Model(keys, n).log_p(keys)
+    assert np.allclose(got, want, atol=1e-5)
+    monkeypatch.setattr(language, "KEEP", 0)
+    monkeypatch.setattr(language, "_KEPT", {})
+    assert (model.log_p(keys) == got).all() and not language._KEPT
